@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitegauge.llm import copies, terms
+from sitegauge.llm import copies, leakage, terms, truncation
 from sitegauge.sources import table
 
 _FIELDS = ["issue", "recommendation"]
@@ -41,7 +41,27 @@ def p6_records(spark: SparkSession, d: str) -> DataFrame:
     return copies.collapsed_records(issue_records(spark, d), **_SAME)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p4_found, p4_terms, p4_values, p6_found, p6_records)}
+def p8_spans(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaked_passages(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return p8_spans(spark, d).select("doc_id", "item_id")
+
+
+def p8_items(spark: SparkSession, d: str) -> DataFrame:
+    return p8_spans(spark, d).groupBy("item_id").agg(F.count("*").alias("n_docs"), F.max("coverage").alias("best_coverage"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.truncation(table(spark, d, "documents")).filter("is_cut").select("doc_id")
+
+
+def p9_sources(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.by_source(truncation.truncation(table(spark, d, "documents")))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p4_found, p4_terms, p4_values, p6_found, p6_records, p8_found, p8_spans, p8_items, p9_found, p9_sources)}
 
 _TERMS = r"""
 WITH tokens AS (
