@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitegauge.llm import copies, leakage, terms, truncation
+from sitegauge.llm import copies, leakage, packing, splitting, terms, truncation
 from sitegauge.sources import table
 
 _FIELDS = ["issue", "recommendation"]
@@ -33,6 +33,14 @@ def p4_values(spark: SparkSession, d: str) -> DataFrame:
     return terms.value_statistics(table(spark, d, "model_issues"), _FIELDS)
 
 
+def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return splitting.split_oversized(table(spark, d, "pages"), table(spark, d, "budgets"), "page_id", "html").withColumnRenamed("id", "page_id")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return p5_pieces(spark, d).filter("piece_no = 0").select("budget_id", "page_id")
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return copies.formatting_copies(issue_records(spark, d), **_SAME)
 
@@ -41,6 +49,14 @@ def p6_records(spark: SparkSession, d: str) -> DataFrame:
     return copies.collapsed_records(issue_records(spark, d), **_SAME)
 
 
+def p7_members(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack_budgets(table(spark, d, "documents"), table(spark, d, "budgets"), "doc_id", "text").withColumnRenamed("id", "doc_id")
+
+
+def p7_containers(spark: SparkSession, d: str) -> DataFrame:
+    return packing.containers(p7_members(spark, d), table(spark, d, "budgets"))
+
+
 def p8_spans(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked_passages(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
@@ -61,7 +77,7 @@ def p9_sources(spark: SparkSession, d: str) -> DataFrame:
     return truncation.by_source(truncation.truncation(table(spark, d, "documents")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p4_found, p4_terms, p4_values, p6_found, p6_records, p8_found, p8_spans, p8_items, p9_found, p9_sources)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p4_found, p4_terms, p4_values, p5_found, p5_pieces, p6_found, p6_records, p7_members, p7_containers, p8_found, p8_spans, p8_items, p9_found, p9_sources)}
 
 _TERMS = r"""
 WITH tokens AS (
@@ -76,6 +92,9 @@ WITH tokens AS (
 """
 
 SQL: dict[str, str] = {
+    "p5_found": """
+SELECT b.budget_id, p.page_id FROM pages p JOIN budgets b
+  ON b.purpose = 'split' AND b.measure = 'utf8_bytes' AND octet_length(encode(p.html)) > b.capacity""",
     "p4_found": _TERMS + "SELECT field_name, term, mark FROM marked WHERE mark IS NOT NULL",
     "p4_terms": _TERMS + "SELECT * FROM marked",
     "p4_values": """
