@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitegauge.llm import copies, leakage, packing, splitting, terms, truncation
+from sitegauge.llm import copies, leakage, packing, residue, splitting, terms, truncation
 from sitegauge.sources import table
 
 _FIELDS = ["issue", "recommendation"]
@@ -21,6 +21,19 @@ def issue_records(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "model_issues").select(*columns).unionByName(raw.select(*columns))
 
 
+def p3_residue(spark: SparkSession, d: str) -> DataFrame:
+    return residue.residue(table(spark, d, "pages"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return p3_residue(spark, d).select("page_id").distinct()
+
+
+def p3_clean(spark: SparkSession, d: str) -> DataFrame:
+    pages = table(spark, d, "pages")
+    return residue.clean_pages(pages, residue.residue(pages)).select("page_id", "url")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return terms.marked_terms(table(spark, d, "model_issues"), _FIELDS).filter("mark is not null").select("field_name", "term", "mark")
 
@@ -77,7 +90,7 @@ def p9_sources(spark: SparkSession, d: str) -> DataFrame:
     return truncation.by_source(truncation.truncation(table(spark, d, "documents")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p4_found, p4_terms, p4_values, p5_found, p5_pieces, p6_found, p6_records, p7_members, p7_containers, p8_found, p8_spans, p8_items, p9_found, p9_sources)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_found, p3_residue, p3_clean, p4_found, p4_terms, p4_values, p5_found, p5_pieces, p6_found, p6_records, p7_members, p7_containers, p8_found, p8_spans, p8_items, p9_found, p9_sources)}
 
 _TERMS = r"""
 WITH tokens AS (

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sitegauge.llm.skew import join_classes
 from sitegauge.session import cut_lineage
 
 #: White space, control and format characters, punctuation and symbols.
@@ -83,12 +84,7 @@ def formatting_copies(df: DataFrame, id_col: str, plain: list[str], markup: list
     """
     keyed = cut_lineage(_keyed(df, id_col, plain, markup))
     classes = keyed.groupBy("_key").agg(F.min("_id").alias("first_id"), F.max("_id").alias("_last"), F.count("*").alias("_n")).filter("first_id <> _last")
-    large = F.col("_n") > 1000 * salts
-    sides = classes.select("_key", "first_id", F.explode(F.when(large, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))).alias("_salt"), large.alias("_large"))
-    small = keyed.join(sides.filter("not _large").select("_key", "first_id"), "_key")
-    spread = keyed.withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(salts)).cast("int"))
-    hot = spread.join(sides.filter("_large").select("_key", "_salt", "first_id"), ["_key", "_salt"])
-    found = small.select("first_id", F.col("_id").alias("copy_id")).unionByName(hot.select("first_id", F.col("_id").alias("copy_id")))
+    found = join_classes(keyed, classes.select("_key", "first_id", "_n"), "_key", F.col("_n"), "_id", salts).select("first_id", F.col("_id").alias("copy_id"))
     return found.filter("copy_id <> first_id").distinct()
 
 
