@@ -23,6 +23,19 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, memory: str = "
     )
 
 
+def share_package(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver does.
+
+    That serves local sessions and clusters that see the same folder; elsewhere the
+    package is shipped with ``--py-files`` and this changes nothing.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    environment = spark.sparkContext.environment
+    paths = environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` once in the shared checkpoint folder and read it from there.
 
