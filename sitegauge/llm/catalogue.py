@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitegauge.llm import copies, encodings, leakage, packing, residue, splitting, terms, truncation
+from sitegauge.llm import copies, encodings, leakage, packing, residue, splitting, stuffing, terms, truncation
 from sitegauge.sources import table
 
 _FIELDS = ["issue", "recommendation"]
@@ -21,6 +21,14 @@ def issue_records(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "model_issues").select(*columns).unionByName(raw.select(*columns))
 
 
+def p1_scores(spark: SparkSession, d: str) -> DataFrame:
+    return stuffing.stuffed_pages(table(spark, d, "pages"))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return p1_scores(spark, d).filter("stuffed").select("page_id")
+
+
 def p2_restored(spark: SparkSession, d: str) -> DataFrame:
     return encodings.garbled(table(spark, d, "pages"), "page_id", "html").withColumnRenamed("id", "page_id")
 
@@ -98,7 +106,7 @@ def p9_sources(spark: SparkSession, d: str) -> DataFrame:
     return truncation.by_source(truncation.truncation(table(spark, d, "documents")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_restored, p3_found, p3_residue, p3_clean, p4_found, p4_terms, p4_values, p5_found, p5_pieces, p6_found, p6_records, p7_members, p7_containers, p8_found, p8_spans, p8_items, p9_found, p9_sources)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_scores, p2_found, p2_restored, p3_found, p3_residue, p3_clean, p4_found, p4_terms, p4_values, p5_found, p5_pieces, p6_found, p6_records, p7_members, p7_containers, p8_found, p8_spans, p8_items, p9_found, p9_sources)}
 
 _TERMS = r"""
 WITH tokens AS (
