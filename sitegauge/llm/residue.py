@@ -35,6 +35,9 @@ FILLER = re.compile(
     r"|^\W*(?:todo|tbd|fixme)\b[:\s]+(?:write|add|fill|insert|intro|text|copy|update)|^(?:new|untitled|sample|test) (?:page|document|post|heading)(?: \d+)?$|^sample (?:paragraph|text)\b",
     re.I,
 )
+#: Every match of FILLER holds one of these, every match of PLACEHOLDER one of the next.
+_FILLER_CUES = tuple("lorem ipsum|placeholder |to follow| here|click to edit|replace this|default |to come|blah|asdf|qwer|sdfg|xx|todo|tbd|fixme|new p|new d|new h|untitled |sample |test p|test d|test h".split("|"))
+_PLACEHOLDER_CUES = ("{", "%", "[", "@@", "__", "<")
 #: Words of the usual Latin filler (fixed values).
 LATIN = frozenset(
     "ad adipiscing aliqua aliquip amet anim aute cillum commodo consectetur consequat culpa cupidatat deserunt do dolor dolore duis ea eiusmod elit enim esse est et eu ex "
@@ -91,8 +94,27 @@ def is_latin_filler(text: str) -> bool:
 
 
 def has_residue(text: str) -> bool:
-    """Whether a text holds an unfilled placeholder or filler."""
-    return bool(PLACEHOLDER.search(text) or FILLER.search(text)) or any(map(is_latin_filler, re.split(r"(?<=[.!?])\s+", text)))
+    """Whether a text of single spaces holds an unfilled placeholder or filler.
+
+    The patterns run only where one of their literal cues occurs, which loses no match.
+    """
+    if any(c in text for c in _PLACEHOLDER_CUES) and PLACEHOLDER.search(text):
+        return True
+    low = text.lower()
+    if any(c in low for c in _FILLER_CUES) and FILLER.search(text):
+        return True
+    if sum(w in low for w in _LATIN_RARE) < 2:
+        return False
+    return any(map(is_latin_filler, re.split(r"(?<=[.!?])\s+", text)))
+
+
+def _page_has_residue(found: list[Block]) -> bool:
+    shown = [b.text for b in found if not b.code and not b.noscript]
+    whole = "\n".join(shown)
+    low = whole.lower()
+    if not any(c in whole for c in _PLACEHOLDER_CUES) and not any(c in low for c in _FILLER_CUES) and sum(w in low for w in _LATIN_RARE) < 2:
+        return False
+    return any(map(has_residue, shown))
 
 
 def _messages(found: list[Block], few: int) -> list[str] | None:
@@ -114,7 +136,7 @@ def _extract(batches: Iterator[pa.RecordBatch], few: int) -> Iterator[pa.RecordB
         for page, host, html, error in zip(*(batch.column(i).to_pylist() for i in range(4))):
             if html and html.strip():
                 found = blocks(html)
-                if any(has_residue(b.text) for b in found if not b.code and not b.noscript):
+                if _page_has_residue(found):
                     rows.append((page, host, "html", True, None, None, None))
                 elif (own := _messages(found, few)) is not None:
                     rows.extend(unit(page, host, "html", t) for t in own)
