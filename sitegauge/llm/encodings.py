@@ -103,6 +103,7 @@ def _script(c: str) -> str:
     return "cyrillic" if c < "԰" else "other"
 
 
+@lru_cache(maxsize=200_000)
 def word_cost(word: str) -> float:
     """What a word costs as text: strange characters, letters of several scripts, and
     capitals or symbols in the middle of small letters."""
@@ -280,6 +281,30 @@ def decode_references(source: str) -> str:
 
 
 _UNIT = re.compile(r"(?:[^\x00-\x7f]|&(?:#\d{2,7}|#[xX][0-9a-fA-F]{2,6}|[A-Za-z][A-Za-z0-9]{1,7});)+")
+#: A character reference that is no plain markup escape.
+_REFERENCE_BEYOND = re.compile(r"&(?:#(?!(?:3[489]|39|60|62);)|(?!(?:amp|lt|gt|quot|apos|nbsp);)[A-Za-z])")
+
+
+@lru_cache(maxsize=200_000)
+def _odd_run(run: str) -> bool:
+    """Whether a run gives cause to look closer: a necessary condition of every repair."""
+    if "�" in run or any(char_cost(c) >= 1.5 for c in run) or _script(run[0]) != _script(run[-1]):
+        return True
+    return len(run) > 1 and (run_cost(run) > 0.15 * len(run) and len(run) > 2 or repair_run(run)[1] > 0 or _broken_inside(run)[1] > 0)
+
+
+def _suspicious(source: str) -> bool:
+    text = decode_references(source) if "&" in source and _REFERENCE_BEYOND.search(source) else source
+    runs = set(_RUN.findall(text))
+    if any(map(_odd_run, runs)):
+        return True
+    if ("â" in runs or "Ã" in runs or "ï" in text) and _REST.search(text):
+        return True
+    # one accent for another inside a word: a capital, a mark or another script after a small letter
+    return any((not r[0].islower() or _script(r[0]) != "latin") and _INSIDE.search(text) for r in runs if len(r) == 1 and r not in "’\xa0")
+
+
+_INSIDE = re.compile(r"[a-z](?:[À-ÞЀ-ӿͰ-Ͽ]|[^\x00-\xbf’‘“”«»–—…·•\s](?<![a-zß-ÿœšž]))[a-z]?")
 _SEGMENT = re.compile(r"[^<>\"]*[^\x00-\x7f][^<>\"]*")
 _LATIN_WORD = re.compile(r"(?=[^\x00-\x7f]*[A-Za-z])[A-Za-z\x80-\U0010ffff]*[^\x00-\x7f][A-Za-z\x80-\U0010ffff]*")
 
@@ -291,7 +316,9 @@ def restore(source: str) -> tuple[str, int, str, bool] | None:
     characters. ``whole`` tells that nothing known to be lost remains; where the bytes
     did not survive (replacement characters) the text stays as it is.
     """
-    if source.isascii() and "&" not in source:
+    if source.isascii() and ("&" not in source or not _REFERENCE_BEYOND.search(source)):
+        return None
+    if not _suspicious(source):
         return None
     layers, encoding = 0, ""
     inside = False
