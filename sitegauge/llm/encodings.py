@@ -115,7 +115,7 @@ def word_cost(word: str) -> float:
         if a.islower() and (b.isupper() and b >= "\x80"):
             cost += 1.5
         elif a.isalpha() and b >= "\x80" and not b.isalnum() and b not in "’‘'”“«»–—…­":
-            cost += 0.3
+            cost += 0.9
     return cost
 
 
@@ -248,7 +248,7 @@ def cyrillic_pair(runs: list[str]) -> tuple[str, str] | None:
 
 def western_pair(words: list[str]) -> tuple[str, str] | None:
     """``(wrong, right)`` if words of Latin letters had their accents misread one byte for one."""
-    odd = [w for w in dict.fromkeys(words) if word_cost(w) >= 1.4]
+    odd = [w for w in dict.fromkeys(words) if len(w) >= 4 and word_cost(w) >= 1.4]
     if len(odd) < 2:
         return None
     best, pair = 0.0, None
