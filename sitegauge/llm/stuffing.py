@@ -22,8 +22,7 @@ from sitegauge.llm.markup import Block, blocks
 from sitegauge.session import cut_lineage
 
 _WORD = re.compile(r"[^\W_]+")
-_PART = re.compile(r".+?(?:[.!?]+[\"”’»)\]]*(?=\s|$)|[。！？]+[」』”]?|$)", re.S)
-_ENDED = re.compile(r"(?:[.!?]+[\"”’»)\]]*|[。！？]+[」』”]?)$")
+_END = re.compile(r"[.!?]+[\"”’»)\]]*(?:\s+|$)|[。！？]+[」』”]?")
 _COMMA = re.compile(r"[,;|/•·>]+|\s[-–—]\s")
 _TAG = re.compile(r"(?<!\S)#\w+|(?<!\S)\w+(?:-\w+){2,}(?!\S)")
 _NO_SPACES = re.compile(r"[぀-ヿ㐀-鿿฀-๿]")
@@ -34,16 +33,17 @@ _TYPES = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.floa
 _SCHEMA = "kind string, page_id bigint, first string, second string, n bigint, share double, pairs bigint, repeated double, tags bigint, sentences bigint"
 
 
-def _length(part: str) -> int:
+def _length(part: str, spaced: bool = True) -> int:
     """Words of a part; two characters make one in scripts without spaces."""
-    return len(_WORD.findall(part)) + len(_NO_SPACES.findall(part)) // 2
+    n = len(part.split())
+    return n if spaced else n + len(_NO_SPACES.findall(part)) // 2
 
 
 def _run_on(part: str) -> bool:
-    found = _WORD.findall(part.lower())
+    found = part.lower().split()
     if len(found) < 20:
         return False
-    return len(set(found)) < 0.65 * len(found) or any(len(_WORD.findall(x)) > 40 for x in _COMMA.split(part))
+    return len(set(found)) < 0.65 * len(found) or len(found) > 40 and any(_length(x) > 40 for x in _COMMA.split(part))
 
 
 def is_prose(block: Block) -> bool:
@@ -56,15 +56,18 @@ def is_prose(block: Block) -> bool:
     """
     if block.kind == "alt" or block.linked * 2 >= len(block.text):
         return False
-    parts = [p for p in _PART.findall(block.text) if p.strip()]
-    ended = [p for p in parts if _ENDED.search(p.rstrip()) and not _run_on(p)]
-    if len(ended) * 2 < len(parts) or not ended:
+    ends = [m.end() for m in _END.finditer(block.text)]
+    if not ends:
         return False
-    lengths = [_length(p) for p in ended]
+    ended = [p for a, b in zip([0, *ends], ends) if not _run_on(p := block.text[a:b])]
+    if len(ended) * 2 < len(ends) + (ends[-1] < len(block.text)) or not ended:
+        return False
+    spaced = block.text.isascii() or not _NO_SPACES.search(block.text)
+    lengths = [_length(p, spaced) for p in ended]
     if median(lengths) < 6:
         return False
-    phrases = [_length(x) for p in ended for x in _COMMA.split(p) if x.strip()]
-    return not (len(phrases) >= 6 and sum(phrases) / len(phrases) < 3.5)
+    phrases = sum(map(len, map(_COMMA.findall, ended))) + len(ended)
+    return not (phrases >= 6 and sum(lengths) < 3.5 * phrases)
 
 
 def own_content(html: str) -> list[Block]:
@@ -101,7 +104,7 @@ def _scan(batches: Iterator[pa.RecordBatch], share: float, least: int, flush_at:
                 pairs.update(zip(found, found[1:]))
                 size += len(b.text)
                 if is_prose(b):
-                    sentences += len(_ENDED.findall(b.text)) or 1
+                    sentences += len(_END.findall(b.text))
                 else:
                     list_size += len(b.text)
                     listed.append(found)
@@ -121,7 +124,7 @@ def _scan(batches: Iterator[pa.RecordBatch], share: float, least: int, flush_at:
     yield from counts()
 
 
-def stuffed_pages(pages: DataFrame, id_col: str = "page_id", html: str = "html", share: float = 0.8, least: int = 25, repeated: float = 0.3, tags: int = 10, flush_at: int = 500_000) -> DataFrame:
+def stuffed_pages(pages: DataFrame, id_col: str = "page_id", html: str = "html", share: float = 0.8, least: int = 40, repeated: float = 0.3, tags: int = 10, flush_at: int = 500_000) -> DataFrame:
     """``page_id, share, pairs, repeated, tags, sentences, mean_pmi, corpus_pmi, stuffed`` of every
     page whose own content is list material for ``share`` or more, by length.
 
