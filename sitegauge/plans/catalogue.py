@@ -5,6 +5,61 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sitegauge.operators import rules
+from sitegauge.plans import rule_sql
+from sitegauge.sources import spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Callable], Callable]:
+    """Registers a query under its function's name, with its SQL where there is one."""
+
+    def register(function: Callable) -> Callable:
+        QUERIES[function.__name__] = function
+        if sql is not None:
+            SQL[function.__name__] = sql
+        return function
+
+    return register
+
+
+def pages(spark: SparkSession, d: str) -> DataFrame:
+    return spread(table(spark, d, "pages").select("page_id", "url", "host", "html"))
+
+
+def varied_pages(spark: SparkSession, d: str) -> DataFrame:
+    """The pages, each with the markup of one defect added, so that every rule has cases."""
+    defects = F.array(*[F.lit(x) for x in rule_sql.DEFECTS])
+    kind = F.pmod(F.col("page_id"), F.lit(len(rule_sql.DEFECTS))).cast("int")
+    return pages(spark, d).withColumn("html", F.concat("html", F.element_at(defects, kind + 1)))
+
+
+def _rule_query(criterion: str) -> None:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        return rules.findings(pages(spark, d), criterion).select("page_id", "criterion", "rule_id", "severity", "n")
+
+    run.__name__ = f"rules_{criterion}"
+    query(rule_sql.rules_sql(where=f"r.criterion = '{criterion}'"))(run)
+
+
+for _criterion in rules.CRITERIA:
+    _rule_query(_criterion)
+
+
+@query(rule_sql.rules_sql(rule_sql.varied_sql()))
+def rules_on_varied_pages(spark: SparkSession, d: str) -> DataFrame:
+    return rules.findings(varied_pages(spark, d)).select("page_id", "criterion", "rule_id", "severity", "n")
+
+
+@query(rule_sql.scores_sql())
+def criterion_scores(spark: SparkSession, d: str) -> DataFrame:
+    return rules.criterion_scores(pages(spark, d))
+
+
+@query(rule_sql.overall_sql())
+def overall_scores(spark: SparkSession, d: str) -> DataFrame:
+    return rules.overall_scores(pages(spark, d))

@@ -5,6 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deals the rows of an input of few splits out to all cores.
+
+    A small file is one split and would keep one core busy; inputs with as many splits as
+    there are cores pass unchanged, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    splits = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df.repartition(cores) if splits * 2 <= cores else df
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """The Parquet table ``name`` of a dataset folder."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
