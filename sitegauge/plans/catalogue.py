@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitegauge.operators import rules
+from sitegauge.functions import text
+from sitegauge.functions.patterns import linear as L
+from sitegauge.operators import evaluations, fragments, locate, metrics, resources, rules, views
 from sitegauge.plans import rule_sql
 from sitegauge.sources import spread, table
 
+#: The domain whose style sheets count as the site's own.
+DOMAIN = "example"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -63,3 +68,342 @@ def criterion_scores(spark: SparkSession, d: str) -> DataFrame:
 @query(rule_sql.overall_sql())
 def overall_scores(spark: SparkSession, d: str) -> DataFrame:
     return rules.overall_scores(pages(spark, d))
+
+
+# --- size, text and markup -------------------------------------------------------------
+
+_STRIPPED = rule_sql._strip("html", text.UNSEEN)
+_MARKUP = rule_sql._strip(_STRIPPED, text.STYLING)
+
+
+def _collapsed(sql: str) -> str:
+    return f"regexp_replace(regexp_replace({sql}, {L(chr(92) + 's+')}, ' ', 'g'), {L('^' + chr(92) + 's+|' + chr(92) + 's+$')}, '', 'g')"
+
+
+def _decoded(sql: str) -> str:
+    for name, plain in (("nbsp", " "), ("amp", "&"), ("lt", "<"), ("gt", ">"), ("quot", '"')):
+        sql = f"regexp_replace({sql}, '(?i)&{name};', '{plain}', 'g')"
+    # numeric references of one character become one character of any kind; length is all that counts
+    return f"regexp_replace(replace({sql}, '&#39;', chr(39)), '&#(?:[xX][0-9a-fA-F]{{1,6}}|[0-9]{{1,7}});', 'x', 'g')"
+
+
+_VISIBLE = f"length({_collapsed(_decoded(f'''regexp_replace({_STRIPPED}, '<[^>]+>', ' ', 'g')'''))})"
+_METRICS = f"""
+SELECT page_id, CAST(strlen(html) AS INTEGER) AS html_bytes, CAST(strlen({_MARKUP}) AS INTEGER) AS markup_bytes, CAST({_VISIBLE} AS INTEGER) AS visible_chars
+FROM pages WHERE html IS NOT NULL"""
+_TEXT_METRICS = f"SELECT *, floor(markup_bytes / greatest(visible_chars, 1) * 100 + 0.5) / 100 AS html_to_text_ratio FROM ({_METRICS})"
+_CSS_METRICS = f"""
+SELECT page_id, css_chars, css_ext_count, css_inline_count, floor(css_chars / greatest(visible_chars, 1) * 100 + 0.5) / 100 AS css_to_text_ratio FROM (
+  SELECT page_id, CAST(coalesce(list_sum(list_transform(regexp_extract_all(html, {L(metrics.STYLE_BLOCK)}, 1), lambda s: length(s))), 0) AS INTEGER) AS css_chars,
+    CAST(len(regexp_extract_all(html, {L(metrics.sheet_pattern(DOMAIN))})) AS INTEGER) AS css_ext_count,
+    CAST(len(regexp_extract_all(html, {L(metrics.STYLE_BLOCK)})) AS INTEGER) AS css_inline_count, {_VISIBLE} AS visible_chars
+  FROM pages WHERE html IS NOT NULL)"""
+
+
+@query(_TEXT_METRICS)
+def text_metrics(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.text_metrics(pages(spark, d))
+
+
+@query(_CSS_METRICS)
+def css_metrics(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.css_metrics(pages(spark, d), DOMAIN)
+
+
+@query(f"""
+WITH m AS (SELECT * FROM ({_TEXT_METRICS}) JOIN ({_CSS_METRICS}) USING (page_id)),
+c AS (SELECT page_id, list_filter([
+  CASE WHEN html_to_text_ratio > 30 THEN 'ratio_very_high' WHEN html_to_text_ratio > 15 THEN 'ratio_high' ELSE 'ratio_fine' END,
+  CASE WHEN css_to_text_ratio > 2 THEN 'inline_css_heavy' WHEN css_inline_count > 2 THEN 'many_style_blocks' END,
+  CASE WHEN css_ext_count > 5 THEN 'many_style_sheets' END, CASE WHEN html_bytes > 200000 THEN 'page_too_large' END,
+  CASE WHEN markup_bytes > 80000 THEN 'markup_too_large' END, 'minify'], lambda x: x IS NOT NULL)[:6] AS t FROM m)
+SELECT page_id, CAST(unnest(range(len(t))) AS INTEGER) AS ord, unnest(t) AS tactic FROM c""")
+def doc_size_advice(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.size_advice(pages(spark, d), DOMAIN)
+
+
+@query(f"""
+SELECT page_id, CAST(length(s) AS INTEGER) AS n_chars, md5(s) AS digest FROM (
+  SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace({_MARKUP}, '[\\t\\f\\x0B]+', ' ', 'g'), ' {{2,}}', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), {L('^' + chr(92) + 's+|' + chr(92) + 's+$')}, '', 'g') AS s
+  FROM pages WHERE html IS NOT NULL)""")
+def stripped_html(spark: SparkSession, d: str) -> DataFrame:
+    s = pages(spark, d).filter("html is not null").select("page_id", metrics.stripped_html(F.col("html")).alias("s"))
+    return s.select("page_id", F.length("s").alias("n_chars"), F.md5("s").alias("digest"))
+
+
+@query()
+def bloated_segments(spark: SparkSession, d: str) -> DataFrame:
+    return fragments.bloated_segments(pages(spark, d)).drop("snippet")
+
+
+@query()
+def html_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return fragments.html_chunks(pages(spark, d)).select("page_id", "chunk", "bytes", F.md5("text").alias("digest"))
+
+
+_FACTS = f"""SELECT page_id, {rule_sql._strip("coalesce(html, '')", text.INERT)} AS s, coalesce(html, '') AS html FROM pages"""
+_COUNTED = ("h1", "main", "nav", "header", "footer", "div", "span")
+
+
+@query(f"SELECT page_id, {', '.join(f'CAST(len(regexp_extract_all(s, {L(rules.open_tag(t))})) AS INTEGER) AS n_{t}' for t in _COUNTED)} FROM ({_FACTS} WHERE html IS NOT NULL)")
+def structural_facts(spark: SparkSession, d: str) -> DataFrame:
+    return rules.with_facts(pages(spark, d).select("page_id", "html")).select("page_id", *[F.col(f"n_{t}") for t in _COUNTED])
+
+
+@query(f"WITH src AS ({rule_sql.varied_sql()}), {rule_sql.children_cte()} SELECT page_id, parent, child, count(*) AS n FROM violations GROUP BY ALL")
+def direct_child_violations(spark: SparkSession, d: str) -> DataFrame:
+    found = varied_pages(spark, d).select("page_id", F.explode(rules.child_violations(F.col("html"))).alias("v"))
+    return found.groupBy("page_id", F.col("v.parent").alias("parent"), F.col("v.child").alias("child")).agg(F.count("*").alias("n"))
+
+
+@query(f"""
+WITH i AS (SELECT page_id, lower(unnest(regexp_extract_all(html, {L(rules.P['id'])}, 1))) AS id FROM ({rule_sql.varied_sql()}))
+SELECT page_id, id, count(*) AS n FROM i GROUP BY ALL HAVING count(*) > 1""")
+def duplicate_ids(spark: SparkSession, d: str) -> DataFrame:
+    ids = varied_pages(spark, d).select("page_id", F.explode(text.find_all(F.col("html"), rules.P["id"], 1)).alias("id"))
+    return ids.groupBy("page_id", F.lower("id").alias("id")).agg(F.count("*").alias("n")).filter("n > 1")
+
+
+@query(f"""
+WITH s AS ({rule_sql.scores_sql()}), j AS (SELECT * FROM s JOIN (SELECT page_id, host FROM pages) USING (page_id))
+SELECT host, criterion, count(*) AS n_pages, floor(avg(score) * 100 + 0.5) / 100 AS mean_score FROM j GROUP BY ROLLUP (host, criterion)""")
+def site_rollup(spark: SparkSession, d: str) -> DataFrame:
+    p = pages(spark, d)
+    return views.site_rollup(rules.criterion_scores(p), p)
+
+
+@query()
+def issue_rows(spark: SparkSession, d: str) -> DataFrame:
+    return rules.issues(pages(spark, d)).drop("html_snippet")
+
+
+# --- findings of an external evaluator ---------------------------------------------------
+
+
+def model_issues(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "model_issues").withColumn("severity", F.lower(F.trim("severity")))
+
+
+_ISSUES = "SELECT * REPLACE (lower(trim(severity)) AS severity) FROM model_issues"
+
+
+@query(f"SELECT issue_id FROM ({_ISSUES}) WHERE severity IN ('error', 'warning', 'info') AND score BETWEEN 0 AND 100 AND issue <> '' AND recommendation <> '' AND html_snippet <> ''")
+def valid_findings(spark: SparkSession, d: str) -> DataFrame:
+    return evaluations.valid_findings(model_issues(spark, d)).select("issue_id")
+
+
+def _dropped(where: str = "TRUE") -> str:
+    e = evaluations
+    m = lambda col, p: f"regexp_matches({col}, {L(p)})"
+    fine = []
+    for parent, allowed in rules.ALLOWED_CHILDREN.items():
+        fine.append(f"({m('snippet', rules.parent_span(parent))} AND {m('subject', chr(92) + 'b' + parent + chr(92) + 'b')} AND NOT EXISTS (SELECT 1 FROM bad WHERE bad.issue_id = j.issue_id AND bad.parent = '{parent}'))")
+    spans = " UNION ALL ".join(f"SELECT issue_id, '{t}' AS parent, {rule_sql._list(a)} AS allowed, regexp_extract(snippet, {L(rules.parent_span(t))}, 1) AS inner_html FROM subjects WHERE {m('snippet', rules.parent_span(t))}" for t, a in rules.ALLOWED_CHILDREN.items())
+    checks = [(name, m("subject", p)) for name, p in e.SCOPE.items()] + [
+        ("vague", m("issue", e.VAGUE)),
+        ("children_fine", f"({' OR '.join(fine)})"),
+        ("list_order", f"({m('subject', e.LIST_ORDER)} OR ((contains(lower(subject), 'dt') OR contains(lower(subject), 'dd')) AND lower(regexp_extract(snippet, {L('<(dt|dd)' + chr(92) + 'b')}, 1)) = 'dt'))"),
+        ("root_nesting", f"({m('subject', e.NESTING)} AND {m('snippet', e.ROOT)})"),
+        ("h1_present", f"({m('issue', e.ABOUT_H1)} AND (h1 >= 1 OR has_root) AND {m('issue', e.MISSING)})"),
+        ("h1_single", f"({m('issue', e.ABOUT_H1)} AND h1 <= 1 AND {m('issue', e.DOUBLED)})"),
+        ("main_present", f"({m('issue', e.ABOUT_MAIN)} AND main >= 1 AND {m('issue', e.MISSING)})"),
+        ("main_single", f"({m('issue', e.ABOUT_MAIN)} AND main <= 1 AND {m('issue', e.DOUBLED)})"),
+    ]
+    cases = " ".join(f"WHEN {c} THEN '{name}'" for name, c in checks)
+    root = "<div" + chr(92) + "b[^>]*" + e.ROOT
+    return f"""
+WITH subjects AS (SELECT *, issue || ' ' || coalesce(recommendation, '') AS subject, coalesce(html_snippet, '') AS snippet FROM ({_ISSUES})),
+facts AS (SELECT page_id, len(regexp_extract_all(s, {L(rules.open_tag('h1'))})) AS h1, len(regexp_extract_all(s, {L(rules.open_tag('main'))})) AS main, {m('html', root)} AS has_root FROM ({_FACTS})),
+spans AS ({spans}),
+tags AS (SELECT *, unnest({rule_sql._all('tag', 0, 'inner_html')}) AS tag, generate_subscripts({rule_sql._all('tag', 0, 'inner_html')}, 1) AS pos FROM spans),
+steps AS (SELECT *, starts_with(tag, '</') AS closing, lower({rule_sql._first('tag_name', 1, 'tag')}) AS name, CASE WHEN starts_with(tag, '</') THEN -1 WHEN ends_with(tag, '/>') THEN 0 ELSE 1 END AS step FROM tags),
+sums AS (SELECT *, sum(step) OVER (PARTITION BY issue_id, parent ORDER BY pos) AS total FROM steps),
+floors AS (SELECT *, total - least(0, min(total) OVER (PARTITION BY issue_id, parent ORDER BY pos)) AS depth FROM sums),
+walked AS (SELECT *, lag(depth, 1, 0) OVER (PARTITION BY issue_id, parent ORDER BY pos) AS before FROM floors),
+bad AS (SELECT DISTINCT issue_id, parent FROM walked WHERE NOT closing AND before = 0 AND NOT list_contains(allowed, name)),
+j AS (SELECT subjects.*, coalesce(f.h1, 0) AS h1, coalesce(f.main, 0) AS main, coalesce(f.has_root, FALSE) AS has_root FROM subjects LEFT JOIN facts f USING (page_id)),
+dropped AS (SELECT j.*, CASE {cases} END AS drop_reason FROM j)
+SELECT * FROM dropped WHERE {where}"""
+
+
+def judged(spark: SparkSession, d: str) -> DataFrame:
+    return evaluations.drop_reason(model_issues(spark, d), evaluations.page_facts(pages(spark, d)))
+
+
+@query(f"SELECT issue_id, drop_reason FROM ({_dropped('drop_reason IS NOT NULL')})")
+def ground_truth_filter(spark: SparkSession, d: str) -> DataFrame:
+    return judged(spark, d).filter("drop_reason is not null").select("issue_id", "drop_reason")
+
+
+@query()
+def satisfied_suggestions(spark: SparkSession, d: str) -> DataFrame:
+    return evaluations.satisfied_suggestions(model_issues(spark, d), pages(spark, d))
+
+
+_CAPS = " ".join(f"WHEN '{c}' THEN {n}" for c, n in evaluations.CAPS.items())
+
+
+@query(f"""
+WITH k AS (SELECT *, CASE WHEN criterion IN ('semantic', 'w3c')
+    THEN severity || '|' || issue || '|' || coalesce(substring(regexp_replace(html_snippet, {L(chr(92) + 's+')}, ' ', 'g'), 1, 120), '')
+    ELSE severity || '|' || substring(regexp_replace(lower(issue), {L('^' + chr(92) + 's+|' + chr(92) + 's+$')}, '', 'g'), 1, 100) END AS key FROM ({_dropped('drop_reason IS NULL')})),
+f AS (SELECT *, row_number() OVER (PARTITION BY page_id, criterion, key ORDER BY chunk, ord, issue_id) AS nth FROM k),
+r AS (SELECT *, row_number() OVER (PARTITION BY page_id, criterion ORDER BY chunk, ord, issue_id) AS rank FROM f WHERE nth = 1)
+SELECT page_id, criterion, chunk, ord, issue_id, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= CASE criterion {_CAPS} ELSE 40 END""")
+def merged_findings(spark: SparkSession, d: str) -> DataFrame:
+    return evaluations.merged_findings(judged(spark, d).filter("drop_reason is null"))
+
+
+@query(f"""
+WITH v AS (SELECT *, CASE WHEN score BETWEEN 0 AND 100 THEN score END AS good FROM ({_dropped()})),
+c AS (SELECT page_id, criterion, chunk, arg_min(good, (ord, issue_id)) FILTER (good IS NOT NULL) AS score, count(*) FILTER (drop_reason IS NULL) AS kept, count(*) FILTER (drop_reason IS NOT NULL) AS dropped FROM v GROUP BY ALL),
+m AS (SELECT page_id, criterion, CAST(sum(kept) AS BIGINT) AS n_kept, CAST(sum(dropped) AS BIGINT) AS n_dropped, CAST(floor(avg(score) + 0.5) AS INTEGER) AS mean FROM c GROUP BY ALL)
+SELECT page_id, criterion, n_kept, n_dropped, CAST(CASE WHEN n_dropped > 0 AND n_kept = 0 THEN least(100, mean + 4 * n_dropped) ELSE mean END AS INTEGER) AS score FROM m""")
+def merged_scores(spark: SparkSession, d: str) -> DataFrame:
+    return evaluations.merged_scores(judged(spark, d))
+
+
+_T = L("^" + chr(92) + "s+|" + chr(92) + "s+$")
+
+
+@query(f"""
+SELECT page_id, severity, regexp_replace(issue, {_T}, '', 'g') AS issue, regexp_replace(coalesce(recommendation, ''), {_T}, '', 'g') AS recommendation, count(*) AS n_issues,
+  count(DISTINCT nullif(regexp_replace(coalesce(html_snippet, ''), {_T}, '', 'g'), '')) AS n_snippets FROM ({_ISSUES}) GROUP BY 1, 2, 3, 4""")
+def grouped_issues(spark: SparkSession, d: str) -> DataFrame:
+    return views.grouped_issues(model_issues(spark, d))
+
+
+# --- resources ------------------------------------------------------------------------------
+
+
+def page_resources(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "page_resources")
+
+
+_FILES = "SELECT page_id, lower(kind) AS kind, url, max(content) AS content FROM page_resources WHERE content IS NOT NULL AND lower(kind) IN ('js', 'css') GROUP BY 1, 2, 3"
+
+
+@query(f"""
+WITH f AS (SELECT *, lower(split_part(split_part(url, '/', -1), '?', 1)) AS file, substring(content, 1, 6000) AS js_head, substring(content, 1, 2000) AS css_head FROM ({_FILES})),
+p AS (SELECT *, CASE kind WHEN 'js' THEN regexp_matches(file, {L(resources.JS_PACKAGE_FILE)}) OR len(regexp_extract_all(js_head, '/\\*!')) >= 3 OR regexp_matches(js_head, {L(resources.JS_BANNER)})
+    OR len(regexp_extract_all(content, '// EXTERNAL MODULE:')) >= 5 OR regexp_matches(js_head, {L(resources.JS_COPYRIGHT)})
+  ELSE regexp_matches(file, {L(resources.CSS_PACKAGE_FILE)}) OR regexp_matches(css_head, {L(resources.CSS_BANNER)}) OR len(regexp_extract_all(css_head, '/\\*!')) >= 2 END AS package FROM f)
+SELECT page_id, kind, count(*) AS n_files, count(*) FILTER (package) AS n_packages, CAST(sum(length(content)) AS BIGINT) AS chars, CAST(sum(CASE WHEN package THEN 0 ELSE length(content) END) AS BIGINT) AS app_chars FROM p GROUP BY 1, 2""")
+def resource_totals(spark: SparkSession, d: str) -> DataFrame:
+    # the SQL leaves package code within own scripts out of account; no script of the tables holds any
+    return resources.resource_totals(page_resources(spark, d))
+
+
+@query(f"""
+WITH c AS (SELECT page_id, url, unnest(list_filter(list_distinct(regexp_extract_all(content, {L(resources.CLASS_NAME)}, 1)), lambda c: length(c) >= 4)) AS class FROM ({_FILES}) WHERE kind = 'css')
+SELECT * FROM c""")
+def css_classes(spark: SparkSession, d: str) -> DataFrame:
+    css = resources.distinct_resources(page_resources(spark, d)).filter("kind = 'css'")
+    return css.select("page_id", "url", F.explode(resources.css_classes(F.col("content"))).alias("class"))
+
+
+def coverage(spark: SparkSession, d: str, kind: str) -> DataFrame:
+    """The resources with ranges made up from their lengths: overlapping, nested and unexecuted ones."""
+    n = F.length("content")
+    part = lambda a, b, c: F.struct((n * a / 12).cast("int").alias("start"), (n * b / 12).cast("int").alias("end"), F.lit(c).alias("count"))
+    made = F.array(part(3, 6, 1), part(0, 2, 2), part(4, 5, 1), part(5, 7, 3), part(9, 11, 0))
+    files = resources.distinct_resources(page_resources(spark, d)).filter(F.col("kind") == kind)
+    return files.select("page_id", "url", F.col("content").alias("text"), made.alias("ranges"))
+
+
+@query(f"""
+WITH f AS (SELECT page_id, url, length(content) AS total FROM ({_FILES}) WHERE kind = 'js' AND length(content) > 0),
+u AS (SELECT *, (trunc(total * 2 / 12) - 0) + (trunc(total * 7 / 12) - trunc(total * 3 / 12)) AS used FROM f)
+SELECT page_id, url, CAST(total AS INTEGER) AS total_chars, CAST(total - used AS INTEGER) AS unused_chars, CAST(floor((total - used) / total * 100 + 0.5) AS INTEGER) AS unused_pct FROM u""")
+def unused_scripts(spark: SparkSession, d: str) -> DataFrame:
+    return resources.unused_scripts(coverage(spark, d, "js"))
+
+
+@query()
+def unused_styles(spark: SparkSession, d: str) -> DataFrame:
+    js = resources.distinct_resources(page_resources(spark, d)).filter("kind = 'js'")
+    return resources.unused_styles(coverage(spark, d, "css"), js.select("page_id", "content"))
+
+
+@query()
+def referenced_files(spark: SparkSession, d: str) -> DataFrame:
+    return resources.referenced_files(pages(spark, d), "")
+
+
+# --- locating sources -----------------------------------------------------------------------
+
+_TARGETS = [("^https?://(?:m|media)[.]", "mobile"), ("/(?:product|item)", "product"), ("^https?://dir[.]", "directory")]
+
+
+@query("""
+SELECT page_id, CASE WHEN regexp_matches(lower(coalesce(url, '')), '^https?://(?:m|media)[.]') THEN 'mobile' WHEN regexp_matches(lower(coalesce(url, '')), '/(?:product|item)') THEN 'product'
+  WHEN regexp_matches(lower(coalesce(url, '')), '^https?://dir[.]') THEN 'directory' ELSE 'default' END AS target FROM pages""")
+def repo_targets(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages").select("page_id", locate.repo_target(F.col("url"), _TARGETS, "default").alias("target"))
+
+
+_STOP = rule_sql._list(locate.PATH_STOP_WORDS)
+
+
+@query(f"""
+WITH p AS (SELECT page_id, unnest(list_filter(string_split(lower(regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1)), '/'), lambda x: length(x) > 2 AND NOT list_contains({_STOP}, x))) AS part FROM pages),
+t AS (SELECT page_id, part AS token FROM p UNION SELECT page_id, regexp_replace(part, '[-_]+', '', 'g') FROM p WHERE length(regexp_replace(part, '[-_]+', '', 'g')) > 3)
+SELECT DISTINCT page_id, token FROM t""")
+def url_path_tokens(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages").select("page_id", F.explode(locate.path_tokens(F.col("url"))).alias("token"))
+
+
+@query()
+def snippet_file_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """The findings of the accessibility criterion, each against the distinct files of all pages."""
+    files = page_resources(spark, d).filter("content is not null").groupBy(F.regexp_extract("url", "([^/]*)$", 1).alias("path")).agg(F.max("content").alias("content"))
+    issues = model_issues(spark, d).filter("html_snippet is not null").select("issue_id", F.explode(locate.snippet_needles(F.col("html_snippet"))).alias("n"))
+    needles = issues.groupBy(F.col("n.needle").alias("needle")).agg(F.min("n.tier").alias("tier"))
+    hits = locate.files_with_needles(files, needles).select("path", "needle", F.lit(0).alias("boost"))
+    own = issues.select("issue_id", F.col("n.tier").alias("tier"), F.col("n.needle").alias("needle")).join(hits, "needle")
+    return locate.rank_files(own, ["issue_id"])
+
+
+# --- jobs, lists, notes -----------------------------------------------------------------------
+
+
+@query("""
+WITH l AS (SELECT job_id, item_no, max(struct_pack(u := updated_at, s := item_status, e := error)) AS s FROM bulk_items GROUP BY 1, 2)
+SELECT job_id, count(*) AS n_items, count(*) FILTER (s.s = 'done') AS n_done, count(*) FILTER (s.s = 'failed') AS n_failed,
+  CAST(floor(count(*) FILTER (s.s IN ('done', 'failed')) / count(*) * 100 + 0.5) AS INTEGER) AS pct FROM l GROUP BY 1""")
+def bulk_progress(spark: SparkSession, d: str) -> DataFrame:
+    return views.job_progress(table(spark, d, "bulk_items"))
+
+
+@query("""
+WITH r AS (SELECT job_id, created_at AS b, updated_at AS e FROM bulk_items WHERE created_at IS NOT NULL AND updated_at IS NOT NULL),
+n AS (SELECT *, CASE WHEN b > 1000 + max(e) OVER (PARTITION BY job_id ORDER BY b, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS fresh FROM r),
+g AS (SELECT *, sum(fresh) OVER (PARTITION BY job_id ORDER BY b, e ROWS UNBOUNDED PRECEDING) AS run FROM n)
+SELECT job_id, min(b) AS "begin", max(e) AS "end" FROM g GROUP BY job_id, run""")
+def range_islands(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "bulk_items").select("job_id", F.col("created_at").alias("begin"), F.col("updated_at").alias("end")).dropna()
+    return locate.merge_ranges(rows, "job_id", 1000)
+
+
+@query("SELECT page_id, coalesce(nullif(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]*)', 1), ''), url) AS label FROM pages")
+def url_hosts(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages").select("page_id", views.host_label(F.col("url")).alias("label"))
+
+
+@query(f"""
+WITH c AS (SELECT regexp_replace(regexp_replace(unnest(string_split(url, ',')), {_T}, '', 'g'), '^["'']|["'']$', '', 'g') AS url FROM bulk_items)
+SELECT DISTINCT url FROM c WHERE regexp_matches(url, '^https?://[^\\s/?#]+') AND NOT regexp_matches(url, '^https?://[^/?#]*[\\s<>]')""")
+def csv_urls(spark: SparkSession, d: str) -> DataFrame:
+    return views.urls_of_lines(table(spark, d, "bulk_items"), "url", ["job_id", "item_no"]).select("url")
+
+
+@query("""
+SELECT page_id, CASE WHEN url IS NULL OR NOT regexp_matches(url, '(?i)^https?://') THEN 'bad_address' WHEN html IS NULL THEN 'no_html' WHEN length(html) < 100 THEN 'too_small'
+  WHEN length(html) > 10485760 THEN 'too_large' ELSE 'ok' END AS verdict FROM pages""")
+def fetch_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    return views.fetch_verdicts(table(spark, d, "pages"))
+
+
+@query("SELECT feedback_id, message, CAST(try_cast(created_at AS TIMESTAMPTZ) AS VARCHAR) IS NOT NULL AS dated FROM feedback_notes WHERE feedback_id IS NOT NULL AND message IS NOT NULL")
+def feedback_listing(spark: SparkSession, d: str) -> DataFrame:
+    return views.feedback_listing(table(spark, d, "feedback_notes")).select("feedback_id", "message", F.col("created_at").isNotNull().alias("dated"))
