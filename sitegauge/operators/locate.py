@@ -29,7 +29,7 @@ def repo_target(url: Column, rules: list[tuple[str, str]], default: str) -> Colu
 
 def path_tokens(url: Column) -> Column:
     """Distinct telling path segments of an address, each also without its dashes."""
-    path = F.try_parse_url(url, F.lit("PATH"))
+    path = F.when(url.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:"), F.try_parse_url(url, F.lit("PATH")))
     parts = F.filter(F.transform(F.split(F.coalesce(path, F.lit("")), "/"), F.lower), lambda p: (F.length(p) > 2) & ~p.isin(*PATH_STOP_WORDS))
     plain = F.transform(parts, lambda p: F.regexp_replace(p, "[-_]+", ""))
     both = F.flatten(F.zip_with(parts, plain, lambda p, q: F.when((q != p) & (F.length(q) > 3), F.array(p, q)).otherwise(F.array(p))))
