@@ -24,7 +24,8 @@ HISTOGRAM = "etaoinsrhldc0123456789"
 
 def strip_noise(c: Column) -> Column:
     """Letters, marks and digits of ``c`` in one letter case."""
-    return F.regexp_replace(F.lower(F.upper(c)), _NOISE, "")
+    # the capital form of this letter is two others
+    return F.regexp_replace(F.replace(F.lower(c), F.lit("ß"), F.lit("ss")), _NOISE, "")
 
 
 def normal_markup(c: Column) -> Column:

@@ -119,37 +119,37 @@ def word_cost(word: str) -> float:
     return cost
 
 
+def _decodings(run: str) -> dict[str, str]:
+    """What the run becomes under each legacy encoding that undoes to valid UTF-8."""
+    out: dict[str, str] = {}
+    for name in LEGACY:
+        data = to_bytes(run, name)
+        if data is None:
+            continue
+        try:
+            out[name] = data.decode("utf-8")
+        except UnicodeDecodeError:
+            continue
+    return out
+
+
 @lru_cache(maxsize=200_000)
-def repair_run(run: str, likely: str = "") -> tuple[str, int, str]:
+def repair_run(run: str, likely: str = "", depth: int = LAYERS) -> tuple[str, int, str]:
     """``(text, layers, encoding)`` of a run of characters beyond ASCII that hides UTF-8.
 
-    Zero layers: it hides none. ``encoding`` is the outermost one undone; ``likely`` is
-    taken where several do equally well.
+    Layers are undone as long as what comes out in the end costs less. Zero layers: it
+    hides none. ``encoding`` is the outermost one undone; ``likely`` is taken where
+    several do equally well.
     """
-    layers, first = 0, ""
-    while layers < LAYERS and len(run) > 1:
-        cost = run_cost(run)
-        best = None
-        for name in LEGACY:
-            data = to_bytes(run, name)
-            if data is None:
-                continue
-            try:
-                text = data.decode("utf-8")
-            except UnicodeDecodeError:
-                continue
-            now = run_cost(text)
-            if now >= cost:
-                continue
-            now -= 0.01 * (name == likely)
-            if now < cost and (best is None or now < best[0]):
-                best = (now, text, name)
-        if best is None:
-            break
-        run = best[1]
-        first = first or best[2]
-        layers += 1
-    return run, layers, first
+    best, found = run_cost(run), (run, 0, "")
+    if depth == 0 or len(run) < 2:
+        return found
+    for name, text in _decodings(run).items():
+        inner, layers, _ = repair_run(text, likely, depth - 1)
+        cost = run_cost(inner) - 0.01 * (name == likely)
+        if cost < best and run_cost(inner) < run_cost(run):
+            best, found = cost, (inner, layers + 1, name)
+    return found
 
 
 @lru_cache(maxsize=200_000)
@@ -321,10 +321,11 @@ def restore(source: str) -> tuple[str, int, str, bool] | None:
     if not _suspicious(source):
         return None
     layers, encoding = 0, ""
-    inside = False
+    inside = undone = False
+    likely = ""
 
     def fix(m: re.Match[str]) -> str:
-        nonlocal layers, encoding
+        nonlocal undone, encoding
         run = m[0]
         if "&" in run:
             run = decode_references(run)
@@ -332,23 +333,36 @@ def restore(source: str) -> tuple[str, int, str, bool] | None:
                 return m[0]
         if len(run) < 2:
             return m[0]
-        text, n, name = repair_run(run, likely)
+        _, n, name = repair_run(run, likely)
+        text = to_bytes(run, name).decode("utf-8") if n else run
+        if not n and likely and (data := to_bytes(run, likely)):
+            try:
+                plain = data.decode("utf-8")
+            except UnicodeDecodeError:
+                plain = ""
+            if plain and all(c in _PLAIN or c in _MARKS for c in plain):
+                text, n, name = plain, 1, likely
         if not n and inside and len(run) > 2:
             text, n = _broken_inside(run)
-            n, name = min(n, 1), "mixed"
+            name = "mixed"
         if not n:
             return m[0]
-        layers = max(layers, n)
+        undone = True
         encoding = encoding or name
         return text
 
     def undo_cyrillic(text: str) -> str:
         nonlocal layers, encoding
         odd = _odd_runs(text)
-        pair = cyrillic_pair(odd)
-        if not pair:
+        if not odd:
             return text
         names = set(odd)
+        # capitals beside an odd word are evidence too: one such encoding swaps the letter cases
+        beside = [runs for runs in map(_RUN.findall, _SEGMENT.findall(text)) if not names.isdisjoint(runs)]
+        near = [r for runs in beside for r in runs if len(r) > 2 and r.isupper()]
+        pair = cyrillic_pair(list(dict.fromkeys([*odd, *near])))
+        if not pair:
+            return text
 
         def sound(run: str) -> bool:
             return len(run) > 2 and run not in names and not run.isupper()
@@ -369,8 +383,14 @@ def restore(source: str) -> tuple[str, int, str, bool] | None:
         return _SEGMENT.sub(recode, text)
 
     text = undo_cyrillic(source)
-    likely = likely_encoding(decode_references(text) if "&" in text else text)
-    text = _UNIT.sub(fix, text)
+    for _ in range(LAYERS):
+        # one layer at a time: which encoding the next one was read in shows only then
+        undone = False
+        likely = likely_encoding(decode_references(text) if "&" in text else text)
+        text = _UNIT.sub(fix, text)
+        if not undone:
+            break
+        layers += 1
     if _REST.search(text):
         text = text.replace("ï»¿", "").replace("ï¿½", "�")
         text = re.sub(r"(?<![A-ZÀ-Þ])Ã (?=[a-z])", "à ", text)
@@ -378,8 +398,9 @@ def restore(source: str) -> tuple[str, int, str, bool] | None:
         layers, encoding = max(layers, 1), encoding or "cp1252"
     if layers:
         text = undo_cyrillic(text)
-    inside = True
+    inside, undone = True, False
     text = _UNIT.sub(fix, text)
+    layers += undone
     words = _LATIN_WORD.findall(text)
     if words and (pair := western_pair(words)):
         text = _LATIN_WORD.sub(lambda m: (_recode(m[0], *pair) or m[0]) if word_cost(m[0]) >= 1.4 else m[0], text)
@@ -410,3 +431,9 @@ def garbled(df: DataFrame, id_col: str, text: str) -> DataFrame:
     no shuffle.
     """
     return df.select(F.col(id_col).cast("bigint"), F.col(text).cast("string")).mapInArrow(_repair, _SCHEMA)
+
+
+def _recode_all(data: bytes, wrong: str) -> str:
+    """Bytes as text under a single-byte encoding, undefined bytes read as control characters."""
+    table = _DECODE[wrong]
+    return "".join(table[b] if b > 127 else chr(b) for b in data)

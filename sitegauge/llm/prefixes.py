@@ -4,7 +4,7 @@ In sorted order the values that begin with ``v`` directly follow ``v``. So one
 range-partitioned sort finds, for every candidate, whether a longer value that
 begins with it exists, without comparing all pairs: each task streams its sorted
 run with a stack of nested candidates. What is still open at the end of a run is
-settled against the first different value of the runs after it.
+settled against the first different whole value of the runs after it.
 """
 
 from __future__ import annotations
@@ -32,15 +32,17 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     part = TaskContext.get().partitionId()
     stack: list[tuple[str, bytes]] = []
     previous: str | None = None
+    heads: list[str] = []
     for batch in batches:
         rows: list[tuple] = []
         for value, id_, whole in zip(*(batch.column(i).to_pylist() for i in range(3))):
             if value != previous:
-                if previous is None:
-                    rows.append(("head", None, None, part, value))
                 while stack and not value.startswith(stack[-1][0]):
                     stack.pop()
                 previous = value
+            if whole and len(heads) < 2 and value not in heads:
+                rows.append(("head", len(heads), None, part, value))
+                heads.append(value)
             if whole and stack and stack[0][0] != value:
                 keep = stack[-1:] if stack[-1][0] == value else []
                 rows.extend(("longer", None, d, None, None) for v, d in stack[: len(stack) - len(keep)])
@@ -69,11 +71,18 @@ def strict_prefix_ids(rows: DataFrame) -> DataFrame:
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = keyed.repartitionByRange(parts, "value", "_salt").sortWithinPartitions("value", "_salt").drop("_salt")
     scanned = cut_lineage(ordered.mapInArrow(_scan, _OUT))
-    heads = scanned.filter("kind = 'head'").select(F.col("part").alias("_p"), F.col("value").alias("_v"))
-    # one row per run: the next run's first value; a run of one value hands on to the run after it
-    order = Window.orderBy("_p")
-    follows = heads.select("_p", F.lead("_v").over(order).alias("_next"))
-    tails = scanned.filter("kind = 'tail'")
-    settled = tails.join(follows, F.col("part") == F.col("_p")).filter("_next <> value and startswith(_next, value)").select("digest")
+    # heads: the first two different whole values of a task's run; what follows a tail is the
+    # first head after its run, or, where that is the tail's own value, the next different one
+    heads = scanned.filter("kind = 'head'").select("part", F.col("id").alias("nth"), "value")
+    order = Window.orderBy("part", "nth")
+    runs = heads.withColumn("_new", F.when(F.col("value") == F.lag("value").over(order), 0).otherwise(1)).withColumn("_run", F.sum("_new").over(order))
+    firsts = runs.groupBy("_run").agg(F.first("value").alias("v"))
+    firsts = firsts.withColumn("after", F.lead("v").over(Window.orderBy("_run")))
+    marks = runs.join(firsts, "_run").select("part", F.lit(0).alias("k"), "nth", F.struct("v", "after").alias("h"), F.lit(None).cast("binary").alias("digest"), F.lit(None).cast("string").alias("value"))
+    tails = scanned.filter("kind = 'tail'").select("part", F.lit(1).alias("k"), F.lit(0).cast("bigint").alias("nth"), F.lit(None).cast("struct<v: string, after: string>").alias("h"), "digest", "value")
+    ahead = Window.orderBy("part", "k", "nth").rowsBetween(1, Window.unboundedFollowing)
+    both = marks.unionByName(tails).withColumn("f", F.first("h", ignorenulls=True).over(ahead)).filter("k = 1")
+    follows = F.when(F.col("f.v") == F.col("value"), F.col("f.after")).otherwise(F.col("f.v"))
+    settled = both.filter(F.startswith(follows, F.col("value"))).select("digest")
     longer = scanned.filter("kind = 'longer'").select("digest").unionByName(settled).distinct()
     return scanned.filter("kind = 'candidate'").join(longer, "digest", "left_semi").select("id").distinct()

@@ -162,7 +162,7 @@ def truncation(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sour
     """``doc_id, source, is_cut`` for every document with a text that is not blank.
 
     Null, empty and blank texts are left out; a null source is kept as null; repeated
-    rows give repeated rows. ``limit_cases``: a source is taken to cut at an exact
+    rows give repeated rows; an open ending of a row without an id counts as whole. ``limit_cases``: a source is taken to cut at an exact
     length in characters or bytes if at least so many of its texts of that length are
     plainly cut; open endings of that length then count as cut.
     """
