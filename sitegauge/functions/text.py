@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitegauge.functions.patterns import java
@@ -56,3 +56,13 @@ def half_up(x: Column, digits: int = 0) -> Column:
     """Rounding by ``floor(x + 0.5)``, as doubles."""
     scale = F.lit(float(10**digits))
     return F.floor(x * scale + F.lit(0.5)) / scale
+
+
+def each(rows: DataFrame, elements: Column, name: str, *keep: Column | str) -> DataFrame:
+    """``keep`` and one row per element that is not null.
+
+    The plain generator makes the optimizer infer a filter on the array and push it down
+    to the scan, where the whole expression is evaluated once more, before any exchange;
+    the outer generator does not.
+    """
+    return rows.select(*keep, F.explode_outer(elements).alias(name)).filter(F.col(name).isNotNull())

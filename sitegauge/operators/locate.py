@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sitegauge.functions.text import find_all
+from sitegauge.functions.text import each, find_all
 
 # Fixed values.
 PATH_STOP_WORDS = ("en", "us", "in", "www", "html", "htm", "page", "index", "static", "assets", "api", "v1", "v2")
@@ -66,7 +66,7 @@ def files_with_needles(files: DataFrame, needles: DataFrame, gram: int = 4) -> D
     """
     low = files.select("path", F.lower("content").alias("_c")).filter("_c is not null")
     grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("_c") - gram + 1, F.lit(1))), lambda k: F.substring(F.col("_c"), k, gram)))
-    keyed = low.select("path", "_c", F.explode(grams).alias("_g"))
+    keyed = each(low, grams, "_g", "path", "_c")
     wanted = needles.withColumn("_n", F.lower("needle")).filter(F.length("_n") >= gram).withColumn("_g", F.substring("_n", 1, gram))
     return keyed.join(wanted, "_g").filter(F.contains("_c", F.col("_n"))).drop("_g", "_c", "_n")
 
@@ -80,7 +80,7 @@ def rank_files(hits: DataFrame, by: list[str], most: int = 3) -> DataFrame:
 
 def import_edges(files: DataFrame) -> DataFrame:
     """``src, dst`` of local imports, resolved to an existing file: as named, with an ending, or an index."""
-    specs = files.select(F.col("path").alias("src"), F.explode(F.array_distinct(F.flatten(F.array(*[find_all(F.col("content"), p, 1) for p in IMPORTS])))).alias("spec"))
+    specs = each(files, F.array_distinct(F.flatten(F.array(*[find_all(F.col("content"), p, 1) for p in IMPORTS]))), "spec", F.col("path").alias("src"))
     local = specs.filter(F.col("spec").startswith(".") | F.col("spec").startswith("/"))
     folder = F.regexp_extract("src", "^(.*)/[^/]*$", 1)
     raw = F.when(F.col("spec").startswith("/"), F.col("spec")).otherwise(F.concat(folder, F.lit("/"), F.col("spec")))

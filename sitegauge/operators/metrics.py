@@ -69,14 +69,16 @@ def collapse(c: Column) -> Column:
     return trim_all(F.regexp_replace(c, java(r"\s+"), " "))
 
 
-def visible_text(stripped: Column, objects: bool = True) -> Column:
-    """Text without tags, references decoded. Only texts that hold numeric references or
-    what looks like object notation pass through Python."""
-    text = _named(F.regexp_replace(stripped, "<[^>]+>", " "))
-    slow = text.rlike(r"&#[0-9xX]") | text.rlike(r'\{\s*"')
-    if objects:
-        text = F.when(slow, _finish(F.when(slow, text))).otherwise(text)
-    return collapse(text)
+def with_visible_chars(rows: DataFrame, stripped: str) -> DataFrame:
+    """Adds ``visible_chars``: units of text without tags, references decoded.
+
+    Only texts that hold numeric references or what looks like object notation pass
+    through Python. Each step is a column, so that no step is evaluated twice.
+    """
+    rows = rows.withColumn("_text", _named(F.regexp_replace(stripped, "<[^>]+>", " ")))
+    rows = rows.withColumn("_slow", F.when(F.col("_text").rlike(r"&#[0-9xX]|\{\s*\""), F.col("_text")))
+    rows = rows.withColumn("_done", _finish("_slow"))
+    return rows.withColumn("visible_chars", units(collapse(F.coalesce("_done", "_text")))).drop("_text", "_slow", "_done")
 
 
 def ratio(markup: Column, visible: Column) -> Column:
@@ -86,13 +88,8 @@ def ratio(markup: Column, visible: Column) -> Column:
 def text_metrics(pages: DataFrame) -> DataFrame:
     """``page_id, html_bytes, markup_bytes, visible_chars, html_to_text_ratio``; no rows for null html."""
     base = pages.filter("html is not null").select("page_id", "html", blank(F.col("html"), UNSEEN).alias("stripped"))
-    sized = base.select(
-        "page_id",
-        F.octet_length("html").alias("html_bytes"),
-        F.octet_length(blank(F.col("stripped"), STYLING)).alias("markup_bytes"),
-        units(visible_text(F.col("stripped"))).alias("visible_chars"),
-    )
-    return sized.withColumn("html_to_text_ratio", ratio(F.col("markup_bytes"), F.col("visible_chars")))
+    sized = base.select("page_id", "stripped", F.octet_length("html").alias("html_bytes"), F.octet_length(blank(F.col("stripped"), STYLING)).alias("markup_bytes"))
+    return with_visible_chars(sized, "stripped").drop("stripped").withColumn("html_to_text_ratio", ratio(F.col("markup_bytes"), F.col("visible_chars")))
 
 
 def sheet_pattern(domain: str) -> str:
@@ -109,9 +106,9 @@ def css_metrics(pages: DataFrame, domain: str) -> DataFrame:
         F.aggregate(F.transform(styles, units), F.lit(0), lambda a, b: a + b).alias("css_chars"),
         count(F.col("html"), sheet_pattern(domain)).alias("css_ext_count"),
         F.size(styles).alias("css_inline_count"),
-        units(visible_text(blank(F.col("html"), UNSEEN))).alias("visible_chars"),
+        blank(F.col("html"), UNSEEN).alias("stripped"),
     )
-    return css.select("page_id", "css_chars", "css_ext_count", "css_inline_count", ratio(F.col("css_chars"), F.col("visible_chars")).alias("css_to_text_ratio"))
+    return with_visible_chars(css, "stripped").select("page_id", "css_chars", "css_ext_count", "css_inline_count", ratio(F.col("css_chars"), F.col("visible_chars")).alias("css_to_text_ratio"))
 
 
 def size_advice(pages: DataFrame, domain: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sitegauge.functions.patterns import java
-from sitegauge.functions.text import count, find_all, half_up, has, units
+from sitegauge.functions.text import count, each, find_all, half_up, has, units
 
 # Fixed values.
 JS_PACKAGE_FILE = r"\b(vendors?[-~.]|chunk[-.]?vendor|react(?:-dom)?|jquery|lodash|underscore|polyfill|core[-.]?js|regenerator|runtime[-.]|framework[-.]|angular|vue\b|bootstrap|webpack[-.]runtime|three\b|d3\b)\b"
@@ -136,11 +136,11 @@ def _shares(rows: DataFrame) -> DataFrame:
 def unused_styles(coverage: DataFrame, scripts: DataFrame) -> DataFrame:
     """As ``unused_scripts`` for style sheets, with credit for rules that coverage misses and
     for classes that the page's scripts (``page_id, content``) set or mention."""
-    called = scripts.select("page_id", F.explode(dynamic_classes(F.col("content"))).alias("c"), F.lit(True).alias("strong"))
-    named = scripts.select("page_id", F.explode(F.array_distinct(find_all(F.col("content"), QUOTED_NAME, 1))).alias("c"), F.lit(False).alias("strong"))
+    called = each(scripts, dynamic_classes(F.col("content")), "c", "page_id", F.lit(True).alias("strong"))
+    named = each(scripts, F.array_distinct(find_all(F.col("content"), QUOTED_NAME, 1)), "c", "page_id", F.lit(False).alias("strong"))
     known = called.unionByName(named).groupBy("page_id", "c").agg(F.max("strong").alias("strong"))
     sheets = coverage.filter(F.length("text") > 0).select("page_id", "url", units(F.col("text")).alias("total_chars"), covered(F.transform("ranges", lambda r: F.struct(r["start"].alias("start"), r["end"].alias("end")))).alias("used"), _at_rules("text").alias("ruled"), css_classes(F.col("text")).alias("names"))
-    hits = sheets.select("page_id", "url", F.explode("names").alias("c")).join(known, ["page_id", "c"]).groupBy("page_id", "url").agg(F.count_if("strong").alias("n_set"), F.count_if(~F.col("strong")).alias("n_named"))
+    hits = each(sheets, F.col("names"), "c", "page_id", "url").join(known, ["page_id", "c"]).groupBy("page_id", "url").agg(F.count_if("strong").alias("n_set"), F.count_if(~F.col("strong")).alias("n_named"))
     joined = sheets.join(hits, ["page_id", "url"], "left").fillna(0, ["n_set", "n_named"])
     rest = F.greatest(F.lit(0), F.col("total_chars") - F.col("used") - F.col("ruled"))
     names = F.greatest(F.size("names"), F.lit(1))
@@ -155,6 +155,6 @@ def referenced_files(pages: DataFrame, domain: str) -> DataFrame:
     src = rf"<script\b[^>]*\bsrc\s*=\s*[\"']([^\"']*{d}[^\"']*)[\"']"
     href = rf"<link\b(?=[^>]*\brel\s*=\s*[\"']stylesheet[\"'])[^>]*\bhref\s*=\s*[\"']([^\"']*{d}[^\"']*)[\"']"
     html = F.col("html")
-    js = pages.select("page_id", F.lit("js").alias("kind"), F.explode(F.array_distinct(find_all(html, src, 1))).alias("url"))
-    css = pages.select("page_id", F.lit("css").alias("kind"), F.explode(F.array_distinct(find_all(html, href, 1))).alias("url"))
+    js = each(pages, F.array_distinct(find_all(html, src, 1)), "url", "page_id", F.lit("js").alias("kind"))
+    css = each(pages, F.array_distinct(find_all(html, href, 1)), "url", "page_id", F.lit("css").alias("kind"))
     return js.unionByName(css)

@@ -11,7 +11,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sitegauge.functions.text import INERT, blank, count, find_all, first, has, shorten, trim_all, units
+from sitegauge.functions.text import INERT, blank, count, each, find_all, first, has, shorten, trim_all, units
 
 ERROR, WARNING, INFO = "error", "warning", "info"
 CRITERIA = ("llm_friendly", "w3c", "seo", "semantic", "accessibility")
@@ -109,6 +109,8 @@ def with_facts(pages: DataFrame) -> DataFrame:
             "images": F.filter(find_all(html, P["img"]), lambda t: ~has(t, P["alt"])),
             "tables": F.slice(find_all(html, P["table"]), 1, 5),
             "labels": find_all(html, P["label_for"], 1),
+            "levels": F.transform(find_all(html, P["heading"], 1), lambda x: x.cast("int")),
+            "ids": F.array_sort(F.transform(find_all(html, P["id"], 1), F.lower)),
             "body_tag": F.coalesce(F.nullif(first(html, r"(?-i)<body\b[^>]*>"), F.lit("")), F.lit("<body>")),
         }
     )
@@ -167,11 +169,9 @@ def rules() -> list[Rule]:
     def add(rule_id: str, criterion: str, severity: str, says: str, snippets: Column) -> None:
         out.append(Rule(rule_id, criterion, severity, says, snippets))
 
-    levels = find_all(html, P["heading"], 1)
-    jumps = F.filter(
-        F.transform(F.sequence(F.lit(1), F.greatest(F.size(levels) - 1, F.lit(1))), lambda k: F.struct(F.get(levels, k - 1).cast("int").alias("a"), F.get(levels, k).cast("int").alias("b"))),
-        lambda s: s["b"] > s["a"] + 1,
-    )
+    # columns, not expressions: what a lambda holds is evaluated anew for every element
+    levels, ids = F.col("levels"), F.col("ids")
+    jumps = F.filter(F.transform(levels, lambda a, k: F.struct(a.alias("a"), F.get(levels, k + 1).alias("b"))), lambda s: s["b"] > s["a"] + 1)
     layout = F.filter(tables, lambda t: has(t, open_tag("td")) & ~has(t, open_tag("th")) & ~has(t, open_tag("thead")))
     area = "llm_friendly"
     add("L01", area, ERROR, "no first-rank heading", _if(n["h1"] == 0, body))
@@ -191,8 +191,7 @@ def rules() -> list[Rule]:
 
     area = "w3c"
     violations = F.transform(F.col("violations"), lambda v: v["span"])
-    ids = F.transform(find_all(html, P["id"], 1), F.lower)
-    repeated = F.filter(F.array_distinct(ids), lambda i: F.size(F.filter(ids, lambda j: i == j)) > 1)
+    repeated = F.array_distinct(F.filter(ids, lambda i, k: i == F.get(ids, k + 1)))
     add("W01", area, ERROR, "element not allowed as direct child", violations)
     add("W02", area, ERROR, "identifier used twice", F.transform(repeated, lambda i: F.concat(F.lit('id="'), i, F.lit('"'))))
     old = [first(html, rf"<{t}\b[^>]*>") for t in DEPRECATED]
@@ -277,23 +276,28 @@ def rules() -> list[Rule]:
     return out
 
 
+def _fired(pages: DataFrame, criterion: str | None = None) -> DataFrame:
+    """``page_id, fired``: the rules that fire on each page with html, as an array."""
+    facts = with_facts(pages.select("page_id", "html"))
+    wanted = [r for r in rules() if criterion in (None, r.criterion)]
+    if criterion in (None, "w3c", "semantic"):
+        facts = facts.withColumn("violations", child_violations(F.col("html")))
+    every = F.array(*[F.struct(F.lit(r.criterion).alias("criterion"), F.lit(r.rule_id).alias("rule_id"), F.lit(r.severity).alias("severity"), F.lit(r.says).alias("issue"), r.snippets.alias("snippets")) for r in wanted])
+    return facts.select("page_id", F.filter(every, lambda f: F.size(f["snippets"]) > 0).alias("fired"))
+
+
 def findings(pages: DataFrame, criterion: str | None = None) -> DataFrame:
     """``page_id, criterion, rule_id, severity, n, snippets`` for every rule that fires on a page.
 
     Narrow: one scan, no shuffle. A page without html has no findings.
     """
-    facts = with_facts(pages.select("page_id", "html"))
-    wanted = [r for r in rules() if criterion in (None, r.criterion)]
-    if criterion in (None, "w3c", "semantic"):
-        facts = facts.withColumn("violations", child_violations(F.col("html")))
-    fired = F.filter(F.array(*[F.struct(F.lit(r.criterion).alias("criterion"), F.lit(r.rule_id).alias("rule_id"), F.lit(r.severity).alias("severity"), F.lit(r.says).alias("issue"), r.snippets.alias("snippets")) for r in wanted]), lambda f: F.size(f["snippets"]) > 0)
-    rows = facts.select("page_id", F.explode(fired).alias("f")).select("page_id", "f.*")
+    rows = each(_fired(pages, criterion), F.col("fired"), "f", "page_id").select("page_id", "f.*")
     return rows.withColumn("n", F.size("snippets"))
 
 
 def issues(pages: DataFrame) -> DataFrame:
     """``page_id, criterion, rule_id, ord, severity, issue, html_snippet``: one row per issue."""
-    rows = findings(pages).select("page_id", "criterion", "rule_id", "severity", "issue", F.posexplode("snippets").alias("ord", "html_snippet"))
+    rows = findings(pages).select("page_id", "criterion", "rule_id", "severity", "issue", F.posexplode_outer("snippets").alias("ord", "html_snippet"))
     return rows.select("page_id", "criterion", "rule_id", "ord", "severity", "issue", "html_snippet")
 
 
@@ -301,12 +305,22 @@ def score(errors: Column, warnings: Column, infos: Column) -> Column:
     return F.greatest(F.lit(0), F.least(F.lit(92), 92 - 10 * errors - 4 * warnings - infos)).cast("int")
 
 
+def _scores(pages: DataFrame) -> DataFrame:
+    """``page_id`` and a score column per criterion, folded from the page's own rules: no shuffle."""
+    fired = _fired(pages)
+    lost = F.transform("fired", lambda f: F.struct(f["criterion"].alias("c"), f["severity"].alias("s"), F.size(f["snippets"]).alias("n")))
+    fired = fired.select("page_id", lost.alias("lost"))
+
+    def total(criterion: str, severity: str) -> Column:
+        return F.aggregate("lost", F.lit(0), lambda a, f: a + F.when((f["c"] == criterion) & (f["s"] == severity), f["n"]).otherwise(0))
+
+    return fired.select("page_id", *[score(*(total(c, s) for s in (ERROR, WARNING, INFO))).alias(c) for c in CRITERIA])
+
+
 def criterion_scores(pages: DataFrame) -> DataFrame:
     """``page_id, criterion, score`` of every page with html; 92 where nothing fires."""
-    per = findings(pages).groupBy("page_id", "criterion").agg(*[F.coalesce(F.sum(F.when(F.col("severity") == s, F.col("n"))), F.lit(0)).alias(s) for s in (ERROR, WARNING, INFO)])
-    every = pages.filter("html is not null").select("page_id", F.explode(F.array(*map(F.lit, CRITERIA))).alias("criterion"))
-    joined = every.join(per, ["page_id", "criterion"], "left").fillna(0, [ERROR, WARNING, INFO])
-    return joined.select("page_id", "criterion", score(F.col(ERROR), F.col(WARNING), F.col(INFO)).alias("score"))
+    pairs = F.array(*[F.struct(F.lit(c).alias("criterion"), F.col(c).alias("score")) for c in CRITERIA])
+    return each(_scores(pages), pairs, "p", "page_id").select("page_id", "p.*")
 
 
 def grade(value: Column) -> Column:
@@ -315,6 +329,5 @@ def grade(value: Column) -> Column:
 
 def overall_scores(pages: DataFrame) -> DataFrame:
     """``page_id``, the five criterion scores, ``overall_score`` and ``grade``."""
-    wide = criterion_scores(pages).groupBy("page_id").pivot("criterion", list(CRITERIA)).agg(F.first("score"))
     mean = F.floor(sum((F.col(c) for c in CRITERIA[1:]), F.col(CRITERIA[0])) / F.lit(5) + F.lit(0.5)).cast("int")
-    return wide.withColumn("overall_score", mean).withColumn("grade", grade(F.col("overall_score")))
+    return _scores(pages).withColumn("overall_score", mean).withColumn("grade", grade(F.col("overall_score")))

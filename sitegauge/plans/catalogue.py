@@ -152,7 +152,7 @@ def structural_facts(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH src AS ({rule_sql.varied_sql()}), {rule_sql.children_cte()} SELECT page_id, parent, child, count(*) AS n FROM violations GROUP BY ALL")
 def direct_child_violations(spark: SparkSession, d: str) -> DataFrame:
-    found = varied_pages(spark, d).select("page_id", F.explode(rules.child_violations(F.col("html"))).alias("v"))
+    found = text.each(varied_pages(spark, d), rules.child_violations(F.col("html")), "v", "page_id")
     return found.groupBy("page_id", F.col("v.parent").alias("parent"), F.col("v.child").alias("child")).agg(F.count("*").alias("n"))
 
 
@@ -160,7 +160,7 @@ def direct_child_violations(spark: SparkSession, d: str) -> DataFrame:
 WITH i AS (SELECT page_id, lower(unnest(regexp_extract_all(html, {L(rules.P['id'])}, 1))) AS id FROM ({rule_sql.varied_sql()}))
 SELECT page_id, id, count(*) AS n FROM i GROUP BY ALL HAVING count(*) > 1""")
 def duplicate_ids(spark: SparkSession, d: str) -> DataFrame:
-    ids = varied_pages(spark, d).select("page_id", F.explode(text.find_all(F.col("html"), rules.P["id"], 1)).alias("id"))
+    ids = text.each(varied_pages(spark, d), text.find_all(F.col("html"), rules.P["id"], 1), "id", "page_id")
     return ids.groupBy("page_id", F.lower("id").alias("id")).agg(F.count("*").alias("n")).filter("n > 1")
 
 
@@ -299,7 +299,7 @@ WITH c AS (SELECT page_id, url, unnest(list_filter(list_distinct(regexp_extract_
 SELECT * FROM c""")
 def css_classes(spark: SparkSession, d: str) -> DataFrame:
     css = resources.distinct_resources(page_resources(spark, d)).filter("kind = 'css'")
-    return css.select("page_id", "url", F.explode(resources.css_classes(F.col("content"))).alias("class"))
+    return text.each(css, resources.css_classes(F.col("content")), "class", "page_id", "url")
 
 
 def coverage(spark: SparkSession, d: str, kind: str) -> DataFrame:
@@ -350,14 +350,14 @@ WITH p AS (SELECT page_id, unnest(list_filter(string_split(lower(regexp_extract(
 t AS (SELECT page_id, part AS token FROM p UNION SELECT page_id, regexp_replace(part, '[-_]+', '', 'g') FROM p WHERE length(regexp_replace(part, '[-_]+', '', 'g')) > 3)
 SELECT DISTINCT page_id, token FROM t""")
 def url_path_tokens(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "pages").select("page_id", F.explode(locate.path_tokens(F.col("url"))).alias("token"))
+    return text.each(table(spark, d, "pages"), locate.path_tokens(F.col("url")), "token", "page_id")
 
 
 @query()
 def snippet_file_candidates(spark: SparkSession, d: str) -> DataFrame:
     """The findings of the accessibility criterion, each against the distinct files of all pages."""
     files = page_resources(spark, d).filter("content is not null").groupBy(F.regexp_extract("url", "([^/]*)$", 1).alias("path")).agg(F.max("content").alias("content"))
-    issues = model_issues(spark, d).filter("html_snippet is not null").select("issue_id", F.explode(locate.snippet_needles(F.col("html_snippet"))).alias("n"))
+    issues = text.each(model_issues(spark, d).filter("html_snippet is not null"), locate.snippet_needles(F.col("html_snippet")), "n", "issue_id")
     needles = issues.groupBy(F.col("n.needle").alias("needle")).agg(F.min("n.tier").alias("tier"))
     hits = locate.files_with_needles(files, needles).select("path", "needle", F.lit(0).alias("boost"))
     own = issues.select("issue_id", F.col("n.tier").alias("tier"), F.col("n.needle").alias("needle")).join(hits, "needle")
