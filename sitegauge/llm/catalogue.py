@@ -8,21 +8,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitegauge.llm import copies, encodings, leakage, packing, residue, splitting, stuffing, terms, truncation
-from sitegauge.sources import table
+from sitegauge.sources import spread, table
 
 _FIELDS = ["issue", "recommendation"]
 _SAME = {"id_col": "issue_id", "plain": ["severity", "issue"], "markup": ["html_snippet"]}
 
 
+def _pages(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    return spread(table(spark, d, "pages").select("page_id", *columns))
+
+
+def _documents(spark: SparkSession, d: str) -> DataFrame:
+    return spread(table(spark, d, "documents").select("doc_id", "source", "text"))
+
+
 def issue_records(spark: SparkSession, d: str) -> DataFrame:
     """The findings of both issue tables, unreadable payloads left out."""
     columns = ["issue_id", "severity", "issue", "html_snippet"]
     raw = copies.parse_payloads(table(spark, d, "raw_issues").select("issue_id", "payload"))
-    return table(spark, d, "model_issues").select(*columns).unionByName(raw.select(*columns))
+    return spread(table(spark, d, "model_issues").select(*columns)).unionByName(raw.select(*columns))
 
 
 def p1_scores(spark: SparkSession, d: str) -> DataFrame:
-    return stuffing.stuffed_pages(table(spark, d, "pages"))
+    return stuffing.stuffed_pages(_pages(spark, d, "html"))
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -30,7 +38,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_restored(spark: SparkSession, d: str) -> DataFrame:
-    return encodings.garbled(table(spark, d, "pages"), "page_id", "html").withColumnRenamed("id", "page_id")
+    return encodings.garbled(_pages(spark, d, "html"), "page_id", "html").withColumnRenamed("id", "page_id")
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -38,7 +46,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_residue(spark: SparkSession, d: str) -> DataFrame:
-    return residue.residue(table(spark, d, "pages"))
+    return residue.residue(_pages(spark, d, "host", "html", "fetch_error"))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -46,16 +54,16 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_clean(spark: SparkSession, d: str) -> DataFrame:
-    pages = table(spark, d, "pages")
-    return residue.clean_pages(pages, residue.residue(pages)).select("page_id", "url")
+    found = p3_residue(spark, d)
+    return residue.clean_pages(table(spark, d, "pages"), found).select("page_id", "url")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return terms.marked_terms(table(spark, d, "model_issues"), _FIELDS).filter("mark is not null").select("field_name", "term", "mark")
+    return terms.marked_terms(spread(table(spark, d, "model_issues").select(*_FIELDS)), _FIELDS).filter("mark is not null").select("field_name", "term", "mark")
 
 
 def p4_terms(spark: SparkSession, d: str) -> DataFrame:
-    return terms.marked_terms(table(spark, d, "model_issues"), _FIELDS)
+    return terms.marked_terms(spread(table(spark, d, "model_issues").select(*_FIELDS)), _FIELDS)
 
 
 def p4_values(spark: SparkSession, d: str) -> DataFrame:
@@ -63,7 +71,7 @@ def p4_values(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
-    return splitting.split_oversized(table(spark, d, "pages"), table(spark, d, "budgets"), "page_id", "html").withColumnRenamed("id", "page_id")
+    return splitting.split_oversized(_pages(spark, d, "html"), table(spark, d, "budgets"), "page_id", "html").withColumnRenamed("id", "page_id")
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -79,7 +87,7 @@ def p6_records(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_members(spark: SparkSession, d: str) -> DataFrame:
-    return packing.pack_budgets(table(spark, d, "documents"), table(spark, d, "budgets"), "doc_id", "text").withColumnRenamed("id", "doc_id")
+    return packing.pack_budgets(_documents(spark, d), table(spark, d, "budgets"), "doc_id", "text").withColumnRenamed("id", "doc_id")
 
 
 def p7_containers(spark: SparkSession, d: str) -> DataFrame:
@@ -87,7 +95,7 @@ def p7_containers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_spans(spark: SparkSession, d: str) -> DataFrame:
-    return leakage.leaked_passages(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    return leakage.leaked_passages(_documents(spark, d), table(spark, d, "eval_items"))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
@@ -99,11 +107,11 @@ def p8_items(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return truncation.truncation(table(spark, d, "documents")).filter("is_cut").select("doc_id")
+    return truncation.truncation(_documents(spark, d)).filter("is_cut").select("doc_id")
 
 
 def p9_sources(spark: SparkSession, d: str) -> DataFrame:
-    return truncation.by_source(truncation.truncation(table(spark, d, "documents")))
+    return truncation.by_source(truncation.truncation(_documents(spark, d)))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_scores, p2_found, p2_restored, p3_found, p3_residue, p3_clean, p4_found, p4_terms, p4_values, p5_found, p5_pieces, p6_found, p6_records, p7_members, p7_containers, p8_found, p8_spans, p8_items, p9_found, p9_sources)}
