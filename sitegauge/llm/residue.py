@@ -26,7 +26,7 @@ PLACEHOLDER = re.compile(
     r"\{\{[^{}\n]{1,60}\}\}|\{%[^%{}\n]{1,60}%\}|<%[=\-#]?[^%<>\n]{1,60}%>|[$#]\{[^{}\n]{1,60}\}"
     r"|\[\[[A-Za-z][\w.\- ]*[_.A-Z][\w.\-]*\]\]|%%[A-Za-z][\w.]{1,40}%%|(?<![\w%])%[A-Z][A-Z_]{2,40}%(?![\w%])"
     r"|@@[A-Za-z][\w.]{1,40}@@|(?<!\w)__[A-Z][A-Z0-9_]{1,40}__(?!\w)|(?<![\w$#{%])\{(?:[a-z][a-zA-Z]*(?:[_.][a-zA-Z]\w*)*|\d)\}(?![}\w])"
-    r"|\[(?:insert|your|enter|add|put|replace)\s[^\[\]\n]{2,60}\]|<[A-Z][A-Z_]+(?: [A-Z][A-Z_]+)+>"
+    r"|\[(?i:insert|your|enter|add|put|replace)\s[^\[\]\n]{2,60}\]|<[A-Z][A-Z_]+(?: [A-Z][A-Z_]+)+>"
 )
 FILLER = re.compile(
     r"lorem ipsum|\bplaceholder (?:copy|text|content)\b|\btext to follow\b|\b(?:headline|title|text|copy|content|description|image|name) (?:goes|comes) here\b"
@@ -64,11 +64,11 @@ STRONG = "|".join(
         r"\baccess (?:is )?denied\b|(?:request|address|visit) (?:was|has been|is) blocked|\bforbidden\b.{0,40}(?:permission|server|access)|too many requests",
         r"down for maintenance|under maintenance|(?:be|come) back soon|session (?:has )?(?:expired|ended|timed out)|confirm (?:that )?you(?: are|.re) (?:a )?human|(?:verify|prove) (?:that )?you(?: are|.re) (?:a )?(?:human|not a robot)|checking your browser",
         r"domain (?:is|has been) (?:parked|for sale)|site (?:is )?(?:under construction|coming soon)",
-        r"aktivieren sie (?:bitte )?javascript|javascript (?:ist|muss)|wegen wartung|nicht erreichbar|seite wurde .{0,12}nicht gefunden|seite nicht gefunden|zugriff verweigert",
-        r"activer javascript|page (?:est )?introuvable|accès (?:refusé|interdit)|erreur interne|en maintenance",
-        r"(?:active|activa|habilite) javascript|acceso denegado|en mantenimiento|página no (?:encontrada|existe)|no (?:se )?(?:encontró|encuentra) la página|error interno",
-        r"(?:ative|habilite) o javascript|acesso negado|em manutenção|página não (?:encontrada|existe)|erro interno",
-        r"включите javascript|страница не найдена|временно недоступ|доступ запрещ|ошибка сервера|технические работы",
+        r"aktivieren sie (?:bitte )?javascript|javascript (?:ist|muss)|wegen wartung|nicht erreichbar|seite (?:wurde |konnte |.{0,12})?.{0,12}nicht gefunden|seite existiert nicht|zugriff verweigert|interner serverfehler|zu viele anfragen|sitzung ist abgelaufen",
+        r"activer javascript|page (?:demandée )?(?:est |reste )?introuvable|page n.(?:existe pas|a pas été trouvée)|accès (?:refusé|interdit)|erreur interne|en maintenance|trop de requêtes|session a expiré|service indisponible",
+        r"(?:active|activa|habilite) javascript|acceso denegado|en mantenimiento|página no (?:encontrada|existe)|no (?:se )?(?:encontró|encuentra|encontramos|hemos encontrado) (?:la|esta|esa) página|error interno|demasiadas solicitudes|sesión ha (?:expirado|caducado)|servicio no disponible",
+        r"(?:ative|habilite) o javascript|acesso negado|em manutenção|página não (?:foi )?(?:encontrada|existe)|não encontramos (?:a|esta|essa) página|erro interno|solicitações demais|sessão expirou|serviço indisponível",
+        r"включите javascript|страница не найдена|временно недоступ|доступ запрещ|ошибка сервера|технические работы|не удалось найти страницу|слишком много запросов|сеанс ист[её]к",
     )
 )
 #: Cues that make a message a notice only where it recurs over several sources.

@@ -145,10 +145,12 @@ def test_residue(spark):
         (14, "a", body("<p>Dolor is a word, and this is an ordinary sentence about a magna carta.</p>"), None),
         (15, "a", body("<input placeholder='{{x}}'><p>Read the guide.</p>"), None),
         (16, "a", body(f"<p>{'y' * 300_000}</p>"), None),
+        (17, "a", "<html><head><title>[Insert article name here] | Shop</title></head><body><p>" + SENTENCE + "</p></body></html>", None),
+        (18, "a", body("<p>No encontramos esta página.</p>"), None),
     ]
     found = residue.residue(pages(spark, rows)).collect()
     assert len({(r["page_id"], r["field"]) for r in found}) == len(found)
-    assert {r["page_id"]: r["reason"] for r in found} == {1: "template", 3: "template", 4: "notice", 6: "notice", 7: "template", 9: "template", 10: "notice", 11: "notice"}
+    assert {r["page_id"]: r["reason"] for r in found} == {1: "template", 3: "template", 4: "notice", 6: "notice", 7: "template", 9: "template", 10: "notice", 11: "notice", 17: "template", 18: "notice"}
     assert residue.residue(empty(spark)).count() == 0
     assert residue.clean_pages(pages(spark, rows), residue.residue(pages(spark, rows))).filter("page_id in (1, 4)").count() == 0
 
