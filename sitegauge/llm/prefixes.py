@@ -4,7 +4,8 @@ In sorted order the values that begin with ``v`` directly follow ``v``. So one
 range-partitioned sort finds, for every candidate, whether a longer value that
 begins with it exists, without comparing all pairs: each task streams its sorted
 run with a stack of nested candidates. What is still open at the end of a run is
-settled against the first different whole value of the runs after it.
+settled against the first whole value of the runs after it. A candidate's key ends in
+a mark that sorts after line breaks, so values that go on with one lie before it.
 """
 
 from __future__ import annotations
@@ -28,26 +29,27 @@ def _digest(value: str) -> bytes:
     return hashlib.blake2b(value.encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
 
+#: Sorts after every line break; a candidate's key ends in it.
+_MARK = "\x0e"
+
+
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     part = TaskContext.get().partitionId()
     stack: list[tuple[str, bytes]] = []
-    previous: str | None = None
-    heads: list[str] = []
+    begun = False
     for batch in batches:
         rows: list[tuple] = []
-        for value, id_, whole in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            if value != previous:
-                while stack and not value.startswith(stack[-1][0]):
-                    stack.pop()
-                previous = value
-            if whole and len(heads) < 2 and value not in heads:
-                rows.append(("head", len(heads), None, part, value))
-                heads.append(value)
-            if whole and stack and stack[0][0] != value:
-                keep = stack[-1:] if stack[-1][0] == value else []
-                rows.extend(("longer", None, d, None, None) for v, d in stack[: len(stack) - len(keep)])
-                stack = keep
-            if id_ is not None:
+        for key, id_ in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            while stack and not key.startswith(stack[-1][0]):
+                stack.pop()
+            if id_ is None:
+                if not begun:
+                    rows.append(("head", None, None, part, key))
+                    begun = True
+                rows.extend(("longer", None, digest, None, None) for _, digest in stack)
+                stack.clear()
+            else:
+                value = key[:-1]
                 if not stack or stack[-1][0] != value:
                     stack.append((value, _digest(value)))
                 rows.append(("candidate", id_, stack[-1][1], None, None))
@@ -58,31 +60,27 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def strict_prefix_ids(rows: DataFrame) -> DataFrame:
-    """``id`` of every candidate whose value is a strict prefix of a longer whole value.
+    """``id`` of every candidate whose value a longer whole value continues on the same line.
 
     ``rows`` has ``value`` string, ``id`` (null where the row is no candidate) and
-    ``whole`` (whether the row may serve as the longer copy). Equal values never
-    count as longer. Null values are ignored, the empty value is a prefix of every
-    other. Equal values are spread over tasks by a salt in the sort key, so a value
-    that a third of all rows share does not end up in one task.
+    ``whole`` (whether the row may serve as the longer value). A value that goes on with
+    a line break, and an equal one, do not count. Null values are ignored; the empty value
+    is a prefix of every other. Equal values are spread over tasks by a salt in the sort
+    key, so a value that a third of all rows share does not end up in one task.
     """
-    keyed = rows.filter("value is not null").select("value", F.col("id").cast("bigint").alias("id"), F.col("whole").cast("boolean").alias("whole"))
-    keyed = keyed.withColumn("_salt", F.xxhash64("id", F.monotonically_increasing_id()))
+    kept = rows.filter("value is not null")
+    whole = kept.filter("whole").select(F.col("value").alias("key"), F.lit(None).cast("bigint").alias("id"))
+    asked = kept.filter("id is not null").select(F.concat("value", F.lit(_MARK)).alias("key"), F.col("id").cast("bigint").alias("id"))
+    keyed = whole.unionByName(asked).withColumn("_salt", F.xxhash64("id", F.monotonically_increasing_id()))
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = keyed.repartitionByRange(parts, "value", "_salt").sortWithinPartitions("value", "_salt").drop("_salt")
+    ordered = keyed.repartitionByRange(parts, "key", "_salt").sortWithinPartitions("key", "_salt").drop("_salt")
     scanned = cut_lineage(ordered.mapInArrow(_scan, _OUT))
-    # heads: the first two different whole values of a task's run; what follows a tail is the
-    # first head after its run, or, where that is the tail's own value, the next different one
-    heads = scanned.filter("kind = 'head'").select("part", F.col("id").alias("nth"), "value")
-    order = Window.orderBy("part", "nth")
-    runs = heads.withColumn("_new", F.when(F.col("value") == F.lag("value").over(order), 0).otherwise(1)).withColumn("_run", F.sum("_new").over(order))
-    firsts = runs.groupBy("_run").agg(F.first("value").alias("v"))
-    firsts = firsts.withColumn("after", F.lead("v").over(Window.orderBy("_run")))
-    marks = runs.join(firsts, "_run").select("part", F.lit(0).alias("k"), "nth", F.struct("v", "after").alias("h"), F.lit(None).cast("binary").alias("digest"), F.lit(None).cast("string").alias("value"))
-    tails = scanned.filter("kind = 'tail'").select("part", F.lit(1).alias("k"), F.lit(0).cast("bigint").alias("nth"), F.lit(None).cast("struct<v: string, after: string>").alias("h"), "digest", "value")
-    ahead = Window.orderBy("part", "k", "nth").rowsBetween(1, Window.unboundedFollowing)
-    both = marks.unionByName(tails).withColumn("f", F.first("h", ignorenulls=True).over(ahead)).filter("k = 1")
-    follows = F.when(F.col("f.v") == F.col("value"), F.col("f.after")).otherwise(F.col("f.v"))
-    settled = both.filter(F.startswith(follows, F.col("value"))).select("digest")
+    # a tail is a candidate still open at the end of a task's run; what decides is the first
+    # whole value of a later run, one row per run
+    heads = scanned.filter("kind = 'head'").select("part", F.lit(0).alias("k"), F.col("value").alias("h"), F.lit(None).cast("binary").alias("digest"), F.lit(None).cast("string").alias("value"))
+    tails = scanned.filter("kind = 'tail'").select("part", F.lit(1).alias("k"), F.lit(None).cast("string").alias("h"), "digest", "value")
+    ahead = Window.orderBy("part", "k").rowsBetween(1, Window.unboundedFollowing)
+    both = heads.unionByName(tails).withColumn("next", F.first("h", ignorenulls=True).over(ahead))
+    settled = both.filter("k = 1 and startswith(next, value)").select("digest")
     longer = scanned.filter("kind = 'longer'").select("digest").unionByName(settled).distinct()
     return scanned.filter("kind = 'candidate'").join(longer, "digest", "left_semi").select("id").distinct()

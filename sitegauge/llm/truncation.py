@@ -2,7 +2,7 @@
 
 The way a text ends decides most cases. Endings that could be whole or cut (list
 items, tag lines, links, table rows, signatures) are settled by the self-join by
-prefix: against longer copies of the whole text, against whole lines of the same
+prefix: against longer copies that go on in the same line, against whole lines of the same
 kind elsewhere, and against the exact lengths at which their source is seen to cut.
 """
 
@@ -38,7 +38,7 @@ _DASH = re.compile(r"(?:–|—|--)\s*(?=\S)")
 _LINK = re.compile(r"(?:https?://|www\.)\S+$")
 _LINK_PARTS = re.compile(r"https?://[\w-]+(?:\.[\w-]+)+(?:/[^\s/]+)*")
 _HEADING = re.compile(r"#{1,6}\s+\S")
-_SHAPE = re.compile(r"[^\W\d_]+")
+_BLANKS = re.compile(r"[ \t\r]+(?=\n)")
 
 _SCHEMA = "part string, doc_id bigint, source string, status int, kind string, line string, chars bigint, bytes bigint"
 _NAMES = ["part", "doc_id", "source", "status", "kind", "line", "chars", "bytes"]
@@ -148,12 +148,14 @@ def _classify(batches: Iterator[pa.RecordBatch], flush_at: int = 200_000) -> Ite
 
 
 def _whole_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``value, id, whole``: every text, as a candidate too where its ending is open."""
+    """``value, id, whole``: every text, as a candidate too where its ending is open.
+
+    Blanks before line breaks and at the end are dropped."""
     for batch in batches:
         values, ids = [], []
         for doc, text in zip(*(batch.column(i).to_pylist() for i in range(2))):
             if text and (body := text.rstrip()):
-                values.append(body)
+                values.append(_BLANKS.sub("", body))
                 ids.append(doc if ending(body)[0] == OPEN else None)
         yield pa.record_batch([pa.array(values, pa.string()), pa.array(ids, pa.int64()), pa.array([True] * len(ids), pa.bool_())], names=["value", "id", "whole"])
 

@@ -229,10 +229,10 @@ def test_leaks(spark):
 
 def test_prefixes_against_brute_force(spark):
     random.seed(6)
-    values = [None, "", *("".join(random.choices("ab", k=random.randrange(1, 9))) for _ in range(300)), *["hot"] * 200, "hotter"]
+    values = [None, "", *("".join(random.choices("ab", k=random.randrange(1, 9))) for _ in range(300)), *["hot"] * 200, "hotter", *["line", "line\nmore", "word"] * 3, "word\n", "words"]
     rows = [(v, i if i % 3 else None, i % 4 != 1) for i, v in enumerate(values)]
     whole = {v for v, _, w in rows if v is not None and w}
-    expected = {i for v, i, _ in rows if v is not None and i is not None and any(x != v and x.startswith(v) for x in whole)}
+    expected = {i for v, i, _ in rows if v is not None and i is not None and any(x != v and x.startswith(v) and x[len(v)] != "\n" for x in whole)}
     df = spark.createDataFrame(rows, "value string, id bigint, whole boolean")
     for parts in ("1", "4", "40"):
         spark.conf.set("spark.sql.shuffle.partitions", parts)
@@ -274,6 +274,7 @@ def test_truncation_table(spark):
         (1, "s", "Whole sentence."), (2, "s", "Cut senten"), (3, None, None), (4, "s", ""), (5, "s", " \n "), (6, "s", base + " after its action\n- last item"),
         (7, "s", base), (8, "s", "Text.\n- let the table ha"), (9, "s", "Text.\n- let the table have a header row"), (10, None, "A long one. " * 30_000), (2, "s", "Cut senten"),
         (11, "s", "Text.\nSee https://a.example/x"), (12, "s", "Text.\nSee https://a.example/xyz and more.\nEnd."),
+        (13, "s", "Other text.\nTags: one, two"), (14, "s", "Other text.\nTags: one, two  \nSigned: me"),
     ] + [(100 + k, "limited", "y" * 39 + "k") for k in range(4)] + [(200, "limited", "Words here.\n- an item of its own w itself"[:40]), (201, "free", "Words here.\n- an item of its own w itself"[:40])]
     df = spark.createDataFrame([(i, t, s, 1, True) for i, s, t in docs], "doc_id bigint, text string, source string, status int, is_cut boolean")
     rows = truncation.truncation(df)
