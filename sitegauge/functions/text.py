@@ -58,6 +58,12 @@ def half_up(x: Column, digits: int = 0) -> Column:
     return F.floor(x * scale + F.lit(0.5)) / scale
 
 
+def meta_content(head: Column, name: str) -> Column:
+    """Content of the named meta element: null without the element, empty without the attribute."""
+    tag = first(head, rf"<meta\b[^>]*\bname\s*=\s*[\"']{name}[\"'][^>]*>")
+    return F.when(tag != "", first(tag, r"\bcontent\s*=\s*[\"']([^\"']*)[\"']", 1))
+
+
 def each(rows: DataFrame, elements: Column, name: str, *keep: Column | str) -> DataFrame:
     """``keep`` and one row per element that is not null.
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sitegauge.functions.patterns import java
-from sitegauge.functions.text import INERT, blank, count, find_all, first, half_up, has
+from sitegauge.functions.text import INERT, blank, count, each, find_all, first, half_up, has
 from sitegauge.operators.rules import ALLOWED_CHILDREN, P, open_tag, parent_span
 
 # What is out of scope, and the words that claim something missing or doubled.
@@ -218,3 +218,25 @@ def merged_scores(findings: DataFrame) -> DataFrame:
     mean = half_up(F.col("_mean")).cast("int")
     score = F.when((F.col("n_dropped") > 0) & (F.col("n_kept") == 0), F.least(F.lit(100), mean + REFUND * F.col("n_dropped"))).otherwise(mean)
     return merged.select("page_id", "criterion", "n_kept", "n_dropped", score.cast("int").alias("score"))
+
+
+def final_scores(merged: DataFrame, pages: DataFrame, violations: DataFrame) -> DataFrame:
+    """``page_id, criterion, score`` for every page with html and every criterion.
+
+    Two points go for each forbidden child element (rows of ``page_id``) from the semantic
+    score, down to 0; a criterion that no evaluator scored has 0.
+    """
+    every = each(pages.filter("html is not null"), F.array(*map(F.lit, CAPS)), "criterion", "page_id")
+    counted = violations.groupBy("page_id").agg(F.count("*").alias("_v"))
+    joined = every.join(merged.select("page_id", "criterion", "score"), ["page_id", "criterion"], "left").join(counted, "page_id", "left")
+    lost = F.when(F.col("criterion") == "semantic", 2 * F.coalesce("_v", F.lit(0))).otherwise(0)
+    return joined.select("page_id", "criterion", F.greatest(F.lit(0), F.coalesce("score", F.lit(0)) - lost).cast("int").alias("score"))
+
+
+def fix_queue(findings: DataFrame, most: int = 20, shortest: int = 6) -> DataFrame:
+    """``page_id, issue_id, rank``: the findings of a page to look at first, by criterion and
+    place, those with too short a snippet left out."""
+    place = F.array_position(F.array(*map(F.lit, ("llm_friendly", "w3c", "seo", "semantic", "accessibility"))), F.col("criterion"))
+    kept = findings.filter(F.length(F.regexp_replace("html_snippet", java(r"^\s+|\s+$"), "")) >= shortest)
+    order = Window.partitionBy("page_id").orderBy(place, "chunk", "ord", "issue_id")
+    return kept.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most).select("page_id", "issue_id", "rank")

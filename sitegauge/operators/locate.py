@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import re
-
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sitegauge.functions.text import each, find_all
 
@@ -112,3 +112,37 @@ def merge_ranges(rows: DataFrame, key: str, gap: int = 8) -> DataFrame:
     fresh = F.when(before.isNull() | (F.col("begin") > before + gap), 1).otherwise(0)
     runs = rows.withColumn("_new", fresh).withColumn("_run", F.sum("_new").over(order))
     return runs.groupBy(key, "_run").agg(F.min("begin").alias("begin"), F.max("end").alias("end")).drop("_run")
+
+
+def is_skipped(path: Column, skips: list[str]) -> Column:
+    """Whether a path is one of the skipped names, ends in one, or lies at one; case aside."""
+    low = F.lower(path)
+    out = F.lit(False)
+    for s in skips:
+        if s:
+            out = out | (low == s.lower()) | low.endswith("/" + s.lower())
+    return out
+
+
+def excerpt(content: str, needles: list[str], before: int = 180, after: int = 380, budget: int = 4000) -> str:
+    """The surroundings of every needle, those that touch joined, up to a budget of characters."""
+    low, spans = content.lower(), []
+    for n in needles:
+        at = low.find(n.lower()) if n else -1
+        while at >= 0:
+            spans.append((max(0, at - before), min(len(content), at + after)))
+            at = low.find(n.lower(), at + 1)
+    out, end, room = [], -1, budget
+    for a, b in sorted(spans):
+        a = max(a, end)
+        if b > a and room > 0:
+            piece = content[a : min(b, a + room)]
+            out.append(piece if a == end else ("\n…\n" if out else "") + piece)
+            room -= len(piece)
+            end = b
+    return "".join(out)
+
+
+@F.pandas_udf(T.StringType())
+def excerpts(content: pd.Series, needles: pd.Series) -> pd.Series:
+    return pd.Series([None if c is None else excerpt(c, list(n) if n is not None else []) for c, n in zip(content, needles)])

@@ -25,6 +25,10 @@ def ratio_band(ratio: Column) -> Column:
     return F.when(ratio > 30, "very_high").when(ratio > 15, "high").when(ratio > 5, "fair").otherwise("good")
 
 
+def segment_band(ratio: Column) -> Column:
+    return F.when(ratio > 30, "very_high").when(ratio > 15, "high").otherwise("fair")
+
+
 def unused_band(pct: Column) -> Column:
     return F.when(pct >= 90, "severe").when(pct >= 70, "high").otherwise("moderate")
 
@@ -77,3 +81,13 @@ def site_rollup(scores: DataFrame, pages: DataFrame) -> DataFrame:
     """``host, criterion, n_pages, mean_score``, with host totals and a grand total as nulls."""
     joined = scores.join(pages.select("page_id", "host"), "page_id")
     return joined.rollup("host", "criterion").agg(F.count("*").alias("n_pages"), half_up(F.avg("score"), 2).alias("mean_score"))
+
+
+def enriched_metrics(metrics: DataFrame, totals: DataFrame) -> DataFrame:
+    """Text metrics with what the page's scripts and style sheets weigh against its text; pages
+    without captured resources keep zeros."""
+    wide = totals.groupBy("page_id").pivot("kind", ["js", "css"]).agg(F.first("chars").alias("chars"), F.first("app_chars").alias("app_chars"), F.first("n_files").alias("n_files"))
+    names = [c for c in wide.columns if c != "page_id"]
+    joined = metrics.join(wide, "page_id", "left").fillna(0, names)
+    text = F.greatest(F.col("visible_chars"), F.lit(1))
+    return joined.withColumns({"js_to_text": half_up(F.col("js_chars") / text, 2), "js_app_to_text": half_up(F.col("js_app_chars") / text, 2), "css_to_text": half_up(F.col("css_chars") / text, 2)})

@@ -263,6 +263,35 @@ def merged_scores(spark: SparkSession, d: str) -> DataFrame:
     return evaluations.merged_scores(judged(spark, d))
 
 
+_MERGED_SCORES = SQL["merged_scores"]
+
+
+@query(f"""
+WITH src AS (SELECT page_id, html FROM pages WHERE html IS NOT NULL), {rule_sql.children_cte()}, v AS (SELECT page_id, count(*) AS n FROM violations GROUP BY 1),
+m AS ({_MERGED_SCORES}), e AS (SELECT page_id, unnest({rule_sql._list(tuple(evaluations.CAPS))}) AS criterion FROM src)
+SELECT e.page_id, e.criterion, CAST(greatest(0, coalesce(m.score, 0) - CASE WHEN e.criterion = 'semantic' THEN 2 * coalesce(v.n, 0) ELSE 0 END) AS INTEGER) AS score
+FROM e LEFT JOIN m ON m.page_id = e.page_id AND m.criterion = e.criterion LEFT JOIN v ON v.page_id = e.page_id""")
+def final_scores(spark: SparkSession, d: str) -> DataFrame:
+    p = pages(spark, d)
+    violations = text.each(p, rules.child_violations(F.col("html")), "v", "page_id")
+    return evaluations.final_scores(evaluations.merged_scores(judged(spark, d)), p, violations)
+
+
+@query(f"""
+WITH k AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY list_position(['llm_friendly', 'w3c', 'seo', 'semantic', 'accessibility'], criterion), chunk, ord, issue_id) AS rank
+  FROM ({_ISSUES}) WHERE length(regexp_replace(html_snippet, {L('^' + chr(92) + 's+|' + chr(92) + 's+$')}, '', 'g')) >= 6)
+SELECT page_id, issue_id, CAST(rank AS INTEGER) AS rank FROM k WHERE rank <= 20""")
+def fix_queue(spark: SparkSession, d: str) -> DataFrame:
+    return evaluations.fix_queue(model_issues(spark, d))
+
+
+@query(f"SELECT page_id, CAST(strlen(html) AS INTEGER) AS html_bytes, CAST(len(regexp_extract_all(s, {L(rules.open_tag('h1'))})) AS INTEGER) AS h1_count, CAST(len(regexp_extract_all(s, {L(rules.open_tag('main'))})) AS INTEGER) AS main_count, regexp_matches(html, {L('<div' + chr(92) + 'b[^>]*' + evaluations.ROOT)}) AS has_root FROM ({_FACTS})")
+def evaluator_facts(spark: SparkSession, d: str) -> DataFrame:
+    p = pages(spark, d)
+    facts = evaluations.page_facts(p.withColumn("html", F.coalesce("html", F.lit(""))))
+    return facts.join(p.select("page_id", F.octet_length(F.coalesce("html", F.lit(""))).alias("html_bytes")), "page_id").select("page_id", "html_bytes", "h1_count", "main_count", "has_root")
+
+
 _T = L("^" + chr(92) + "s+|" + chr(92) + "s+$")
 
 
@@ -330,6 +359,15 @@ def referenced_files(spark: SparkSession, d: str) -> DataFrame:
     return resources.referenced_files(pages(spark, d), "")
 
 
+@query(f"""
+WITH t AS ({SQL["resource_totals"]}), m AS ({_TEXT_METRICS}),
+w AS (SELECT m.*, coalesce(j.chars, 0) AS jc, coalesce(j.app_chars, 0) AS ja, coalesce(c.chars, 0) AS cc FROM m LEFT JOIN t j ON j.page_id = m.page_id AND j.kind = 'js' LEFT JOIN t c ON c.page_id = m.page_id AND c.kind = 'css')
+SELECT page_id, floor(jc / greatest(visible_chars, 1) * 100 + 0.5) / 100 AS js_to_text, floor(ja / greatest(visible_chars, 1) * 100 + 0.5) / 100 AS js_app_to_text, floor(cc / greatest(visible_chars, 1) * 100 + 0.5) / 100 AS css_to_text FROM w""")
+def resource_ratios(spark: SparkSession, d: str) -> DataFrame:
+    full = views.enriched_metrics(metrics.text_metrics(pages(spark, d)), resources.resource_totals(page_resources(spark, d)))
+    return full.select("page_id", "js_to_text", "js_app_to_text", "css_to_text")
+
+
 # --- locating sources -----------------------------------------------------------------------
 
 _TARGETS = [("^https?://(?:m|media)[.]", "mobile"), ("/(?:product|item)", "product"), ("^https?://dir[.]", "directory")]

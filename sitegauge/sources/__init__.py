@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -19,3 +20,29 @@ def spread(df: DataFrame) -> DataFrame:
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """The Parquet table ``name`` of a dataset folder."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+#: What a source tree is searched for (fixed values).
+SOURCE_ENDINGS = ("js", "jsx", "ts", "tsx", "vue", "html", "htm", "mdx", "css")
+SKIPPED_FOLDERS = ("node_modules", ".git", "dist", "build", ".next", "coverage", "out")
+
+
+def source_files(spark: SparkSession, folder: str) -> DataFrame:
+    """``path`` (below the folder) and ``content`` of the source files of a tree."""
+    files = spark.read.text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.{" + ",".join(SOURCE_ENDINGS) + "}")
+    path = F.regexp_replace(F.col("_metadata.file_path"), "^.*?" + folder.rstrip("/").replace(".", r"\.") + "/", "")
+    rows = files.select(path.alias("path"), F.col("value").alias("content"))
+    return rows.filter(~F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, SKIPPED_FOLDERS))))
+
+
+def feedback_json(spark: SparkSession, path: str) -> DataFrame:
+    """``id, message, created_at`` of a JSON array; rows that are no notes are dropped, a file
+    that is none gives no rows."""
+    rows = spark.read.schema("id string, message string, createdAt string").json(path, multiLine=True, mode="DROPMALFORMED")
+    return rows.filter("id is not null and message is not null").select("id", "message", F.col("createdAt").alias("created_at"))
+
+
+def url_lists(spark: SparkSession, path: str) -> DataFrame:
+    """``file, n, line`` of text files that hold addresses separated by commas."""
+    rows = spark.read.text(path).select(F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("n"), F.regexp_replace("value", "\r$", "").alias("line"))
+    return rows

@@ -3,7 +3,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from sitegauge import streaming
+from sitegauge import sources, streaming
+from sitegauge.functions import text
 from sitegauge.operators import evaluations as ev
 from sitegauge.operators import fragments as fr
 from sitegauge.operators import locate, metrics, resources, views
@@ -195,3 +196,39 @@ def test_stream(spark, tmp_path):
         streaming.audit_stream(streaming.page_stream(spark, source, schema), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     rows = spark.read.parquet(str(tmp_path / "out")).collect()
     assert {r["page_id"] for r in rows} == {1} and len({r["rule_id"] for r in rows}) == len(rows)
+
+
+def test_sources(spark, tmp_path):
+    (tmp_path / "tree/src/sub").mkdir(parents=True)
+    (tmp_path / "tree/node_modules").mkdir()
+    for name in ("src/a.js", "src/sub/b.vue", "src/c.txt", "node_modules/d.js"):
+        (tmp_path / "tree" / name).write_text(f"content of\n{name}")
+    got = {r["path"]: r["content"] for r in sources.source_files(spark, str(tmp_path / "tree")).collect()}
+    assert got == {n: f"content of\n{n}" for n in ("src/a.js", "src/sub/b.vue")}
+    (tmp_path / "notes.json").write_text('[{"id": "a", "message": "m", "createdAt": "2025"}, {"id": 3}, {"message": "x"}]')
+    assert [r["id"] for r in sources.feedback_json(spark, str(tmp_path / "notes.json")).collect()] == ["a"]
+    (tmp_path / "bad.json").write_text("not json")
+    assert sources.feedback_json(spark, str(tmp_path / "bad.json")).count() == 0
+    (tmp_path / "list.csv").write_text("https://a.example/1,x\r\n\"https://b.example\"\r\n")
+    lines = sources.url_lists(spark, str(tmp_path / "list.csv"))
+    assert [r["url"] for r in views.urls_of_lines(lines, "line", ["file", "n"]).orderBy("file", "n").collect()] == ["https://a.example/1", "https://b.example"]
+
+
+def test_small_helpers(spark):
+    head = '<meta name="robots" content="index"><meta name="author">'
+    row = spark.createDataFrame([(head,)], "h string").select(*[text.meta_content(F.col("h"), n).alias(n) for n in ("robots", "author", "none")]).first()
+    assert tuple(row) == ("index", "", None)
+    paths = spark.createDataFrame([("src/App.js",), ("lib/x.js",), ("app.js.map",)], "p string")
+    assert [r[0] for r in paths.select(locate.is_skipped(F.col("p"), ["app.js", ""])).collect()] == [True, False, False]
+    assert locate.excerpt("abcdefghij" * 20, ["c"], 1, 2, 9) == "bcd\n…\nbcd\n…\nbcd"
+    assert locate.excerpt("abc", ["x"]) == ""
+    both = spark.createDataFrame([("hello world", ["WORLD"]), (None, None)], "c string, n array<string>")
+    assert [r[0] for r in both.select(locate.excerpts("c", "n")).collect()] == ["hello world", None]
+
+
+def test_final_scores(spark):
+    pages = spark.createDataFrame([(1, "<p>"), (2, "<p>"), (3, None)], "page_id bigint, html string")
+    merged = spark.createDataFrame([(1, "semantic", 3), (1, "seo", 70), (2, "semantic", 90)], "page_id bigint, criterion string, score int")
+    bad = spark.createDataFrame([(1,), (1,), (2,)], "page_id bigint")
+    got = {(r["page_id"], r["criterion"]): r["score"] for r in ev.final_scores(merged, pages, bad).collect()}
+    assert len(got) == 10 and (got[1, "semantic"], got[2, "semantic"], got[1, "seo"], got[2, "seo"]) == (0, 88, 70, 0)
