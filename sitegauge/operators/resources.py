@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sitegauge.functions.patterns import java
 from sitegauge.functions.text import count, each, find_all, half_up, has, units
 
 # Fixed values.
