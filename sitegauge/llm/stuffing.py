@@ -117,6 +117,9 @@ def _scan(batches: Iterator[pa.RecordBatch], share: float, least: int, flush_at:
                 if total + tags >= least:
                     rows.append(("page", page, None, None, None, list_size / size, total, 1 - len(own) / max(total, 1), tags, sentences))
                     rows.extend(("own", page, a, b, n, None, None, None, None, None) for (a, b), n in own.items())
+                    if len(rows) > 100_000:
+                        yield out(rows)
+                        rows = []
         if rows:
             yield out(rows)
         if len(pairs) > flush_at:
