@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sitegauge import streaming
 from sitegauge.functions import text
 from sitegauge.functions.patterns import linear as L
 from sitegauge.operators import evaluations, fragments, locate, metrics, resources, rules, views
@@ -445,3 +446,10 @@ def fetch_verdicts(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT feedback_id, message, CAST(try_cast(created_at AS TIMESTAMPTZ) AS VARCHAR) IS NOT NULL AS dated FROM feedback_notes WHERE feedback_id IS NOT NULL AND message IS NOT NULL")
 def feedback_listing(spark: SparkSession, d: str) -> DataFrame:
     return views.feedback_listing(table(spark, d, "feedback_notes")).select("feedback_id", "message", F.col("created_at").isNotNull().alias("dated"))
+
+
+@query("SELECT strftime(date_trunc('hour', ingested_at), '%Y-%m-%d %H:00') AS hour, host, count(*) AS n_pages FROM pages WHERE ingested_at IS NOT NULL GROUP BY ALL")
+def hourly_arrivals(spark: SparkSession, d: str) -> DataFrame:
+    """The windowed count of the stream, over the whole table at once."""
+    per = streaming.hourly_arrivals(table(spark, d, "pages").withColumn("ingested_at", F.col("ingested_at").cast("timestamp")))
+    return per.select(F.date_format("hour.start", "yyyy-MM-dd HH:00").alias("hour"), "host", "n_pages")

@@ -231,3 +231,18 @@ def test_final_scores(spark):
     bad = spark.createDataFrame([(1,), (1,), (2,)], "page_id bigint")
     got = {(r["page_id"], r["criterion"]): r["score"] for r in ev.final_scores(merged, pages, bad).collect()}
     assert len(got) == 10 and (got[1, "semantic"], got[2, "semantic"], got[1, "seo"], got[2, "seo"]) == (0, 88, 70, 0)
+
+
+def test_hourly_stream_drops_what_is_too_late(spark, tmp_path):
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    hours = [0, 0, 1, 100, 0, 101]
+
+    def land(rows):
+        df = spark.createDataFrame([(i, "u", "h", None, 1_700_000_000 // 3600 * 3600 + h * 3600) for i, h in rows], "page_id bigint, url string, host string, html string, s bigint")
+        df.withColumn("ingested_at", F.timestamp_seconds("s")).drop("s").write.mode("append").parquet(source)
+        counted = streaming.hourly_arrivals(streaming.page_stream(spark, source))
+        counted.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+
+    for part in ([0, 1, 2], [3], [4], [5]):
+        land([(k, hours[k]) for k in part])
+    assert sorted(r["n_pages"] for r in spark.read.parquet(out).collect()) == [1, 2]
