@@ -16,16 +16,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _BLOCK = rb"(?:address|article|aside|blockquote|body|center|dd|details|dialog|div|dl|dt|fieldset|figure|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|p|pre|section|table|tbody|td|template|tfoot|th|thead|tr|ul)"
-#: (kind, penalty, pattern, cut after the match rather than before it), best first.
-BOUNDARIES: list[tuple[str, float, re.Pattern[bytes], bool]] = [
+#: (kind, penalty, pattern or bytes of which a run is one, cut after the match rather than before it), best first.
+BOUNDARIES: list[tuple[str, float, re.Pattern[bytes] | bytes, bool]] = [
     ("section", 0.0, re.compile(rb"<(?:main|section|article|header|footer|nav|aside|h[1-6]|body|table)\b", re.I), False),
     ("section", 0.0, re.compile(rb"</(?:main|section|article|header|footer|nav|aside|table|script|style)\s*>", re.I), True),
     ("block", 1.0, re.compile(rb"</" + _BLOCK + rb"\s*>|\n[ \t]*\r?\n", re.I), True),
     ("block", 1.0, re.compile(rb"<" + _BLOCK + rb"\b", re.I), False),
     ("sentence", 4.0, re.compile(rb"(?:[.!?]|\xe3\x80\x82)(?:[\"')\]]|\xe2\x80\x9d|\xe2\x80\x99|\xc2\xbb)?\s+"), True),
-    ("line", 5.0, re.compile(rb"\n"), True),
-    ("tag", 6.0, re.compile(rb">"), True),
-    ("space", 10.0, re.compile(rb"[ \t]+"), True),
+    ("line", 5.0, b"\n", True),
+    ("tag", 6.0, b">", True),
+    ("space", 10.0, b" \t", True),
 ]
 ANYWHERE = ("character", 40.0)
 IN_TAG = 25.0
@@ -46,7 +46,15 @@ def _candidates(data: bytes, step: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     penalty[starts] = ANYWHERE[1]
     for k in range(len(BOUNDARIES) - 1, -1, -1):
         _, cost, pattern, after = BOUNDARIES[k]
-        at = np.fromiter((m.end() if after else m.start() for m in pattern.finditer(data)), np.int64)
+        if isinstance(pattern, bytes):
+            own = np.isin(raw, np.frombuffer(pattern, np.uint8))
+            if len(pattern) > 1:  # a run ends where the next byte is none of them
+                own &= ~np.append(own[1:], False)
+            at = np.flatnonzero(own) + 1
+        elif after:
+            at = np.array([m.end() for m in pattern.finditer(data)], np.int64)
+        else:
+            at = np.array([m.start() for m in pattern.finditer(data)], np.int64)
         penalty[at] = np.minimum(penalty[at], cost) if k >= 4 else cost
         kind[at] = k
     inside = np.zeros(n + 2, np.int32)
@@ -64,12 +72,13 @@ def _candidates(data: bytes, step: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     return positions, penalty[positions], kind[positions]
 
 
-def cut(text: str, capacity: int, overlap: int) -> list[tuple[int, int, int, str]]:
+def cut(text: str, capacity: int, overlap: int, known: dict | None = None) -> list[tuple[int, int, int, str]]:
     """``(from, to, overlap, kind)`` in UTF-8 bytes of each piece, in order.
 
     ``from`` includes the overlap, which is ``overlap`` bytes, or up to three more where
     it would otherwise begin inside a character. ``kind`` names the boundary the piece
-    ends at. A text within the capacity is one piece.
+    ends at. A text within the capacity is one piece. ``known`` keeps the boundaries of
+    the text from one capacity to the next.
     """
     data = text.encode("utf-8")
     n = len(data)
@@ -77,7 +86,11 @@ def cut(text: str, capacity: int, overlap: int) -> list[tuple[int, int, int, str
         return [(0, n, 0, "end")]
     if capacity - overlap < 16:
         raise ValueError("a capacity must exceed its overlap by 16 bytes or more")
-    positions, penalties, kinds = _candidates(data, max(4, min(48, (capacity - overlap) // 64)))
+    step = max(4, min(48, (capacity - overlap) // 64))
+    known = {} if known is None else known
+    if step not in known:
+        known[step] = _candidates(data, step)
+    positions, penalties, kinds = known[step]
     raw = np.frombuffer(data, np.uint8)
     begins = np.maximum(positions - overlap, 0)
     for _ in range(3):
@@ -93,16 +106,18 @@ def cut(text: str, capacity: int, overlap: int) -> list[tuple[int, int, int, str
     lows = np.searchsorted(begins, positions - capacity, side="left")
     penalties = penalties.copy()
     penalties[-1] = 0.0
-    for j in range(1, m):
-        low = lows[j]
-        if low >= j:
-            continue
-        sizes = positions[j] - begins[low:j]
-        costs = best[low:j] + 40.0 * ((sizes - target) / target) ** 2
-        costs[positions[low:j] - begins[low:j] >= sizes] = np.inf
-        k = int(np.argmin(costs))
-        best[j] = costs[k] + penalties[j] + 5.0
-        back[j] = low + k
+    # in units of the target size; a piece must reach beyond its overlap, which positions in
+    # ascending order ensure
+    ends_at, begin_at = positions / target - 1.0, begins / target
+    for j, low in enumerate(lows.tolist()):
+        if 0 <= low < j:
+            off = ends_at[j] - begin_at[low:j]
+            costs = off * off
+            costs *= 40.0
+            costs += best[low:j]
+            k = int(costs.argmin())
+            best[j] = costs[k] + penalties[j] + 5.0
+            back[j] = low + k
     ends = [m - 1]
     while ends[-1]:
         ends.append(int(back[ends[-1]]))
@@ -120,9 +135,10 @@ def _split(batches: Iterator[pa.RecordBatch], budgets: list[tuple[int, int, int]
         for id_, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             data = text.encode("utf-8")
             rows = []
+            known: dict = {}
             for budget, capacity, overlap in budgets:
                 if len(data) > capacity:
-                    pieces = cut(text, capacity, overlap)
+                    pieces = cut(text, capacity, overlap, known)
                     rows.extend((budget, id_, k, len(pieces), a, b, o, kind, data[a:b].decode("utf-8")) for k, (a, b, o, kind) in enumerate(pieces))
             if rows:
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), _TYPES)], names=_NAMES)
