@@ -38,6 +38,7 @@ _DASH = re.compile(r"(?:–|—|--)\s*(?=\S)")
 _LINK = re.compile(r"(?:https?://|www\.)\S+$")
 _LINK_PARTS = re.compile(r"https?://[\w-]+(?:\.[\w-]+)+(?:/[^\s/]+)*")
 _HEADING = re.compile(r"#{1,6}\s+\S")
+_STOP = re.compile(r"[.!?]\s")
 _BLANKS = re.compile(r"[ \t\r]+(?=\n)")
 
 _SCHEMA = "part string, doc_id bigint, source string, status int, kind string, line string, chars bigint, bytes bigint"
@@ -60,9 +61,11 @@ def _kind(line: str) -> tuple[str, str] | None:
     if m := _LABEL.fullmatch(line):
         label = m[1].lower()
         value = m[2]
-        if "," in value:
-            return "tags", value.rsplit(",", 1)[1].strip()
-        return f"label {label}", value
+        if "," not in value:
+            return f"label {label}", value
+        parts = value.split(",")
+        if all(len(p.split()) <= 5 for p in parts) and not _STOP.search(value):
+            return "tags", parts[-1].strip()
     return None
 
 
@@ -160,20 +163,26 @@ def _whole_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(values, pa.string()), pa.array(ids, pa.int64()), pa.array([True] * len(ids), pa.bool_())], names=["value", "id", "whole"])
 
 
-def truncation(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", limit_cases: int = 3) -> DataFrame:
+def truncation(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", limit_cases: int = 4, limit_share: float = 0.05, common_share: float = 0.01) -> DataFrame:
     """``doc_id, source, is_cut`` for every document with a text that is not blank.
 
     Null, empty and blank texts are left out; a null source is kept as null; repeated
-    rows give repeated rows; an open ending of a row without an id counts as whole. ``limit_cases``: a source is taken to cut at an exact
-    length in characters or bytes if at least so many of its texts of that length are
-    plainly cut; open endings of that length then count as cut.
+    rows give repeated rows; an open ending of a row without an id counts as whole. ``limit_cases``: a source is taken to cut at an
+    exact length in characters or bytes if so many of its texts of that length, and
+    ``limit_share`` of all its cut texts, are plainly cut there; open endings of that length
+    then count as cut, unless their line is known to be whole. ``common_share``: an open
+    ending that this share of its kind has, in three texts or more, is a whole line.
     """
     base = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(source).cast("string").alias("source"), F.col(text).cast("string").alias("text"))
     scanned = cut_lineage(base.mapInArrow(_classify, _SCHEMA))
     rows = scanned.filter("part = 'doc'").drop("part")
     open_rows = rows.filter(F.col("status") == OPEN)
 
-    whole = scanned.filter("part = 'line'").select("kind", "line").distinct()
+    # signatures and the like stand at the end only: there a common ending is a whole line
+    endings = open_rows.groupBy("kind", "line").agg(F.count("*").alias("n"))
+    totals = endings.groupBy("kind").agg(F.sum("n").alias("total"))
+    common = endings.join(totals, "kind").filter((F.col("n") >= 3) & (F.col("n") >= common_share * F.col("total"))).select("kind", "line")
+    whole = scanned.filter("part = 'line'").select("kind", "line").unionByName(common).distinct()
     unseen = open_rows.filter("kind not in ('row', 'link')").join(whole, ["kind", "line"], "left_anti")
     spelled = F.concat("kind", F.lit("\x1f"), "line")
     lines = unseen.select(spelled.alias("value"), F.col("doc_id").alias("id"), F.lit(False).alias("whole"))
@@ -183,8 +192,13 @@ def truncation(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sour
 
     def at_limit(measure: str) -> DataFrame:
         per_length = rows.groupBy("source", measure).agg(F.count_if(F.col("status") == CUT).alias("_cut"), F.count("*").alias("_all"))
-        limits = per_length.filter((F.col("_cut") >= limit_cases) & (F.col("_cut") * 2 >= F.col("_all"))).select(F.col("source").alias("_s"), F.col(measure).alias("_m"))
-        return open_rows.join(limits, F.col("source").eqNullSafe(F.col("_s")) & (F.col(measure) == F.col("_m")), "left_semi").select(F.col("doc_id").alias("id"))
+        per_source = per_length.groupBy(F.col("source").alias("_s")).agg(F.sum("_cut").alias("_total"))
+        spikes = per_length.join(per_source, F.col("source").eqNullSafe(F.col("_s")))
+        spikes = spikes.filter((F.col("_cut") >= limit_cases) & (F.col("_cut") >= limit_share * F.col("_total")) & (F.col("_cut") * 2 >= F.col("_all")))
+        limits = spikes.select("_s", F.col(measure).alias("_m"))
+        # a line that is known to be whole is no cut, even at the limit
+        unsure = unseen.select(*rows.columns).unionByName(open_rows.filter("kind = 'link'").select(*rows.columns))
+        return unsure.join(limits, F.col("source").eqNullSafe(F.col("_s")) & (F.col(measure) == F.col("_m")), "left_semi").select(F.col("doc_id").alias("id"))
 
     cut_ids = by_line.unionByName(by_copy).unionByName(at_limit("chars")).unionByName(at_limit("bytes")).distinct().withColumn("_hit", F.lit(True))
     joined = open_rows.join(cut_ids, F.col("doc_id") == F.col("id"), "left").select("doc_id", "source", F.coalesce("_hit", F.lit(False)).alias("is_cut"))

@@ -274,6 +274,7 @@ def test_truncation_table(spark):
         (1, "s", "Whole sentence."), (2, "s", "Cut senten"), (3, None, None), (4, "s", ""), (5, "s", " \n "), (6, "s", base + " after its action\n- last item"),
         (7, "s", base), (8, "s", "Text.\n- let the table ha"), (9, "s", "Text.\n- let the table have a header row"), (10, None, "A long one. " * 30_000), (2, "s", "Cut senten"),
         (11, "s", "Text.\nSee https://a.example/x"), (12, "s", "Text.\nSee https://a.example/xyz and more.\nEnd."),
+        *((20 + k, "s", f"Text {k}.\n\nSigned: design guild") for k in range(4)), (24, "s", "Text.\n\nSigned: design gui"),
         (13, "s", "Other text.\nTags: one, two"), (14, "s", "Other text.\nTags: one, two  \nSigned: me"),
     ] + [(100 + k, "limited", "y" * 39 + "k") for k in range(4)] + [(200, "limited", "Words here.\n- an item of its own w itself"[:40]), (201, "free", "Words here.\n- an item of its own w itself"[:40])]
     df = spark.createDataFrame([(i, t, s, 1, True) for i, s, t in docs], "doc_id bigint, text string, source string, status int, is_cut boolean")
@@ -281,7 +282,7 @@ def test_truncation_table(spark):
     got = sorted((r["doc_id"], r["is_cut"]) for r in rows.collect())
     cut = [i for i, c in got if c]
     assert len(got) == len(docs) - 3
-    assert cut == [2, 2, 7, 8, 11, 100, 101, 102, 103, 200]
+    assert cut == [2, 2, 7, 8, 11, 24, 100, 101, 102, 103, 200]
     shares = {r["source"]: (r["n_texts"], r["n_cut"]) for r in truncation.by_source(rows).collect()}
     assert shares["limited"] == (5, 5) and shares["free"] == (1, 0) and shares[None] == (1, 0)
     assert truncation.truncation(df.filter("false")).count() == 0
