@@ -150,13 +150,14 @@ def _extract(batches: Iterator[pa.RecordBatch], few: int) -> Iterator[pa.RecordB
             yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), _TYPES)], names=_NAMES)
 
 
-def residue(pages: DataFrame, few_messages: int = 12, other_words: int = 6, sources: int = 3) -> DataFrame:
+def residue(pages: DataFrame, few_messages: int = 12, other_words: int = 6, sources: int = 3, weak_words: int = 8) -> DataFrame:
     """``page_id, field, reason`` of the records of ``page_id, host, html, fetch_error`` that
     hold residue (``template``) or nothing but a notice (``notice``).
 
     A page of over ``few_messages`` distinct blocks, or with more than ``other_words``
     words beside its notices, has something to say. In ``fetch_error`` any notice counts.
-    Messages with weak cues are notices if at least ``sources`` hosts show them. Null,
+    Messages of up to ``weak_words`` words with weak cues are notices if at least
+    ``sources`` hosts show them. Null,
     empty and blank texts hold nothing; a null host is a source of its own; a repeated
     row is reported once; other columns are not read.
     """
@@ -165,7 +166,7 @@ def residue(pages: DataFrame, few_messages: int = 12, other_words: int = 6, sour
     units = scanned.filter("not residue")
     per_host = units.groupBy("message", "host").agg(F.count("*").alias("n"), F.min("text").alias("text"))
     messages = per_host.groupBy("message").agg(F.sum("n").alias("n"), F.count("*").alias("n_hosts"), F.min("text").alias("text"))
-    notice = F.col("text").rlike(f"(?U){STRONG}") | ((F.col("n_hosts") >= sources) & (F.length("text") <= 200) & F.col("text").rlike(f"(?U){WEAK}"))
+    notice = F.col("text").rlike(f"(?U){STRONG}") | ((F.col("n_hosts") >= sources) & (F.size(F.split("text", " ")) <= weak_words) & F.col("text").rlike(f"(?U){WEAK}"))
     classes = messages.select("message", "n", F.coalesce(notice, F.lit(False)).alias("notice"))
     judged = join_classes(units.select("page_id", "field", "message", "n_words"), classes, "message", F.col("n"), "page_id")
     per_page = judged.groupBy("page_id", "field").agg(F.max("notice").alias("notice"), F.sum(F.when(F.col("notice"), 0).otherwise(F.col("n_words"))).alias("others"))
