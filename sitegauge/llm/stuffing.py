@@ -23,7 +23,7 @@ from sitegauge.session import cut_lineage
 
 _WORD = re.compile(r"[^\W_]+")
 _END = re.compile(r"[.!?]+[\"”’»)\]]*(?:\s+|$)|[。！？]+[」』”]?")
-_COMMA = re.compile(r"[,;|/•·>]+|\s[-–—]\s")
+_COMMA = re.compile(r"[,;]+(?:\s|$)|\s(?:[|/•·»>]+|[-–—])\s")
 _TAG = re.compile(r"(?<!\S)#\w+|(?<!\S)\w+(?:-\w+){2,}(?!\S)")
 _NO_SPACES = re.compile(r"[぀-ヿ㐀-鿿฀-๿]")
 _SKIPPED = frozenset(("title", "button", "label", "option", "noscript", "legend"))
