@@ -248,7 +248,8 @@ def cyrillic_pair(runs: list[str]) -> tuple[str, str] | None:
 
 def western_pair(words: list[str]) -> tuple[str, str] | None:
     """``(wrong, right)`` if words of Latin letters had their accents misread one byte for one."""
-    odd = [w for w in dict.fromkeys(words) if len(w) >= 4 and word_cost(w) >= 1.4]
+    # accents stand alone or in twos; longer runs are words of another script that were glued on
+    odd = [w for w in dict.fromkeys(words) if len(w) >= 4 and word_cost(w) >= 1.4 and all(len(r) < 3 for r in _RUN.findall(w))]
     if len(odd) < 2:
         return None
     best, pair = 0.0, None
