@@ -69,9 +69,10 @@ def strict_prefix_ids(rows: DataFrame) -> DataFrame:
     key, so a value that a third of all rows share does not end up in one task.
     """
     kept = rows.filter("value is not null")
-    whole = kept.filter("whole").select(F.col("value").alias("key"), F.lit(None).cast("bigint").alias("id"))
-    asked = kept.filter("id is not null").select(F.concat("value", F.lit(_MARK)).alias("key"), F.col("id").cast("bigint").alias("id"))
-    keyed = whole.unionByName(asked).withColumn("_salt", F.xxhash64("id", F.monotonically_increasing_id()))
+    # both roles of a row from one evaluation of its input
+    as_whole = F.when(F.col("whole"), F.struct(F.col("value").alias("key"), F.lit(None).cast("bigint").alias("id")))
+    as_asked = F.when(F.col("id").isNotNull(), F.struct(F.concat("value", F.lit(_MARK)).alias("key"), F.col("id").cast("bigint").alias("id")))
+    keyed = kept.select(F.explode(F.array(as_whole, as_asked)).alias("r")).filter("r is not null").select("r.*").withColumn("_salt", F.xxhash64("id", F.monotonically_increasing_id()))
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = keyed.repartitionByRange(parts, "key", "_salt").sortWithinPartitions("key", "_salt").drop("_salt")
     scanned = cut_lineage(ordered.mapInArrow(_scan, _OUT))

@@ -183,7 +183,7 @@ def truncation(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sour
     totals = endings.groupBy("kind").agg(F.sum("n").alias("total"))
     common = endings.join(totals, "kind").filter((F.col("n") >= 3) & (F.col("n") >= common_share * F.col("total"))).select("kind", "line")
     whole = scanned.filter("part = 'line'").select("kind", "line").unionByName(common).distinct()
-    unseen = open_rows.filter("kind not in ('row', 'link')").join(whole, ["kind", "line"], "left_anti")
+    unseen = cut_lineage(open_rows.filter("kind not in ('row', 'link')").join(whole, ["kind", "line"], "left_anti"))
     spelled = F.concat("kind", F.lit("\x1f"), "line")
     lines = unseen.select(spelled.alias("value"), F.col("doc_id").alias("id"), F.lit(False).alias("whole"))
     lines = lines.unionByName(whole.select(spelled.alias("value"), F.lit(None).cast("bigint").alias("id"), F.lit(True).alias("whole")))
