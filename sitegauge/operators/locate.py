@@ -59,22 +59,27 @@ def snippet_needles(snippet: Column) -> Column:
 
 
 def files_with_needles(files: DataFrame, needles: DataFrame, gram: int = 4) -> DataFrame:
-    """``path`` and the columns of ``needles`` where the file contains ``needle``, case aside.
+    """The columns of ``files`` but ``content``, and those of ``needles``, where the file contains ``needle``, case aside.
 
     A needle's first ``gram`` characters are an equi-join key against the distinct grams of
     each file, so that no file meets a needle it shares nothing with; the full test follows.
     """
-    low = files.select("path", F.lower("content").alias("_c")).filter("_c is not null")
+    low = files.withColumn("_c", F.lower("content")).drop("content").filter("_c is not null")
     grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("_c") - gram + 1, F.lit(1))), lambda k: F.substring(F.col("_c"), k, gram)))
-    keyed = each(low, grams, "_g", "path", "_c")
+    keyed = each(low, grams, "_g", *low.columns)
     wanted = needles.withColumn("_n", F.lower("needle")).filter(F.length("_n") >= gram).withColumn("_g", F.substring("_n", 1, gram))
     return keyed.join(wanted, "_g").filter(F.contains("_c", F.col("_n"))).drop("_g", "_c", "_n")
 
 
+def distinct_files(resources: DataFrame) -> DataFrame:
+    """``path, digest, content``: one file per address and content, so that only exact copies collapse."""
+    return resources.filter("content is not null").groupBy(F.col("url").alias("path"), F.md5(F.encode("content", "UTF-8")).alias("digest")).agg(F.first("content").alias("content"))
+
+
 def rank_files(hits: DataFrame, by: list[str], most: int = 3) -> DataFrame:
     """The first ``most`` files of each group: lowest tier, highest boost, then path."""
-    per = hits.groupBy(*by, "path").agg(F.min("tier").alias("tier"), F.max("boost").alias("boost"), F.count("*").alias("n_needles"))
-    order = Window.partitionBy(*by).orderBy("tier", F.desc("boost"), F.desc("n_needles"), "path")
+    per = hits.groupBy(*by, "path", "digest").agg(F.min("tier").alias("tier"), F.max("boost").alias("boost"), F.count("*").alias("n_needles"))
+    order = Window.partitionBy(*by).orderBy("tier", F.desc("boost"), F.desc("n_needles"), "path", "digest")
     return per.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
 
 

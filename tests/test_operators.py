@@ -7,6 +7,7 @@ from sitegauge.functions import text
 from sitegauge.operators import evaluations as ev
 from sitegauge.operators import fragments as fr
 from sitegauge.operators import locate, metrics, resources, views
+from sitegauge.plans.catalogue import QUERIES
 
 
 def test_text_metrics(spark):
@@ -163,6 +164,22 @@ def test_locate(spark):
     assert [tuple(n) for n in snippet.select(locate.snippet_needles(F.col("s")).alias("n")).first()["n"]] == [(1, "abcd"), (2, "wide"), (3, "words")]
 
 
+def save_tables(spark, folder, resources, issues, pages):
+    spark.createDataFrame(resources, "page_id bigint, url string, kind string, content string").write.parquet(f"{folder}/page_resources.parquet")
+    spark.createDataFrame([(k, p, "seo", "error", s) for k, p, s in issues], "issue_id bigint, page_id bigint, criterion string, severity string, html_snippet string").write.parquet(f"{folder}/model_issues.parquet")
+    spark.createDataFrame(pages, "page_id bigint, url string").write.parquet(f"{folder}/pages.parquet")
+    return str(folder)
+
+
+def test_files_of_one_name_are_all_searched(spark, tmp_path):
+    a, b = "https://a.example/s/main.css", "https://b.example/s/main.css"
+    resources = [(1, a, "css", "#first-part{}"), (2, a, "css", "#first-part{}"), (2, a, "css", "#second-part{}"), (3, b, "css", "#third-part{}"), (3, b, "css", None)]
+    issues = [(k, 1, f'<p id="{k}"><b class="{c}-part">x</b></p>') for k, c in enumerate(("first", "second", "third"))]
+    d = save_tables(spark, tmp_path / "t", resources, issues, [(1, "https://a.example/")])
+    got = [(r["issue_id"], r["path"]) for r in QUERIES["snippet_file_candidates"](spark, d).orderBy("issue_id").collect()]
+    assert got == [(0, a), (1, a), (2, b)]
+
+
 def test_ranges_merge(spark):
     rows = spark.createDataFrame([("k", 0, 5), ("k", 13, 20), ("k", 15, 16), ("k", 29, 30), ("j", 1, 2)], "key string, begin int, end int")
     assert sorted(tuple(r) for r in locate.merge_ranges(rows, "key").collect()) == [("j", 1, 2), ("k", 0, 20), ("k", 29, 30)]
