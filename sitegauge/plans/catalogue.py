@@ -396,11 +396,7 @@ def url_path_tokens(spark: SparkSession, d: str) -> DataFrame:
 def snippet_file_candidates(spark: SparkSession, d: str) -> DataFrame:
     """The findings of all criteria that have a snippet, each against the distinct files of all pages."""
     files = locate.distinct_files(page_resources(spark, d))
-    issues = text.each(model_issues(spark, d).filter("html_snippet is not null"), locate.snippet_needles(F.col("html_snippet")), "n", "issue_id")
-    needles = issues.groupBy(F.col("n.needle").alias("needle")).agg(F.min("n.tier").alias("tier"))
-    hits = locate.files_with_needles(files, needles).select("path", "digest", "needle", F.lit(0).alias("boost"))
-    own = issues.select("issue_id", F.col("n.tier").alias("tier"), F.col("n.needle").alias("needle")).join(hits, "needle")
-    return locate.rank_files(own, ["issue_id"])
+    return locate.candidate_files(model_issues(spark, d), table(spark, d, "pages"), files)
 
 
 # --- jobs, lists, notes -----------------------------------------------------------------------

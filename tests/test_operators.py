@@ -180,6 +180,43 @@ def test_files_of_one_name_are_all_searched(spark, tmp_path):
     assert got == [(0, a), (1, a), (2, b)]
 
 
+def test_address_decides_among_files(spark, tmp_path):
+    css = lambda *names: "".join(f".{n}{{top:1px}}" for n in names)
+    resources = [
+        (1, "https://a.example/lamps/main.css", "css", css("wide-hero", "shared")),
+        (1, "https://a.example/about/main.css", "css", css("wide-hero", "narrow")),
+        (1, "https://a.example/s/one.js", "js", "q('id=\"nav-main\"');q('/go/to-lamps')"),
+        (1, "https://a.example/s/two.js", "js", "q('id=\"nav-main\"', wide-hero, 'data-hook=\"k1\"')"),
+        (2, "https://b.example/lamps/x.css", "css", css("level")),
+        (2, "https://c.example/lamps/y.css", "css", css("level")),
+    ]
+    snippets = [
+        (1, '<p class="wide-hero">x</p>'),  # the address points at one of three
+        (2, '<p class="wide-hero">x</p>'),  # at none: nothing
+        (1, '<p class="wide-hero narrow">x</p>'),  # both classes in one file, then the address
+        (1, '<p id="nav-main" class="wide-hero">x</p>'),  # the class narrows the files of the id
+        (1, '<a href="/go/to-lamps">x</a>'),
+        (1, '<p data-hook="k1">x</p>'),
+        (1, '<p class="level">x</p>'),  # two level ones
+    ]
+    issues = [(k, p, s) for k, (p, s) in enumerate(snippets)]
+    d = save_tables(spark, tmp_path / "t", resources, issues, [(1, "https://a.example/Lamps/desk"), (2, "https://a.example/zzz")])
+    got = [(r["issue_id"], r["path"].split("example/")[1], r["tier"], r["boost"]) for r in QUERIES["snippet_file_candidates"](spark, d).orderBy("issue_id", "rank").collect()]
+    assert got == [
+        (0, "lamps/main.css", 3, 3),
+        (2, "about/main.css", 2, 0),
+        (2, "lamps/main.css", 3, 3),
+        (3, "s/two.js", 1, 0),
+        (3, "lamps/main.css", 3, 3),
+        (4, "s/one.js", 4, 0),
+        (5, "s/two.js", 4, 0),
+        (6, "lamps/x.css", 3, 3),
+        (6, "lamps/y.css", 3, 3),
+    ]
+    needles = locate.search_needles('<h2 id="abc" class="pane x">Extraordinary</h2>')
+    assert needles[:3] == ['<h2 id="abc" class="pane x"', "<!doctype html", "<!DOCTYPE html"] and {"abc", "pane", "'pane'", 'className="pane x"', "Extraordinary"} < set(needles)
+
+
 def test_ranges_merge(spark):
     rows = spark.createDataFrame([("k", 0, 5), ("k", 13, 20), ("k", 15, 16), ("k", 29, 30), ("j", 1, 2)], "key string, begin int, end int")
     assert sorted(tuple(r) for r in locate.merge_ranges(rows, "key").collect()) == [("j", 1, 2), ("k", 0, 20), ("k", 29, 30)]
