@@ -3,7 +3,8 @@
 The way a text ends decides most cases. Endings that could be whole or cut (list
 items, tag lines, links, table rows, signatures) are settled by the self-join by
 prefix: against longer copies that go on in the same line, against whole lines of the same
-kind elsewhere, and against the exact lengths at which their source is seen to cut.
+kind elsewhere, and against the exact lengths at which their source is seen to cut. Endings
+that look whole are asked for longer copies as well.
 """
 
 from __future__ import annotations
@@ -151,7 +152,7 @@ def _classify(batches: Iterator[pa.RecordBatch], flush_at: int = 200_000) -> Ite
 
 
 def _whole_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``value, id, whole``: every text, as a candidate too where its ending is open.
+    """``value, id, whole``: every text, as a candidate too unless its ending shows that it is cut.
 
     Blanks before line breaks and at the end are dropped."""
     for batch in batches:
@@ -159,7 +160,7 @@ def _whole_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc, text in zip(*(batch.column(i).to_pylist() for i in range(2))):
             if text and (body := text.rstrip()):
                 values.append(_BLANKS.sub("", body))
-                ids.append(doc if ending(body)[0] == OPEN else None)
+                ids.append(doc if ending(body)[0] != CUT else None)
         yield pa.record_batch([pa.array(values, pa.string()), pa.array(ids, pa.int64()), pa.array([True] * len(ids), pa.bool_())], names=["value", "id", "whole"])
 
 
@@ -167,7 +168,7 @@ def truncation(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sour
     """``doc_id, source, is_cut`` for every document with a text that is not blank.
 
     Null, empty and blank texts are left out; a null source is kept as null; repeated
-    rows give repeated rows; an open ending of a row without an id counts as whole. ``limit_cases``: a source is taken to cut at an
+    rows give repeated rows; a row without an id whose ending does not show a cut counts as whole. ``limit_cases``: a source is taken to cut at an
     exact length in characters or bytes if so many of its texts of that length, and
     ``limit_share`` of all its cut texts, are plainly cut there; open endings of that length
     then count as cut, unless their line is known to be whole. ``common_share``: an open
@@ -200,9 +201,12 @@ def truncation(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sour
         unsure = unseen.select(*rows.columns).unionByName(open_rows.filter("kind = 'link'").select(*rows.columns))
         return unsure.join(limits, F.col("source").eqNullSafe(F.col("_s")) & (F.col(measure) == F.col("_m")), "left_semi").select(F.col("doc_id").alias("id"))
 
-    cut_ids = by_line.unionByName(by_copy).unionByName(at_limit("chars")).unionByName(at_limit("bytes")).distinct().withColumn("_hit", F.lit(True))
-    joined = open_rows.join(cut_ids, F.col("doc_id") == F.col("id"), "left").select("doc_id", "source", F.coalesce("_hit", F.lit(False)).alias("is_cut"))
-    return rows.filter(F.col("status") != OPEN).select("doc_id", "source", (F.col("status") == CUT).alias("is_cut")).unionByName(joined)
+    # a longer copy that goes on in the same line speaks against a whole ending too; the rest settles open ones only
+    of_ending = by_line.unionByName(at_limit("chars")).unionByName(at_limit("bytes")).withColumn("_copy", F.lit(False))
+    hits = of_ending.unionByName(by_copy.withColumn("_copy", F.lit(True))).groupBy("id").agg(F.max("_copy").alias("_copy"))
+    joined = rows.filter(F.col("status") != CUT).join(hits, F.col("doc_id") == F.col("id"), "left")
+    joined = joined.select("doc_id", "source", F.coalesce(F.col("_copy") | (F.col("id").isNotNull() & (F.col("status") == OPEN)), F.lit(False)).alias("is_cut"))
+    return rows.filter(F.col("status") == CUT).select("doc_id", "source", F.lit(True).alias("is_cut")).unionByName(joined)
 
 
 def by_source(verdicts: DataFrame) -> DataFrame:
