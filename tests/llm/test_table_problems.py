@@ -268,12 +268,6 @@ def test_endings_never_fail(text):
         assert truncation.ending(text)[0] in (truncation.WHOLE, truncation.CUT, truncation.OPEN)
 
 
-def test_whole_looking_text_with_a_longer_copy_is_cut(spark):
-    docs = [(1, "It weighs 3."), (2, "It weighs 3.5 kg."), (3, "Fine.\nScore: 9/10"), (4, "Fine.\nScore: 9/100"), (5, "A line."), (6, "A line.\nAnother line."), (7, "A line.")]
-    rows = truncation.truncation(spark.createDataFrame([(i, t, "s") for i, t in docs], "doc_id bigint, text string, source string"))
-    assert sorted((r["doc_id"], r["is_cut"]) for r in rows.collect()) == [(i, i in (1, 3)) for i, _ in docs]
-
-
 def test_truncation_table(spark):
     base = "First line here.\n- let the table have a header row\n- name the button"
     docs = [
