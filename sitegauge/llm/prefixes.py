@@ -1,87 +1,81 @@
 """Strict-prefix self-join by sorting.
 
 In sorted order the values that begin with ``v`` directly follow ``v``. So one
-range-partitioned sort finds, for every candidate, whether a longer value that
-begins with it exists, without comparing all pairs: each task streams its sorted
-run with a stack of nested candidates. What is still open at the end of a run is
-settled against the first whole value of the runs after it. A candidate's key ends in
-a mark that sorts after line breaks, so values that go on with one lie before it.
+range-partitioned sort of the distinct values finds, for every value that is asked for,
+whether a longer whole value begins with it, without comparing pairs: each task streams
+its sorted run with a stack of nested values. What is still open at the end of a run is
+settled by the first whole value of the next run that has one.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitegauge.session import cut_lineage
 
-_OUT = "kind string, id bigint, digest binary, part int, value string"
-_NAMES = ["kind", "id", "digest", "part", "value"]
-_TYPES = [pa.string(), pa.int64(), pa.binary(), pa.int32(), pa.string()]
+_OUT = "kind string, part int, value string"
+_NAMES = ["kind", "part", "value"]
+_TYPES = [pa.string(), pa.int32(), pa.string()]
 
-
-def _digest(value: str) -> bytes:
-    return hashlib.blake2b(value.encode("utf-8", "surrogatepass"), digest_size=16).digest()
-
-
-#: Sorts after every line break; a candidate's key ends in it.
-_MARK = "\x0e"
+#: Characters of a value that the bounds of the ranges are made of, in two steps.
+_BOUND = 200
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     part = TaskContext.get().partitionId()
-    stack: list[tuple[str, bytes]] = []
+    stack: list[str] = []
     begun = False
+
+    def out(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), _TYPES)], names=_NAMES)
+
     for batch in batches:
         rows: list[tuple] = []
-        for key, id_ in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            while stack and not key.startswith(stack[-1][0]):
+        for value, asked, whole in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            while stack and not value.startswith(stack[-1]):
                 stack.pop()
-            if id_ is None:
+            if whole:
                 if not begun:
-                    rows.append(("head", None, None, part, key))
+                    rows.append(("head", part, value))
                     begun = True
-                rows.extend(("longer", None, digest, None, None) for _, digest in stack)
+                rows.extend(("longer", None, v) for v in stack)
                 stack.clear()
-            else:
-                value = key[:-1]
-                if not stack or stack[-1][0] != value:
-                    stack.append((value, _digest(value)))
-                rows.append(("candidate", id_, stack[-1][1], None, None))
+            if asked:
+                stack.append(value)
         if rows:
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), _TYPES)], names=_NAMES)
+            yield out(rows)
     if stack:
-        yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*[("tail", None, d, part, v) for v, d in stack]), _TYPES)], names=_NAMES)
+        yield out([("tail", part, v) for v in stack])
 
 
-def strict_prefix_ids(rows: DataFrame) -> DataFrame:
-    """``id`` of every candidate whose value a longer whole value continues on the same line.
+def values_with_longer(rows: DataFrame) -> DataFrame:
+    """``value``: every asked value of which a whole value is a strict continuation.
 
-    ``rows`` has ``value`` string, ``id`` (null where the row is no candidate) and
-    ``whole`` (whether the row may serve as the longer value). A value that goes on with
-    a line break, and an equal one, do not count. Null values are ignored; the empty value
-    is a prefix of every other. Equal values are spread over tasks by a salt in the sort
-    key, so a value that a third of all rows share does not end up in one task.
+    ``rows`` has ``value`` string, ``asked`` and ``whole`` boolean; several rows of one value
+    count as one that has either role if one of them has it. Null values are ignored; an
+    equal value is no continuation; the empty value is a prefix of every other. Only
+    distinct values are sorted, so a value that a third of all rows share is one row. The
+    bounds of the ranges are taken from the first characters of a value, so what the driver
+    samples stays small however long the values are; runs are streamed, so values that
+    agree in all those characters make a long run, not a large one.
     """
-    kept = rows.filter("value is not null")
-    # both roles of a row from one evaluation of its input
-    as_whole = F.when(F.col("whole"), F.struct(F.col("value").alias("key"), F.lit(None).cast("bigint").alias("id")))
-    as_asked = F.when(F.col("id").isNotNull(), F.struct(F.concat("value", F.lit(_MARK)).alias("key"), F.col("id").cast("bigint").alias("id")))
-    keyed = kept.select(F.explode(F.array(as_whole, as_asked)).alias("r")).filter("r is not null").select("r.*").withColumn("_salt", F.xxhash64("id", F.monotonically_increasing_id()))
+    once = rows.filter("value is not null").groupBy("value").agg(F.max("asked").alias("asked"), F.max("whole").alias("whole"))
+    bounds = [F.substring("value", 1, _BOUND), F.substring("value", _BOUND + 1, _BOUND)]
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = keyed.repartitionByRange(parts, "key", "_salt").sortWithinPartitions("key", "_salt").drop("_salt")
+    # the ranges are sampled from a table, not by running its plan a second time
+    ordered = cut_lineage(once).repartitionByRange(parts, *bounds).sortWithinPartitions("value")
     scanned = cut_lineage(ordered.mapInArrow(_scan, _OUT))
-    # a tail is a candidate still open at the end of a task's run; what decides is the first
-    # whole value of a later run, one row per run
-    heads = scanned.filter("kind = 'head'").select("part", F.lit(0).alias("k"), F.col("value").alias("h"), F.lit(None).cast("binary").alias("digest"), F.lit(None).cast("string").alias("value"))
-    tails = scanned.filter("kind = 'tail'").select("part", F.lit(1).alias("k"), F.lit(None).cast("string").alias("h"), "digest", "value")
-    ahead = Window.orderBy("part", "k").rowsBetween(1, Window.unboundedFollowing)
-    both = heads.unionByName(tails).withColumn("next", F.first("h", ignorenulls=True).over(ahead))
-    settled = both.filter("k = 1 and startswith(next, value)").select("digest")
-    longer = scanned.filter("kind = 'longer'").select("digest").unionByName(settled).distinct()
-    return scanned.filter("kind = 'candidate'").join(longer, "digest", "left_semi").select("id").distinct()
+    longer = scanned.filter("kind = 'longer'").select("value")
+    # a tail is a value still open at the end of a run; the driver sees run numbers only
+    heads = sorted(r["part"] for r in scanned.filter("kind = 'head'").select("part").collect())
+    after = [(p, next((h for h in heads if h > p), None)) for p in range(parts)]
+    following = rows.sparkSession.createDataFrame([(p, h) for p, h in after if h is not None] or [(-1, -1)], "part int, next int")
+    tails = scanned.filter("kind = 'tail'").select("part", "value").join(F.broadcast(following), "part")
+    first = scanned.filter("kind = 'head'").select(F.col("part").alias("next"), F.col("value").alias("_head"))
+    settled = tails.join(first, "next").filter("startswith(_head, value) and _head <> value").select("value")
+    return longer.unionByName(settled).distinct()

@@ -12,6 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from sitegauge.llm import copies, leakage, packing, prefixes, terms, truncation
+from sitegauge.llm.skew import attach_classes
 
 ISSUES = "issue_id bigint, severity string, issue string, recommendation string, html_snippet string, term string, n bigint, _id string"
 
@@ -229,36 +230,49 @@ def test_leaks(spark):
 
 def test_prefixes_against_brute_force(spark):
     random.seed(6)
-    values = [None, "", *("".join(random.choices("ab", k=random.randrange(1, 9))) for _ in range(300)), *["hot"] * 200, "hotter", *["line", "line\nmore", "word"] * 3, "word\n", "words"]
-    rows = [(v, i if i % 3 else None, i % 4 != 1) for i, v in enumerate(values)]
-    whole = {v for v, _, w in rows if v is not None and w}
-    expected = {i for v, i, _ in rows if v is not None and i is not None and any(x != v and x.startswith(v) and x[len(v)] != "\n" for x in whole)}
-    df = spark.createDataFrame(rows, "value string, id bigint, whole boolean")
+    long = "x" * 450
+    values = [None, "", *("".join(random.choices("ab", k=random.randrange(1, 9))) for _ in range(300)), *["hot"] * 200, "hotter", long, long + "a", long + "ab", *["word"] * 3, "words"]
+    rows = [(v, i % 3 > 0, i % 4 != 1, i) for i, v in enumerate(values)]
+    whole = {v for v, _, w, _ in rows if v is not None and w}
+    expected = {v for v, a, _, _ in rows if v is not None and a and any(x != v and x.startswith(v) for x in whole)}
+    df = spark.createDataFrame(rows, "value string, asked boolean, whole boolean, part int")
     for parts in ("1", "4", "40"):
         spark.conf.set("spark.sql.shuffle.partitions", parts)
-        assert {r["id"] for r in prefixes.strict_prefix_ids(df).collect()} == expected
+        got = [r["value"] for r in prefixes.values_with_longer(df).collect()]
+        assert len(got) == len(set(got)) and set(got) == expected
     spark.conf.set("spark.sql.shuffle.partitions", "4")
-    assert prefixes.strict_prefix_ids(df.filter("false")).count() == 0
+    assert prefixes.values_with_longer(df.filter("false")).count() == 0
+
+
+def test_classes_are_attached_once(spark):
+    members = spark.createDataFrame([(i, "hot" if i % 3 == 0 else None if i % 7 == 0 else f"k{i % 50}") for i in range(6000)], "uid bigint, value string")
+    classes = spark.createDataFrame([("hot", 20000, 1), *((f"k{k}", 60, k) for k in range(40))], "value string, n int, mark int")
+    got = {r["uid"]: r["mark"] for r in attach_classes(members, classes, "value", "n", "uid").collect()}
+    expected = {i: 1 if i % 3 == 0 else None if i % 7 == 0 or i % 50 >= 40 else i % 50 for i in range(6000)}
+    assert got == expected
 
 
 WHOLE = [
     "A sentence.", "Really? “Yes.”", "He said (quietly).", "Fin.\n\n", "- one item\n- another item", "1. first\n2. second", "| a | b |\n|---|---|\n| 1 | 2 |", "```\ncode\n```",
-    "Text.\nSee also: https://a.example/b-c", "Text.\n\nTags: one, two", "Text.\nScore: 35/100", "Thanks\n– build team", "Text.\nSigned: design guild", "<p>done</p>", "文章在这里结束。", "Wait… what?", "1 &lt; 2 is fine.",
+    "Text.\nSee also: https://a.example/b-c", "Text.\n\nTags: one, two", "Text.\nScore: 35/100", "Thanks\n– build team", "Text.\nSigned: design guild", "Text.\nKind regards,\nthe design guild", "Viele Grüße\nTeam Nord", "Hello World", "Our Story\n\nWelcome to the shop", "a,b,c\n1,2,3",
+    "2026-01-02 10:00 crawl begun\n2026-01-02 10:05 crawl of the second host of the night done", "<p>done</p>", "文章在这里结束。", "Wait… what?", "1 &lt; 2 is fine.",
 ]
 CUT = [
-    "A sentence that sto", "A sentence, then", "It ends with a comma,", "dropped here…", "dropped here...", "word [truncated]", "word\n[message clipped]", "word (1053 more characters)", "so … read more",
+    "A sentence that stops in the mid", "Text.\nIt goes on with a sentence that sto", "a <img src=\"data:" + "x" * 900, "a <a href='/x' title='" + "many words " * 90, "a <!-- note " + "word " * 300, "A sentence, then", "It ends with a comma,", "dropped here…", "dropped here...", "word [truncated]", "word\n[message clipped]", "word (1053 more characters)", "so … read more",
     "part\n<!-- rest left out -->", "left</p", "made <a hre", 'made <div class="no', "and &nbs", "soft=", "caf�", "```\ncode", "| a | b", "text. <b>", "[link](http://a", "Score: 97/10", "“I bought the",
 ]
 
 
 @pytest.mark.parametrize("text", WHOLE)
 def test_whole_endings(text):
-    assert truncation.ending(text)[0] != truncation.CUT
+    e = truncation.ending(text)
+    assert (e.status, e.form) in ((truncation.WHOLE, None), (truncation.OPEN, truncation.WHOLE))
 
 
 @pytest.mark.parametrize("text", CUT)
 def test_cut_endings(text):
-    assert truncation.ending(text)[0] == truncation.CUT
+    e = truncation.ending(text)
+    assert (e.status, e.form) in ((truncation.CUT, None), (truncation.OPEN, truncation.CUT))
 
 
 @settings(max_examples=200, deadline=None)
@@ -271,18 +285,23 @@ def test_endings_never_fail(text):
 def test_truncation_table(spark):
     base = "First line here.\n- let the table have a header row\n- name the button"
     docs = [
-        (1, "s", "Whole sentence."), (2, "s", "Cut senten"), (3, None, None), (4, "s", ""), (5, "s", " \n "), (6, "s", base + " after its action\n- last item"),
-        (7, "s", base), (8, "s", "Text.\n- let the table ha"), (9, "s", "Text.\n- let the table have a header row"), (10, None, "A long one. " * 30_000), (2, "s", "Cut senten"),
+        (1, "s", "Whole sentence."), (2, "s", "It is an unfinished and lonely senten"), (3, None, None), (4, "s", ""), (5, "s", " \n "), (6, "s", base + " after its action\n- last item"),
+        (7, "s", base), (8, "s", "Text.\n- let the table ha"), (9, "s", "Text.\n- let the table have a header row"), (10, None, "A long one. " * 30_000), (2, "s", "It is an unfinished and lonely senten"),
         (11, "s", "Text.\nSee https://a.example/x"), (12, "s", "Text.\nSee https://a.example/xyz and more.\nEnd."),
-        *((20 + k, "s", f"Text {k}.\n\nSigned: design guild") for k in range(4)), (24, "s", "Text.\n\nSigned: design gui"),
+        *((20 + k, "s", f"Text {k ** 9}.\n\nSigned: design guild") for k in range(4)), (24, "s", "Text.\n\nSigned: design gui"),
         (13, "s", "Other text.\nTags: one, two"), (14, "s", "Other text.\nTags: one, two  \nSigned: me"),
-    ] + [(100 + k, "limited", "y" * 39 + "k") for k in range(4)] + [(200, "limited", "Words here.\n- an item of its own w itself"[:40]), (201, "free", "Words here.\n- an item of its own w itself"[:40])]
+        (30, "s", "It weighs 17 grams less than the other one. End."), (31, "s", "Text. It weighs 250 gra"), (32, "s", "Nothing else, and 3 grams le"), (33, "s", "Much of it, and 4 grams less."),
+        (34, "s", "It weighs 18"), (35, "s", "Garden Chairs"), (36, "s", "Text.\n\nGarden Chairs\n\nMore text."), (37, "s", "Garden Chairs of wood are here."),
+        *((40 + k, "s", f"Text {k ** 9}.\nYours,\nthe catalog team") for k in range(4)), (44, "s", "Text.\nYours,\nthe catalog te"),
+    ] + [(100 + k, "limited", "y " * 19 + "yk") for k in range(4)] + [(200, "limited", "Words here.\n- an item of its own w itself"[:40]), (201, "free", "Words here.\n- an item of its own w itself"[:40])]
     df = spark.createDataFrame([(i, t, s, 1, True) for i, s, t in docs], "doc_id bigint, text string, source string, status int, is_cut boolean")
     rows = truncation.truncation(df)
-    got = sorted((r["doc_id"], r["is_cut"]) for r in rows.collect())
-    cut = [i for i, c in got if c]
-    assert len(got) == len(docs) - 3
-    assert cut == [2, 2, 7, 8, 11, 24, 100, 101, 102, 103, 200]
+    found = rows.collect()
+    why = {r["doc_id"]: r["reason"] for r in found}
+    cut = sorted(r["doc_id"] for r in found if r["is_cut"])
+    assert len(found) == len(docs) - 3
+    assert cut == [2, 2, 7, 8, 11, 24, 31, 32, 34, 44, 100, 101, 102, 103, 200]
+    assert [why[i] for i in (2, 7, 8, 31, 32, 34, 44, 200, 1, 35)] == ["ending", "copy", "copy", "copy", "clause", "copy", "copy", "limit", None, None]
     shares = {r["source"]: (r["n_texts"], r["n_cut"]) for r in truncation.by_source(rows).collect()}
     assert shares["limited"] == (5, 5) and shares["free"] == (1, 0) and shares[None] == (1, 0)
     assert truncation.truncation(df.filter("false")).count() == 0
