@@ -102,6 +102,10 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return p8_spans(spark, d).select("doc_id", "item_id")
 
 
+def p8_clean(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.cleaned_documents(_documents(spark, d), table(spark, d, "eval_items"))
+
+
 def p8_items(spark: SparkSession, d: str) -> DataFrame:
     return p8_spans(spark, d).groupBy("item_id").agg(F.count("*").alias("n_docs"), F.max("coverage").alias("best_coverage"))
 
@@ -114,7 +118,7 @@ def p9_sources(spark: SparkSession, d: str) -> DataFrame:
     return truncation.by_source(truncation.truncation(_documents(spark, d)))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_scores, p2_found, p2_restored, p3_found, p3_residue, p3_clean, p4_found, p4_terms, p4_values, p5_found, p5_pieces, p6_found, p6_records, p7_members, p7_containers, p8_found, p8_spans, p8_items, p9_found, p9_sources)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_scores, p2_found, p2_restored, p3_found, p3_residue, p3_clean, p4_found, p4_terms, p4_values, p5_found, p5_pieces, p6_found, p6_records, p7_members, p7_containers, p8_found, p8_spans, p8_clean, p8_items, p9_found, p9_sources)}
 
 _TERMS = r"""
 WITH tokens AS (

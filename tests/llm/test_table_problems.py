@@ -172,6 +172,7 @@ def test_token_sizes(spark):
 def test_seeds_against_brute_force(texts, stream):
     auto = leakage.Automaton(dict(enumerate(texts)))
     ids = [auto.vocabulary.get(w, 0) for w in stream]
+    finder = leakage.Finder(auto.arrays({i: [True] * len(t) for i, t in enumerate(texts)}, 2), {}, 2, 0.4, 0.75)
 
     def holders(part):
         return {i for i, t in enumerate(texts) if any(t[k : k + len(part)] == part for k in range(len(t) - len(part) + 1))}
@@ -183,7 +184,7 @@ def test_seeds_against_brute_force(texts, stream):
         if n >= 2 and (e == len(stream) or longest[e + 1] != n + 1):
             for i in holders(stream[e - n : e]):
                 expected[i].add((e - n, e))
-    assert {i: set(s) for i, s in auto.seeds(ids, 2, 99).items()} == dict(expected)
+    assert {i: set(s) for i, s in finder.seeds(ids).items()} == dict(expected)
 
 
 WORDS = [f"w{k}" for k in range(400)]
@@ -219,12 +220,41 @@ def test_leaks(spark):
     table = spark.createDataFrame([*items, items[2], (77, "t", None), (78, "t", "")], "item_id bigint, topic string, text string")
     got = sorted((r["doc_id"], r["item_id"]) for r in leakage.leaked_passages(df, table).collect())
     assert got == [(1, 2), (2, 2), (4, 2), (5, 2), (8, 2), (11, 5), (12, 1), (12, 4)]
-    blocks = sorted((r["doc_id"], r["item_id"]) for r in leakage.leaked_passages(df, table, block_bytes=2000, shared_by=1).collect())
-    assert set(got) <= set(blocks)  # smaller blocks know less of what items share
+    for size in (10, 2000, 8_000_000):
+        blocks = sorted((r["doc_id"], r["item_id"]) for r in leakage.leaked_passages(df, table, block_bytes=size).collect())
+        assert blocks == got
+    cleaned = leakage.cleaned_documents(df, table).collect()
+    assert len(cleaned) == len(docs)
+    for (i, t), r in zip(sorted(docs, key=str), sorted(cleaned, key=lambda r: str((r["doc_id"], dict(docs)[r["doc_id"]])))):
+        assert r["doc_id"] == i and (r["n_spans"] > 0) == (i in {d for d, _ in got})
+        assert (r["text"] == t) if not r["n_spans"] else len(r["text"]) + r["n_removed"] == len(t)
+    assert {r["doc_id"]: r["text"] for r in cleaned}[1] == noise + " w79" + noise
     assert leakage.leaked_passages(df.filter("false"), table).count() == 0
     assert leakage.leaked_passages(df, table.filter("false")).count() == 0
 
 
+@pytest.mark.parametrize("users", [1, 2, 3, 50])
+def test_passages_that_many_items_share(spark, users):
+    own = item(3)[0]
+    passage = " ".join(" ".join(own[a : a + 20]).capitalize() + "." for a in range(0, 80, 20))
+    near = passage.replace("w41", "other").replace("w62", "else")
+    items = [(k, f"Read this case. {passage}\n\nQuestion: What is thing {k}?\nAnswer: It is {k}.") for k in range(users)] + [(100, "Read this case. " + near + " Is it? No.")]
+    items += [(200 + k, item(10 + k)[1]) for k in range(5)]
+    docs = spark.createDataFrame([(1, "Before that. " + passage + " After it."), (2, "Read this case. " + " ".join(WORDS[:80:3]))], "doc_id bigint, text string")
+    table = spark.createDataFrame(items, "item_id bigint, text string")
+    found = leakage.leaked_passages(docs, table).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in found) == [(1, k) for k in [*range(users), 100]]
+    assert all(r["spans"][0]["begin"] == 13 for r in found if r["item_id"] < 100)
+    assert leakage.cleaned_documents(docs, table).filter("doc_id = 1").first()["text"] == "Before that. . After it."
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="abßİ́é\u00adﬁ =-&;<p>\n 한Ⅳ", max_size=40))
+def test_places_of_words(text):
+    found, places = leakage.words(text), leakage.word_places(text)
+    assert len(found) == len(places) and all(0 <= a < b <= len(text) for a, b in places)
+
+
 # --- 9 -----------------------------------------------------------------------------------
 
 
