@@ -2,10 +2,11 @@
 
 Unfilled placeholders and filler are found by rules in the title, the headings and
 the visible text. For notices, every record is reduced to its messages; numbers,
-addresses and dates are masked, messages with the same exact normalised hash are
-grouped across sources, and each distinct message is classified once, by phrase rules
-alone or, with weaker cues, by its recurrence over several sources. A page whose
-messages are notices and little else has nothing to say.
+addresses and dates are masked and messages with the same exact normalised hash are
+grouped across sources. A group is a notice by its phrase, by a weaker phrase and its
+recurrence over several sources, or, in any language, because pages that hold nothing
+else recur over many of them. A page whose messages are notices and little else has
+nothing to say.
 """
 
 from __future__ import annotations
@@ -23,10 +24,10 @@ from sitegauge.llm.skew import join_classes
 from sitegauge.session import cut_lineage
 
 PLACEHOLDER = re.compile(
-    r"\{\{[^{}\n]{1,60}\}\}|\{%[^%{}\n]{1,60}%\}|<%[=\-#]?[^%<>\n]{1,60}%>|[$#]\{[^{}\n]{1,60}\}"
-    r"|\[\[[A-Za-z][\w.\- ]*[_.A-Z][\w.\-]*\]\]|%%[A-Za-z][\w.]{1,40}%%|(?<![\w%])%[A-Z][A-Z_]{2,40}%(?![\w%])"
-    r"|@@[A-Za-z][\w.]{1,40}@@|(?<!\w)__[A-Z][A-Z0-9_]{1,40}__(?!\w)|(?<![\w$#{%])\{(?:[a-z][a-zA-Z]*(?:[_.][a-zA-Z]\w*)*|\d)\}(?![}\w])"
-    r"|\[(?i:insert|your|enter|add|put|replace)\s[^\[\]\n]{2,60}\]|<[A-Z][A-Z_]+(?: [A-Z][A-Z_]+)+>"
+    r"\{\{[^{}\n]+\}\}|\{%[^%{}\n]+%\}|<%[=\-#]?[^%<>\n]+%>|[$#]\{[^{}\n]+\}"
+    r"|\[\[[A-Za-z][\w.\- ]*[_.A-Z][\w.\-]*\]\]|%%[A-Za-z][\w.]+%%|(?<![\w%])%[A-Z][A-Z_]{2,}%(?![\w%])"
+    r"|@@[A-Za-z][\w.]+@@|(?<!\w)__[A-Z][A-Z0-9_]*[A-Z0-9]__(?!\w)|(?<![\w$#{%])\{(?:[a-z][a-zA-Z]*(?:[_.][a-zA-Z]\w*)*|\d)\}(?![}\w])"
+    r"|\[(?i:insert|your|enter|add|put|replace)\s[^\[\]\n]{2,}\]|<[A-Z][A-Z_]+(?: [A-Z][A-Z_]+)+>"
 )
 FILLER = re.compile(
     r"lorem ipsum|\bplaceholder (?:copy|text|content)\b|\btext to follow\b|\b(?:headline|title|text|copy|content|description|image|name) (?:goes|comes) here\b"
@@ -53,7 +54,7 @@ _MASKS = (
 _SERVER = re.compile(r"[\w.-]+/\d[\w.]*")
 _STATUS = re.compile(r"^\s*(?:status|http(?:/\d(?:\.\d)?)?|error)\s*\d{3}\s*[:\-–]\s*", re.I)
 
-#: Phrases by which a message is a notice whatever its frequency (Java syntax, on masked lower case).
+#: Phrases by which a message is a notice whatever its frequency (on masked lower case).
 STRONG = "|".join(
     (
         r"\b(?:enable|turn on|activate|allow|requires?|needs?)\b.{0,30}\b(?:javascript|scripts?)\b",
@@ -74,9 +75,17 @@ STRONG = "|".join(
 #: Cues that make a message a notice only where it recurs over several sources.
 WEAK = r"\b(?:error|unavailable|denied|blocked|expired|forbidden|maintenance|try again|disabled|not found|captcha|robot|javascript|erreur|fehler|erro|ошибка)\b"
 
-_SCHEMA = "page_id bigint, host string, field string, residue boolean, message binary, text string, n_words int"
-_NAMES = ["page_id", "host", "field", "residue", "message", "text", "n_words"]
-_TYPES = [pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.binary(), pa.string(), pa.int32()]
+#: What a long message goes on with if it is the trace of an error.
+TRACE = r"\bat [\w.$<>]+\(|\bline 0\b|\btraceback\b|\bstack trace\b|^\W*(?:#0|caused by)\b"
+
+_STRONG, _WEAK, _TRACE = re.compile(STRONG), re.compile(WEAK), re.compile(TRACE, re.M)
+_SENTENCE = re.compile(r"(?<=[.!?。！？])\s+")
+#: Longer messages are notices only by their first sentence, and as traces.
+_LONG = 60
+
+_SCHEMA = "page_id bigint, host string, field string, kind string, message binary, strength int, n_words int"
+_NAMES = ["page_id", "host", "field", "kind", "message", "strength", "n_words"]
+_TYPES = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary(), pa.int32(), pa.int32()]
 
 
 def masked(text: str) -> str:
@@ -117,61 +126,98 @@ def _page_has_residue(found: list[Block]) -> bool:
     return any(map(has_residue, shown))
 
 
-def _messages(found: list[Block], few: int) -> list[str] | None:
-    """The distinct messages of a page's own content, or None if it has over ``few`` of them."""
+def _messages(found: list[Block]) -> list[str]:
+    """The distinct messages of a page's own content, else its title."""
     own = list(dict.fromkeys(b.text for b in found if not b.region and b.kind not in ("title", "label", "button", "option", "alt") and b.linked < 0.8 * len(b.text) and not _SERVER.fullmatch(b.text)))
-    if not own:
-        own = [b.text for b in found if b.kind == "title"]
-    return own if len(own) <= few else None
+    return own or [b.text for b in found if b.kind == "title"]
+
+
+def strength(form: str, n_words: int, weak_words: int) -> int:
+    """2 for a masked message that its phrase makes a notice, 1 for one with a weak cue, else 0."""
+    if n_words > _LONG:
+        return 2 if _STRONG.search(_SENTENCE.split(form, maxsplit=1)[0]) and _TRACE.search(form) else 0
+    if _STRONG.search(form):
+        return 2
+    return 1 if n_words <= weak_words and _WEAK.search(form) else 0
+
 
+def _digest(text: str) -> bytes:
+    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
-def _extract(batches: Iterator[pa.RecordBatch], few: int) -> Iterator[pa.RecordBatch]:
-    def unit(page, host, field, text):
+
+def _page_units(found: list[Block], other_words: int, weak_words: int, page_words: int) -> list[tuple]:
+    """``kind, message, strength, n_words`` of a page that may have nothing to say.
+
+    A page of over ``page_words`` words with more than ``other_words`` in messages without
+    any cue has, whatever recurs, so reading stops there; nothing is lost by it."""
+    units, forms = [], []
+    words = others = 0
+    for text in _messages(found):
         n = len(_WORD.findall(text))
         form = masked(text)
-        return page, host, field, False, hashlib.blake2b(form.encode("utf-8", "surrogatepass"), digest_size=16).digest(), form if n <= 60 else None, n
-
+        degree = strength(form, n, weak_words)
+        words += n
+        others += 0 if degree else n
+        if others > other_words and words > page_words:
+            return []
+        forms.append(form)
+        units.append(("message", _digest(form), degree, n))
+    if forms and words <= page_words:
+        units.append(("page", _digest("\x00".join(["", *sorted(forms)])), 0, words))
+    return units
+
+
+def _extract(batches: Iterator[pa.RecordBatch], other_words: int, weak_words: int, page_words: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows: list[tuple] = []
         for page, host, html, error in zip(*(batch.column(i).to_pylist() for i in range(4))):
             if html and html.strip():
                 found = blocks(html)
                 if _page_has_residue(found):
-                    rows.append((page, host, "html", True, None, None, None))
-                elif (own := _messages(found, few)) is not None:
-                    rows.extend(unit(page, host, "html", t) for t in own)
+                    rows.append((page, host, "html", "template", None, None, None))
+                else:
+                    rows.extend((page, host, "html", *unit) for unit in _page_units(found, other_words, weak_words, page_words))
             if error and error.strip():
                 if PLACEHOLDER.search(error) or FILLER.search(error):
-                    rows.append((page, host, "fetch_error", True, None, None, None))
+                    rows.append((page, host, "fetch_error", "template", None, None, None))
                 else:
-                    texts = dict.fromkeys(_STATUS.sub("", b.text) for b in blocks(error) if b.kind != "alt")
-                    rows.extend(unit(page, host, "fetch_error", t) for t in texts if t)
+                    # the sentences of a page that the fetcher passed on
+                    for text in dict.fromkeys(x for b in blocks(error) if b.kind != "alt" for x in (b.text, *_SENTENCE.split(b.text))):
+                        form = masked(_STATUS.sub("", text))
+                        n = len(_WORD.findall(form))
+                        if n:
+                            rows.append((page, host, "fetch_error", "message", _digest(form), strength(form, n, weak_words), n))
         if rows:
             yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), _TYPES)], names=_NAMES)
 
 
-def residue(pages: DataFrame, few_messages: int = 12, other_words: int = 6, sources: int = 3, weak_words: int = 8) -> DataFrame:
+def residue(pages: DataFrame, other_words: int = 6, sources: int = 3, weak_words: int = 8, page_words: int = 40, page_sources: int = 5) -> DataFrame:
     """``page_id, field, reason`` of the records of ``page_id, host, html, fetch_error`` that
     hold residue (``template``) or nothing but a notice (``notice``).
 
-    A page of over ``few_messages`` distinct blocks, or with more than ``other_words``
-    words beside its notices, has something to say. In ``fetch_error`` any notice counts.
-    Messages of up to ``weak_words`` words with weak cues are notices if at least
-    ``sources`` hosts show them. Null,
+    A page with more than ``other_words`` words beside its notices has something to say. In
+    ``fetch_error`` one notice is enough; the fetcher's own reasons are no notices, as no
+    page shows them. A message is a notice by its phrase (``STRONG``); with weak cues and up
+    to ``weak_words`` words if at least ``sources`` hosts show it on pages that say nothing
+    else; a page of up to ``page_words`` words, in any language, if its whole content
+    recurs over ``page_sources`` hosts. Messages of more than sixty words are
+    notices if they begin as one and go on as a trace. Null,
     empty and blank texts hold nothing; a null host is a source of its own; a repeated
     row is reported once; other columns are not read.
     """
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("host").cast("string").alias("host"), F.col("html").cast("string").alias("html"), F.col("fetch_error").cast("string").alias("fetch_error"))
-    scanned = cut_lineage(rows.mapInArrow(lambda b: _extract(b, few_messages), _SCHEMA))
-    units = scanned.filter("not residue")
-    per_host = units.groupBy("message", "host").agg(F.count("*").alias("n"), F.min("text").alias("text"))
-    messages = per_host.groupBy("message").agg(F.sum("n").alias("n"), F.count("*").alias("n_hosts"), F.min("text").alias("text"))
-    notice = F.col("text").rlike(f"(?U){STRONG}") | ((F.col("n_hosts") >= sources) & (F.size(F.split("text", " ")) <= weak_words) & F.col("text").rlike(f"(?U){WEAK}"))
-    classes = messages.select("message", "n", F.coalesce(notice, F.lit(False)).alias("notice"))
-    judged = join_classes(units.select("page_id", "field", "message", "n_words"), classes, "message", F.col("n"), "page_id")
-    per_page = judged.groupBy("page_id", "field").agg(F.max("notice").alias("notice"), F.sum(F.when(F.col("notice"), 0).otherwise(F.col("n_words"))).alias("others"))
-    only = per_page.filter("notice").filter((F.col("field") == "fetch_error") | (F.col("others") <= other_words))
-    template = scanned.filter("residue").select("page_id", "field").distinct()
+    scanned = cut_lineage(rows.mapInArrow(lambda b: _extract(b, other_words, weak_words, page_words), _SCHEMA))
+    units = scanned.filter("kind <> 'template'")
+    # both counts are pre-aggregated per host, so a message that a third of all pages show is few rows
+    per_host = units.groupBy("message", "host").agg(F.count("*").alias("n"), F.count_if(F.col("field") == "html").alias("shown"), F.max("strength").alias("strength"), F.max("kind").alias("kind"))
+    messages = per_host.groupBy("message").agg(F.sum("n").alias("n"), F.count_if(F.col("shown") > 0).alias("n_hosts"), F.max("strength").alias("strength"), F.max("kind").alias("kind"))
+    by_phrase = (F.col("kind") == "message") & ((F.col("strength") == 2) | (F.col("strength") == 1) & (F.col("n_hosts") >= sources))
+    classes = messages.select("message", "n", by_phrase.alias("notice"), ((F.col("kind") == "page") & (F.col("n_hosts") >= page_sources)).alias("alone"))
+    judged = join_classes(units.select("page_id", "field", "kind", "message", "n_words"), classes, "message", F.col("n"), "page_id")
+    others = F.sum(F.when((F.col("kind") == "message") & ~F.col("notice"), F.col("n_words")).otherwise(0))
+    per_page = judged.groupBy("page_id", "field").agg(F.max("notice").alias("notice"), others.alias("others"), F.max("alone").alias("alone"))
+    only = per_page.filter("alone or notice").filter((F.col("field") == "fetch_error") | F.col("alone") | (F.col("others") <= other_words))
+    template = scanned.filter("kind = 'template'").select("page_id", "field").distinct()
     return template.select("page_id", "field", F.lit("template").alias("reason")).unionByName(only.select("page_id", "field", F.lit("notice").alias("reason")))
 
 

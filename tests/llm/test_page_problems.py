@@ -163,6 +163,26 @@ def test_weak_cues_need_recurrence(spark):
     assert residue.residue(spread).count() == 3
 
 
+def test_recurrence_in_any_language(spark):
+    strange = body("<h1>Tämä sivu ei ole käytettävissä juuri nyt.</h1><p>Yritä myöhemmin uudelleen, koodi 17.</p>")
+    few = pages(spark, [(k, f"h{k % 4}", strange, None) for k in range(9)])
+    many = pages(spark, [(k, f"h{k}", strange.replace("17", str(k)), "certificate has expired") for k in range(9)])
+    assert residue.residue(few).count() == 0
+    found = residue.residue(many).collect()
+    assert sorted((r["page_id"], r["field"]) for r in found) == [(k, "html") for k in range(9)]
+    article = pages(spark, [(k, f"h{k}", body(f"<p>{SENTENCE * 4}</p>"), None) for k in range(9)])
+    assert residue.residue(article).count() == 0
+
+
+def test_long_notices(spark):
+    trace = "Fatal error: Uncaught exception in the page. " + " ".join(f"at shop.Cart.load(Cart.java:{k})" for k in range(80))
+    lines = "<br>".join(f"Access denied. Ref {c}" for c in "abcdefghijklmnopq")
+    long_mark = "{{ " + "very_long_name." * 30 + "x }}"
+    prose = "This page is about sites under maintenance. " + SENTENCE * 20
+    rows = [(1, "a", body(f"<pre>{trace}</pre>"), None), (2, "a", body(f"<div>{lines}</div>"), None), (3, "a", None, trace), (4, "a", body(f"<p>{long_mark}</p>"), None), (5, "a", body(f"<p>{prose}</p>"), None)]
+    assert {r["page_id"]: r["reason"] for r in residue.residue(pages(spark, rows)).collect()} == {1: "notice", 2: "notice", 3: "notice", 4: "template"}
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="{}%_@[]<> todxlorem ipsumhere.ABgsc$#", max_size=50))
 def test_cues_lose_no_match(text):
