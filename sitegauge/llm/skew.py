@@ -13,23 +13,19 @@ def _salt(spread_by: str | Column, salts: int) -> Column:
 def join_classes(members: DataFrame, classes: DataFrame, key: str, size: Column, spread_by: str, salts: int = 16) -> DataFrame:
     """Inner join of ``members`` with ``classes`` (one row per ``key``).
 
-    Classes of over a thousand members a salt are joined on the key and a salt of the
-    member's ``spread_by`` column, the class row being repeated once per salt; all
-    others are joined on the key alone. ``size`` is the member count of a class.
+    ``size`` is the member count of a class, or a bound of it; see ``attach_classes``.
     """
-    large = size > 1000 * salts
-    small = members.join(classes.filter(~large), key)
-    repeated = classes.filter(large).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    spread = members.withColumn("_salt", _salt(spread_by, salts))
-    return small.unionByName(spread.join(repeated, [key, "_salt"]).drop("_salt"))
+    sized = classes.withColumn("_size", size).withColumn("_matched", F.lit(True))
+    return attach_classes(members, sized, key, "_size", spread_by, salts).filter("_matched").drop("_matched")
 
 
 def attach_classes(members: DataFrame, classes: DataFrame, key: str, size: str, spread_by: str, salts: int = 16) -> DataFrame:
     """Left join of ``members`` with ``classes`` (one row per ``key``): every member once.
 
-    Members of large classes are joined first, on key and salt, and then sent through the
-    join of the others under keys of their own, so no task gets a whole large class. A
-    null key has no class. The column ``size`` is dropped.
+    ``size`` is the member count of a class. Classes of over a thousand members a salt are
+    joined first, on the key and a salt of the member's ``spread_by`` column, the class row
+    being repeated once per salt; their members are then sent through the join of
+    the others under keys of their own, so no task gets a whole large class. A null key has no class. The column ``size`` is dropped.
     """
     given = [c for c in classes.columns if c not in (key, size)]
     large = F.col(size) > 1000 * salts
@@ -38,7 +34,7 @@ def attach_classes(members: DataFrame, classes: DataFrame, key: str, size: str,
     rest = classes.filter(~large).select(F.col(key).alias("_rest"), *[F.col(c).alias(f"_rest_{c}") for c in given])
     spread = members.withColumn("_salt", _salt(spread_by, salts))
     first = spread.join(hot, (F.col(key) == F.col("_hot")) & (spread["_salt"] == hot["_salt"]), "left").drop(spread["_salt"]).drop(hot["_salt"])
-    own = F.concat(F.lit("\x00"), F.xxhash64(spread_by, F.monotonically_increasing_id()).cast("string"))
+    own = F.concat(F.lit("\x00"), F.xxhash64(spread_by, F.monotonically_increasing_id()).cast("string")).cast(members.schema[key].dataType)
     second = first.withColumn("_own", F.when(F.col("_hot").isNotNull() | F.col(key).isNull(), own).otherwise(F.col(key)))
     both = second.join(rest, F.col("_own") == F.col("_rest"), "left")
     return both.select(*members.columns, *[F.coalesce(f"_hot_{c}", f"_rest_{c}").alias(c) for c in given])

@@ -3,8 +3,10 @@
 One scan splits every page's own content into prose and list material and counts the
 words and neighbouring pairs of all pages. Pages that are nearly all list material
 then get the mean pointwise mutual information of their neighbouring words, from the
-counts of the whole corpus, and the share of pairs that repeat within the page: word
-salad is less coherent than the corpus, stuffing repeats its collocations.
+counts of the whole corpus without the page itself. As rare words have high values
+whatever they stand next to, every pair is measured against the mean of all pairs of
+words as frequent as its own: word salad lies well below it. The share of pairs that
+repeat within the page tells repeated collocations.
 """
 
 from __future__ import annotations
@@ -19,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitegauge.llm.markup import Block, blocks
+from sitegauge.llm.residue import has_residue
+from sitegauge.llm.skew import join_classes
 from sitegauge.session import cut_lineage
 
 _WORD = re.compile(r"[^\W_]+")
@@ -96,8 +100,9 @@ def _scan(batches: Iterator[pa.RecordBatch], share: float, least: int, flush_at:
         for page, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             if not html:
                 continue
-            listed: list[list[str]] = []
+            shown: list[tuple[str, list[str], bool]] = []
             list_size = size = tags = sentences = 0
+            last = None
             for b in own_content(html):
                 found = _WORD.findall(b.text.lower())
                 words.update(found)
@@ -105,14 +110,26 @@ def _scan(batches: Iterator[pa.RecordBatch], share: float, least: int, flush_at:
                 size += len(b.text)
                 if is_prose(b):
                     sentences += len(_END.findall(b.text))
+                    shown.append((b.text, found, True))
+                    last = None
                 else:
                     list_size += len(b.text)
-                    listed.append(found)
+                    shown.append((b.text, found, False))
                     tags += len(_TAG.findall(b.text))
+                    # items of one word have their neighbours in other items
+                    if found:
+                        if last is not None:
+                            pairs[last, found[0]] += 1
+                        last = found[-1]
             if size and list_size >= share * size:
                 own: Counter[tuple[str, str]] = Counter()
-                for found in listed:
-                    own.update(zip(found, found[1:]))
+                last = None
+                for text, found, prose in shown:
+                    # unfilled templates are no keywords
+                    if found and not has_residue(text):
+                        run = found if prose or last is None else [last, *found]
+                        own.update(zip(run, run[1:]))
+                        last = None if prose else found[-1]
                 total = sum(own.values())
                 if total + tags >= least:
                     rows.append(("page", page, None, None, None, list_size / size, total, 1 - len(own) / max(total, 1), tags, sentences))
@@ -127,32 +144,52 @@ def _scan(batches: Iterator[pa.RecordBatch], share: float, least: int, flush_at:
     yield from counts()
 
 
-def stuffed_pages(pages: DataFrame, id_col: str = "page_id", html: str = "html", share: float = 0.8, least: int = 40, repeated: float = 0.3, tags: int = 10, flush_at: int = 500_000) -> DataFrame:
-    """``page_id, share, pairs, repeated, tags, sentences, mean_pmi, corpus_pmi, stuffed`` of every
-    page whose own content is list material for ``share`` or more, by length.
-
-    ``stuffed``: at least the share ``repeated`` of its neighbouring pairs are repeats, or
-    it has ``tags`` glued tags or more, or the mean PMI of its pairs lies below that of the
-    corpus. Fewer than ``least`` pairs and tags are too little to be keywords. Null and
-    empty html gives no rows; repeated rows are reported each; other columns are not read.
+def stuffed_pages(
+    pages: DataFrame,
+    id_col: str = "page_id",
+    html: str = "html",
+    share: float = 0.8,
+    least: int = 20,
+    incoherent: float = -0.35,
+    repeated: float = 0.3,
+    tags: int = 10,
+    flush_at: int = 500_000,
+) -> DataFrame:
+    """``page_id, share, pairs, repeated, tags, sentences, mean_pmi, coherence, stuffed, reason``
+    of every page whose own content is list material for ``share`` or more, by length.
+
+    ``coherence`` is the mean PMI of the page's neighbouring words less that of pairs of
+    words as frequent, in natural logarithms. ``reason`` is ``salad`` where it is
+    ``incoherent`` or less, else ``repetition`` where at least the share ``repeated`` of the
+    pairs are repeats, else ``tags`` where there are so many glued tags; ``stuffed`` are
+    the pages with a reason. Fewer than ``least`` pairs and tags are too little to be
+    keywords. Null and empty html gives no rows; repeated rows are reported each; other
+    columns are not read.
     """
     rows = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(html).cast("string").alias("html"))
     scanned = cut_lineage(rows.mapInArrow(lambda b: _scan(b, share, least, flush_at), _SCHEMA))
-    words = scanned.filter("kind = 'word'").groupBy("first").agg(F.sum("n").alias("n"))
+    words = cut_lineage(scanned.filter("kind = 'word'").groupBy("first").agg(F.sum("n").alias("n")))
     pairs = scanned.filter("kind = 'pair'").groupBy("first", "second").agg(F.sum("n").alias("n"))
     totals = scanned.filter("kind in ('word', 'pair')").groupBy("kind").agg(F.sum("n").alias("n")).collect()
     total = {r["kind"]: r["n"] for r in totals}
     scale = float(total.get("word", 1)) ** 2 / float(total.get("pair", 1))
-    scored = (
-        pairs.join(words.select("first", F.col("n").alias("n1")), "first")
-        .join(words.select(F.col("first").alias("second"), F.col("n").alias("n2")), "second")
-        .select("first", "second", "n", F.log(F.col("n") * F.lit(scale) / (F.col("n1").cast("double") * F.col("n2"))).alias("pmi"))
-    )
-    scored = cut_lineage(scored)
-    corpus = scored.agg((F.sum(F.col("n") * F.col("pmi")) / F.sum("n")).alias("m")).first()["m"]
-    own = scanned.filter("kind = 'own'").select("page_id", "first", "second", "n").join(scored.select("first", "second", "pmi"), ["first", "second"])
-    mean = own.groupBy("page_id").agg((F.sum(F.col("n") * F.col("pmi")) / F.sum("n")).alias("mean_pmi"))
+    # the commonest words have followers without number: their rows are salted
+    counted = join_classes(pairs, words.withColumn("n1", F.col("n")).select("first", "n1"), "first", F.col("n1"), "second")
+    counted = join_classes(counted, words.select(F.col("first").alias("second"), F.col("n").alias("n2")), "second", F.col("n2"), "first")
+    level = F.struct(*[F.floor(F.log2(c)).cast("int").alias(c) for c in ("n1", "n2")])
+    # log2 of a count is below 64, so this table has less than 4,096 rows
+    counted = cut_lineage(counted.withColumn("level", level))
+    pmi = F.log(F.col("n") * F.lit(scale) / (F.col("n1").cast("double") * F.col("n2")))
+    expected = counted.groupBy("level").agg((F.sum(F.col("n") * pmi) / F.sum("n")).alias("expected"))
+    key = F.concat_ws(" ", "first", "second")
+    own = scanned.filter("kind = 'own'").select("page_id", key.alias("pair"), F.col("n").alias("here"))
+    wanted = own.select("pair").distinct()
+    known = counted.withColumn("pair", key).join(wanted, "pair", "left_semi").join(F.broadcast(expected), "level")
+    known = known.select("pair", F.col("n").alias("everywhere"), (F.lit(scale) / (F.col("n1").cast("double") * F.col("n2"))).alias("factor"), "expected")
+    own = join_classes(own, known, "pair", F.col("everywhere"), "page_id")
+    elsewhere = F.log(F.greatest(F.col("everywhere") - F.col("here"), F.lit(0.5)) * F.col("factor"))
+    weight = F.sum("here")
+    mean = own.groupBy("page_id").agg((F.sum(F.col("here") * elsewhere) / weight).alias("mean_pmi"), (F.sum(F.col("here") * (elsewhere - F.col("expected"))) / weight).alias("coherence"))
     found = scanned.filter("kind = 'page'").select("page_id", "share", "pairs", "repeated", "tags", "sentences").join(mean, "page_id", "left")
-    found = found.withColumn("corpus_pmi", F.lit(corpus).cast("double"))
-    verdict = (F.col("repeated") >= repeated) | (F.col("tags") >= tags) | (F.col("mean_pmi") < F.col("corpus_pmi"))
-    return found.withColumn("stuffed", F.coalesce(verdict, F.lit(False)))
+    reason = F.when(F.col("coherence") <= incoherent, "salad").when(F.col("repeated") >= repeated, "repetition").when(F.col("tags") >= tags, "tags")
+    return found.withColumn("reason", reason).withColumn("stuffed", F.col("reason").isNotNull())

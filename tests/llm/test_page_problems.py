@@ -1,5 +1,7 @@
 """Problems 1 to 3 and 5, all on html."""
 
+import random
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -52,6 +54,27 @@ def test_stuffed_pages(spark):
     assert stuffing.stuffed_pages(empty(spark)).count() == 0
 
 
+def test_word_salad_is_less_coherent_than_prose(spark):
+    rng = random.Random(5)
+    nouns, verbs, places = [f"noun{k}" for k in range(30)], [f"verb{k}" for k in range(30)], [f"place{k}" for k in range(30)]
+
+    def sentence():
+        k = rng.randrange(30)
+        return f"The {nouns[k]} of our shop {verbs[k]} every day near the {places[k]} by the river."
+
+    everything = [*nouns, *verbs, *places, "the", "of", "our", "shop", "every", "day", "near", "by", "river"]
+    prose = [(k, "a", body("".join(f"<p>{sentence()}</p>" for _ in range(12))), None) for k in range(80)]
+    salad = [(100 + k, "a", body("<ul>" + "".join(f"<li>{rng.choice(everything)}</li>" for _ in range(80)) + "</ul>"), None) for k in range(5)]
+    df = pages(spark, prose + salad)
+    scored = {r["page_id"]: r["reason"] for r in stuffing.stuffed_pages(df).collect()}
+    assert scored == {100 + k: "salad" for k in range(5)}
+    # without the test for prose every page is scored, and coherence alone tells them apart
+    alone = stuffing.stuffed_pages(df, share=0.0)
+    assert alone.count() == 85 and {r["page_id"] for r in alone.filter("reason = 'salad'").collect()} == set(scored)
+    templates = body("<p>%TITLE% %NAME%</p>" + "".join(f"<p>{{{{ item.word_{k} }}}} {{{{ item.other_{k} }}}}</p>" for k in range(30)))
+    assert stuffing.stuffed_pages(pages(spark, [*prose, (1, "a", templates, None)])).count() == 0
+
+
 def test_mean_pmi_against_brute_force(spark):
     from collections import Counter
     from math import log
