@@ -5,10 +5,11 @@ Both run as Arrow batches over the pages; nothing leaves a page, so nothing is s
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Iterator
+from itertools import islice
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -59,43 +60,41 @@ def _spans(page: str, tag: str) -> list[tuple[int, int]]:
     return sorted((b, e) for b, e in found.items() if b in openers)
 
 
-def top_segments(page: str, top: int = 5, most: int = 80) -> list[tuple[str, float, int, int, str]]:
-    """``(tag, ratio, markup_bytes, visible_chars, snippet)`` of the heaviest segments.
+def _shape(snippet: str) -> str:
+    """What is left of a snippet's structure without texts and attribute values."""
+    bare = re.sub(r">[^<]*<", "><", re.sub(r"=[\"'][^\"']*[\"']", '=""', snippet))
+    return " ".join(bare.split())[:200]
+
+
+def top_segments(page: str, top: int = 5, most: int = 80) -> list[tuple[str, float, int, int, int, int, str]]:
+    """``(tag, ratio, markup_bytes, visible_chars, begin, end, snippet)`` of the heaviest segments.
 
     The first ``most`` segments of 300 to 60,000 units with five visible units or more, by
     tag and position, compete; heavier ones exclude those they overlap, and of equal
     structure only the heaviest stays.
     """
-    pool = []
-    for tag in SEGMENT_TAGS:
-        for begin, end in _spans(page, tag):
-            if len(pool) == most:
-                break
-            if 300 <= end - begin <= 60_000:
-                markup, visible = _weigh(page[begin:end])
-                if visible >= 5:
-                    pool.append((math.floor(markup / visible * 100 + 0.5) / 100, begin, end, tag, markup, visible))
-    pool.sort(key=lambda c: -c[0])
-    chosen: list[tuple[int, int]] = []
-    shapes, out = set(), []
-    for share, begin, end, tag, markup, visible in pool:
-        if any(begin < e and end > b for b, e in chosen):
-            continue
-        snippet = page[begin:end][:500]
-        shape = " ".join(re.sub(r">[^<]*<", "><", re.sub(r"=[\"'][^\"']*[\"']", '=""', snippet)).split())[:200]
-        if shape in shapes:
-            continue
-        shapes.add(shape)
-        chosen.append((begin, end))
-        out.append((tag, share, markup, visible, snippet))
-        if len(out) == top:
-            break
+    spans = ((tag, *span) for tag in SEGMENT_TAGS for span in _spans(page, tag) if 300 <= span[1] - span[0] <= 60_000)
+    weighed = ((tag, begin, end, *_weigh(page[begin:end])) for tag, begin, end in spans)
+    pool = list(islice((w for w in weighed if w[4] >= 5), most))
+    if not pool:
+        return []
+    begins, ends, markup, visible = (np.array([w[k] for w in pool]) for k in (1, 2, 3, 4))
+    ratios = np.floor(markup / visible * 100 + 0.5) / 100
+    names: dict[str, int] = {}
+    shapes = np.array([names.setdefault(_shape(page[b:e][:500]), len(names)) for b, e in zip(begins, ends)])
+    alive = np.ones(len(pool), bool)
+    out = []
+    # every pick removes itself, what it overlaps and what is built like it
+    while alive.any() and len(out) < top:
+        k = int(np.argmax(np.where(alive, ratios, -1.0)))
+        out.append((pool[k][0], float(ratios[k]), int(markup[k]), int(visible[k]), int(begins[k]), int(ends[k]), page[begins[k] : ends[k]][:500]))
+        alive &= ((ends <= begins[k]) | (begins >= ends[k])) & (shapes != shapes[k])
     return out
 
 
 def _segments(batches: Iterator[pa.RecordBatch], top: int) -> Iterator[pa.RecordBatch]:
-    kinds = [pa.int64(), pa.int32(), pa.string(), pa.float64(), pa.int32(), pa.int32(), pa.string()]
-    names = ["page_id", "rank", "tag", "ratio", "markup_bytes", "visible_chars", "snippet"]
+    kinds = [pa.int64(), pa.int32(), pa.string(), pa.float64(), *[pa.int32()] * 4, pa.string()]
+    names = ["page_id", "rank", "tag", "ratio", "markup_bytes", "visible_chars", "begin", "end", "snippet"]
     for batch in batches:
         rows = [(i, k + 1, *s) for i, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if page for k, s in enumerate(top_segments(page, top))]
         if rows:
@@ -103,9 +102,9 @@ def _segments(batches: Iterator[pa.RecordBatch], top: int) -> Iterator[pa.Record
 
 
 def bloated_segments(pages: DataFrame, top: int = 5) -> DataFrame:
-    """``page_id, rank, tag, ratio, markup_bytes, visible_chars, snippet``; null html gives no rows."""
+    """``page_id, rank, tag, ratio, markup_bytes, visible_chars, begin, end, snippet``; null html gives no rows."""
     rows = pages.select(F.col("page_id").cast("bigint"), "html")
-    return rows.mapInArrow(lambda b: _segments(b, top), "page_id bigint, rank int, tag string, ratio double, markup_bytes int, visible_chars int, snippet string")
+    return rows.mapInArrow(lambda b: _segments(b, top), "page_id bigint, rank int, tag string, ratio double, markup_bytes int, visible_chars int, begin int, end int, snippet string")
 
 
 def _size(text: str) -> int:
@@ -117,73 +116,119 @@ def byte_prefix(text: str, most: int) -> str:
     return text.encode("utf-8", "surrogatepass")[: max(most, 0)].decode("utf-8", "ignore")
 
 
-def byte_slices(text: str, most: int) -> list[str]:
-    out = []
-    while text and (head := byte_prefix(text, most)):
-        out.append(head)
-        text = text[len(head) :]
+def slices(text: str, most: int) -> list[str]:
+    """A text in runs of whole characters of at most ``most`` bytes; none if not one fits."""
+    widths = _widths(text)
+    out, at = [], 0
+    while at < len(text):
+        until = int(np.searchsorted(widths, widths[at] + most, "right")) - 1
+        if until == at:
+            break
+        out.append(text[at:until])
+        at = until
     return out
 
 
-def sibling_starts(text: str) -> list[int]:
-    """Where elements at the top level begin, the first one left out."""
-    depth, seen, found = 0, False, []
-    for m in _ANY_TAG.finditer(text):
-        leaf = m[3].endswith("/") or m[2].lower() in VOID_TAGS
-        if leaf or not m[1]:
-            if depth == 0 and seen:
-                found.append(m.start())
-            seen = True
-            depth += 0 if leaf else 1
-        else:
-            depth = max(0, depth - 1)
-    return found
-
-
-def unwrap(text: str) -> tuple[str, str, str] | None:
-    """``(opening, inner, closing)`` of a text that one element encloses."""
-    opening = re.match(r"\s*<([a-zA-Z][a-zA-Z0-9-]*)(?![A-Za-z0-9_])[^>]*>", text)
-    if not opening or opening[1].lower() in VOID_TAGS:
-        return None
-    closing = re.search(rf"</\s*{re.escape(opening[1])}\s*>\s*\Z", text, re.I)
-    if not closing or closing.start() < opening.end():
-        return None
-    return text[: opening.end()], text[opening.end() : closing.start()], text[closing.start() :]
-
-
-def fill(parts: list[str], most: int) -> list[str]:
-    """Parts in order, as many together as fit; oversized ones are divided further.
-
-    A part of white space alone joins the next and is dropped at the end.
+def _widths(text: str) -> np.ndarray:
+    """Bytes before every character, and before the end."""
+    if text.isascii():
+        return np.arange(len(text) + 1)
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return np.concatenate([[0], np.cumsum(1 + (codes > 0x7F) + (codes > 0x7FF) + (codes > 0xFFFF))])
+
+
+class Markup:
+    """A text with the tags of one pass over it: where they begin and how they change the depth."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.widths = _widths(text)
+        found = [(m.start(), m.end(), m[3].endswith("/") or m[2].lower() in VOID_TAGS, bool(m[1])) for m in _ANY_TAG.finditer(text)]
+        begin, end, leaf, closing = (np.array([f[k] for f in found], t) for k, t in enumerate((np.int64, np.int64, bool, bool)))
+        self.begin, self.end, self.leaf = begin, end, leaf
+        self.starting = leaf | ~closing
+        self.step = np.where(leaf, 0, np.where(closing, -1, 1))
+
+    def size(self, a: int, b: int) -> int:
+        return int(self.widths[b] - self.widths[a])
+
+    def siblings(self, a: int, b: int) -> list[int]:
+        """Where the elements at the top level of a range begin, the first one left out.
+
+        A closing tag without an opening one does not go below the top level: the depth is
+        the running sum of the steps above its own lowest point so far.
+        """
+        i, j = np.searchsorted(self.begin, [a, b])
+        before = np.concatenate([[0], np.cumsum(self.step[i:j])])[:-1]
+        depth = before - np.minimum(np.minimum.accumulate(before), 0) if j > i else before
+        top = np.flatnonzero((depth == 0) & self.starting[i:j])
+        return (self.begin[i + top[1:]]).tolist()
+
+    def inside(self, a: int, b: int) -> tuple[int, int] | None:
+        """The range between the tags of the one element that encloses a range."""
+        i = int(np.searchsorted(self.begin, a))
+        if i == len(self.begin) or self.end[i] > b or self.text[a : self.begin[i]].strip():
+            return None
+        name = _ANY_TAG.match(self.text, int(self.begin[i]))
+        if name[1] or name[2].lower() in VOID_TAGS:
+            return None
+        last = self.text.rfind("<", a, b)
+        if last < self.end[i] or not re.compile(rf"</\s*{re.escape(name[2])}\s*>\s*\Z", re.I).match(self.text[last:b]):
+            return None
+        return int(self.end[i]), last
+
+
+def pack(markup: Markup, ranges: list[tuple[int, int]], most: int) -> list[str | tuple[int, int]]:
+    """Ranges in order, as many together as fit, as text; those over the budget stay ranges.
+
+    A range of white space alone joins the next text and is dropped at the end.
     """
-    out, held, size = [], "", 0
-    for part in parts:
-        n = _size(part)
-        if n > most or size + n > most:
-            if held.strip():
-                out.append(held)
-                held, size = "", 0
+    out: list[str | tuple[int, int]] = []
+    held = ""
+    room = most
+    for a, b in ranges:
+        n = markup.size(a, b)
+        if n > room and held.strip():
+            out.append(held)
+            held, room = "", most
         if n > most:
-            out.extend(divide(part, most))
+            out.append((a, b))
         else:
-            held, size = held + part, size + n
+            held, room = held + markup.text[a:b], room - n
     return [*out, held] if held.strip() else out
 
 
-def divide(text: str, most: int) -> list[str]:
-    """Pieces of an oversized block: between siblings, else inside its wrapper, else by bytes."""
-    if _size(text) <= most:
-        return [text]
-    if starts := sibling_starts(text):
-        cuts = [0, *starts, len(text)]
-        parts = [text[a:b] for a, b in zip(cuts, cuts[1:]) if b > a]
-        if len(parts) > 1:
-            return fill(parts, most)
-    if (peeled := unwrap(text)) and peeled[1] and (inner := divide(peeled[1], most)):
-        inner[0] = peeled[0] + inner[0]
-        inner[-1] += peeled[2]
-        return [x for piece in inner for x in (byte_slices(piece, most) if _size(piece) > most else [piece])]
-    return byte_slices(text, most)
+def divide(markup: Markup, a: int, b: int, most: int) -> list[str]:
+    """A range in pieces within the budget: between siblings, else inside the element that
+    encloses it, whose tags stay with the first and the last piece, else by bytes."""
+    out: list[str] = []
+    work: list[tuple] = [("range", a, b)]
+    while work:
+        kind, *what = work.pop()
+        if kind == "text":
+            out.append(what[0])
+        elif kind == "wrap":
+            # the pieces of what the element holds are those from ``first`` on
+            first, opening, closing = what
+            out[first] = opening + out[first]
+            out[-1] += closing
+            out[-1:] = _within(out[-1], most)
+            out[first : first + 1] = _within(out[first], most)
+        elif markup.size(*what) <= most:
+            out.append(markup.text[what[0] : what[1]])
+        elif cuts := markup.siblings(*what):
+            bounds = [what[0], *cuts, what[1]]
+            parts = pack(markup, [r for r in zip(bounds, bounds[1:]) if r[0] < r[1]], most)
+            work += [("text", p) if isinstance(p, str) else ("range", *p) for p in reversed(parts)]
+        elif (inner := markup.inside(*what)) and markup.text[inner[0] : inner[1]].strip():
+            work += [("wrap", len(out), markup.text[what[0] : inner[0]], markup.text[inner[1] : what[1]]), ("range", *inner)]
+        else:
+            out.extend(slices(markup.text[what[0] : what[1]], most))
+    return out
+
+
+def _within(text: str, most: int) -> list[str]:
+    return [text] if _size(text) <= most else slices(text, most) or [text]
 
 
 def _head_split(text: str) -> tuple[str, str, str]:
@@ -211,19 +256,15 @@ def chunks(stripped: str, most: int = CHUNK_BYTES) -> list[str]:
     out = []
     if head:
         whole = f"{before}{head}\n<!-- chunk:head -->"
-        out = [whole] if _size(whole) <= most else [x + "\n<!-- chunk:head-part -->" for x in divide(whole, most)]
-    held, size = "", 0
-    for part in (p for p in _AT_LANDMARK.split(body) if p.strip()):
-        n = _size(part)
-        if held.strip() and size + n > most:
-            out.append(held)
-            held, size = "", 0
-        if n > most:
-            out.extend(x + "\n<!-- chunk:body-part -->" for x in divide(part, most))
+        out = [whole] if _size(whole) <= most else [x + "\n<!-- chunk:head-part -->" for x in divide(Markup(whole), 0, len(whole), most)]
+    starts = sorted({0, *(m.start() for m in _AT_LANDMARK.finditer(body)), len(body)})
+    whole_body = Markup(body)
+    for part in pack(whole_body, [(a, b) for a, b in zip(starts, starts[1:]) if body[a:b].strip()], most):
+        if isinstance(part, str):
+            out.append(part)
         else:
-            held, size = held + part, size + n
-    if held.strip():
-        out.append(held)
+            text = body[part[0] : part[1]]
+            out.extend(x + "\n<!-- chunk:body-part -->" for x in divide(Markup(text), 0, len(text), most))
     return out or [stripped]
 
 

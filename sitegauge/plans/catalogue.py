@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sitegauge import streaming
 from sitegauge.functions import text
+from sitegauge.functions.patterns import java
 from sitegauge.functions.patterns import linear as L
 from sitegauge.operators import evaluations, fragments, locate, metrics, resources, rules, views
 from sitegauge.plans import rule_sql
@@ -142,6 +143,30 @@ def html_chunks(spark: SparkSession, d: str) -> DataFrame:
     return fragments.html_chunks(pages(spark, d)).select("page_id", "chunk", "bytes", F.md5("text").alias("digest"))
 
 
+_STRIPPED_HTML = f"""regexp_replace(regexp_replace(regexp_replace(regexp_replace({_MARKUP}, '[\\t\\f\\x0B]+', ' ', 'g'), ' {{2,}}', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), {L('^' + chr(92) + 's+|' + chr(92) + 's+$')}, '', 'g')"""
+
+
+@query(f"SELECT page_id, md5(regexp_replace(s, {L(chr(92) + 's+')}, '', 'g')) AS digest, true AS within FROM (SELECT page_id, {_STRIPPED_HTML} AS s FROM pages WHERE html IS NOT NULL)")
+def chunks_reassembled(spark: SparkSession, d: str) -> DataFrame:
+    """The chunks of a page put together again without their marks and white space, and whether
+    every one keeps to the budget and the room for a mark."""
+    parts = fragments.html_chunks(pages(spark, d))
+    whole = parts.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("chunk", "text"))).alias("c"), F.max("bytes").alias("most"))
+    joined = F.regexp_replace(F.array_join(F.transform("c", lambda c: c["text"]), ""), java(r"\s+"), "")
+    joined = F.regexp_replace(joined, "<!--chunk:[a-z-]+-->", "")
+    return whole.select("page_id", F.md5(joined).alias("digest"), (F.col("most") <= fragments.CHUNK_BYTES + 64).alias("within"))
+
+
+@query("SELECT CAST(0 AS BIGINT) AS n_overlapping, CAST(0 AS BIGINT) AS n_misplaced")
+def segments_disjoint(spark: SparkSession, d: str) -> DataFrame:
+    """How many segments of a page overlap another one of its five, or do not stand where they say."""
+    placed = fragments.bloated_segments(pages(spark, d)).join(pages(spark, d).select("page_id", "html"), "page_id")
+    begins = F.startswith(F.substr("html", F.col("begin") + 1, F.length("snippet")), F.col("snippet"))
+    of_page = placed.groupBy("page_id").agg(F.collect_list(F.struct("begin", "end")).alias("spans"), F.count_if(~begins).alias("bad"))
+    clash = F.exists("spans", lambda a: F.size(F.filter("spans", lambda b: (a["begin"] < b["end"]) & (b["begin"] < a["end"]))) > 1)
+    return of_page.agg(F.count_if(clash).alias("n_overlapping"), F.coalesce(F.sum("bad"), F.lit(0)).alias("n_misplaced"))
+
+
 _FACTS = f"""SELECT page_id, {rule_sql._strip("coalesce(html, '')", text.INERT)} AS s, coalesce(html, '') AS html FROM pages"""
 _COUNTED = ("h1", "main", "nav", "header", "footer", "div", "span")
 

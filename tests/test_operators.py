@@ -1,5 +1,8 @@
 import random
+import re
 
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from sitegauge import sources, streaming
@@ -40,6 +43,7 @@ def test_segments():
     found = fr.top_segments("<main>" + heavy + light + heavy + "</main>")
     assert found[0][0] == "div" and found[0][1] > 50
     assert [f[0] for f in found].count("div") == 1  # of equal structure only one stays
+    assert all(a[5] <= b[4] or b[5] <= a[4] for a in found for b in found if a is not b)
     assert fr.top_segments("<div>" + "x" * 10 + "</div>") == []
     assert fr.top_segments("<div>" * 5000) == []
 
@@ -52,13 +56,24 @@ def test_chunks():
     assert "".join(p.split("\n<!-- chunk")[0] for p in parts).count("x") == 1500
     one = "<main>" + "ä" * 3000 + "</main>"
     assert all(len(p.encode()) <= 800 + 64 for p in fr.chunks(one, 800))
-    assert fr.byte_prefix("äöü", 3) == "ä" and fr.byte_slices("äöü", 1) == []
-    assert fr.unwrap("<br>x") is None and fr.unwrap("<p>a</p>") == ("<p>", "a", "</p>")
-    assert fr.sibling_starts("<p>a</p><p>b</p><br><i></i>") == [8, 16, 20]
+    assert fr.byte_prefix("äöü", 3) == "ä" and fr.slices("äöü", 1) == [] and fr.slices("äöüx", 4) == ["äö", "üx"]
+    marked = fr.Markup("</b><p>a</p><p>b</p><br><i></i>")
+    assert marked.siblings(0, 31) == [12, 20, 24] and marked.siblings(4, 12) == [] and marked.inside(4, 12) == (7, 8) and marked.inside(20, 24) is None
+    deep = "<div>" * 3000 + "x" * 500 + "</div>" * 3000
+    assert "".join(fr.divide(fr.Markup(deep), 0, len(deep), 200)) == deep
     short, cut = fr.capped("<head>h</head>" + "b" * 500, 100)
     assert cut and short.startswith("<head>h</head>b") and len(short) <= 100
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(["<div>", "</div>", "<p>", "</p>", "<br>", " ", "\n", "xx", "é", "<main>", "</main>", "<i/>", "<head>", "</head>"]), max_size=40), st.integers(8, 60))
+def test_chunks_keep_the_text(parts, most):
+    page = "".join(parts)
+    joined = re.sub("<!--chunk:[a-z-]+-->", "", "".join("".join(re.sub(r"\n<!-- chunk:[a-z]+-part -->$", "", c) for c in fr.chunks(page, most)).split()))
+    assert joined == "".join(page.split())
+    assert all(len(c.encode()) <= most + 64 for c in fr.chunks(page, most)) or not page.strip()
+
+
 def test_evaluations(spark):
     facts = spark.createDataFrame([(1, 1, 1, False), (2, 0, 0, True)], "page_id bigint, h1_count int, main_count int, has_root boolean")
     cases = [
