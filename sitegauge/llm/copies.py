@@ -60,14 +60,17 @@ def parse_payloads(df: DataFrame, payload: str = "payload") -> DataFrame:
 def _keyed(df: DataFrame, id_col: str, plain: list[str], markup: list[str]) -> DataFrame:
     """``id, key`` of the records that share their cheap invariant with another."""
     wanted = [*plain, *markup]
-    rows = df.select(F.col(id_col).alias("_id"), *[F.col(c).cast("string").alias(f"_{i}") for i, c in enumerate(wanted)])
+    given = df.select(F.col(id_col).alias("_id"), *[F.col(c).cast("string").alias(f"_{i}") for i, c in enumerate(wanted)])
     cells = [F.col(f"_{i}") for i in range(len(wanted))]
-    rows = rows.withColumn("_s", strip_noise(F.concat_ws("", *cells)))
+    rows = given.withColumn("_s", strip_noise(F.concat_ws("", *cells)))
     nulls = F.concat(*[F.when(c.isNull(), "1").otherwise("0") for c in cells])
     counts = [F.length(F.col("_s")) - F.length(F.replace(F.col("_s"), F.lit(x), F.lit(""))) for x in HISTOGRAM]
     rows = rows.withColumn("_cheap", F.xxhash64(nulls, F.length("_s"), *counts)).drop("_s")
-    shared = rows.groupBy("_cheap").agg(F.count("*").alias("_n")).filter("_n > 1").select("_cheap")
-    rows = rows.join(shared, "_cheap", "left_semi")
+    # only ids and invariants travel to find the shared ones; the texts move once, by their ids
+    cheap = cut_lineage(rows.filter("_id is not null").select("_id", "_cheap"))
+    shared = cheap.groupBy("_cheap").agg(F.count("*").alias("_n")).filter("_n > 1")
+    wanted = join_classes(cheap, shared, "_cheap", F.col("_n"), "_id").select("_id")
+    rows = given.join(wanted, "_id", "left_semi")
     forms = [normal_markup(c) if i >= len(plain) else strip_noise(c) for i, c in enumerate(cells)]
     # concat_ws skips nulls, so a missing cell gets a letterless mark that no normal form holds
     form = F.concat_ws("\x1f", *[F.coalesce(f, F.lit("\x1e")) for f in forms])
@@ -80,7 +83,7 @@ def formatting_copies(df: DataFrame, id_col: str, plain: list[str], markup: list
     Records are equal if every ``plain`` and ``markup`` cell agrees apart from
     white space, letter case, punctuation, symbols and attribute order; a null
     equals only a null, and an empty cell is not a null. Rows that repeat an id
-    count as one record. A class of any size is handled: counts are aggregated
+    count as one record, rows without an id as none. A class of any size is handled: counts are aggregated
     before the shuffle and the join back is salted on the side of the records.
     """
     keyed = cut_lineage(_keyed(df, id_col, plain, markup))

@@ -3,19 +3,23 @@
 Sizes are tokens of a public tokenizer. The histogram of sizes, whose length the
 capacity bounds, is all that reaches the driver. There patterns of a few sizes that
 fill a container are enumerated on a grid, their repeat counts are fitted to the
-histogram by non-negative least squares and rounded down, and what remains is packed
-best fit first, into gaps of the patterns and then into new containers. The plan says
+histogram by non-negative least squares and rounded down. The last item of every
+container is chosen by the room that is really left, and what remains is packed best fit
+first, into gaps of the patterns and then into new containers. The plan says
 which ranks of every size go where; the items are ranked and placed in parallel.
 """
 
 from __future__ import annotations
 
 import base64
+import bisect
+import os
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,7 +28,6 @@ from sitegauge.session import cut_lineage
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How the rank file's vocabulary splits text before merging (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-_LONG = 200_000
 
 
 def load_tokenizer(path: str):
@@ -35,8 +38,8 @@ def load_tokenizer(path: str):
     return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def _sizes(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    encode = load_tokenizer(path).encode_ordinary
+def _sizes(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[pa.RecordBatch]:
+    encode = load_tokenizer(SparkFiles.get(name)).encode_ordinary
     for batch in batches:
         ids, counts = [], []
         for id_, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -47,8 +50,11 @@ def _sizes(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBa
 
 
 def token_sizes(df: DataFrame, id_col: str, text: str, tokenizer: str = TOKENIZER) -> DataFrame:
-    """``id, n_tokens`` of every text that is not blank."""
-    return df.select(F.col(id_col).cast("bigint"), F.col(text).cast("string")).mapInArrow(lambda b: _sizes(b, tokenizer), "id bigint, n_tokens bigint")
+    """``id, n_tokens`` of every text that is not blank. The tokenizer's file lies where the
+    driver runs and is sent to the executors."""
+    df.sparkSession.sparkContext.addFile(tokenizer)
+    name = os.path.basename(tokenizer)
+    return df.select(F.col(id_col).cast("bigint"), F.col(text).cast("string")).mapInArrow(lambda b: _sizes(b, name), "id bigint, n_tokens bigint")
 
 
 def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 2000) -> np.ndarray:
@@ -98,42 +104,72 @@ def _patterns(bins: list[int], full: int) -> list[Counter[int]]:
     return [Counter(p) for p in sorted(found)]
 
 
-def plan_containers(histogram: dict[int, int], capacity: int, grid: int = 128) -> list[tuple[dict[int, int], int]]:
-    """Containers as ``(sizes with their counts, repeats)`` that use up the histogram."""
-    left = {s: c for s, c in histogram.items() if c > 0}
+def _largest(sizes: list[int], left: dict[int, int], taken: Counter[int], room: int) -> int | None:
+    """The largest size not used up that fits ``room``; sizes used up for good are dropped."""
+    k = bisect.bisect_right(sizes, room)
+    while k:
+        s = sizes[k - 1]
+        if left[s] > taken[s]:
+            return s
+        if left[s] == 0:
+            del sizes[k - 1]
+        k -= 1
+    return None
+
+
+def _pattern_groups(left: dict[int, int], capacity: int, grid: int) -> list[tuple[dict[int, int], int]]:
+    """Containers by the fitted patterns; what they use is taken off ``left``.
+
+    A pattern says which bins its items come from; the last one, and whatever still fits
+    then, is the largest size that there is for the room that is really left.
+    """
     width = max(1, -(-capacity // grid))
     full = capacity // width
     of_bin: dict[int, list[int]] = {}
     for s in sorted(left, reverse=True):
         of_bin.setdefault(-(-s // width), []).append(s)
     bins = sorted(b for b in of_bin if b <= full)
-    groups: list[tuple[dict[int, int], int]] = []
     patterns = _patterns(bins, full)
-    if patterns:
-        at = {b: i for i, b in enumerate(bins)}
-        a = np.zeros((len(bins), len(patterns)))
-        for k, p in enumerate(patterns):
-            for b, m in p.items():
-                a[at[b], k] = m
-        h = np.array([sum(left[s] for s in of_bin[b]) for b in bins], float)
-        fitted = nnls(a, h)
-        for k in np.argsort(-fitted):
-            repeats = int(fitted[k] + 1e-6)
-            if repeats < 1:
+    if not patterns:
+        return []
+    at = {b: i for i, b in enumerate(bins)}
+    a = np.zeros((len(bins), len(patterns)))
+    for k, p in enumerate(patterns):
+        for b, m in p.items():
+            a[at[b], k] = m
+    fitted = nnls(a, np.array([sum(left[s] for s in of_bin[b]) for b in bins], float))
+    sizes = sorted(left)
+    groups: list[tuple[dict[int, int], int]] = []
+    for k in np.argsort(-fitted):
+        repeats = int(fitted[k] + 1e-6)
+        if repeats < 1:
+            break
+        *slots, _ = sorted(patterns[k].elements(), reverse=True)
+        while repeats > 0:
+            taken: Counter[int] = Counter()
+            for b in slots:
+                s = next((s for s in of_bin[b] if left[s] > taken[s]), None)
+                if s is None:
+                    break
+                taken[s] += 1
+            if sum(taken.values()) < len(slots):
                 break
-            slots = list(patterns[k].elements())
-            need = patterns[k]
-            repeats = min(repeats, *(sum(left.get(s, 0) for s in of_bin[b]) // m for b, m in need.items()))
-            while repeats > 0:
-                taken: Counter[int] = Counter()
-                for b in slots:
-                    taken[next(s for s in of_bin[b] if left.get(s, 0) > taken[s])] += 1
-                run = min(repeats, *(left[s] // m for s, m in taken.items()))
-                for s, m in taken.items():
-                    left[s] -= run * m
-                groups.append((dict(taken), run))
-                repeats -= run
-    # best fit, largest first; open containers are kept by their free space
+            room = capacity - sum(s * m for s, m in taken.items())
+            while room and (s := _largest(sizes, left, taken, room)):
+                taken[s] += 1
+                room -= s
+            if room:
+                break
+            run = min(repeats, *(left[s] // m for s, m in taken.items()))
+            for s, m in taken.items():
+                left[s] -= run * m
+            groups.append((dict(taken), run))
+            repeats -= run
+    return groups
+
+
+def _best_fit(left: dict[int, int], capacity: int, groups: list[tuple[dict[int, int], int]]) -> list[tuple[dict[int, int], int]]:
+    """``groups`` with the rest in, largest first into the tightest gap, and new containers."""
     open_: dict[int, list[list]] = {}
     for sizes, repeats in groups:
         open_.setdefault(capacity - sum(s * m for s, m in sizes.items()), []).append([sizes, repeats])
@@ -160,6 +196,20 @@ def plan_containers(histogram: dict[int, int], capacity: int, grid: int = 128) -
     return [(sizes, repeats) for groups in open_.values() for sizes, repeats in groups if repeats]
 
 
+def plan_containers(histogram: dict[int, int], capacity: int, grid: int = 128) -> list[tuple[dict[int, int], int]]:
+    """Containers as ``(sizes with their counts, repeats)`` that use up the histogram.
+
+    The plan by patterns and the one by best fit alone are both made, as the histogram is
+    small, and the one of fewer containers stands; of equal ones that by patterns.
+    """
+    left = {s: c for s, c in histogram.items() if c > 0}
+    alone = _best_fit(left, capacity, [])
+    rest = dict(left)
+    groups = _pattern_groups(rest, capacity, grid)
+    plan = _best_fit(rest, capacity, groups)
+    return min(plan, alone, key=lambda groups: sum(repeats for _, repeats in groups))
+
+
 def _intervals(groups: list[tuple[dict[int, int], int]]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Per size the first rank, first container and items per container of each run."""
     begin: Counter[int] = Counter()

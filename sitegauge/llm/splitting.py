@@ -1,6 +1,7 @@
 """Cutting oversized texts at natural boundaries (problem 5).
 
-Each oversized text is cut by dynamic programming over its boundary positions: the
+Each oversized text is cut by dynamic programming over its boundary positions, of which
+only ends of tags, blanks and plain characters are thinned out: the
 chosen cuts minimise the sum of cut penalties and of squared size imbalance, subject
 to the capacity, every piece after the first repeating the end of the one before.
 """
@@ -27,6 +28,8 @@ BOUNDARIES: list[tuple[str, float, re.Pattern[bytes] | bytes, bool]] = [
     ("tag", 6.0, b">", True),
     ("space", 10.0, b" \t", True),
 ]
+#: Boundaries from here on are so dense that the best of a few bytes stands for them.
+_THINNED = 6
 ANYWHERE = ("character", 40.0)
 IN_TAG = 25.0
 _TAG = re.compile(rb"<[a-zA-Z/!][^<>]*>")
@@ -37,7 +40,8 @@ _SCHEMA = "budget_id int, id bigint, piece_no int, n_pieces int, from_byte bigin
 
 
 def _candidates(data: bytes, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Positions, penalties and kinds of the best boundary in every ``step`` bytes."""
+    """Positions, penalties and kinds of all boundaries of blocks, sentences and lines, and of
+    the best one of the others (ends of tags, blanks, any character) in every ``step`` bytes."""
     n = len(data)
     penalty = np.full(n + 1, np.inf)
     kind = np.full(n + 1, -1, np.int8)
@@ -68,7 +72,8 @@ def _candidates(data: bytes, step: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     order = np.lexsort((np.arange(n + 1), penalty, buckets))
     first = order[np.unique(buckets[order], return_index=True)[1]]
     first = first[np.isfinite(penalty[first])]
-    positions = np.unique(np.concatenate([[0], first, [n]]))
+    natural = np.flatnonzero((kind >= 0) & (kind < _THINNED) & np.isfinite(penalty))
+    positions = np.unique(np.concatenate([[0], first, natural, [n]]))
     return positions, penalty[positions], kind[positions]
 
 
