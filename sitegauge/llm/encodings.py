@@ -19,8 +19,22 @@ from pyspark.sql import functions as F
 
 #: Encodings under which UTF-8 is commonly misread, likeliest first.
 LEGACY = ("cp1252", "latin-1", "cp1251", "cp1250", "iso8859-15", "cp437", "cp850", "mac-roman", "koi8-r", "cp866", "cp1254", "iso8859-2", "cp852", "cp1253", "cp1257", "iso8859-5", "iso8859-7", "cp1255", "cp1256", "mac-cyrillic")
-CYRILLIC = ("cp1251", "koi8-r", "cp866", "iso8859-5", "mac-cyrillic")
+CYRILLIC = ("cp1251", "koi8-r", "cp866", "iso8859-5", "mac-cyrillic", "koi8-u")
 WESTERN = ("cp1252", "latin-1", "iso8859-15", "mac-roman", "cp850", "cp437")
+#: Single-byte encodings of other Latin alphabets.
+LATIN = ("cp1250", "iso8859-2", "cp1254", "cp1257")
+#: Letters beyond ASCII of the languages written in Latin letters (fixed values).
+ALPHABETS = tuple(map(frozenset, (
+    "ąćęłńóśźż", "áčďéěíňóřšťúůýž", "áäčďéíĺľňóôŕšťúýž", "áéíóöőúüű", "ăâîșțşţ", "čćđšž", "çğıİi̇öşüâî", "āčēģīķļņšūž", "ąčęėįšųūž", "äõöüšž",
+    "àâæçéèêëîïôœùûüÿ", "äöüß", "áéíñóúü", "àáâãçéêíóôõú", "åäöæøé", "àèéìíòóù", "áðéíóúýþæö",
+)))
+#: Single-byte encodings of other scripts, with the letters that make up about two thirds
+#: of ordinary text (fixed values).
+SCRIPTS = {
+    "cp1253": "αοιετσνηυρ", "iso8859-7": "αοιετσνηυρ", "cp1255": "יוהלאתמרבש", "iso8859-8": "יוהלאתמרבש", "cp1256": "اليـنمتروبعة", "iso8859-6": "اليـنمتروبعة",
+}
+#: Encodings of two bytes a character, each with the characters it must show to be believed.
+EAST_ASIAN = (("cp932", "[\u3040-\u30ff]", 0.2), ("euc_jp", "[\u3040-\u30ff]", 0.2), ("cp949", "[\uac00-\ud7a3]", 0.7), ("gb2312", "[\u4e00-\u9fff]", 0.7), ("big5", "[\u4e00-\u9fff]", 0.7))
 LAYERS = 4
 
 _RUN = re.compile(r"[^\x00-\x7f]+")
@@ -31,6 +45,8 @@ _REST = re.compile("â€(?=[\\s<\"'.,;:!?)a-zA-Z]|$)|(?<![A-ZÀ-Þ])Ã (?=[a-z]
 _RUSSIAN = frozenset("абвгдежзийклмнопрстуфхцчшщъыьэюяё")
 _PLAIN = frozenset("àâäáãåæçéèêëíìîïñóòôöõøœßúùûüÿýÀÂÄÁÃÅÆÇÉÈÊËÍÌÎÏÑÓÒÔÖÕØŒÚÙÛÜÝ" + "".join(_RUSSIAN) + "".join(_RUSSIAN).upper())
 _MARKS = frozenset("‘’“”„‚–—…«»€£¥°©®™•·¿¡№§×\xa0→←↑↓ªº±½")
+#: Further letters of Ukrainian, read as a Russian one.
+_BESIDE = str.maketrans("іїєґІЇЄҐ", "ииииИИИИ")
 #: Letters that make up nearly two thirds of ordinary Russian text (fixed values).
 _FREQUENT = frozenset("оеаинтсрвл")
 
@@ -46,10 +62,13 @@ def _table(name: str) -> dict[int, str]:
     return out
 
 
-_ENCODE = {name: _table(name) for name in dict.fromkeys((*LEGACY, *CYRILLIC, *WESTERN))}
+_ENCODE = {name: _table(name) for name in dict.fromkeys((*LEGACY, *CYRILLIC, *WESTERN, *LATIN, *SCRIPTS))}
 _DECODE = {name: {b: c for c, b in table.items()} for name, table in _ENCODE.items()}
 
 
+_LATIN_LETTERS = {name: frozenset(c for c in _ENCODE[name] if "\u0100" <= c < "\u0180") for name in LATIN}
+
+
 def to_bytes(text: str, name: str) -> bytes | None:
     table = _ENCODE[name]
     out = bytearray()
@@ -74,7 +93,7 @@ def char_cost(c: str) -> float:
     if category in ("Cc", "Cn", "Co", "Cs") or c == "�":
         return 3.0
     if category[0] in "LM":
-        return 0.6 if c < "\u0180" or "\u3040" <= c <= "\ud7a3" else 1.5
+        return 0.6 if c < "\u0180" or c in "ơưƠƯ" or "\u1e00" <= c <= "\u1eff" or "\u3040" <= c <= "\ud7a3" else 1.5
     return 1.5
 
 
@@ -233,6 +252,7 @@ def cyrillic_pair(runs: list[str]) -> tuple[str, str] | None:
                 text = _recode(w, wrong, right)
                 if text is None:
                     continue
+                text = text.translate(_BESIDE)
                 letters = [c for c in text.lower() if c.isalpha()]
                 if len(letters) < max(3, len(text)) or not all(c in _RUSSIAN for c in letters) or run_cost("".join(c for c in text if c.isalpha())) > 0.1 * len(letters) + 1e-9:
                     gain -= 1.0
@@ -246,6 +266,85 @@ def cyrillic_pair(runs: list[str]) -> tuple[str, str] | None:
     return pair
 
 
+_SOUP = re.compile(r"[\x80-\xff€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]{3,}")
+
+
+def script_pair(runs: list[str]) -> tuple[str, str] | None:
+    """``(wrong, right)`` if runs of accented letters are words of another script, misread one
+    byte for one: nearly all become words in ordinary case, of one script and its frequent letters."""
+    soup = [w for w in runs if _SOUP.fullmatch(w)]
+    if len(soup) < 2:
+        return None
+    best, pair = 0.0, None
+    for wrong in WESTERN[:4]:
+        for right, frequent in SCRIPTS.items():
+            size = good = hits = 0
+            for w in soup:
+                text = _recode(w, wrong, right)
+                letters = [c for c in text or "" if c.isalpha()]
+                if len(letters) < max(3, len(w) - 1) or {_script_name(c) for c in letters} != {_script_name(frequent[0])} or not (text[1:] == text[1:].lower() or text == text.upper()):
+                    continue
+                hits += 1
+                size += len(letters)
+                good += sum(unicodedata.normalize("NFD", c.lower())[0].replace("ς", "σ") in frequent for c in letters)
+            if hits >= 2 and hits >= 0.7 * len(soup) and good >= 0.5 * size and good * hits / len(soup) > best:
+                best, pair = good * hits / len(soup), (wrong, right)
+    return pair
+
+
+def _script_name(c: str) -> str:
+    return unicodedata.name(c, "?").split(" ")[0]
+
+
+def east_asian(text: str) -> tuple[str, str] | None:
+    """``(text, encoding)`` with the segments that hide an encoding of two bytes a character
+    decoded: strictly, into six characters or more of what the encoding is known by."""
+    found: dict[str, list[tuple[str, str]]] = {}
+    for segment in dict.fromkeys(_SEGMENT.findall(text)):
+        beyond = sum(c >= "\x80" for c in segment)
+        if beyond < 4 or beyond < 0.3 * len(segment) or not _SOUP.search(segment):
+            continue
+        for wrong in ("latin-1", "cp1252"):
+            data = to_bytes(segment, wrong)
+            for right, known, share in EAST_ASIAN if data else ():
+                try:
+                    plain = data.decode(right)
+                except UnicodeDecodeError:
+                    continue
+                wide = [c for c in plain if c >= "\x80"]
+                if all("\u2010" <= c <= "\u2027" or "\u3000" <= c <= "\u9fff" or "\uac00" <= c <= "\ud7a3" or "\uff00" <= c <= "\uff60" for c in wide) and len(re.findall(known, plain)) >= share * len(wide):
+                    found.setdefault(right, []).append((segment, plain))
+    best = max(found.items(), key=lambda x: len({s for s, _ in x[1]}), default=None)
+    if not best or sum(c >= "\x80" for _, plain in dict(best[1]).items() for c in plain) < 6:
+        return None
+    plains = dict(best[1])
+    return _SEGMENT.sub(lambda m: plains.get(m[0], m[0]), text), best[0]
+
+
+def _one_alphabet(letters: set[str]) -> bool:
+    return any(letters <= a for a in ALPHABETS)
+
+
+def latin_pair(words: list[str]) -> tuple[str, str] | None:
+    """``(wrong, right)`` if words hold letters and signs that no language writes together, and
+    under the pair all of them have the letters of one alphabet, in ordinary case."""
+    odd = [w for w in dict.fromkeys(words) if all(len(r) < 3 for r in _RUN.findall(w))]
+    if len(odd) < 3 or _one_alphabet({c for w in odd for c in w.lower() if c >= "\x80" and c not in "’‘“”„«»–—…"}):
+        return None
+    best, pair = 0, None
+    for wrong in ("latin-1", "cp1252", "iso8859-15"):
+        for right in LATIN:
+            now = [_recode(w, wrong, right) for w in odd]
+            if any(t is None for t in now):
+                continue
+            bare = [t.strip("’‘“”„«»–—…") for t in now]
+            letters = {c for t in bare for c in t.lower() if c >= "\x80"}
+            changed = sum(t != w for t, w in zip(now, odd))
+            if changed > max(best, 2) and len(letters) > 2 and _one_alphabet(letters) and all(t[1:] == t[1:].lower() or t == t.upper() for t in bare):
+                best, pair = changed, (wrong, right)
+    return pair
+
+
 def western_pair(words: list[str]) -> tuple[str, str] | None:
     """``(wrong, right)`` if words of Latin letters had their accents misread one byte for one."""
     # accents stand alone or in twos; longer runs are words of another script that were glued on
@@ -254,13 +353,14 @@ def western_pair(words: list[str]) -> tuple[str, str] | None:
         return None
     best, pair = 0.0, None
     for wrong in (*WESTERN, "cp1251", "koi8-r", "cp866", "cp1250", "iso8859-5", "iso8859-7"):
-        for right in WESTERN:
+        for right in (*WESTERN, *LATIN):
             if wrong == right:
                 continue
             gain = hits = 0.0
+            other = "" if right in WESTERN else _LATIN_LETTERS[right]
             for w in odd:
                 text = _recode(w, wrong, right)
-                if text is not None and all(c < "\x80" or c in _PLAIN or c in "’‘" for c in text) and (drop := word_cost(w) - word_cost(text)) >= 1.0:
+                if text is not None and all(c < "\x80" or c in _PLAIN or c in "’‘" or c in other for c in text) and (drop := word_cost(w) - word_cost(text)) >= 1.0:
                     hits += 1
                     gain += drop
             if hits >= 2 and hits >= 0.7 * len(odd) and gain > best:
@@ -301,11 +401,13 @@ def _suspicious(source: str) -> bool:
         return True
     if ("â" in runs or "Ã" in runs or "ï" in text) and _REST.search(text):
         return True
+    if ("ð" in runs or "þ" in runs) and ("ç" in runs or "ü" in runs):
+        return True
     # one accent for another inside a word: a capital, a mark or another script after a small letter
     return any((not r[0].islower() or _script(r[0]) != "latin") and _INSIDE.search(text) for r in runs if len(r) == 1 and r not in "’\xa0")
 
 
-_INSIDE = re.compile(r"[a-z](?:[À-ÞЀ-ӿͰ-Ͽ]|[^\x00-\xbf’‘“”«»–—…·•\s](?<![a-zß-ÿœšž]))[a-z]?")
+_INSIDE = re.compile(r"[a-z][¡-©«¬®-¶¸¹»-¿][a-z]|[a-z](?:[À-ÞЀ-ӿͰ-Ͽ]|[^\x00-\xbf’‘“”«»–—…·•\s](?<![a-zß-ÿœšž]))[a-z]?")
 _SEGMENT = re.compile(r"[^<>\"]*[^\x00-\x7f][^<>\"]*")
 _LATIN_WORD = re.compile(r"(?=[^\x00-\x7f]*[A-Za-z])[A-Za-z\x80-\U0010ffff]*[^\x00-\x7f][A-Za-z\x80-\U0010ffff]*")
 
@@ -341,7 +443,7 @@ def restore(source: str) -> tuple[str, int, str, bool] | None:
                 plain = data.decode("utf-8")
             except UnicodeDecodeError:
                 plain = ""
-            if plain and all(c in _PLAIN or c in _MARKS for c in plain):
+            if plain and all(c in _PLAIN or c in _MARKS or len(plain) == 1 and likely in (*WESTERN[:3], "cp1251") and ("Ά" <= c <= "ώ" or "Ѐ" <= c <= "џ") for c in plain):
                 text, n, name = plain, 1, likely
         if not n and inside and len(run) > 2:
             text, n = _broken_inside(run)
@@ -399,11 +501,21 @@ def restore(source: str) -> tuple[str, int, str, bool] | None:
         layers, encoding = max(layers, 1), encoding or "cp1252"
     if layers:
         text = undo_cyrillic(text)
+    elif _SOUP.search(text):
+        if wide := east_asian(text):
+            text, encoding = wide
+            layers = 1
+        elif pair := script_pair(list(dict.fromkeys(_RUN.findall(text)))):
+            text = _SEGMENT.sub(lambda m: _RUN.sub(lambda r: _recode(r[0], *pair) or r[0], m[0]) if _SOUP.search(m[0]) else m[0], text)
+            layers, encoding = 1, f"{pair[0]}>{pair[1]}"
     inside, undone = True, False
     text = _UNIT.sub(fix, text)
     layers += undone
     words = _LATIN_WORD.findall(text)
-    if words and (pair := western_pair(words)):
+    if words and not layers and (pair := latin_pair(words)):
+        text = _LATIN_WORD.sub(lambda m: _recode(m[0], *pair) or m[0], text)
+        layers, encoding = 1, f"{pair[0]}>{pair[1]}"
+    elif words and (pair := western_pair(words)):
         text = _LATIN_WORD.sub(lambda m: (_recode(m[0], *pair) or m[0]) if word_cost(m[0]) >= 1.4 else m[0], text)
         layers, encoding = layers + 1, encoding or f"{pair[0]}>{pair[1]}"
     lost = "�" in text or bool(re.search(r"&#(?:65533|[xX][fF]{3}[dD]);", source))
@@ -433,8 +545,3 @@ def garbled(df: DataFrame, id_col: str, text: str) -> DataFrame:
     """
     return df.select(F.col(id_col).cast("bigint"), F.col(text).cast("string")).mapInArrow(_repair, _SCHEMA)
 
-
-def _recode_all(data: bytes, wrong: str) -> str:
-    """Bytes as text under a single-byte encoding, undefined bytes read as control characters."""
-    table = _DECODE[wrong]
-    return "".join(table[b] if b > 127 else chr(b) for b in data)

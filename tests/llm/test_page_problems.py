@@ -108,10 +108,10 @@ TEXTS = [
 @pytest.mark.parametrize("text", TEXTS)
 def test_round_trip(wrong, text):
     page = f"<html><body><p>{text}</p></body></html>"
-    garbled = encodings._recode_all(page.encode("utf-8"), wrong)
+    garbled = misread(page.encode("utf-8"), wrong)
     text_, layers, _, whole = encodings.restore(garbled)
     assert (text_, layers, whole) == (page, 1, True)
-    twice = encodings._recode_all(garbled.encode("utf-8"), wrong)
+    twice = misread(garbled.encode("utf-8"), wrong)
     again = encodings.restore(twice)
     assert again and again[0] == page
 
@@ -149,6 +149,33 @@ def test_garbled_table(spark):
     assert encodings.garbled(empty(spark), "page_id", "html").count() == 0
 
 
+def misread(data, wrong):
+    """Bytes as text under a single-byte encoding, undefined bytes read as control characters."""
+    return "".join(encodings._DECODE[wrong][b] if b > 127 else chr(b) for b in data)
+
+
+MANY = [
+    ("Ми написали цю сторінку, щоб пояснити, як її чистити. Лампа стоїть біля вікна і світить.", "cp1251:latin-1 cp1251:cp1252 utf-8:cp1252 utf-8:cp1251 koi8-u:latin-1"),
+    ("Γράψαμε αυτή τη σελίδα για να εξηγήσουμε πώς καθαρίζεται η λάμπα.", "iso8859-7:latin-1 utf-8:cp1252 utf-8:latin-1"),
+    ("Napisaliśmy tę stronę, żeby wyjaśnić, jak czyścić lampę. Światło świeci, więc można czytać książkę.", "cp1250:latin-1 iso8859-2:latin-1 cp1250:cp1252 utf-8:cp1252"),
+    ("Chúng tôi viết trang này để giải thích cách lau đèn. Ánh sáng chiếu suốt buổi tối.", "utf-8:cp1252 utf-8:latin-1"),
+    ("このページはランプの掃除の方法を説明するために書きました。", "cp932:latin-1 euc_jp:latin-1 utf-8:latin-1"),
+    ("我们写这一页是为了说明如何清洁这盏灯。灯光可以持续整个晚上。", "gb2312:latin-1 utf-8:cp1252"),
+    ("이 페이지는 램프를 닦는 방법을 설명하기 위해 작성되었습니다.", "cp949:latin-1"),
+    ("Bu sayfayı lambanın nasıl temizlendiğini açıklamak için yazdık. Işığı bütün akşam sürüyor.", "cp1254:latin-1 utf-8:cp1252"),
+]
+
+
+@pytest.mark.parametrize("text, ways", MANY)
+def test_other_languages_come_back(text, ways):
+    page = f"<p>{text}</p>"
+    assert encodings.restore(page) is None
+    for way in ways.split():
+        right, wrong = way.split(":")
+        got = encodings.restore(misread(page.encode(right), wrong))
+        assert got and got[0] == page, (way, got)
+
+
 def test_residue(spark):
     rows = [
         (1, "a", body("<h1>{{ page.title }}</h1><p>text</p>"), None),
