@@ -11,6 +11,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sitegauge.functions.patterns import java
 from sitegauge.functions.text import INERT, blank, count, each, find_all, first, has, shorten, trim_all, units
 
 ERROR, WARNING, INFO = "error", "warning", "info"
@@ -33,6 +34,68 @@ ALLOWED_CHILDREN = {
     "tfoot": ("tr", "script", "template"),
     "tr": ("td", "th", "script", "template"),
 }
+#: What a finding says, and what it advises.
+TEXTS = {
+    "L01": ("no first-rank heading", "Give the page one heading of the first rank that names its subject."),
+    "L02": ("several first-rank headings", "Keep one heading of the first rank and lower the others."),
+    "L03": ("heading rank skipped", "Go down one rank at a time."),
+    "L04": ("no main landmark", "Put the content that only this page has into main."),
+    "L05": ("no nav landmark", "Put the links around the site into nav."),
+    "L06": ("link text says nothing", "Say in the link text where it leads."),
+    "L07": ("empty link", "Give the link a text, or take it out."),
+    "L08": ("images without description", "Describe every picture in alt; leave alt empty where it only decorates."),
+    "L09": ("clickable div without role", "Use a button, or give the element the role of one and make it reachable by keyboard."),
+    "L10": ("layout table", "Lay the page out with styles and keep tables for data."),
+    "L10b": ("several layout tables", "Replace the other layout tables as well."),
+    "L11": ("deep wrapper nesting", "Take out wrappers that carry no meaning."),
+    "W01": ("element not allowed as direct child", "Move the element to where the content model allows it."),
+    "W02": ("identifier used twice", "Give every element an identifier of its own."),
+    "W03": ("deprecated element", "Replace the element by styles or by one that is still in use."),
+    "W04": ("link within link", "Close the first link before the next one begins."),
+    "W05": ("button within link", "Use either a link or a button, not one within the other."),
+    "W06": ("block within paragraph", "Close the paragraph before the block begins."),
+    "W07": ("images without required description", "Add the alt attribute to every picture."),
+    "W08": ("several main elements", "Keep one main element."),
+    "S01": ("no title", "Add a title to the head."),
+    "S02": ("title too short", "Write a title of ten characters or more."),
+    "S03": ("title too long", "Shorten the title to 65 characters."),
+    "S04": ("no description", "Add a description to the head."),
+    "S05": ("description too short", "Write a description of 70 characters or more."),
+    "S06": ("description too long", "Shorten the description to 165 characters."),
+    "S07": ("no canonical address", "Name the page's own address in a canonical link."),
+    "S08": ("no viewport", "Add the viewport for small screens."),
+    "S09": ("no first-rank heading to rank by", "Add a heading of the first rank with the words people search for."),
+    "S10": ("several first-rank headings to rank by", "Keep one heading of the first rank."),
+    "S11": ("no structured data", "Add structured data about what the page shows."),
+    "S12": ("images without searchable description", "Describe the pictures so that they can be found."),
+    "S13": ("indexing switched off", "Take noindex out if the page is to be found."),
+    "S14": ("no sharing card", "Add the tags that shared links are shown with."),
+    "S15": ("several languages without alternates", "Link the versions in other languages."),
+    "M01": ("element not allowed as direct child", "Move the element to where the content model allows it."),
+    "M03": ("several main elements", "Keep one main element."),
+    "M04": ("section without heading", "Begin the section with a heading, or use a plain box."),
+    "M04b": ("several sections without heading", "Give the other sections a heading too."),
+    "M05": ("article without heading", "Begin the article with a heading."),
+    "M06": ("menu without list", "Put the links of the menu into a list."),
+    "M07": ("empty container", "Fill the container or take it out."),
+    "M08": ("boxes outnumber elements with meaning", "Use elements with meaning in place of boxes."),
+    "A01": ("page language not declared", "Declare the language of the page on the html element."),
+    "A02": ("no document title", "Give the document a title."),
+    "A03": ("images without alternative text", "Write an alternative text for every picture."),
+    "A04": ("input without label", "Tie a label to the input or name it with aria-label."),
+    "A05": ("many inputs without label", "Label all inputs of the page."),
+    "A06": ("placeholder as only label", "Add a label; a placeholder goes away as soon as something is typed."),
+    "A07": ("positive tab position", "Let the order of the page set the order of the keyboard."),
+    "A08": ("new tab link keeps its opener", "Add noopener to links that open a new tab."),
+    "A09": ("button without name", "Give the button a text or a label."),
+    "A10": ("hidden element takes focus", "Do not hide from readers what the keyboard can reach."),
+    "A11": ("data tables without header cells", "Mark header cells as such."),
+    "A12": ("no skip link", "Begin with a link that skips to the content."),
+    "M02_main": ("no main landmark", "Mark the main of the page as one."),
+    "M02_header": ("no header landmark", "Mark the header of the page as one."),
+    "M02_footer": ("no footer landmark", "Mark the footer of the page as one."),
+    "M02_nav": ("no nav landmark", "Mark the nav of the page as one."),
+}
 P = {
     "head": r"<head\b[^>]*>[\s\S]*?<\/head>",
     "heading": r"<h([1-6])\b[^>]*>",
@@ -93,9 +156,9 @@ class Rule(NamedTuple):
     rule_id: str
     criterion: str
     severity: str
-    #: what the finding says; the number of the page's finding follows where there is one
-    says: str
     snippets: Column
+    #: how many places of the page the finding is about, where they are more than the snippets
+    total: Column | None
 
 
 def with_facts(pages: DataFrame) -> DataFrame:
@@ -104,16 +167,18 @@ def with_facts(pages: DataFrame) -> DataFrame:
     facts = pages.filter("html is not null").withColumns({"structure": blank(html, INERT), "head": first(html, P["head"])})
     counts = {f"n_{t}": count(F.col("structure"), open_tag(t)) for t in ("h1", "div", "span", *SEMANTIC_TAGS)}
     facts = facts.withColumns(counts)
-    return facts.withColumns(
+    facts = facts.withColumns(
         {
             "images": F.filter(find_all(html, P["img"]), lambda t: ~has(t, P["alt"])),
             "tables": F.slice(find_all(html, P["table"]), 1, 5),
             "labels": find_all(html, P["label_for"], 1),
             "levels": F.transform(find_all(html, P["heading"], 1), lambda x: x.cast("int")),
-            "ids": F.array_sort(F.transform(find_all(html, P["id"], 1), F.lower)),
+            "ids": F.transform(find_all(html, P["id"], 1), F.lower),
             "body_tag": F.coalesce(F.nullif(first(html, r"(?-i)<body\b[^>]*>"), F.lit("")), F.lit("<body>")),
         }
     )
+    in_order = F.array_sort("ids")
+    return facts.withColumn("sorted_ids", in_order).withColumn("repeated_ids", F.array_distinct(F.filter("sorted_ids", lambda i, k: i == F.get(F.col("sorted_ids"), k + 1))))
 
 
 def _none() -> Column:
@@ -134,7 +199,7 @@ def _one(c: Column) -> Column:
 
 
 def child_violations(html: Column) -> Column:
-    """Distinct ``struct<parent, child, snippet>`` of elements directly inside a parent that forbids them.
+    """Distinct ``struct<parent, child, span>`` by parent, child and the first 300 characters of elements directly inside a parent that forbids them.
 
     A parent ends at the first closing tag of its name; any tag that is not self-closed
     deepens the walk, void ones too; a closing tag never takes it below the top.
@@ -151,13 +216,20 @@ def child_violations(html: Column) -> Column:
             begin = F.struct(F.lit(0).alias("depth"), _none().alias("bad"))
             tags = find_all(first(span, parent_span(parent), 1), P["tag"])
             children = F.aggregate(tags, begin, step, lambda s: F.array_distinct(s["bad"]))
-            shown = F.substring(F.regexp_replace(span, r"\s+", " "), 1, 300)
-            return F.transform(children, lambda child: F.struct(F.lit(parent).alias("parent"), child.alias("child"), shown.alias("span")))
+            shown = F.regexp_replace(span, java(r"\s+"), " ")
+            key, shown = F.substring(shown, 1, 300), F.substring(shown, 1, 400)
+            return F.transform(children, lambda child: F.struct(F.lit(parent).alias("parent"), child.alias("child"), key.alias("key"), shown.alias("span")))
 
         spans = F.when(has(html, open_tag(parent)), find_all(html, parent_span(parent))).otherwise(_none())
         return F.flatten(F.transform(spans, walk))
 
-    return F.array_distinct(F.concat(*[of(p, a) for p, a in ALLOWED_CHILDREN.items()]))
+    found = F.concat(*[of(p, a) for p, a in ALLOWED_CHILDREN.items()])
+    # of equal keys the first stays
+    return F.aggregate(
+        found,
+        F.array().cast("array<struct<parent:string,child:string,key:string,span:string>>"),
+        lambda kept, v: F.when(F.exists(kept, lambda k: (k["parent"] == v["parent"]) & (k["child"] == v["child"]) & (k["key"] == v["key"])), kept).otherwise(F.array_append(kept, v)),
+    )
 
 
 def rules() -> list[Rule]:
@@ -166,42 +238,45 @@ def rules() -> list[Rule]:
     images, tables = F.col("images"), F.col("tables")
     out: list[Rule] = []
 
-    def add(rule_id: str, criterion: str, severity: str, says: str, snippets: Column) -> None:
-        out.append(Rule(rule_id, criterion, severity, says, snippets))
+    def add(rule_id: str, criterion: str, severity: str, snippets: Column, total: Column | None = None) -> None:
+        out.append(Rule(rule_id, criterion, severity, snippets, total))
+
+    def few(c: Column, most: int) -> Column:
+        return F.least(F.size(c), F.lit(most))
 
     # columns, not expressions: what a lambda holds is evaluated anew for every element
     levels, ids = F.col("levels"), F.col("ids")
     jumps = F.filter(F.transform(levels, lambda a, k: F.struct(a.alias("a"), F.get(levels, k + 1).alias("b"))), lambda s: s["b"] > s["a"] + 1)
     layout = F.filter(tables, lambda t: has(t, open_tag("td")) & ~has(t, open_tag("th")) & ~has(t, open_tag("thead")))
     area = "llm_friendly"
-    add("L01", area, ERROR, "no first-rank heading", _if(n["h1"] == 0, body))
-    add("L02", area, WARNING, "several first-rank headings", _if(n["h1"] > 1, shorten(first(html, r"<h1\b[^>]*>[\s\S]*?<\/h1>"))))
-    add("L03", area, WARNING, "heading rank skipped", F.transform(_cap(jumps, 3), lambda s: F.format_string("h%d > h%d", s["a"], s["b"])))
-    add("L04", area, ERROR, "no main landmark", _if(n["main"] == 0, body))
-    add("L05", area, WARNING, "no nav landmark", _if(n["nav"] == 0, body))
+    add("L01", area, ERROR, _if(n["h1"] == 0, body))
+    add("L02", area, WARNING, _if(n["h1"] > 1, shorten(first(html, r"<h1\b[^>]*>[\s\S]*?<\/h1>"))), n["h1"])
+    add("L03", area, WARNING, F.transform(_cap(jumps, 3), lambda s: F.format_string("h%d > h%d", s["a"], s["b"])))
+    add("L04", area, ERROR, _if(n["main"] == 0, body))
+    add("L05", area, WARNING, _if(n["nav"] == 0, body))
     generic = [first(html, rf"<a\b[^>]*>\s*{text}\s*<\/a>") for text in GENERIC_ANCHORS]
-    add("L06", area, WARNING, "link text says nothing", F.transform(F.filter(F.array(*generic), lambda s: s != ""), shorten))
-    add("L07", area, ERROR, "empty link", F.transform(_cap(find_all(html, P["empty_anchor"]), 3), shorten))
-    add("L08", area, ERROR, "images without description", F.transform(_one(images), shorten))
+    add("L06", area, WARNING, F.transform(F.filter(F.array(*generic), lambda s: s != ""), lambda t: shorten(t)))
+    add("L07", area, ERROR, F.transform(_cap(find_all(html, P["empty_anchor"]), 3), lambda t: shorten(t)))
+    add("L08", area, ERROR, F.transform(_one(images), lambda t: shorten(t)), few(images, 5))
     clickable = _cap(find_all(html, P["onclick_div"]), 2)
-    add("L09", area, WARNING, "clickable div without role", F.transform(F.filter(clickable, lambda t: ~has(t, P["button_role"])), shorten))
-    add("L10", area, WARNING, "layout table", F.transform(_one(layout), lambda t: shorten(t, 250)))
-    add("L10b", area, INFO, "several layout tables", _if(F.size(layout) > 1, "<table>…</table>"))
-    add("L11", area, INFO, "deep wrapper nesting", F.transform(_one(F.array_remove(F.array(first(html, P["deep"])), "")), lambda t: shorten(t, 250)))
+    add("L09", area, WARNING, F.transform(F.filter(clickable, lambda t: ~has(t, P["button_role"])), lambda t: shorten(t)))
+    add("L10", area, WARNING, F.transform(_one(layout), lambda t: shorten(t, 250)), F.size(layout))
+    add("L10b", area, INFO, _if(F.size(layout) > 1, "<table>…</table>"), F.size(layout))
+    add("L11", area, INFO, F.transform(_one(F.array_remove(F.array(first(html, P["deep"])), "")), lambda t: shorten(t, 250)))
 
     area = "w3c"
     violations = F.transform(F.col("violations"), lambda v: v["span"])
-    repeated = F.array_distinct(F.filter(ids, lambda i, k: i == F.get(ids, k + 1)))
-    add("W01", area, ERROR, "element not allowed as direct child", violations)
-    add("W02", area, ERROR, "identifier used twice", F.transform(repeated, lambda i: F.concat(F.lit('id="'), i, F.lit('"'))))
+    repeated = F.filter(F.array_distinct(ids), lambda i: F.array_contains(F.col("repeated_ids"), i))
+    add("W01", area, ERROR, violations)
+    add("W02", area, ERROR, F.transform(repeated, lambda i: F.concat(F.lit('id="'), i, F.lit('"'))))
     old = [first(html, rf"<{t}\b[^>]*>") for t in DEPRECATED]
-    add("W03", area, ERROR, "deprecated element", F.transform(F.filter(F.array(*old), lambda s: s != ""), shorten))
-    add("W04", area, ERROR, "link within link", F.transform(_cap(find_all(html, P["two_anchors"]), 2), lambda t: shorten(t, 250)))
+    add("W03", area, ERROR, F.transform(F.filter(F.array(*old), lambda s: s != ""), lambda t: shorten(t)))
+    add("W04", area, ERROR, F.transform(_cap(find_all(html, P["two_anchors"]), 2), lambda t: shorten(t, 250)))
     buttons = F.when(has(html, open_tag("button")), find_all(html, P["anchor_button"])).otherwise(_none())
-    add("W05", area, ERROR, "button within link", F.transform(_cap(buttons, 2), lambda t: shorten(t, 250)))
-    add("W06", area, ERROR, "block within paragraph", F.transform(_cap(find_all(html, P["block_in_p"]), 3), lambda t: shorten(t, 250)))
-    add("W07", area, ERROR, "images without required description", F.transform(_one(images), shorten))
-    add("W08", area, ERROR, "several main elements", _if(n["main"] > 1, "<main>"))
+    add("W05", area, ERROR, F.transform(_cap(buttons, 2), lambda t: shorten(t, 250)))
+    add("W06", area, ERROR, F.transform(_cap(find_all(html, P["block_in_p"]), 3), lambda t: shorten(t, 250)))
+    add("W07", area, ERROR, F.transform(_one(images), lambda t: shorten(t)), few(images, 5))
+    add("W08", area, ERROR, _if(n["main"] > 1, "<main>"), n["main"])
 
     area = "seo"
     missing = "<head>…</head>"
@@ -211,21 +286,21 @@ def rules() -> list[Rule]:
     description = trim_all(first(description_tag, P["content"], 1))
     robots = first(head, P["robots"])
     languages = F.array_distinct(F.transform(_cap(find_all(html, P["lang"], 1), 10), F.lower))
-    add("S01", area, ERROR, "no title", _if(title_tag == "", missing))
-    add("S02", area, ERROR, "title too short", _if((title_tag != "") & (units(title) < 10), shorten(title_tag)))
-    add("S03", area, WARNING, "title too long", _if((title_tag != "") & (units(title) > 65), shorten(title_tag)))
-    add("S04", area, ERROR, "no description", _if(description_tag == "", missing))
-    add("S05", area, WARNING, "description too short", _if((description_tag != "") & (units(description) < 70), shorten(description_tag)))
-    add("S06", area, INFO, "description too long", _if((description_tag != "") & (units(description) > 165), shorten(description_tag)))
-    add("S07", area, WARNING, "no canonical address", _if(~has(head, P["canonical"]), missing))
-    add("S08", area, ERROR, "no viewport", _if(~has(head, P["viewport"]), missing))
-    add("S09", area, ERROR, "no first-rank heading to rank by", _if(n["h1"] == 0, body))
-    add("S10", area, WARNING, "several first-rank headings to rank by", _if(n["h1"] > 1, "<h1>"))
-    add("S11", area, WARNING, "no structured data", _if(~has(html, P["json_ld"]), missing))
-    add("S12", area, WARNING, "images without searchable description", F.transform(_one(images), shorten))
-    add("S13", area, ERROR, "indexing switched off", _if(first(robots, P["content"], 1).rlike("(?i)noindex"), shorten(robots)))
-    add("S14", area, INFO, "no sharing card", _if(~has(head, P["card"]), missing))
-    add("S15", area, INFO, "several languages without alternates", _if((F.size(languages) > 1) & ~has(head, P["hreflang"]), missing))
+    add("S01", area, ERROR, _if(title_tag == "", missing))
+    add("S02", area, ERROR, _if((title_tag != "") & (units(title) < 10), shorten(title_tag)))
+    add("S03", area, WARNING, _if((title_tag != "") & (units(title) > 65), shorten(title_tag)))
+    add("S04", area, ERROR, _if(description_tag == "", missing))
+    add("S05", area, WARNING, _if((description_tag != "") & (units(description) < 70), shorten(description_tag)))
+    add("S06", area, INFO, _if((description_tag != "") & (units(description) > 165), shorten(description_tag)))
+    add("S07", area, WARNING, _if(~has(head, P["canonical"]), missing))
+    add("S08", area, ERROR, _if(~has(head, P["viewport"]), missing))
+    add("S09", area, ERROR, _if(n["h1"] == 0, body))
+    add("S10", area, WARNING, _if(n["h1"] > 1, "<h1>"), n["h1"])
+    add("S11", area, WARNING, _if(~has(html, P["json_ld"]), missing))
+    add("S12", area, WARNING, F.transform(_one(images), lambda t: shorten(t)), few(images, 3))
+    add("S13", area, ERROR, _if(first(robots, P["content"], 1).rlike("(?i)noindex"), shorten(robots)))
+    add("S14", area, INFO, _if(~has(head, P["card"]), missing))
+    add("S15", area, INFO, _if((F.size(languages) > 1) & ~has(head, P["hreflang"]), missing))
 
     area = "semantic"
     any_heading = r"<h[1-6]\b"
@@ -234,16 +309,16 @@ def rules() -> list[Rule]:
     plain_navs = F.filter(_cap(find_all(html, P["nav"]), 3), lambda t: ~has(t, r"<[uo]l\b"))
     boxes = n["div"] + n["span"]
     meaningful = sum((n[t] for t in SEMANTIC_TAGS[1:]), n[SEMANTIC_TAGS[0]])
-    add("M01", area, ERROR, "element not allowed as direct child", violations)
+    add("M01", area, ERROR, violations)
     for tag, severity in LANDMARKS:
-        add(f"M02_{tag}", area, severity, f"no {tag} landmark", _if(n[tag] == 0, body))
-    add("M03", area, ERROR, "several main elements", _if(n["main"] > 1, "<main>"))
-    add("M04", area, WARNING, "section without heading", F.transform(_one(plain_sections), lambda t: shorten(t, 250)))
-    add("M04b", area, INFO, "several sections without heading", _if(F.size(plain_sections) > 1, "<section>…</section>"))
-    add("M05", area, WARNING, "article without heading", F.transform(_one(plain_articles), lambda t: shorten(t, 250)))
-    add("M06", area, INFO, "menu without list", F.transform(_one(plain_navs), lambda t: shorten(t, 250)))
-    add("M07", area, ERROR, "empty container", F.transform(_cap(find_all(html, P["empty_container"]), 3), shorten))
-    add("M08", area, WARNING, "boxes outnumber elements with meaning", _if((boxes > 50) & (meaningful < F.floor(boxes * F.lit(0.1))), "<div>…</div>"))
+        add(f"M02_{tag}", area, severity, _if(n[tag] == 0, body))
+    add("M03", area, ERROR, _if(n["main"] > 1, "<main>"), n["main"])
+    add("M04", area, WARNING, F.transform(_one(plain_sections), lambda t: shorten(t, 250)), F.size(plain_sections))
+    add("M04b", area, INFO, _if(F.size(plain_sections) > 1, "<section>…</section>"), F.size(plain_sections))
+    add("M05", area, WARNING, F.transform(_one(plain_articles), lambda t: shorten(t, 250)))
+    add("M06", area, INFO, F.transform(_one(plain_navs), lambda t: shorten(t, 250)))
+    add("M07", area, ERROR, F.transform(_cap(find_all(html, P["empty_container"]), 3), lambda t: shorten(t)))
+    add("M08", area, WARNING, _if((boxes > 50) & (meaningful < F.floor(boxes * F.lit(0.1))), "<div>…</div>"))
 
     area = "accessibility"
     labels = F.col("labels")
@@ -261,18 +336,18 @@ def rules() -> list[Rule]:
     unsafe = F.filter(_cap(find_all(html, P["new_tab"]), 5), lambda t: ~has(t, P["noopener"]))
     mute = F.filter(_cap(find_all(html, P["empty_button"]), 3), lambda t: ~has(t, P["aria_label"]))
     headless = F.filter(tables, lambda t: has(t, open_tag("td")) & ~has(t, open_tag("th")))
-    add("A01", area, ERROR, "page language not declared", _if((html_tag == "") | ~has(html_tag, P["lang"]), shorten(F.when(html_tag == "", "<html>").otherwise(html_tag))))
-    add("A02", area, ERROR, "no document title", _if(~has(html, P["some_title"]), missing))
-    add("A03", area, ERROR, "images without alternative text", F.transform(_one(images), shorten))
-    add("A04", area, ERROR, "input without label", F.transform(_cap(lonely, 3), shorten))
-    add("A05", area, INFO, "many inputs without label", _if(F.size(lonely) > 3, "<input>"))
-    add("A06", area, WARNING, "placeholder as only label", F.transform(_one(hinted), shorten))
-    add("A07", area, WARNING, "positive tab position", _cap(find_all(html, P["tabindex"]), 2))
-    add("A08", area, WARNING, "new tab link keeps its opener", F.transform(_one(unsafe), shorten))
-    add("A09", area, ERROR, "button without name", F.transform(mute, shorten))
-    add("A10", area, ERROR, "hidden element takes focus", F.transform(_cap(find_all(html, P["hidden_focus"]), 2), shorten))
-    add("A11", area, WARNING, "data tables without header cells", F.transform(_one(headless), lambda t: shorten(t, 250)))
-    add("A12", area, INFO, "no skip link", _if(~has(html, P["skip_link"]) & (n["nav"] > 0), "<body>…</body>"))
+    add("A01", area, ERROR, _if((html_tag == "") | ~has(html_tag, P["lang"]), shorten(F.when(html_tag == "", "<html>").otherwise(html_tag))))
+    add("A02", area, ERROR, _if(~has(html, P["some_title"]), missing))
+    add("A03", area, ERROR, F.transform(_one(images), lambda t: shorten(t)), few(images, 5))
+    add("A04", area, ERROR, F.transform(_cap(lonely, 3), lambda t: shorten(t)))
+    add("A05", area, INFO, _if(F.size(lonely) > 3, "<input>"), F.size(lonely))
+    add("A06", area, WARNING, F.transform(_one(hinted), lambda t: shorten(t)))
+    add("A07", area, WARNING, _cap(find_all(html, P["tabindex"]), 2))
+    add("A08", area, WARNING, F.transform(_one(unsafe), lambda t: shorten(t)))
+    add("A09", area, ERROR, F.transform(mute, lambda t: shorten(t)))
+    add("A10", area, ERROR, F.transform(_cap(find_all(html, P["hidden_focus"]), 2), lambda t: shorten(t)))
+    add("A11", area, WARNING, F.transform(_one(headless), lambda t: shorten(t, 250)), F.size(headless))
+    add("A12", area, INFO, _if(~has(html, P["skip_link"]) & (n["nav"] > 0), "<body>…</body>"))
     return out
 
 
@@ -282,39 +357,69 @@ def _fired(pages: DataFrame, criterion: str | None = None) -> DataFrame:
     wanted = [r for r in rules() if criterion in (None, r.criterion)]
     if criterion in (None, "w3c", "semantic"):
         facts = facts.withColumn("violations", child_violations(F.col("html")))
-    every = F.array(*[F.struct(F.lit(r.criterion).alias("criterion"), F.lit(r.rule_id).alias("rule_id"), F.lit(r.severity).alias("severity"), F.lit(r.says).alias("issue"), r.snippets.alias("snippets")) for r in wanted])
+    every = F.array(*[F.struct(F.lit(r.criterion).alias("criterion"), F.lit(r.rule_id).alias("rule_id"), F.lit(r.severity).alias("severity"), r.snippets.alias("snippets"), (F.lit(None).cast("int") if r.total is None else r.total.cast("int")).alias("total")) for r in wanted])
     return facts.select("page_id", F.filter(every, lambda f: F.size(f["snippets"]) > 0).alias("fired"))
 
 
 def findings(pages: DataFrame, criterion: str | None = None) -> DataFrame:
-    """``page_id, criterion, rule_id, severity, n, snippets`` for every rule that fires on a page.
+    """``page_id, criterion, rule_id, severity, n, n_matches, snippets`` for every rule that fires on a page.
 
-    Narrow: one scan, no shuffle. A page without html has no findings.
+    ``n`` counts issues; ``n_matches`` is the number the finding tells, where that is another
+    one. Narrow: one scan, no shuffle. A page without html has no findings.
     """
     rows = each(_fired(pages, criterion), F.col("fired"), "f", "page_id").select("page_id", "f.*")
-    return rows.withColumn("n", F.size("snippets"))
+    return rows.withColumn("n", F.size("snippets")).withColumn("n_matches", F.coalesce("total", "n")).drop("total")
+
+
+def _texts(rule_id: Column, total: Column) -> tuple[Column, Column]:
+    says = F.create_map(*[F.lit(x) for k, (t, _) in TEXTS.items() for x in (k, t)])
+    advice = F.create_map(*[F.lit(x) for k, (_, t) in TEXTS.items() for x in (k, t)])
+    number = F.when(total.isNotNull(), F.concat(F.lit(": "), total.cast("string"))).otherwise(F.lit(""))
+    return F.concat(says[rule_id], number), advice[rule_id]
 
 
 def issues(pages: DataFrame) -> DataFrame:
-    """``page_id, criterion, rule_id, ord, severity, issue, html_snippet``: one row per issue."""
-    rows = findings(pages).select("page_id", "criterion", "rule_id", "severity", "issue", F.posexplode_outer("snippets").alias("ord", "html_snippet"))
-    return rows.select("page_id", "criterion", "rule_id", "ord", "severity", "issue", "html_snippet")
+    """``page_id, criterion, rule_id, ord, severity, issue, recommendation, html_snippet``: one row per issue."""
+    rows = each(_fired(pages), F.col("fired"), "f", "page_id").select("page_id", "f.*")
+    says, advice = _texts(F.col("rule_id"), F.col("total"))
+    told = rows.select("page_id", "criterion", "rule_id", "severity", says.alias("issue"), advice.alias("recommendation"), F.posexplode_outer("snippets").alias("ord", "html_snippet"))
+    return told.select("page_id", "criterion", "rule_id", "ord", "severity", "issue", "recommendation", "html_snippet")
+
+
+def reports(pages: DataFrame) -> DataFrame:
+    """``page_id, overall_score, grade, criteria``: one report per page with html; ``criteria`` has
+    ``criterion, score, issues`` of all five areas, ``issues`` in the order of the rules. Narrow."""
+    fired = _fired(pages)
+
+    def area(c: str) -> Column:
+        own = F.filter("fired", lambda f: f["criterion"] == c)
+        told = F.flatten(F.transform(own, lambda f: F.transform(f["snippets"], lambda snippet: F.struct(f["rule_id"].alias("rule_id"), f["severity"].alias("severity"), *[t.alias(n) for t, n in zip(_texts(f["rule_id"], f["total"]), ("issue", "recommendation"))], snippet.alias("html_snippet")))))
+        return F.struct(F.lit(c).alias("criterion"), _criterion_score(c).alias("score"), told.alias("issues"))
+
+    rows = fired.withColumn("lost", _lost()).select("page_id", F.array(*map(area, CRITERIA)).alias("criteria"))
+    total = F.aggregate("criteria", F.lit(0), lambda a, c: a + c["score"])
+    overall = F.floor(total / F.lit(5) + F.lit(0.5)).cast("int")
+    return rows.select("page_id", overall.alias("overall_score"), grade(overall).alias("grade"), "criteria")
 
 
 def score(errors: Column, warnings: Column, infos: Column) -> Column:
     return F.greatest(F.lit(0), F.least(F.lit(92), 92 - 10 * errors - 4 * warnings - infos)).cast("int")
 
 
-def _scores(pages: DataFrame) -> DataFrame:
-    """``page_id`` and a score column per criterion, folded from the page's own rules: no shuffle."""
-    fired = _fired(pages)
-    lost = F.transform("fired", lambda f: F.struct(f["criterion"].alias("c"), f["severity"].alias("s"), F.size(f["snippets"]).alias("n")))
-    fired = fired.select("page_id", lost.alias("lost"))
+def _lost() -> Column:
+    return F.transform("fired", lambda f: F.struct(f["criterion"].alias("c"), f["severity"].alias("s"), F.size(f["snippets"]).alias("n")))
+
 
-    def total(criterion: str, severity: str) -> Column:
+def _criterion_score(criterion: str) -> Column:
+    def total(severity: str) -> Column:
         return F.aggregate("lost", F.lit(0), lambda a, f: a + F.when((f["c"] == criterion) & (f["s"] == severity), f["n"]).otherwise(0))
 
-    return fired.select("page_id", *[score(*(total(c, s) for s in (ERROR, WARNING, INFO))).alias(c) for c in CRITERIA])
+    return score(*(total(s) for s in (ERROR, WARNING, INFO)))
+
+
+def _scores(pages: DataFrame) -> DataFrame:
+    """``page_id`` and a score column per criterion, folded from the page's own rules: no shuffle."""
+    return _fired(pages).select("page_id", _lost().alias("lost")).select("page_id", *[_criterion_score(c).alias(c) for c in CRITERIA])
 
 
 def criterion_scores(pages: DataFrame) -> DataFrame:

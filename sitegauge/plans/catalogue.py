@@ -47,7 +47,7 @@ def varied_pages(spark: SparkSession, d: str) -> DataFrame:
 
 def _rule_query(criterion: str) -> None:
     def run(spark: SparkSession, d: str) -> DataFrame:
-        return rules.findings(pages(spark, d), criterion).select("page_id", "criterion", "rule_id", "severity", "n")
+        return rules.findings(pages(spark, d), criterion).select("page_id", "criterion", "rule_id", "severity", "n", "n_matches")
 
     run.__name__ = f"rules_{criterion}"
     query(rule_sql.rules_sql(where=f"r.criterion = '{criterion}'"))(run)
@@ -59,7 +59,7 @@ for _criterion in rules.CRITERIA:
 
 @query(rule_sql.rules_sql(rule_sql.varied_sql()))
 def rules_on_varied_pages(spark: SparkSession, d: str) -> DataFrame:
-    return rules.findings(varied_pages(spark, d)).select("page_id", "criterion", "rule_id", "severity", "n")
+    return rules.findings(varied_pages(spark, d)).select("page_id", "criterion", "rule_id", "severity", "n", "n_matches")
 
 
 @query(rule_sql.scores_sql())
@@ -198,9 +198,26 @@ def site_rollup(spark: SparkSession, d: str) -> DataFrame:
     return views.site_rollup(rules.criterion_scores(p), p)
 
 
-@query()
+@query(rule_sql.issues_sql())
 def issue_rows(spark: SparkSession, d: str) -> DataFrame:
-    return rules.issues(pages(spark, d)).drop("html_snippet")
+    return rules.issues(pages(spark, d)).drop("ord")
+
+
+@query(rule_sql.issues_sql(rule_sql.varied_sql()))
+def issue_rows_of_varied_pages(spark: SparkSession, d: str) -> DataFrame:
+    return rules.issues(varied_pages(spark, d)).drop("ord")
+
+
+@query(f"""
+WITH o AS ({rule_sql.overall_sql()}), i AS ({rule_sql.issues_sql()}), s AS ({rule_sql.scores_sql()}),
+c AS (SELECT page_id, criterion, count(*) AS n, md5(string_agg(line, chr(10) ORDER BY line)) AS digest FROM (SELECT page_id, criterion, concat_ws('|', rule_id, severity, issue, recommendation, html_snippet) AS line FROM i) GROUP BY ALL)
+SELECT s.page_id, o.overall_score, o.grade, s.criterion, s.score, CAST(coalesce(c.n, 0) AS INTEGER) AS n_issues, c.digest FROM s JOIN o USING (page_id) LEFT JOIN c ON c.page_id = s.page_id AND c.criterion = s.criterion""")
+def page_reports(spark: SparkSession, d: str) -> DataFrame:
+    """The nested report of every page, its issues as their number and a digest."""
+    area = text.each(rules.reports(pages(spark, d)), F.col("criteria"), "c", "page_id", "overall_score", "grade")
+    lines = F.array_sort(F.transform("c.issues", lambda i: F.concat_ws("|", i["rule_id"], i["severity"], i["issue"], i["recommendation"], i["html_snippet"])))
+    digest = F.when(F.size("c.issues") > 0, F.md5(F.array_join(lines, "\n")))
+    return area.select("page_id", "overall_score", "grade", "c.criterion", "c.score", F.size("c.issues").alias("n_issues"), digest.alias("digest"))
 
 
 # --- findings of an external evaluator ---------------------------------------------------
