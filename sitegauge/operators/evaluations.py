@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from sitegauge.functions.patterns import java
 from sitegauge.functions.text import INERT, blank, count, each, find_all, first, half_up, has
-from sitegauge.operators.rules import ALLOWED_CHILDREN, P, open_tag, parent_span
+from sitegauge.operators.rules import ALLOWED_CHILDREN, P, child_violations, open_tag, parent_span
 
 # What is out of scope, and the words that claim something missing or doubled.
 SCOPE = {
@@ -64,9 +64,9 @@ def _children_are_fine(text: Column, snippet: Column) -> Column:
     """The text names a parent whose first element in the snippet has only allowed children."""
     claims = []
     for parent, allowed in ALLOWED_CHILDREN.items():
-        inner = first(snippet, parent_span(parent), 1)
-        present = has(snippet, parent_span(parent))
-        claims.append(present & has(text, rf"\b{parent}\b") & (F.size(_bad_children(inner, allowed)) == 0))
+        claimed = has(text, rf"\b{parent}\b") & has(snippet, parent_span(parent))
+        # the walk is for the few findings that name the parent and show it
+        claims.append(F.when(claimed, F.size(_bad_children(first(snippet, parent_span(parent), 1), allowed)) == 0).otherwise(F.lit(False)))
     out = claims[0]
     for c in claims[1:]:
         out |= c
@@ -85,8 +85,11 @@ def _bad_children(inner: Column, allowed: tuple[str, ...]) -> Column:
     return F.aggregate(find_all(inner, P["tag"]), begin, step, lambda s: s["bad"])
 
 
-def drop_reason(findings: DataFrame, facts: DataFrame) -> DataFrame:
-    """Adds ``drop_reason``, null for findings that stand. Facts of unknown pages count as none."""
+def drop_reason(findings: DataFrame, facts: DataFrame, pages: DataFrame | None = None) -> DataFrame:
+    """Adds ``drop_reason``, null for findings that stand. Facts of unknown pages count as none.
+
+    With ``pages``, findings that propose what the page already has are dropped as well,
+    where nothing else drops them."""
     subject = F.concat_ws(" ", F.col("issue"), F.coalesce("recommendation", F.lit("")))
     snippet = F.coalesce("html_snippet", F.lit(""))
     issue = F.col("issue")
@@ -103,7 +106,11 @@ def drop_reason(findings: DataFrame, facts: DataFrame) -> DataFrame:
         ("main_single", has(issue, ABOUT_MAIN) & (main <= 1) & has(issue, DOUBLED)),
     ]
     reason = F.coalesce(*[F.when(c, F.lit(name)) for name, c in checks])
-    return findings.join(facts, "page_id", "left").withColumn("drop_reason", reason).drop("h1_count", "main_count", "has_root")
+    judged = findings.join(facts, "page_id", "left").withColumn("drop_reason", reason).drop("h1_count", "main_count", "has_root")
+    if pages is None:
+        return judged
+    had = satisfied_suggestions(findings, pages).distinct().withColumn("_had", F.lit("already_there"))
+    return judged.join(had, "issue_id", "left").withColumn("drop_reason", F.coalesce("drop_reason", "_had")).drop("_had")
 
 
 def suggested_wrappers(text: Column) -> Column:
@@ -167,18 +174,23 @@ def already_wrapped(page: str | None, snippet: str | None, wanted: list[str] | N
     return all(t in wanted or any(open_.get(w, 0) > 0 for w in wanted) for _, t in todo)
 
 
-@F.pandas_udf(T.BooleanType())
-def _wrapped(page: pd.Series, snippet: pd.Series, wanted: pd.Series) -> pd.Series:
-    return pd.Series([already_wrapped(p, s, list(w) if w is not None else None) for p, s, w in zip(page, snippet, wanted)])
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def _wrapped(page: pd.Series, asked: pd.Series) -> pd.Series:
+    return pd.Series([[a["issue_id"] for a in some if already_wrapped(p, a["html_snippet"], list(a["_w"]))] for p, some in zip(page, asked)])
 
 
 def satisfied_suggestions(findings: DataFrame, pages: DataFrame) -> DataFrame:
-    """``issue_id`` of findings that propose what the page already has. Only findings that
-    propose a wrapper and show a snippet are joined with their page."""
+    """``issue_id`` of findings that propose what the page already has.
+
+    Only findings that propose a wrapper and show a snippet meet their page, all of a
+    page together, so that its text travels once; a page with very many is dealt to sixteen.
+    """
     text = F.concat_ws(" ", "issue", F.coalesce("recommendation", F.lit("")))
     asking = findings.withColumn("_w", suggested_wrappers(text)).filter((F.size("_w") > 0) & (F.length("html_snippet") > 0))
-    joined = asking.select("issue_id", "page_id", "html_snippet", "_w").join(pages.filter("html is not null").select("page_id", "html"), "page_id")
-    return joined.filter(_wrapped("html", "html_snippet", "_w")).select("issue_id")
+    part = F.pmod(F.xxhash64("issue_id"), F.lit(16))
+    of_page = asking.groupBy("page_id", part.alias("_part")).agg(F.collect_list(F.struct(F.col("issue_id").cast("bigint").alias("issue_id"), "html_snippet", "_w")).alias("_a"))
+    joined = of_page.join(pages.filter("html is not null").select("page_id", "html"), "page_id")
+    return joined.select(F.explode(_wrapped("html", "_a")).alias("issue_id"))
 
 
 def merge_key() -> Column:
@@ -233,6 +245,46 @@ def final_scores(merged: DataFrame, pages: DataFrame, violations: DataFrame) ->
     return joined.select("page_id", "criterion", F.greatest(F.lit(0), F.coalesce("score", F.lit(0)) - lost).cast("int").alias("score"))
 
 
+#: What a report says where no evaluation came through, and of forbidden child elements.
+NO_EVALUATION = ("the page could not be evaluated", "Run the evaluation again.", "<html>…</html>")
+CHILD_ADVICE = "Move the element to where the content model allows it."
+
+
+def merged_report(findings: DataFrame, pages: DataFrame) -> DataFrame:
+    """``page_id, criterion, rank, origin, severity, issue, recommendation, html_snippet``: the
+    report of every page with html, from rows with ``drop_reason``.
+
+    Forbidden child elements (``rules``) that the evaluator did not name go before its
+    findings in the semantic area, the last one first, beyond the cap if need be. A page
+    without any finding of the evaluator gets one error per area instead (``none``).
+    """
+    standing = findings.filter("drop_reason is null")
+    kept = merged_findings(standing).join(standing.select("issue_id", "severity", "issue", "recommendation", "html_snippet"), "issue_id")
+    columns = ["page_id", "criterion", "severity", "issue", "recommendation", "html_snippet"]
+    model = kept.select(*columns, F.lit("model").alias("origin"), F.col("rank").alias("place"))
+    known = pages.filter("html is not null").select("page_id", "html")
+    found = known.select("page_id", F.posexplode_outer(child_violations(F.col("html"))).alias("k", "v")).filter("v is not null")
+    says = F.format_string("element not allowed as direct child: %s in %s", "v.child", "v.parent")
+    own = found.select("page_id", F.lit("semantic").alias("criterion"), F.lit("error").alias("severity"), says.alias("issue"), F.lit(CHILD_ADVICE).alias("recommendation"), F.col("v.span").alias("html_snippet"), F.lit("rules").alias("origin"), (-F.col("k") - 1).alias("place"))
+    named = model.filter("criterion = 'semantic'").select("page_id", merge_key().alias("_key")).distinct()
+    own = own.withColumn("_key", merge_key()).join(named, ["page_id", "_key"], "left_anti").drop("_key")
+    seen = findings.select("page_id").distinct()
+    silent = each(known.join(seen, "page_id", "left_anti"), F.array(*map(F.lit, CAPS)), "criterion", "page_id")
+    none = silent.select("page_id", "criterion", F.lit("error").alias("severity"), *[F.lit(t).alias(n) for t, n in zip(NO_EVALUATION, columns[3:])], F.lit("none").alias("origin"), F.lit(1).alias("place"))
+    rows = model.join(known.select("page_id"), "page_id").unionByName(own.join(seen, "page_id", "left_semi")).unionByName(none)
+    # at most the caps and a page's own violations share a page and an area
+    rank = F.row_number().over(Window.partitionBy("page_id", "criterion").orderBy("place"))
+    return rows.withColumn("rank", rank).select("page_id", "criterion", "rank", "origin", *columns[2:])
+
+
+def doc_size(chunks: DataFrame, pages: DataFrame) -> DataFrame:
+    """``page_id, size, recommendation`` of every page with html: its bytes, and the first advice on
+    size that is not blank, of ``page_id, chunk, recommendation``, in the order of the chunks."""
+    told = chunks.filter(F.length(F.regexp_replace("recommendation", java(r"^\s+|\s+$"), "")) > 0)
+    first_told = told.groupBy("page_id").agg(F.min_by("recommendation", "chunk").alias("recommendation"))
+    return pages.filter("html is not null").select("page_id", F.octet_length("html").alias("size")).join(first_told, "page_id", "left")
+
+
 def fix_queue(findings: DataFrame, most: int = 20, shortest: int = 6) -> DataFrame:
     """``page_id, issue_id, rank``: the findings of a page to look at first, by criterion and
     place, those with too short a snippet left out."""

@@ -270,7 +270,8 @@ SELECT * FROM dropped WHERE {where}"""
 
 
 def judged(spark: SparkSession, d: str) -> DataFrame:
-    return evaluations.drop_reason(model_issues(spark, d), evaluations.page_facts(pages(spark, d)))
+    p = pages(spark, d)
+    return evaluations.drop_reason(model_issues(spark, d), evaluations.page_facts(p), p)
 
 
 @query(f"SELECT issue_id, drop_reason FROM ({_dropped('drop_reason IS NOT NULL')})")
@@ -283,6 +284,26 @@ def satisfied_suggestions(spark: SparkSession, d: str) -> DataFrame:
     return evaluations.satisfied_suggestions(model_issues(spark, d), pages(spark, d))
 
 
+#: Pages with a finding that proposes a wrapper, and whether all its places have it.
+_PLANTED = (
+    ('<main><p class="a b">x</p></main>', '<p class="b">', "wrap it in <main>", True),
+    ('<p class="a b">x</p><main></main>', '<p class="b">', "wrap it in <main>", False),
+    ('<article><div id="q">1</div></article><div id="q">2</div>', '<div id="q">1</div>', "use an article", True),
+    ('<section><b data-k="v">1</b></section><b data-k="v">2</b>', '<i data-k="V">', "wrap in a section", False),
+    ("<nav><br><ul><li>1</li></ul></nav>", "<li>1</li>", "replace the list with nav", True),
+    ("<p>1</p>", "<td>9</td>", "wrap in a section", False),
+)
+
+
+@query(f"SELECT page_id FROM pages WHERE page_id % {len(_PLANTED)} IN ({', '.join(str(k) for k, case in enumerate(_PLANTED) if case[3])})")
+def satisfied_suggestions_planted(spark: SparkSession, d: str) -> DataFrame:
+    """One planted page and finding for every page of the table."""
+    kind = F.pmod(F.col("page_id"), F.lit(len(_PLANTED))).cast("int") + 1
+    one = lambda k: F.element_at(F.array(*[F.lit(case[k]) for case in _PLANTED]), kind)
+    planted = table(spark, d, "pages").select("page_id", one(0).alias("html"), one(1).alias("html_snippet"), one(2).alias("issue"), F.lit(None).cast("string").alias("recommendation"), F.col("page_id").alias("issue_id"))
+    return evaluations.satisfied_suggestions(planted.drop("html"), planted.select("page_id", "html")).select(F.col("issue_id").alias("page_id"))
+
+
 _CAPS = " ".join(f"WHEN '{c}' THEN {n}" for c, n in evaluations.CAPS.items())
 
 
@@ -307,6 +328,32 @@ def merged_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 _MERGED_SCORES = SQL["merged_scores"]
+_NONE = ", ".join(f"'{t}'" for t in evaluations.NO_EVALUATION)
+
+
+@query(f"""
+WITH src AS (SELECT page_id, html FROM pages WHERE html IS NOT NULL), {rule_sql.children_cte()},
+seen AS (SELECT DISTINCT page_id FROM model_issues),
+kept AS (SELECT m.page_id, m.criterion, m.rank, i.severity, i.issue, i.recommendation, i.html_snippet FROM ({SQL["merged_findings"]}) m JOIN ({_ISSUES}) i USING (issue_id) WHERE m.page_id IN (SELECT page_id FROM src)),
+v AS (SELECT page_id, 'element not allowed as direct child: ' || child || ' in ' || parent AS issue, span FROM violations WHERE page_id IN (SELECT page_id FROM seen)),
+own AS (SELECT * FROM v WHERE NOT EXISTS (SELECT 1 FROM kept k WHERE k.page_id = v.page_id AND k.criterion = 'semantic' AND k.severity = 'error' AND k.issue = v.issue AND coalesce(substring(regexp_replace(k.html_snippet, {L(chr(92) + 's+')}, ' ', 'g'), 1, 120), '') = substring(v.span, 1, 120))),
+n AS (SELECT page_id, count(*) AS n FROM own GROUP BY 1)
+SELECT kept.page_id, criterion, CAST(rank + CASE WHEN criterion = 'semantic' THEN coalesce(n, 0) ELSE 0 END AS INTEGER) AS rank, 'model' AS origin, severity, issue, recommendation, html_snippet FROM kept LEFT JOIN n ON n.page_id = kept.page_id
+UNION ALL SELECT page_id, 'semantic', NULL, 'rules', 'error', issue, '{evaluations.CHILD_ADVICE}', span FROM own
+UNION ALL SELECT page_id, unnest({rule_sql._list(tuple(evaluations.CAPS))}), 1, 'none', 'error', {_NONE} FROM src WHERE page_id NOT IN (SELECT page_id FROM seen)""")
+def merged_report(spark: SparkSession, d: str) -> DataFrame:
+    """The ranks of the rules' own findings, which SQL has no order for, are left out."""
+    rows = evaluations.merged_report(judged(spark, d), pages(spark, d))
+    return rows.withColumn("rank", F.when(F.col("origin") != "rules", F.col("rank")))
+
+
+@query("""
+WITH c AS (SELECT page_id, arg_min(recommendation, chunk) AS recommendation FROM (SELECT page_id, chunk, min(recommendation) AS recommendation FROM model_issues WHERE regexp_matches(recommendation, '[^\\s]') GROUP BY 1, 2) GROUP BY 1)
+SELECT page_id, CAST(strlen(html) AS INTEGER) AS size, recommendation FROM pages LEFT JOIN c USING (page_id) WHERE html IS NOT NULL""")
+def document_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """The advice of each chunk is taken from its findings, as the tables have none on size."""
+    chunks = model_issues(spark, d).filter(F.length(F.trim("recommendation")) > 0).groupBy("page_id", "chunk").agg(F.min("recommendation").alias("recommendation"))
+    return evaluations.doc_size(chunks, pages(spark, d))
 
 
 @query(f"""
