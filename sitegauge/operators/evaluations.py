@@ -47,10 +47,11 @@ def valid_findings(findings: DataFrame) -> DataFrame:
 
 
 def page_facts(pages: DataFrame) -> DataFrame:
-    """``page_id, h1_count, main_count, has_root``; a page without html has no heading, main or root."""
+    """``page_id, html_bytes, h1_count, main_count, has_root``; a page without html has no heading, main or root."""
     html = F.coalesce("html", F.lit(""))
-    structure = blank(html, INERT)
-    return pages.select("page_id", count(structure, open_tag("h1")).alias("h1_count"), count(structure, open_tag("main")).alias("main_count"), has(html, rf"<div\b[^>]*{ROOT}").alias("has_root"))
+    structure = F.col("_s")
+    rows = pages.select("page_id", "html", blank(html, INERT).alias("_s"))
+    return rows.select("page_id", F.octet_length(html).alias("html_bytes"), count(structure, open_tag("h1")).alias("h1_count"), count(structure, open_tag("main")).alias("main_count"), has(html, rf"<div\b[^>]*{ROOT}").alias("has_root"))
 
 
 def _first_list_tag_is_term(text: Column, snippet: Column) -> Column:
@@ -106,7 +107,7 @@ def drop_reason(findings: DataFrame, facts: DataFrame, pages: DataFrame | None =
         ("main_single", has(issue, ABOUT_MAIN) & (main <= 1) & has(issue, DOUBLED)),
     ]
     reason = F.coalesce(*[F.when(c, F.lit(name)) for name, c in checks])
-    judged = findings.join(facts, "page_id", "left").withColumn("drop_reason", reason).drop("h1_count", "main_count", "has_root")
+    judged = findings.join(facts.drop("html_bytes"), "page_id", "left").withColumn("drop_reason", reason).drop("h1_count", "main_count", "has_root")
     if pages is None:
         return judged
     had = satisfied_suggestions(findings, pages).distinct().withColumn("_had", F.lit("already_there"))

@@ -79,14 +79,9 @@ def path_boost(path: Column, tokens: Column) -> Column:
     return F.aggregate(F.transform(tokens, one), F.lit(0), lambda a, b: a + b)
 
 
-def snippet_needles(snippet: Column) -> Column:
-    """``array<struct<tier, needle>>``: identifiers, then class names, then words of the text."""
-    ids = F.transform(find_all(snippet, r"\bid\s*=\s*[\"']([^\"']+)[\"']", 1), lambda v: F.struct(F.lit(1).alias("tier"), v.alias("needle")))
-    names = F.flatten(F.transform(find_all(snippet, r"\bclass\s*=\s*[\"']([^\"']+)[\"']", 1), lambda v: F.split(v, r"\s+")))
-    classes = F.transform(names, lambda v: F.struct(F.lit(2).alias("tier"), v.alias("needle")))
-    words = F.filter(F.split(F.regexp_replace(snippet, "<[^>]*>", " "), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) >= 5)
-    texts = F.transform(words, lambda v: F.struct(F.lit(3).alias("tier"), v.alias("needle")))
-    return F.array_distinct(F.filter(F.concat(ids, classes, texts), lambda n: F.length(n["needle"]) >= 4))
+def snippet_words(snippet: Column) -> Column:
+    """Distinct words of five letters and digits or more of a snippet's text."""
+    return F.array_distinct(F.filter(F.split(F.regexp_replace(snippet, "<[^>]*>", " "), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) >= 5))
 
 
 def files_with_needles(files: DataFrame, needles: DataFrame, gram: int = 4) -> DataFrame:
@@ -94,12 +89,18 @@ def files_with_needles(files: DataFrame, needles: DataFrame, gram: int = 4) -> D
 
     A needle's first ``gram`` characters are an equi-join key against the distinct grams of
     each file, so that no file meets a needle it shares nothing with; the full test follows.
+    The columns beside ``content`` tell the files apart. Null contents hold nothing.
     """
-    low = files.withColumn("_c", F.lower("content")).drop("content").filter("_c is not null")
+    keys = [c for c in files.columns if c != "content"]
+    low = files.filter("content is not null").select(*keys, F.lower("content").alias("_c"))
     grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("_c") - gram + 1, F.lit(1))), lambda k: F.substring(F.col("_c"), k, gram)))
-    keyed = each(low, grams, "_g", *low.columns)
+    keyed = each(low, grams, "_g", *keys)
     wanted = needles.withColumn("_n", F.lower("needle")).filter(F.length("_n") >= gram).withColumn("_g", F.substring("_n", 1, gram))
-    return keyed.join(wanted, "_g").filter(F.contains("_c", F.col("_n"))).drop("_g", "_c", "_n")
+    given = [*needles.columns, "_n"]
+    # the text meets the needles that share a gram with it at once, not each on its own
+    met = keyed.join(wanted, "_g").groupBy(*keys, F.pmod(F.xxhash64("_n"), F.lit(16)).alias("_part")).agg(F.collect_list(F.struct(*given)).alias("_a"))
+    both = met.join(low, keys).withColumn("_hit", F.filter("_a", lambda a: F.contains(F.col("_c"), a["_n"])))
+    return both.select(*keys, F.explode("_hit").alias("_h")).select(*keys, *[F.col(f"_h.{c}").alias(c) for c in needles.columns])
 
 
 def distinct_files(resources: DataFrame) -> DataFrame:
@@ -243,8 +244,7 @@ def steps_of_issues(issues: DataFrame, bits: bytes) -> DataFrame:
 
     types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.list_(pa.string()), pa.list_(pa.string())]
     names = ["issue_id", "page_id", "step", "tier", "needle", "also", "narrow"]
-    words = F.transform(F.filter(snippet_needles(F.col("html_snippet")), lambda n: n["tier"] == 3), lambda n: n["needle"])
-    rows = issues.filter("html_snippet is not null").select("issue_id", "page_id", "html_snippet", words.alias("words"))
+    rows = issues.filter("html_snippet is not null").select("issue_id", "page_id", "html_snippet", snippet_words(F.col("html_snippet")).alias("words"))
     return rows.mapInArrow(run, "issue_id bigint, page_id bigint, step int, tier int, needle string, also array<string>, narrow array<string>")
 
 

@@ -111,9 +111,25 @@ def css_metrics(pages: DataFrame, domain: str) -> DataFrame:
     return with_visible_chars(css, "stripped").select("page_id", "css_chars", "css_ext_count", "css_inline_count", ratio(F.col("css_chars"), F.col("visible_chars")).alias("css_to_text_ratio"))
 
 
+def page_metrics(pages: DataFrame, domain: str) -> DataFrame:
+    """``text_metrics`` and ``css_metrics`` of a page in one scan; inline styles as ``inline_css_chars``."""
+    styles = find_all(F.col("html"), STYLE_BLOCK, 1)
+    base = pages.filter("html is not null").select(
+        "page_id",
+        F.octet_length("html").alias("html_bytes"),
+        F.aggregate(F.transform(styles, units), F.lit(0), lambda a, b: a + b).alias("inline_css_chars"),
+        count(F.col("html"), sheet_pattern(domain)).alias("css_ext_count"),
+        F.size(styles).alias("css_inline_count"),
+        blank(F.col("html"), UNSEEN).alias("stripped"),
+    )
+    sized = base.withColumn("markup_bytes", F.octet_length(blank(F.col("stripped"), STYLING)))
+    full = with_visible_chars(sized, "stripped").drop("stripped")
+    return full.withColumn("html_to_text_ratio", ratio(F.col("markup_bytes"), F.col("visible_chars"))).withColumn("css_to_text_ratio", ratio(F.col("inline_css_chars"), F.col("visible_chars")))
+
+
 def size_advice(pages: DataFrame, domain: str) -> DataFrame:
     """``page_id, ord, tactic``: at most six codes of what would make the page lighter."""
-    m = text_metrics(pages).join(css_metrics(pages, domain), "page_id")
+    m = page_metrics(pages, domain)
     r = F.col("html_to_text_ratio")
     codes = F.array(
         F.when(r > 30, "ratio_very_high").when(r > 15, "ratio_high").otherwise("ratio_fine"),

@@ -157,3 +157,16 @@ def referenced_files(pages: DataFrame, domain: str) -> DataFrame:
     js = each(pages, F.array_distinct(find_all(html, src, 1)), "url", "page_id", F.lit("js").alias("kind"))
     css = each(pages, F.array_distinct(find_all(html, href, 1)), "url", "page_id", F.lit("css").alias("kind"))
     return js.unionByName(css)
+
+
+def with_fallback(captured: DataFrame, referenced: DataFrame) -> DataFrame:
+    """``page_id, kind, url, content``: the captured resources, and for pages without any those
+    that their html names, as captured elsewhere.
+
+    ``captured`` are distinct resources; ``referenced`` has ``page_id, kind, url``. What no
+    page captured is left out.
+    """
+    columns = ["page_id", "kind", "url", "content"]
+    elsewhere = captured.groupBy("kind", "url").agg(F.max("content").alias("content"))
+    bare = referenced.join(captured.select("page_id").distinct(), "page_id", "left_anti").distinct()
+    return captured.select(*columns).unionByName(bare.join(elsewhere, ["kind", "url"]).select(*columns))

@@ -11,8 +11,9 @@ from sitegauge import streaming
 from sitegauge.functions import text
 from sitegauge.functions.patterns import java
 from sitegauge.functions.patterns import linear as L
-from sitegauge.operators import evaluations, fragments, locate, metrics, resources, rules, views
+from sitegauge.operators import evaluations, fragments, locate, metrics, neighbours, resources, rules, views
 from sitegauge.plans import rule_sql
+from sitegauge.settings import Settings
 from sitegauge.sources import spread, table
 
 #: The domain whose style sheets count as the site's own.
@@ -135,7 +136,8 @@ def stripped_html(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def bloated_segments(spark: SparkSession, d: str) -> DataFrame:
-    return fragments.bloated_segments(pages(spark, d)).drop("snippet")
+    found = fragments.bloated_segments(pages(spark, d)).drop("snippet")
+    return found.withColumn("band", views.segment_band(F.col("ratio")))
 
 
 @query()
@@ -377,9 +379,7 @@ def fix_queue(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT page_id, CAST(strlen(html) AS INTEGER) AS html_bytes, CAST(len(regexp_extract_all(s, {L(rules.open_tag('h1'))})) AS INTEGER) AS h1_count, CAST(len(regexp_extract_all(s, {L(rules.open_tag('main'))})) AS INTEGER) AS main_count, regexp_matches(html, {L('<div' + chr(92) + 'b[^>]*' + evaluations.ROOT)}) AS has_root FROM ({_FACTS})")
 def evaluator_facts(spark: SparkSession, d: str) -> DataFrame:
-    p = pages(spark, d)
-    facts = evaluations.page_facts(p.withColumn("html", F.coalesce("html", F.lit(""))))
-    return facts.join(p.select("page_id", F.octet_length(F.coalesce("html", F.lit(""))).alias("html_bytes")), "page_id").select("page_id", "html_bytes", "h1_count", "main_count", "has_root")
+    return evaluations.page_facts(pages(spark, d))
 
 
 _T = L("^" + chr(92) + "s+|" + chr(92) + "s+$")
@@ -392,6 +392,17 @@ def grouped_issues(spark: SparkSession, d: str) -> DataFrame:
     return views.grouped_issues(model_issues(spark, d))
 
 
+@query(f"""
+WITH k AS (SELECT page_id, severity, regexp_replace(issue, {_T}, '', 'g') AS issue, regexp_replace(coalesce(recommendation, ''), {_T}, '', 'g') AS recommendation,
+  nullif(regexp_replace(coalesce(html_snippet, ''), {_T}, '', 'g'), '') AS snippet, chunk, ord, issue_id FROM ({_ISSUES})),
+o AS (SELECT page_id, severity, issue, recommendation, snippet, min(struct_pack(a := chunk, b := ord, c := issue_id)) AS seen FROM k GROUP BY 1, 2, 3, 4, 5)
+SELECT page_id, severity, issue, recommendation, struct_extract(min(seen), 'c') AS first_id, md5(coalesce(string_agg(snippet, '|' ORDER BY seen) FILTER (snippet IS NOT NULL), '')) AS digest FROM o GROUP BY 1, 2, 3, 4""")
+def grouped_snippets(spark: SparkSession, d: str) -> DataFrame:
+    """The snippets of every grouped finding in the order first seen, as a digest."""
+    rows = views.grouped_snippets(model_issues(spark, d), ["chunk", "ord", "issue_id"])
+    return rows.select("page_id", "severity", "issue", "recommendation", F.col("first_seen.issue_id").alias("first_id"), F.md5(F.array_join("snippets", "|")).alias("digest"))
+
+
 # --- resources ------------------------------------------------------------------------------
 
 
@@ -444,17 +455,57 @@ def unused_styles(spark: SparkSession, d: str) -> DataFrame:
     return resources.unused_styles(coverage(spark, d, "css"), js.select("page_id", "content"))
 
 
-@query()
+_LINKED = rf"{chr(92)}bhref{chr(92)}s*=" + rf"{chr(92)}s*[{chr(92)}x22']([^{chr(92)}x22']*{DOMAIN}[^{chr(92)}x22']*)[{chr(92)}x22']"
+_SCRIPTED = rf"<script{chr(92)}b[^>]*{chr(92)}bsrc{chr(92)}s*={chr(92)}s*[{chr(92)}x22']([^{chr(92)}x22']*{DOMAIN}[^{chr(92)}x22']*)[{chr(92)}x22']"
+_SHEET = rf"{chr(92)}brel{chr(92)}s*={chr(92)}s*[{chr(92)}x22']stylesheet[{chr(92)}x22']"
+_REFERENCED = f"""
+SELECT DISTINCT page_id, 'js' AS kind, unnest(regexp_extract_all(html, {L(_SCRIPTED)}, 1)) AS url FROM pages
+UNION SELECT DISTINCT page_id, 'css', url FROM (
+  SELECT page_id, regexp_extract(tag, {L('.*' + _LINKED)}, 1) AS url FROM (SELECT page_id, unnest(regexp_extract_all(html, {L('<link' + chr(92) + 'b[^>]*>')})) AS tag FROM pages)
+  WHERE regexp_matches(tag, {L(_SHEET)}) AND regexp_matches(tag, {L(_LINKED)}))"""
+
+
+@query(_REFERENCED)
 def referenced_files(spark: SparkSession, d: str) -> DataFrame:
-    return resources.referenced_files(pages(spark, d), "")
+    return resources.referenced_files(pages(spark, d), DOMAIN)
+
+
+@query(f"""
+WITH f AS ({_FILES}), e AS (SELECT kind, url, max(content) AS content FROM f GROUP BY 1, 2),
+r AS ({_REFERENCED})
+SELECT page_id, kind, url, length(content) AS n_chars, 'captured' AS origin FROM f
+UNION ALL SELECT r.page_id, kind, url, length(content), 'named' FROM r JOIN e USING (kind, url) WHERE r.page_id NOT IN (SELECT page_id FROM f WHERE page_id IS NOT NULL)""")
+def resources_of_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Captured resources, and what pages without any name; ``origin`` tells which."""
+    captured = resources.distinct_resources(page_resources(spark, d))
+    full = resources.with_fallback(captured, resources.referenced_files(pages(spark, d), DOMAIN))
+    have = captured.select("page_id").distinct().withColumn("origin", F.lit("captured"))
+    return full.join(have, "page_id", "left").select("page_id", "kind", "url", F.length("content").alias("n_chars"), F.coalesce("origin", F.lit("named")).alias("origin"))
+
+
+@query(f"""
+WITH u AS ({SQL["unused_scripts"]}), n AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY unused_chars DESC, page_id) AS nth FROM u)
+SELECT page_id, url, CASE WHEN split_part(split_part(url, '?', 1), '/', -1) = '' THEN url ELSE split_part(split_part(url, '?', 1), '/', -1) END AS label, unused_chars,
+  floor(total_chars / 1000.0 * 10 + 0.5) / 10 AS kilobytes, CASE WHEN unused_pct >= 90 THEN 'severe' WHEN unused_pct >= 70 THEN 'high' ELSE 'moderate' END AS band FROM n WHERE nth = 1""")
+def unused_files_view(spark: SparkSession, d: str) -> DataFrame:
+    once = views.first_per_url(resources.unused_scripts(coverage(spark, d, "js")), F.desc("unused_chars"), "page_id")
+    return once.select("page_id", "url", views.file_label(F.col("url")).alias("label"), "unused_chars", views.kilobytes(F.col("total_chars")).alias("kilobytes"), views.unused_band(F.col("unused_pct")).alias("band"))
+
+
+@query(f"""
+SELECT page_id, CASE WHEN html_to_text_ratio > 30 THEN 'very_high' WHEN html_to_text_ratio > 15 THEN 'high' WHEN html_to_text_ratio > 5 THEN 'fair' ELSE 'good' END AS band,
+  floor(html_bytes / 1000.0 * 10 + 0.5) / 10 AS kilobytes FROM ({_TEXT_METRICS})""")
+def metric_bands(spark: SparkSession, d: str) -> DataFrame:
+    m = metrics.text_metrics(pages(spark, d))
+    return m.select("page_id", views.ratio_band(F.col("html_to_text_ratio")).alias("band"), views.kilobytes(F.col("html_bytes")).alias("kilobytes"))
 
 
 @query(f"""
-WITH t AS ({SQL["resource_totals"]}), m AS ({_TEXT_METRICS}),
+WITH t AS ({SQL["resource_totals"]}), m AS (SELECT t.*, c.css_chars FROM ({_TEXT_METRICS}) t JOIN ({_CSS_METRICS}) c USING (page_id)),
 w AS (SELECT m.*, coalesce(j.chars, 0) AS jc, coalesce(j.app_chars, 0) AS ja, coalesce(c.chars, 0) AS cc FROM m LEFT JOIN t j ON j.page_id = m.page_id AND j.kind = 'js' LEFT JOIN t c ON c.page_id = m.page_id AND c.kind = 'css')
-SELECT page_id, floor(jc / greatest(visible_chars, 1) * 100 + 0.5) / 100 AS js_to_text, floor(ja / greatest(visible_chars, 1) * 100 + 0.5) / 100 AS js_app_to_text, floor(cc / greatest(visible_chars, 1) * 100 + 0.5) / 100 AS css_to_text FROM w""")
+SELECT page_id, floor(jc / greatest(visible_chars, 1) * 100 + 0.5) / 100 AS js_to_text, floor(ja / greatest(visible_chars, 1) * 100 + 0.5) / 100 AS js_app_to_text, floor((cc + css_chars) / greatest(visible_chars, 1) * 100 + 0.5) / 100 AS css_to_text FROM w""")
 def resource_ratios(spark: SparkSession, d: str) -> DataFrame:
-    full = views.enriched_metrics(metrics.text_metrics(pages(spark, d)), resources.resource_totals(page_resources(spark, d)))
+    full = views.enriched_metrics(metrics.page_metrics(pages(spark, d), DOMAIN), resources.resource_totals(page_resources(spark, d)))
     return full.select("page_id", "js_to_text", "js_app_to_text", "css_to_text")
 
 
@@ -488,6 +539,46 @@ def snippet_file_candidates(spark: SparkSession, d: str) -> DataFrame:
     return locate.candidate_files(model_issues(spark, d), table(spark, d, "pages"), files)
 
 
+#: A small project for every page: its files, and what is reached from its view.
+_PROJECT = {
+    "app/routes.js": "import shell from './shell'\nimport other from './other'\nimport view from './view'", "app/shell.js": "import card from '../parts/card'", "app/other.js": "nothing here",
+    "app/view.js": "import head from '../parts/head'", "parts/head.js": "import deep from './deep'", "parts/deep.js": "className='panel-wide'", "parts/card.js": '<div data-slot="left">', "parts/lone.js": "panel-wide",
+}
+_CLOSURE = [
+    ("app/routes.js", "app/shell.js", 1), ("app/routes.js", "app/other.js", 1), ("app/routes.js", "app/view.js", 1), ("app/routes.js", "parts/card.js", 2), ("app/routes.js", "parts/head.js", 2),
+    ("app/shell.js", "parts/card.js", 1), ("app/view.js", "parts/head.js", 1), ("app/view.js", "parts/deep.js", 2), ("parts/head.js", "parts/deep.js", 1),
+]
+_EXPANDED = [("app/view.js", 1, "search"), ("parts/deep.js", 2, "imported"), ("parts/card.js", 3, "inner")]
+
+
+def _projects(spark: SparkSession, d: str) -> DataFrame:
+    files = F.array(*[F.struct(F.lit(path).alias("path"), F.lit(content).alias("content")) for path, content in _PROJECT.items()])
+    rows = table(spark, d, "pages").select("page_id", F.explode(files).alias("f"))
+    return rows.select("page_id", F.concat(F.lit("site"), F.col("page_id").cast("string"), F.lit("/"), F.col("f.path")).alias("path"), "f.content")
+
+
+@query("SELECT 'site' || page_id || '/' || a AS src, 'site' || page_id || '/' || b AS dst, d AS depth FROM pages, (VALUES " + ", ".join(f"('{a}', '{b}', {n})" for a, b, n in _CLOSURE) + ") t(a, b, d)")
+def import_closure(spark: SparkSession, d: str) -> DataFrame:
+    return locate.reachable(locate.import_edges(_projects(spark, d)))
+
+
+@query("SELECT page_id AS issue_id, 'site' || page_id || '/' || p AS path, r AS rank, h AS how FROM pages, (VALUES " + ", ".join(f"('{p}', {r}, '{h}')" for p, r, h in _EXPANDED) + ") t(p, r, h)")
+def expanded_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """From the view of every planted project to the files around it that its snippet names."""
+    projects = _projects(spark, d)
+    start = projects.filter(F.col("path").endswith("app/view.js")).select(F.col("page_id").alias("issue_id"), "path", F.lit(1).alias("rank"))
+    issues = start.select("issue_id", F.lit('<p class="panel-wide x" data-slot="LEFT">t</p>').alias("html_snippet"))
+    return neighbours.expanded_candidates(start, issues, locate.import_edges(projects), projects).select("issue_id", "path", "rank", "how")
+
+
+@query()
+def patch_places(spark: SparkSession, d: str) -> DataFrame:
+    """Where in its first candidate file each finding may be mended."""
+    files, issues = locate.distinct_files(page_resources(spark, d)), model_issues(spark, d)
+    found = locate.candidate_files(issues, table(spark, d, "pages"), files)
+    return neighbours.patch_places(found, issues, files).select("issue_id", "path", F.size("anchors").alias("n_anchors"), F.md5("excerpt").alias("digest"))
+
+
 # --- jobs, lists, notes -----------------------------------------------------------------------
 
 
@@ -509,6 +600,21 @@ def range_islands(spark: SparkSession, d: str) -> DataFrame:
     return locate.merge_ranges(rows, "job_id", 1000)
 
 
+@query("""
+WITH l AS (SELECT job_id, max(updated_at) AS last_update FROM bulk_items GROUP BY 1)
+SELECT * FROM l WHERE (SELECT max(updated_at) FROM bulk_items) - last_update <= 1800000""")
+def live_jobs(spark: SparkSession, d: str) -> DataFrame:
+    """The jobs still kept at the time of the last update of all."""
+    items = table(spark, d, "bulk_items")
+    now = items.agg(F.max("updated_at")).first()[0]
+    return views.live_jobs(items, F.lit(now).cast("bigint"), Settings.of(spark).job_keep_ms)
+
+
+@query("SELECT page_id, substring(regexp_replace(regexp_replace(coalesce(url, ''), '(?i)https?://', ''), '[^A-Za-z0-9_.-]', '_', 'g'), 1, 40) AS slug FROM pages")
+def report_slugs(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages").select("page_id", views.file_slug(F.col("url")).alias("slug"))
+
+
 @query("SELECT page_id, coalesce(nullif(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]*)', 1), ''), url) AS label FROM pages")
 def url_hosts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", views.host_label(F.col("url")).alias("label"))

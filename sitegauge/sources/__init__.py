@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Deals the rows of an input of few splits out to all cores.
+    """Deals the rows of an input of few files out to all cores.
 
-    A small file is one split and would keep one core busy; inputs with as many splits as
-    there are cores pass unchanged, without a shuffle.
+    A file of one row group is read by one task however large the cluster, and would keep
+    one core busy with what follows; inputs of at least half as many files as there are
+    cores pass unchanged, without a shuffle.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    splits = df._jdf.queryExecution().toRdd().getNumPartitions()
-    return df.repartition(cores) if splits * 2 <= cores else df
+    return df.repartition(cores) if len(df.inputFiles()) * 2 <= cores else df
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -46,3 +46,20 @@ def url_lists(spark: SparkSession, path: str) -> DataFrame:
     """``file, n, line`` of text files that hold addresses separated by commas."""
     rows = spark.read.text(path).select(F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("n"), F.regexp_replace("value", "\r$", "").alias("line"))
     return rows
+
+
+def direct_pages(spark: SparkSession, texts: list[str]) -> DataFrame:
+    """``page_id, url, html`` of pages given as text, trimmed; blank ones have no html."""
+    rows = [(k, None, (t or "").strip() or None) for k, t in enumerate(texts)]
+    return spark.createDataFrame(rows, "page_id bigint, url string, html string")
+
+
+def append_notes(notes: DataFrame, path: str) -> None:
+    """Adds ``id, message, created_at`` to a folder of notes; every call writes files of its own."""
+    notes.select("id", "message", F.col("created_at").alias("createdAt")).write.mode("append").json(path)
+
+
+def write_reports(reports: DataFrame, path: str, most_snippet: int = 450) -> None:
+    """Reports as JSON lines, snippets cut for reading, one folder per grade."""
+    told = F.transform("criteria", lambda c: c.withField("issues", F.transform(c["issues"], lambda i: i.withField("html_snippet", F.substring(i["html_snippet"], 1, most_snippet)))))
+    reports.withColumn("criteria", told).write.mode("overwrite").partitionBy("grade").json(path)

@@ -9,8 +9,9 @@ from sitegauge import sources, streaming
 from sitegauge.functions import text
 from sitegauge.operators import evaluations as ev
 from sitegauge.operators import fragments as fr
-from sitegauge.operators import locate, metrics, resources, views
+from sitegauge.operators import locate, metrics, neighbours, resources, rules, views
 from sitegauge.plans.catalogue import QUERIES
+from sitegauge.settings import Settings
 
 
 def test_text_metrics(spark):
@@ -176,7 +177,7 @@ def test_locate(spark):
     hits = {(r["path"], r["needle"]) for r in locate.files_with_needles(files, needles).collect()}
     assert hits == {("src/c.ts", "HERO-banner"), ("top/index.js", "main-nav")}
     snippet = spark.createDataFrame([('<p id="abcd" class="x wide">Some words here</p>',)], "s string")
-    assert [tuple(n) for n in snippet.select(locate.snippet_needles(F.col("s")).alias("n")).first()["n"]] == [(1, "abcd"), (2, "wide"), (3, "words")]
+    assert snippet.select(locate.snippet_words(F.col("s")).alias("n")).first()["n"] == ["words"]
 
 
 def save_tables(spark, folder, resources, issues, pages):
@@ -315,3 +316,98 @@ def test_hourly_stream_drops_what_is_too_late(spark, tmp_path):
     for part in ([0, 1, 2], [3], [4], [5]):
         land([(k, hours[k]) for k in part])
     assert sorted(r["n_pages"] for r in spark.read.parquet(out).collect()) == [1, 2]
+
+
+PROJECT = {
+    "app/routes.js": "import shell from './shell'\nimport other from './other'\nimport view from './view'",
+    "app/shell.js": "import card from '../parts/card'",
+    "app/other.js": "nothing here",
+    "app/view.js": "import head from '../parts/head'",
+    "parts/head.js": "import deep from './deep'",
+    "parts/deep.js": "className='panel-wide'",
+    "parts/card.js": "<div data-slot=\"left\">",
+    "parts/lone.js": "panel-wide",
+}
+
+
+def test_surroundings(spark):
+    files = spark.createDataFrame(list(PROJECT.items()), "path string, content string")
+    edges = locate.import_edges(files)
+    assert {r["dst"]: r["importers"] for r in neighbours.importers(edges).collect()}["app/view.js"] == ["app/routes.js"]
+    around = {r["path"]: (r["how"], r["via"]) for r in neighbours.surroundings(edges).filter("start = 'app/view.js'").collect()}
+    assert around == {
+        "parts/head.js": ("imported", "app/view.js"), "parts/deep.js": ("imported", "app/view.js"), "app/routes.js": ("importer", "app/view.js"),
+        "app/shell.js": ("sibling", "app/routes.js"), "app/other.js": ("sibling", "app/routes.js"), "parts/card.js": ("inner", "app/shell.js"),
+    }
+    issues = spark.createDataFrame([(1, '<p class="panel-wide x" data-slot="LEFT">t</p>'), (2, "<p>t</p>"), (3, None)], "issue_id bigint, html_snippet string")
+    candidates = spark.createDataFrame([(1, "app/view.js", 1), (2, "app/view.js", 1), (3, "app/view.js", 1)], "issue_id bigint, path string, rank int")
+    got = sorted(tuple(r) for r in neighbours.expanded_candidates(candidates, issues, edges, files).collect())
+    assert got == [(1, "app/view.js", 1, "search", None), (1, "parts/card.js", 3, "inner", "app/shell.js"), (1, "parts/deep.js", 2, "imported", "app/view.js"), (2, "app/view.js", 1, "search", None), (3, "app/view.js", 1, "search", None)]
+    assert neighbours.surroundings(edges.filter("false")).count() == 0
+    assert neighbours.expanded_candidates(candidates.filter("false"), issues, edges, files).count() == 0
+
+
+def test_anchors(spark):
+    content = "x" * 50 + '<b class="wide"><i class="wide panel extra"><u id="q"><p data-k="v">' + "y" * 2000 + "panel"
+    snippet = '<div id="q" class="panel wide" data-k="v">'
+    at = content.index
+    assert neighbours.class_anchor(content, snippet) == at('class="wide panel')
+    assert neighbours.class_anchor(content, "<p>") == -1 and neighbours.class_anchor("", snippet) == -1
+    assert neighbours.anchors(content, snippet, "extra") == [at('id="q"'), at('data-k="v"'), at('class="wide panel'), at("extra"), at("panel"), at("wide")]
+    assert neighbours.anchors("", snippet) == [] and neighbours.anchors(content, "") == []
+    text = neighbours.grounding(content, snippet, at('id="q"'))
+    assert text.startswith("/* --- 0 to ") and text.count("/* ---") == 2 and text.endswith("panel")
+    assert neighbours.grounding(content, snippet, 0, 10) == ""
+    files = spark.createDataFrame([("a.js", "d1", content), ("b.js", "d2", None)], "path string, digest string, content string")
+    issues = spark.createDataFrame([(1, snippet), (2, "<p class='none-such'>zz</p>"), (3, None)], "issue_id bigint, html_snippet string")
+    candidates = spark.createDataFrame([(1, "a.js", "d1", "extra", 1)], "issue_id bigint, path string, digest string, needle string, rank int")
+    placed = neighbours.patch_places(candidates, issues, files).collect()
+    assert [(r["issue_id"], r["anchors"][0]) for r in placed] == [(1, at('id="q"'))] and placed[0]["excerpt"] == text
+    left = neighbours.unlocated(issues, candidates, files).collect()
+    assert {r["issue_id"] for r in left} == {2} and {r["n_files"] for r in left} == {0} and len(left) <= 6
+
+
+def test_intake_and_settings(spark, tmp_path):
+    given = sources.direct_pages(spark, [" <p>a</p> ", " ", None]).collect()
+    assert [(r["page_id"], r["html"]) for r in given] == [(0, "<p>a</p>"), (1, None), (2, None)]
+    page = "<p>" + "x" * 200 + "</p>"
+    rows = [(1, "http://a", page, 200, "text/html; charset=utf-8"), (2, "http://a", page, 404, "text/html"), (3, "http://a", page, 200, "image/png"), (4, "http://a", page, None, None), (5, "ftp://a", page, 200, "text/html")]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string, status int, content_type string")
+    assert [r["verdict"] for r in views.fetch_verdicts(df).orderBy("page_id").collect()] == ["ok", "bad_status", "not_html", "bad_status", "bad_address"]
+    notes = spark.createDataFrame([("a", "m", "2025")], "id string, message string, created_at string")
+    for _ in range(2):
+        sources.append_notes(notes, str(tmp_path / "notes"))
+    assert sources.feedback_json(spark, str(tmp_path / "notes")).count() == 2
+    sources.write_reports(rules.reports(df), str(tmp_path / "reports"), 10)
+    back = spark.read.json(str(tmp_path / "reports"))
+    longest = back.select(F.explode("criteria").alias("c")).select(F.explode("c.issues").alias("i")).agg(F.max(F.length("i.html_snippet"))).first()[0]
+    assert back.count() == 5 and longest == 10
+    assert Settings.of(spark) == Settings()
+    spark.conf.set("spark.sitegauge.targets", '[["^x", "y"]]')
+    spark.conf.set("spark.sitegauge.chunk_bytes", "100")
+    assert Settings.of(spark) == Settings(targets=(("^x", "y"),), chunk_bytes=100)
+    spark.conf.unset("spark.sitegauge.targets")
+    spark.conf.unset("spark.sitegauge.chunk_bytes")
+
+
+def test_views(spark):
+    issues = spark.createDataFrame([(1, "error", " a ", None, "s2", 2), (1, "error", "a", "", " s1 ", 1), (1, "error", "a", "", "s2", 3), (1, "error", "a", "", " ", 0), (1, "info", "b", "c", None, 4)], "page_id int, severity string, issue string, recommendation string, html_snippet string, ord int")
+    got = {(r["severity"], r["issue"]): (r["first_seen"]["ord"], r["snippets"]) for r in views.grouped_snippets(issues, ["ord"]).collect()}
+    assert got == {("error", "a"): (0, ["s1", "s2"]), ("info", "b"): (4, [])}
+    rows = spark.createDataFrame([("u", 5), ("u", 9), (None, 1), (None, 2), ("https://h/x/", 3)], "url string, n int")
+    assert sorted(r["n"] for r in views.first_per_url(rows, F.desc("n")).collect()) == [1, 2, 3, 9]
+    labels = spark.createDataFrame([("https://h/a/b.js?x=/y",), ("https://h/x/",)], "u string")
+    assert [r[0] for r in labels.select(views.file_label(F.col("u"))).collect()] == ["b.js", "https://h/x/"]
+    assert [r[0] for r in labels.select(views.file_slug(F.col("u"))).collect()] == ["h_a_b.js_x__y", "h_x_"]
+
+
+def test_merged_report(spark):
+    pages = spark.createDataFrame([(1, "<ul><div>a</div><p>b</p></ul>"), (2, "<p>x</p>"), (3, None)], "page_id bigint, html string")
+    said = "element not allowed as direct child: div in ul"
+    rows = [(10, 1, "semantic", 0, 0, "error", said, "r", "<ul><div>a</div><p>b</p></ul>", None), (11, 1, "semantic", 0, 1, "info", "other", "r", "s", None), (12, 1, "seo", 0, 0, "info", "gone", "r", "s", "vague")]
+    df = spark.createDataFrame(rows, "issue_id bigint, page_id bigint, criterion string, chunk int, ord int, severity string, issue string, recommendation string, html_snippet string, drop_reason string")
+    got = sorted((r["page_id"], r["criterion"], r["rank"], r["origin"], r["issue"]) for r in ev.merged_report(df, pages).collect())
+    assert got[:3] == [(1, "semantic", 1, "rules", "element not allowed as direct child: p in ul"), (1, "semantic", 2, "model", said), (1, "semantic", 3, "model", "other")]
+    assert [g[:4] for g in got[3:]] == [(2, c, 1, "none") for c in sorted(ev.CAPS)]
+    sizes = ev.doc_size(spark.createDataFrame([(1, 2, "later"), (1, 1, " "), (1, 1, "first")], "page_id bigint, chunk int, recommendation string"), pages)
+    assert sorted((r["page_id"], r["recommendation"]) for r in sizes.collect()) == [(1, "first"), (2, None)]

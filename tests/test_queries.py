@@ -10,7 +10,6 @@ import pytest
 import __spark_entry__ as entry_module
 
 QUERIES, SQL = entry_module.queries(), entry_module.oracle_sql()
-CORE = [n for n in QUERIES if not n.startswith("p")]
 
 
 @pytest.fixture(scope="module")
