@@ -222,7 +222,7 @@ def _recode(text: str, wrong: str, right: str) -> str | None:
     if data is None:
         return None
     table = _DECODE[right]
-    return "".join(table[b] if b > 127 else chr(b) for b in data)
+    return "".join(table.get(b, chr(b)) if b > 127 else chr(b) for b in data)
 
 
 def _odd_runs(text: str) -> list[str]:

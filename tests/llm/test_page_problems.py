@@ -83,11 +83,23 @@ def test_mean_pmi_against_brute_force(spark):
     df = pages(spark, [(i, "h", f"<p>{t}</p>", None) for i, t in texts.items()])
     words = {i: t.split() for i, t in texts.items()}
     uni, bi = Counter(w for x in words.values() for w in x), Counter(p for x in words.values() for p in zip(x, x[1:]))
-    pmi = {p: log(n / sum(bi.values()) / (uni[p[0]] / sum(uni.values()) * uni[p[1]] / sum(uni.values()))) for p, n in bi.items()}
-    for r in stuffing.stuffed_pages(df, least=1).collect():
-        own = list(zip(words[r["page_id"]], words[r["page_id"]][1:]))
-        assert r["mean_pmi"] == pytest.approx(sum(pmi[p] for p in own) / len(own))
-        assert r["corpus_pmi"] == pytest.approx(sum(n * pmi[p] for p, n in bi.items()) / sum(bi.values()))
+    def pmi(p, n):
+        return log(n / sum(bi.values()) / (uni[p[0]] / sum(uni.values()) * uni[p[1]] / sum(uni.values())))
+
+    def level(p):
+        return tuple(uni[w].bit_length() for w in p)
+
+    by_level = {}
+    for p, n in bi.items():
+        by_level.setdefault(level(p), []).append((n, pmi(p, n)))
+    usual = {k: sum(n * x for n, x in v) / sum(n for n, _ in v) for k, v in by_level.items()}
+    found = stuffing.stuffed_pages(df, least=1).collect()
+    assert len(found) == 2
+    for r in found:
+        own = Counter(zip(words[r["page_id"]], words[r["page_id"]][1:]))
+        elsewhere = {p: pmi(p, max(bi[p] - k, 0.5)) for p, k in own.items()}
+        assert r["mean_pmi"] == pytest.approx(sum(k * elsewhere[p] for p, k in own.items()) / sum(own.values()))
+        assert r["coherence"] == pytest.approx(sum(k * (elsewhere[p] - usual[level(p)]) for p, k in own.items()) / sum(own.values()))
 
 
 def test_prose_in_other_scripts():

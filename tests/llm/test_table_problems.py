@@ -51,8 +51,10 @@ def test_marks(spark):
     assert terms.marked_terms(issues(spark, []), ["issue"]).count() == 0
     long = issues(spark, [(1, "e", "a b " * 200_000, None, None), (1, "e", "a b " * 200_000, None, None)])
     assert {r["term"]: (r["n_occurrences"], r["n_records"]) for r in terms.term_statistics(long, ["issue"]).collect()} == {"a": (400_000, 2), "b": (400_000, 2)}
-    values = {(r["value"], r["n_records"]) for r in terms.value_statistics(issues(spark, [(1, "e", "", None, None), (2, "e", "", None, None), (3, "e", "x", None, None)]), ["issue"]).collect()}
-    assert values == {("", 2), ("x", 1)}
+    some = issues(spark, [*((i, "e", "", None, None) for i in range(3)), (3, "e", "x", None, None), (4, "e", None, None, None)])
+    values = {(r["field_name"], r["value"]): (r["n_occurrences"], r["n_records"], r["mark"]) for r in terms.marked_values(some, ["issue", "recommendation"]).collect()}
+    assert values == {("issue", ""): (3, 3, "common"), ("issue", "x"): (1, 1, "rare")}
+    assert terms.marked_values(issues(spark, []), ["issue"]).count() == 0
 
 
 # --- 6 -----------------------------------------------------------------------------------
