@@ -65,9 +65,8 @@ def _children_are_fine(text: Column, snippet: Column) -> Column:
     """The text names a parent whose first element in the snippet has only allowed children."""
     claims = []
     for parent, allowed in ALLOWED_CHILDREN.items():
-        claimed = has(text, rf"\b{parent}\b") & has(snippet, parent_span(parent))
-        # the walk is for the few findings that name the parent and show it
-        claims.append(F.when(claimed, F.size(_bad_children(first(snippet, parent_span(parent), 1), allowed)) == 0).otherwise(F.lit(False)))
+        # the walk is for the few findings that show the parent and name it: conjunctions end at the first no
+        claims.append(has(snippet, parent_span(parent)) & has(text, rf"\b{parent}\b") & (F.size(_bad_children(first(snippet, parent_span(parent), 1), allowed)) == 0))
     out = claims[0]
     for c in claims[1:]:
         out |= c
@@ -92,22 +91,28 @@ def drop_reason(findings: DataFrame, facts: DataFrame, pages: DataFrame | None =
     With ``pages``, findings that propose what the page already has are dropped as well,
     where nothing else drops them."""
     subject = F.concat_ws(" ", F.col("issue"), F.coalesce("recommendation", F.lit("")))
-    snippet = F.coalesce("html_snippet", F.lit(""))
     issue = F.col("issue")
-    h1, main = F.coalesce("h1_count", F.lit(0)), F.coalesce("main_count", F.lit(0))
+    rows = findings.withColumns({"_subject": subject, "_snippet": F.coalesce("html_snippet", F.lit(""))})
+    subject, snippet = F.col("_subject"), F.col("_snippet")
     checks = [(name, has(subject, p)) for name, p in SCOPE.items()]
     checks += [
         ("vague", has(issue, VAGUE)),
         ("children_fine", _children_are_fine(subject, snippet)),
         ("list_order", has(subject, LIST_ORDER) | _first_list_tag_is_term(subject, snippet)),
         ("root_nesting", has(subject, NESTING) & has(snippet, ROOT)),
-        ("h1_present", has(issue, ABOUT_H1) & ((h1 >= 1) | F.coalesce("has_root", F.lit(False))) & has(issue, MISSING)),
-        ("h1_single", has(issue, ABOUT_H1) & (h1 <= 1) & has(issue, DOUBLED)),
-        ("main_present", has(issue, ABOUT_MAIN) & (main >= 1) & has(issue, MISSING)),
-        ("main_single", has(issue, ABOUT_MAIN) & (main <= 1) & has(issue, DOUBLED)),
     ]
-    reason = F.coalesce(*[F.when(c, F.lit(name)) for name, c in checks])
-    judged = findings.join(facts.drop("html_bytes"), "page_id", "left").withColumn("drop_reason", reason).drop("h1_count", "main_count", "has_root")
+    # all patterns are tried before the facts are joined, where the rows lie as they were read
+    h1, main, missing, doubled = (has(issue, p) for p in (ABOUT_H1, ABOUT_MAIN, MISSING, DOUBLED))
+    rows = rows.withColumns({"_reason": F.coalesce(*[F.when(c, F.lit(name)) for name, c in checks]), "_h1_missing": h1 & missing, "_h1_doubled": h1 & doubled, "_main_missing": main & missing, "_main_doubled": main & doubled})
+    n_h1, n_main = F.coalesce("h1_count", F.lit(0)), F.coalesce("main_count", F.lit(0))
+    by_facts = [
+        ("h1_present", F.col("_h1_missing") & ((n_h1 >= 1) | F.coalesce("has_root", F.lit(False)))),
+        ("h1_single", F.col("_h1_doubled") & (n_h1 <= 1)),
+        ("main_present", F.col("_main_missing") & (n_main >= 1)),
+        ("main_single", F.col("_main_doubled") & (n_main <= 1)),
+    ]
+    reason = F.coalesce(F.col("_reason"), *[F.when(c, F.lit(name)) for name, c in by_facts])
+    judged = rows.join(facts.drop("html_bytes"), "page_id", "left").withColumn("drop_reason", reason).select(*findings.columns, "drop_reason")
     if pages is None:
         return judged
     had = satisfied_suggestions(findings, pages).distinct().withColumn("_had", F.lit("already_there"))
@@ -119,7 +124,9 @@ def suggested_wrappers(text: Column) -> Column:
     def proposed(tag: str) -> Column:
         return has(text, rf"(?:<{tag}\b)|(?:wrap[a-z]*\s+(?:in|with|inside)\s+(?:an?\s+)?<?{tag}\b)|(?:use\s+(?:an?\s+)?<?{tag}\b)|(?:replace[\s\S]{{0,60}}with\s+<?{tag}\b)")
 
-    return F.filter(F.array(*[F.when(proposed(t), F.lit(t)) for t in WRAP_TARGETS]), lambda t: t.isNotNull())
+    # every form holds the name of the element, which is the cheaper test
+    low = F.lower(text)
+    return F.filter(F.array(*[F.when(F.when(F.contains(low, F.lit(t)), proposed(t)).otherwise(F.lit(False)), F.lit(t)) for t in WRAP_TARGETS]), lambda t: t.isNotNull())
 
 
 _TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9-]*)(?![A-Za-z0-9_])([^>]*)>")
@@ -187,7 +194,7 @@ def satisfied_suggestions(findings: DataFrame, pages: DataFrame) -> DataFrame:
     page together, so that its text travels once; a page with very many is dealt to sixteen.
     """
     text = F.concat_ws(" ", "issue", F.coalesce("recommendation", F.lit("")))
-    asking = findings.withColumn("_w", suggested_wrappers(text)).filter((F.size("_w") > 0) & (F.length("html_snippet") > 0))
+    asking = findings.filter(F.length("html_snippet") > 0).withColumn("_t", text).withColumn("_w", suggested_wrappers(F.col("_t"))).filter((F.size("_w") > 0) & (F.length("html_snippet") > 0))
     part = F.pmod(F.xxhash64("issue_id"), F.lit(16))
     of_page = asking.groupBy("page_id", part.alias("_part")).agg(F.collect_list(F.struct(F.col("issue_id").cast("bigint").alias("issue_id"), "html_snippet", "_w")).alias("_a"))
     joined = of_page.join(pages.filter("html is not null").select("page_id", "html"), "page_id")

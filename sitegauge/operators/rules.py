@@ -177,8 +177,25 @@ def with_facts(pages: DataFrame) -> DataFrame:
             "body_tag": F.coalesce(F.nullif(first(html, r"(?-i)<body\b[^>]*>"), F.lit("")), F.lit("<body>")),
         }
     )
-    in_order = F.array_sort("ids")
-    return facts.withColumn("sorted_ids", in_order).withColumn("repeated_ids", F.array_distinct(F.filter("sorted_ids", lambda i, k: i == F.get(F.col("sorted_ids"), k + 1))))
+    return facts.withColumns(
+        {
+            "layout": F.filter("tables", lambda t: has(t, open_tag("td")) & ~has(t, open_tag("th")) & ~has(t, open_tag("thead"))),
+            "headless": F.filter("tables", lambda t: has(t, open_tag("td")) & ~has(t, open_tag("th"))),
+            "plain_sections": F.filter(F.slice(find_all(html, P["section"]), 1, 10), lambda t: ~has(t, r"<h[1-6]\b")),
+            "lonely": _unlabelled(F.slice(find_all(html, P["input"]), 1, 30), UNLABELLED_SKIPS),
+            "sorted_ids": F.array_sort("ids"),
+        }
+    )
+
+
+def _unlabelled(inputs: Column, skips: tuple[str, ...]) -> Column:
+    labels = F.col("labels")
+
+    def bare(t: Column) -> Column:
+        name = first(t, P["input_id"], 1)
+        return ~F.lower(first(t, P["type"], 1)).isin(*skips) & ~has(t, P["aria"]) & ((name == "") | ~F.array_contains(labels, name))
+
+    return F.filter(inputs, bare)
 
 
 def _none() -> Column:
@@ -223,19 +240,20 @@ def child_violations(html: Column) -> Column:
         spans = F.when(has(html, open_tag(parent)), find_all(html, parent_span(parent))).otherwise(_none())
         return F.flatten(F.transform(spans, walk))
 
-    found = F.concat(*[of(p, a) for p, a in ALLOWED_CHILDREN.items()])
-    # of equal keys the first stays
-    return F.aggregate(
-        found,
-        F.array().cast("array<struct<parent:string,child:string,key:string,span:string>>"),
-        lambda kept, v: F.when(F.exists(kept, lambda k: (k["parent"] == v["parent"]) & (k["child"] == v["child"]) & (k["key"] == v["key"])), kept).otherwise(F.array_append(kept, v)),
-    )
+    found = F.array_distinct(F.concat(*[of(p, a) for p, a in ALLOWED_CHILDREN.items()]))
+    key = lambda v: F.struct(v["parent"], v["child"], v["key"])
+
+    def first_of_key(all_: Column) -> Column:
+        return F.filter(all_, lambda v, k: ~F.exists(F.slice(all_, 1, k), lambda w: key(w) == key(v)))
+
+    # a lambda over a list of one binds the list, so that it is evaluated once
+    return F.transform(F.array(found), lambda all_: F.when(F.size(F.array_distinct(F.transform(all_, key))) == F.size(all_), all_).otherwise(first_of_key(all_)))[0]
 
 
 def rules() -> list[Rule]:
     html, head, body = F.col("html"), F.col("head"), F.col("body_tag")
     n = {t: F.col(f"n_{t}") for t in ("h1", "div", "span", *SEMANTIC_TAGS)}
-    images, tables = F.col("images"), F.col("tables")
+    images = F.col("images")
     out: list[Rule] = []
 
     def add(rule_id: str, criterion: str, severity: str, snippets: Column, total: Column | None = None) -> None:
@@ -247,7 +265,7 @@ def rules() -> list[Rule]:
     # columns, not expressions: what a lambda holds is evaluated anew for every element
     levels, ids = F.col("levels"), F.col("ids")
     jumps = F.filter(F.transform(levels, lambda a, k: F.struct(a.alias("a"), F.get(levels, k + 1).alias("b"))), lambda s: s["b"] > s["a"] + 1)
-    layout = F.filter(tables, lambda t: has(t, open_tag("td")) & ~has(t, open_tag("th")) & ~has(t, open_tag("thead")))
+    layout, plain_sections, lonely, headless = F.col("layout"), F.col("plain_sections"), F.col("lonely"), F.col("headless")
     area = "llm_friendly"
     add("L01", area, ERROR, _if(n["h1"] == 0, body))
     add("L02", area, WARNING, _if(n["h1"] > 1, shorten(first(html, r"<h1\b[^>]*>[\s\S]*?<\/h1>"))), n["h1"])
@@ -266,7 +284,8 @@ def rules() -> list[Rule]:
 
     area = "w3c"
     violations = F.transform(F.col("violations"), lambda v: v["span"])
-    repeated = F.filter(F.array_distinct(ids), lambda i: F.array_contains(F.col("repeated_ids"), i))
+    twice = F.array_distinct(F.filter(F.col("sorted_ids"), lambda i, k: i == F.get(F.col("sorted_ids"), k + 1)))
+    repeated = F.transform(F.array(twice), lambda r: F.when(F.size(r) > 1, F.filter(F.array_distinct(ids), lambda i: F.array_contains(r, i))).otherwise(r))[0]
     add("W01", area, ERROR, violations)
     add("W02", area, ERROR, F.transform(repeated, lambda i: F.concat(F.lit('id="'), i, F.lit('"'))))
     old = [first(html, rf"<{t}\b[^>]*>") for t in DEPRECATED]
@@ -304,7 +323,6 @@ def rules() -> list[Rule]:
 
     area = "semantic"
     any_heading = r"<h[1-6]\b"
-    plain_sections = F.filter(_cap(find_all(html, P["section"]), 10), lambda t: ~has(t, any_heading))
     plain_articles = F.filter(_cap(find_all(html, P["article"]), 5), lambda t: ~has(t, any_heading))
     plain_navs = F.filter(_cap(find_all(html, P["nav"]), 3), lambda t: ~has(t, r"<[uo]l\b"))
     boxes = n["div"] + n["span"]
@@ -321,21 +339,11 @@ def rules() -> list[Rule]:
     add("M08", area, WARNING, _if((boxes > 50) & (meaningful < F.floor(boxes * F.lit(0.1))), "<div>…</div>"))
 
     area = "accessibility"
-    labels = F.col("labels")
     html_tag = first(html, P["html"])
 
-    def unlabelled(inputs: Column, skips: tuple[str, ...]) -> Column:
-        def bare(t: Column) -> Column:
-            name = first(t, P["input_id"], 1)
-            return ~F.lower(first(t, P["type"], 1)).isin(*skips) & ~has(t, P["aria"]) & ((name == "") | ~F.array_contains(labels, name))
-
-        return F.filter(inputs, bare)
-
-    lonely = unlabelled(_cap(find_all(html, P["input"]), 30), UNLABELLED_SKIPS)
-    hinted = unlabelled(_cap(find_all(html, P["placeholder_input"]), 20), PLACEHOLDER_SKIPS)
+    hinted = _unlabelled(_cap(find_all(html, P["placeholder_input"]), 20), PLACEHOLDER_SKIPS)
     unsafe = F.filter(_cap(find_all(html, P["new_tab"]), 5), lambda t: ~has(t, P["noopener"]))
     mute = F.filter(_cap(find_all(html, P["empty_button"]), 3), lambda t: ~has(t, P["aria_label"]))
-    headless = F.filter(tables, lambda t: has(t, open_tag("td")) & ~has(t, open_tag("th")))
     add("A01", area, ERROR, _if((html_tag == "") | ~has(html_tag, P["lang"]), shorten(F.when(html_tag == "", "<html>").otherwise(html_tag))))
     add("A02", area, ERROR, _if(~has(html, P["some_title"]), missing))
     add("A03", area, ERROR, F.transform(_one(images), lambda t: shorten(t)), few(images, 5))

@@ -226,7 +226,7 @@ def page_reports(spark: SparkSession, d: str) -> DataFrame:
 
 
 def model_issues(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "model_issues").withColumn("severity", F.lower(F.trim("severity")))
+    return spread(table(spark, d, "model_issues")).withColumn("severity", F.lower(F.trim("severity")))
 
 
 _ISSUES = "SELECT * REPLACE (lower(trim(severity)) AS severity) FROM model_issues"
