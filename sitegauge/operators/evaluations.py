@@ -218,7 +218,9 @@ def merged_findings(findings: DataFrame) -> DataFrame:
     kept = best.select("page_id", "criterion", F.col("_first.chunk").alias("chunk"), F.col("_first.ord").alias("ord"), F.col("_first.issue_id").alias("issue_id"))
     rank = F.row_number().over(Window.partitionBy("page_id", "criterion").orderBy(*order))
     caps = F.create_map(*[F.lit(x) for pair in CAPS.items() for x in pair])
-    return kept.withColumn("rank", rank).filter(F.col("rank") <= F.coalesce(F.element_at(caps, F.col("criterion")), F.lit(40)))
+    # the constant bound lets every task keep only so many rows of a page before the shuffle
+    ranked = kept.withColumn("rank", rank).filter(F.col("rank") <= max(CAPS.values()))
+    return ranked.filter(F.col("rank") <= F.coalesce(F.element_at(caps, F.col("criterion")), F.lit(40)))
 
 
 def merged_scores(findings: DataFrame) -> DataFrame:

@@ -152,7 +152,7 @@ def referenced_files(pages: DataFrame, domain: str) -> DataFrame:
     """``page_id, kind, url`` of the scripts and style sheets of a domain that the html names."""
     d = re.escape(domain)
     src = rf"<script\b[^>]*\bsrc\s*=\s*[\"']([^\"']*{d}[^\"']*)[\"']"
-    href = rf"<link\b(?=[^>]*\brel\s*=\s*[\"']stylesheet[\"'])[^>]*\bhref\s*=\s*[\"']([^\"']*{d}[^\"']*)[\"']"
+    href = rf"<link(?=\s)(?=[^>]*\brel\s*=\s*[\"']stylesheet[\"'])[^>]*\bhref\s*=\s*[\"']([^\"']*{d}[^\"']*)[\"']"
     html = F.col("html")
     js = each(pages, F.array_distinct(find_all(html, src, 1)), "url", "page_id", F.lit("js").alias("kind"))
     css = each(pages, F.array_distinct(find_all(html, href, 1)), "url", "page_id", F.lit("css").alias("kind"))

@@ -455,30 +455,41 @@ def unused_styles(spark: SparkSession, d: str) -> DataFrame:
     return resources.unused_styles(coverage(spark, d, "css"), js.select("page_id", "content"))
 
 
+#: References to two files, put at the end of every fifth page.
+_LINKS = """<script src="https://cdn.example/lib.js"></script><link href='https://cdn.example/a.css' rel="stylesheet"><link rel='stylesheet' href="/own.css"><script src="/own.js"></script>"""
+_LINKED_PAGES = "SELECT page_id, CASE WHEN page_id % 5 = 0 THEN html || '" + _LINKS.replace("'", "''") + "' ELSE html END AS html FROM pages"
+
+
+def linked_pages(spark: SparkSession, d: str) -> DataFrame:
+    return pages(spark, d).withColumn("html", F.when(F.col("page_id") % 5 == 0, F.concat("html", F.lit(_LINKS))).otherwise(F.col("html")))
+
+
 _LINKED = rf"{chr(92)}bhref{chr(92)}s*=" + rf"{chr(92)}s*[{chr(92)}x22']([^{chr(92)}x22']*{DOMAIN}[^{chr(92)}x22']*)[{chr(92)}x22']"
 _SCRIPTED = rf"<script{chr(92)}b[^>]*{chr(92)}bsrc{chr(92)}s*={chr(92)}s*[{chr(92)}x22']([^{chr(92)}x22']*{DOMAIN}[^{chr(92)}x22']*)[{chr(92)}x22']"
 _SHEET = rf"{chr(92)}brel{chr(92)}s*={chr(92)}s*[{chr(92)}x22']stylesheet[{chr(92)}x22']"
 _REFERENCED = f"""
-SELECT DISTINCT page_id, 'js' AS kind, unnest(regexp_extract_all(html, {L(_SCRIPTED)}, 1)) AS url FROM pages
+SELECT DISTINCT page_id, 'js' AS kind, unnest(regexp_extract_all(html, {L(_SCRIPTED)}, 1)) AS url FROM ({_LINKED_PAGES})
 UNION SELECT DISTINCT page_id, 'css', url FROM (
-  SELECT page_id, regexp_extract(tag, {L('.*' + _LINKED)}, 1) AS url FROM (SELECT page_id, unnest(regexp_extract_all(html, {L('<link' + chr(92) + 'b[^>]*>')})) AS tag FROM pages)
+  SELECT page_id, regexp_extract(tag, {L('.*' + _LINKED)}, 1) AS url FROM (SELECT page_id, unnest(regexp_extract_all(html, {L('<link' + chr(92) + 'b[^>]*>')})) AS tag FROM ({_LINKED_PAGES}))
   WHERE regexp_matches(tag, {L(_SHEET)}) AND regexp_matches(tag, {L(_LINKED)}))"""
 
 
 @query(_REFERENCED)
 def referenced_files(spark: SparkSession, d: str) -> DataFrame:
-    return resources.referenced_files(pages(spark, d), DOMAIN)
+    return resources.referenced_files(linked_pages(spark, d), DOMAIN)
 
 
 @query(f"""
-WITH f AS ({_FILES}), e AS (SELECT kind, url, max(content) AS content FROM f GROUP BY 1, 2),
+WITH f AS ({_FILES} UNION ALL SELECT -1, 'js', 'https://cdn.example/lib.js', 'x = 1' UNION ALL SELECT -1, 'css', 'https://cdn.example/a.css', 'a {{}}'), e AS (SELECT kind, url, max(content) AS content FROM f GROUP BY 1, 2),
 r AS ({_REFERENCED})
 SELECT page_id, kind, url, length(content) AS n_chars, 'captured' AS origin FROM f
 UNION ALL SELECT r.page_id, kind, url, length(content), 'named' FROM r JOIN e USING (kind, url) WHERE r.page_id NOT IN (SELECT page_id FROM f WHERE page_id IS NOT NULL)""")
 def resources_of_pages(spark: SparkSession, d: str) -> DataFrame:
-    """Captured resources, and what pages without any name; ``origin`` tells which."""
-    captured = resources.distinct_resources(page_resources(spark, d))
-    full = resources.with_fallback(captured, resources.referenced_files(pages(spark, d), DOMAIN))
+    """Captured resources, and what pages without any name; ``origin`` tells which. The two files
+    that the added references name were captured on a page of their own."""
+    added = spark.createDataFrame([(-1, "https://cdn.example/lib.js", "JS", "x = 1"), (-1, "https://cdn.example/a.css", "css", "a {}")], "page_id bigint, url string, kind string, content string")
+    captured = resources.distinct_resources(page_resources(spark, d).select(*added.columns).unionByName(added))
+    full = resources.with_fallback(captured, resources.referenced_files(linked_pages(spark, d), DOMAIN))
     have = captured.select("page_id").distinct().withColumn("origin", F.lit("captured"))
     return full.join(have, "page_id", "left").select("page_id", "kind", "url", F.length("content").alias("n_chars"), F.coalesce("origin", F.lit("named")).alias("origin"))
 
