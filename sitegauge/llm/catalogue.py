@@ -128,6 +128,17 @@ def p8_clean(spark: SparkSession, d: str) -> DataFrame:
     return leakage.cleaned_documents(_documents(spark, d), table(spark, d, "eval_items"))
 
 
+def p8_lengths(spark: SparkSession, d: str) -> DataFrame:
+    """The characters of every document as they were, from those kept and those removed."""
+    kept = p8_clean(spark, d)
+    return kept.select("doc_id", (F.length("text") + F.col("n_removed")).alias("n_chars"))
+
+
+def p9_texts(spark: SparkSession, d: str) -> DataFrame:
+    """The texts of every source that were judged."""
+    return p9_sources(spark, d).select("source", "n_texts")
+
+
 def p8_items(spark: SparkSession, d: str) -> DataFrame:
     return p8_spans(spark, d).groupBy("item_id").agg(F.count("*").alias("n_docs"), F.max("coverage").alias("best_coverage"))
 
@@ -140,7 +151,7 @@ def p9_sources(spark: SparkSession, d: str) -> DataFrame:
     return truncation.by_source(truncation.truncation(_documents(spark, d)))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_scores, p2_found, p2_restored, p3_found, p3_residue, p3_clean, p4_found, p4_terms, p4_values, p5_found, p5_pieces, p5_reassembled, p6_found, p6_records, p7_members, p7_containers, p7_valid, p8_found, p8_spans, p8_clean, p8_items, p9_found, p9_sources)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_scores, p2_found, p2_restored, p3_found, p3_residue, p3_clean, p4_found, p4_terms, p4_values, p5_found, p5_pieces, p5_reassembled, p6_found, p6_records, p7_members, p7_containers, p7_valid, p8_found, p8_spans, p8_clean, p8_lengths, p8_items, p9_found, p9_sources, p9_texts)}
 
 _TERMS = r"""
 WITH tokens AS (
@@ -196,6 +207,8 @@ SELECT *, n_occurrences AS n_records, CASE WHEN n_occurrences <= 2 THEN 'rare' W
   ) WHERE value IS NOT NULL GROUP BY ALL)""",
     "p6_found": _COPIES + "SELECT first_id, issue_id AS copy_id FROM classes WHERE issue_id <> first_id",
     "p6_records": _COPIES + "SELECT first_id, count(*) AS n_copies FROM classes GROUP BY first_id",
+    "p8_lengths": "SELECT doc_id, CAST(length(text) AS INTEGER) AS n_chars FROM documents",
+    "p9_texts": r"SELECT source, count(*) AS n_texts FROM documents WHERE regexp_matches(text, '[^\s\p{Z}]') GROUP BY 1",
     "p7_valid": r"""
 SELECT budget_id, n AS n_texts, CAST(0 AS BIGINT) AS n_split_in_vain, CAST(0 AS BIGINT) AS n_over
 FROM budgets, (SELECT count(*) AS n FROM documents WHERE regexp_matches(text, '[^\s\p{Z}]'))
