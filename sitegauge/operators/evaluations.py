@@ -11,7 +11,10 @@ from pyspark.sql import types as T
 
 from sitegauge.functions.patterns import java
 from sitegauge.functions.text import INERT, blank, count, each, find_all, first, half_up, has
+from sitegauge.operators.metrics import page_metrics
+from sitegauge.operators.resources import named_files
 from sitegauge.operators.rules import ALLOWED_CHILDREN, P, child_violations, open_tag, parent_span
+from sitegauge.operators.views import file_label
 
 # What is out of scope, and the words that claim something missing or doubled.
 SCOPE = {
@@ -54,6 +57,18 @@ def page_facts(pages: DataFrame) -> DataFrame:
     return rows.select("page_id", F.octet_length(html).alias("html_bytes"), count(structure, open_tag("h1")).alias("h1_count"), count(structure, open_tag("main")).alias("main_count"), has(html, rf"<div\b[^>]*{ROOT}").alias("has_root"))
 
 
+def evaluator_facts(pages: DataFrame, domain: str) -> DataFrame:
+    """What an evaluator is told of every page, in one scan: ``page_facts``, its metrics, and the
+    sorted names of its domain's ``js_files`` and ``css_files``. A page without html has zeros."""
+    html = F.coalesce("html", F.lit(""))
+    names = lambda urls: F.array_sort(F.array_distinct(F.transform(urls, file_label)))
+    scripts, sheets = named_files(F.col("html"), domain)
+    more = [has(F.col("html"), rf"<div\b[^>]*{ROOT}").alias("has_root"), names(scripts).alias("js_files"), names(sheets).alias("css_files"), blank(F.col("html"), INERT).alias("_s")]
+    rows = page_metrics(pages.select("page_id", html.alias("html")), domain, *more)
+    counts = [count(F.col("_s"), open_tag(t)).alias(f"{t}_count") for t in ("h1", "main")]
+    return rows.select("page_id", "html_bytes", *counts, "has_root", "html_to_text_ratio", "inline_css_chars", "css_ext_count", "css_inline_count", "css_to_text_ratio", "js_files", "css_files")
+
+
 def _first_list_tag_is_term(text: Column, snippet: Column) -> Column:
     """Every definition has a term before it exactly if the first of both tags is a term."""
     low = F.lower(text)

@@ -111,8 +111,9 @@ def css_metrics(pages: DataFrame, domain: str) -> DataFrame:
     return with_visible_chars(css, "stripped").select("page_id", "css_chars", "css_ext_count", "css_inline_count", ratio(F.col("css_chars"), F.col("visible_chars")).alias("css_to_text_ratio"))
 
 
-def page_metrics(pages: DataFrame, domain: str) -> DataFrame:
-    """``text_metrics`` and ``css_metrics`` of a page in one scan; inline styles as ``inline_css_chars``."""
+def page_metrics(pages: DataFrame, domain: str, *more: Column) -> DataFrame:
+    """``text_metrics`` and ``css_metrics`` of a page in one scan; inline styles as ``inline_css_chars``,
+    and ``more`` columns of its html."""
     styles = find_all(F.col("html"), STYLE_BLOCK, 1)
     base = pages.filter("html is not null").select(
         "page_id",
@@ -121,6 +122,7 @@ def page_metrics(pages: DataFrame, domain: str) -> DataFrame:
         count(F.col("html"), sheet_pattern(domain)).alias("css_ext_count"),
         F.size(styles).alias("css_inline_count"),
         blank(F.col("html"), UNSEEN).alias("stripped"),
+        *more,
     )
     sized = base.withColumn("markup_bytes", F.octet_length(blank(F.col("stripped"), STYLING)))
     full = with_visible_chars(sized, "stripped").drop("stripped")

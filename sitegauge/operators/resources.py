@@ -148,15 +148,20 @@ def unused_styles(coverage: DataFrame, scripts: DataFrame) -> DataFrame:
     return _shares(joined.withColumn("unused_chars", (F.col("total_chars") - used).cast("int")))
 
 
-def referenced_files(pages: DataFrame, domain: str) -> DataFrame:
-    """``page_id, kind, url`` of the scripts and style sheets of a domain that the html names."""
+def named_files(html: Column, domain: str) -> tuple[Column, Column]:
+    """The distinct addresses of a domain's scripts and style sheets that a page names."""
     d = re.escape(domain)
     src = rf"<script\b[^>]*\bsrc\s*=\s*[\"']([^\"']*{d}[^\"']*)[\"']"
     href = rf"<link(?=\s)(?=[^>]*\brel\s*=\s*[\"']stylesheet[\"'])[^>]*\bhref\s*=\s*[\"']([^\"']*{d}[^\"']*)[\"']"
-    html = F.col("html")
-    js = each(pages, F.array_distinct(find_all(html, src, 1)), "url", "page_id", F.lit("js").alias("kind"))
-    css = each(pages, F.array_distinct(find_all(html, href, 1)), "url", "page_id", F.lit("css").alias("kind"))
-    return js.unionByName(css)
+    return F.array_distinct(find_all(html, src, 1)), F.array_distinct(find_all(html, href, 1))
+
+
+def referenced_files(pages: DataFrame, domain: str) -> DataFrame:
+    """``page_id, kind, url`` of the scripts and style sheets of a domain that the html names."""
+    scripts, sheets = named_files(F.col("html"), domain)
+    js = F.transform(scripts, lambda u: F.struct(F.lit("js").alias("kind"), u.alias("url")))
+    css = F.transform(sheets, lambda u: F.struct(F.lit("css").alias("kind"), u.alias("url")))
+    return each(pages.filter("html is not null"), F.concat(js, css), "f", "page_id").select("page_id", "f.*")
 
 
 def with_fallback(captured: DataFrame, referenced: DataFrame) -> DataFrame:

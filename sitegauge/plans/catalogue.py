@@ -222,6 +222,25 @@ def page_reports(spark: SparkSession, d: str) -> DataFrame:
     return area.select("page_id", "overall_score", "grade", "c.criterion", "c.score", F.size("c.issues").alias("n_issues"), digest.alias("digest"))
 
 
+@query(f"""
+WITH l AS (SELECT page_id, list_transform({rule_sql._all('heading', 1)}, lambda x: CAST(x AS INTEGER)) AS v FROM ({rule_sql.varied_sql()}) WHERE html IS NOT NULL),
+p AS (SELECT page_id, unnest(list_zip(v[:-2], v[2:], range(len(v) - 1))) AS z FROM l)
+SELECT page_id, CAST(z[3] AS INTEGER) AS ord, z[1] AS from_rank, z[2] AS to_rank FROM p WHERE z[2] > z[1] + 1""")
+def heading_skips(spark: SparkSession, d: str) -> DataFrame:
+    """All skipped heading ranks, with the number of the heading before."""
+    levels = rules.with_facts(varied_pages(spark, d).select("page_id", "html")).select("page_id", "levels")
+    pairs = levels.select("page_id", F.posexplode(F.arrays_zip(F.slice("levels", 1, F.greatest(F.size("levels") - 1, F.lit(0))).alias("a"), F.slice("levels", 2, F.size("levels")).alias("b"))).alias("ord", "z"))
+    return pairs.filter("z.b > z.a + 1").select("page_id", "ord", F.col("z.a").alias("from_rank"), F.col("z.b").alias("to_rank"))
+
+
+@query(f"""
+WITH f AS (SELECT page_id, html, {rule_sql._all('label_for', 1)} AS labels FROM ({rule_sql.varied_sql()}) WHERE html IS NOT NULL)
+SELECT page_id, unnest(list_filter({rule_sql._all('input')}[:30], lambda t: {rule_sql._bare(rules.UNLABELLED_SKIPS)})) AS input FROM f""")
+def unlabelled_inputs(spark: SparkSession, d: str) -> DataFrame:
+    rows = rules.with_facts(varied_pages(spark, d).select("page_id", "html"))
+    return text.each(rows, F.col("lonely"), "input", "page_id")
+
+
 # --- findings of an external evaluator ---------------------------------------------------
 
 
@@ -377,11 +396,6 @@ def fix_queue(spark: SparkSession, d: str) -> DataFrame:
     return evaluations.fix_queue(model_issues(spark, d))
 
 
-@query(f"SELECT page_id, CAST(strlen(html) AS INTEGER) AS html_bytes, CAST(len(regexp_extract_all(s, {L(rules.open_tag('h1'))})) AS INTEGER) AS h1_count, CAST(len(regexp_extract_all(s, {L(rules.open_tag('main'))})) AS INTEGER) AS main_count, regexp_matches(html, {L('<div' + chr(92) + 'b[^>]*' + evaluations.ROOT)}) AS has_root FROM ({_FACTS})")
-def evaluator_facts(spark: SparkSession, d: str) -> DataFrame:
-    return evaluations.page_facts(pages(spark, d))
-
-
 _T = L("^" + chr(92) + "s+|" + chr(92) + "s+$")
 
 
@@ -479,6 +493,24 @@ def referenced_files(spark: SparkSession, d: str) -> DataFrame:
     return resources.referenced_files(linked_pages(spark, d), DOMAIN)
 
 
+def _over_linked(sql: str) -> str:
+    return sql.replace("FROM pages", "FROM linked").replace("WHERE html IS NOT NULL", "")
+
+
+@query(f"""
+WITH linked AS (SELECT page_id, coalesce(html, '') AS html FROM ({_LINKED_PAGES})), m AS ({_over_linked(_TEXT_METRICS)}), c AS ({_over_linked(_CSS_METRICS)}),
+f AS (SELECT page_id, html, {rule_sql._strip('html', text.INERT)} AS s FROM linked),
+u AS (SELECT *, regexp_extract_all(html, {L(_SCRIPTED)}, 1) AS js, list_transform(list_filter(regexp_extract_all(html, {L('<link' + chr(92) + 'b[^>]*>')}), lambda t: regexp_matches(t, {L(_SHEET)}) AND regexp_matches(t, {L(_LINKED)})), lambda t: regexp_extract(t, {L('.*' + _LINKED)}, 1)) AS css FROM f)
+SELECT page_id, html_bytes, CAST(len(regexp_extract_all(s, {L(rules.open_tag('h1'))})) AS INTEGER) AS h1_count, CAST(len(regexp_extract_all(s, {L(rules.open_tag('main'))})) AS INTEGER) AS main_count,
+  regexp_matches(html, {L('<div' + chr(92) + 'b[^>]*' + evaluations.ROOT)}) AS has_root, html_to_text_ratio, css_chars AS inline_css_chars, css_ext_count, css_inline_count, css_to_text_ratio,
+  array_to_string(list_sort(list_distinct(list_transform(js, lambda x: split_part(split_part(x, '?', 1), '/', -1)))), ',') AS js_files,
+  array_to_string(list_sort(list_distinct(list_transform(css, lambda x: split_part(split_part(x, '?', 1), '/', -1)))), ',') AS css_files
+FROM u JOIN m USING (page_id) JOIN c USING (page_id)""")
+def evaluator_facts(spark: SparkSession, d: str) -> DataFrame:
+    facts = evaluations.evaluator_facts(linked_pages(spark, d), DOMAIN)
+    return facts.withColumns({n: F.array_join(n, ",") for n in ("js_files", "css_files")})
+
+
 @query(f"""
 WITH f AS ({_FILES} UNION ALL SELECT -1, 'js', 'https://cdn.example/lib.js', 'x = 1' UNION ALL SELECT -1, 'css', 'https://cdn.example/a.css', 'a {{}}'), e AS (SELECT kind, url, max(content) AS content FROM f GROUP BY 1, 2),
 r AS ({_REFERENCED})
