@@ -193,7 +193,8 @@ def _extract(batches: Iterator[pa.RecordBatch], other_words: int, weak_words: in
 
 def residue(pages: DataFrame, other_words: int = 6, sources: int = 3, weak_words: int = 8, page_words: int = 40, page_sources: int = 5) -> DataFrame:
     """``page_id, field, reason`` of the records of ``page_id, host, html, fetch_error`` that
-    hold residue (``template``) or nothing but a notice (``notice``).
+    hold residue (``template``) or nothing but a notice, known by the ``recurrence`` of the
+    whole page or else by a ``phrase``.
 
     A page with more than ``other_words`` words beside its notices has something to say. In
     ``fetch_error`` one notice is enough; the fetcher's own reasons are no notices, as no
@@ -218,7 +219,7 @@ def residue(pages: DataFrame, other_words: int = 6, sources: int = 3, weak_words
     per_page = judged.groupBy("page_id", "field").agg(F.max("notice").alias("notice"), others.alias("others"), F.max("alone").alias("alone"))
     only = per_page.filter("alone or notice").filter((F.col("field") == "fetch_error") | F.col("alone") | (F.col("others") <= other_words))
     template = scanned.filter("kind = 'template'").select("page_id", "field").distinct()
-    return template.select("page_id", "field", F.lit("template").alias("reason")).unionByName(only.select("page_id", "field", F.lit("notice").alias("reason")))
+    return template.select("page_id", "field", F.lit("template").alias("reason")).unionByName(only.select("page_id", "field", F.when(F.col("alone"), "recurrence").otherwise("phrase").alias("reason")))
 
 
 def clean_pages(pages: DataFrame, found: DataFrame) -> DataFrame:

@@ -212,7 +212,7 @@ def test_residue(spark):
     ]
     found = residue.residue(pages(spark, rows)).collect()
     assert len({(r["page_id"], r["field"]) for r in found}) == len(found)
-    assert {r["page_id"]: r["reason"] for r in found} == {1: "template", 3: "template", 4: "notice", 6: "notice", 7: "template", 9: "template", 10: "notice", 11: "notice", 17: "template", 18: "notice"}
+    assert {r["page_id"]: r["reason"] for r in found} == {1: "template", 3: "template", 4: "phrase", 6: "phrase", 7: "template", 9: "template", 10: "phrase", 11: "phrase", 17: "template", 18: "phrase"}
     assert residue.residue(empty(spark)).count() == 0
     assert residue.clean_pages(pages(spark, rows), residue.residue(pages(spark, rows))).filter("page_id in (1, 4)").count() == 0
 
@@ -231,7 +231,7 @@ def test_recurrence_in_any_language(spark):
     many = pages(spark, [(k, f"h{k}", strange.replace("17", str(k)), "certificate has expired") for k in range(9)])
     assert residue.residue(few).count() == 0
     found = residue.residue(many).collect()
-    assert sorted((r["page_id"], r["field"]) for r in found) == [(k, "html") for k in range(9)]
+    assert sorted(tuple(r) for r in found) == [(k, "html", "recurrence") for k in range(9)]
     article = pages(spark, [(k, f"h{k}", body(f"<p>{SENTENCE * 4}</p>"), None) for k in range(9)])
     assert residue.residue(article).count() == 0
 
@@ -242,7 +242,7 @@ def test_long_notices(spark):
     long_mark = "{{ " + "very_long_name." * 30 + "x }}"
     prose = "This page is about sites under maintenance. " + SENTENCE * 20
     rows = [(1, "a", body(f"<pre>{trace}</pre>"), None), (2, "a", body(f"<div>{lines}</div>"), None), (3, "a", None, trace), (4, "a", body(f"<p>{long_mark}</p>"), None), (5, "a", body(f"<p>{prose}</p>"), None)]
-    assert {r["page_id"]: r["reason"] for r in residue.residue(pages(spark, rows)).collect()} == {1: "notice", 2: "notice", 3: "notice", 4: "template"}
+    assert {r["page_id"]: r["reason"] for r in residue.residue(pages(spark, rows)).collect()} == {1: "phrase", 2: "phrase", 3: "phrase", 4: "template"}
 
 
 @settings(max_examples=200, deadline=None)
