@@ -45,8 +45,10 @@ _HEADING = re.compile(r"#{1,6}\s+\S")
 _STOP = re.compile(r"[.!?]\s")
 _RECORD = re.compile(r"\W?\d{2,4}[-/.]\d{1,2}[-/.]\d{1,4}\b|\W?\d{1,2}:\d{2}\b")
 _SENTENCES = re.compile(r"(?<=[.!?。؟।])\s+")
+_CLAUSE_SIGN = re.compile(r"[,;:–—]")
 _CLAUSES = re.compile(r"(?<=[,;:–—])\s+")
-_MASKS = ((re.compile(r"(?:https?://|www\.)[^\s/]+"), "@"), (re.compile(r"\d+(?:[.,:]\d+)*"), "0"))
+_HOST = re.compile(r"(?:https?://|www\.)[^\s/]+")
+_NUMBER = re.compile(r"\d+(?:[.,:]\d+)*")
 _SPACE = re.compile(r"\s+")
 _UNFINISHED = (",", ";", "-", "–", "—", "(", "“", "«", ":", "/")
 _GOES_ON = re.compile(r"[,;]|[“«(][^”»)]*$")
@@ -71,25 +73,33 @@ class Ending(NamedTuple):
     clause: str | None = None
 
 
+def _plain(text: str) -> str:
+    """Addresses masked and white space collapsed in a text whose numbers are masked already."""
+    if "://" in text or "www." in text:
+        text = _HOST.sub("@", text)
+    return " ".join(text.split())
+
+
 def masked(text: str) -> str:
-    for pattern, stand_in in _MASKS:
-        text = pattern.sub(stand_in, text)
-    return _SPACE.sub(" ", text).strip()
+    return _NUMBER.sub("0", _plain(text))
 
 
 def _kind(line: str) -> tuple[str, str] | None:
-    """The kind of a line that may stand without a full stop, and its value."""
-    if m := _ITEM.match(line):
+    """The kind of a line that may stand without a full stop, and its value.
+
+    The first characters tell cheaply which of the patterns can match."""
+    c = line[:1]
+    if (c in "-*•+▪" or c.isdigit() or line[1:2] in (".", ")")) and (m := _ITEM.match(line)):
         return "item", line[m.end() :]
-    if line.startswith("|"):
+    if c == "|":
         return "row", line
-    if _HEADING.match(line):
+    if c == "#" and _HEADING.match(line):
         return "heading", line.lstrip("# ")
-    if m := _DASH.match(line):
+    if c in "–—-" and (m := _DASH.match(line)):
         return "signature", line[m.end() :]
-    if _LINK.search(line):
+    if ("://" in line or "www." in line) and _LINK.search(line):
         return "link", line
-    if m := _LABEL.fullmatch(line):
+    if line.find(":", 1, 27) > 0 and (m := _LABEL.fullmatch(line)):
         label = m[1].lower()
         value = m[2]
         if "," not in value:
@@ -101,7 +111,11 @@ def _kind(line: str) -> tuple[str, str] | None:
 
 
 def _key(kind: str, value: str) -> str:
-    return f"{'prose' if kind in ('link', 'prose') else kind}\x1f{masked(value)}"
+    return _key_of(kind, masked(value))
+
+
+def _key_of(kind: str, value: str) -> str:
+    return f"{'prose' if kind in ('link', 'prose') else kind}\x1f{value}"
 
 
 def _is_record(line: str, before: str) -> bool:
@@ -177,7 +191,11 @@ def _whole_units(text: str, finished: bool) -> Iterator[tuple[str, bool]]:
     """``(key, is a line of its own)`` of the units that are known to be complete: all but
     the last one, and that too where the text is ``finished``. Clauses come without the
     first of a unit, which begins like the unit."""
-    lines = [x.strip().lstrip("> ") for x in text.rstrip().split("\n")]
+    # hosts go first, as they may hold numbers
+    text = text.rstrip()
+    if "://" in text or "www." in text:
+        text = _HOST.sub(lambda m: _NUMBER.sub("0", m[0]), text)
+    lines = [x.strip().lstrip("> ") for x in _NUMBER.sub("0", text).split("\n")]
     for n, line in enumerate(lines):
         last = n + 1 == len(lines)
         if not line:
@@ -186,19 +204,20 @@ def _whole_units(text: str, finished: bool) -> Iterator[tuple[str, bool]]:
         if found and found[0] == "tags":
             values = line.split(":", 1)[1].split(",")
             for value in values if not last or finished else values[:-1]:
-                yield _key("tags", value.strip()), True
+                yield _key_of("tags", _plain(value)), True
             continue
         if found and found[0] not in ("row", "link"):
             if not last or finished:
-                yield _key(*found), True
+                yield _key_of(found[0], _plain(found[1])), True
             if not _STOP.search(found[1]):
                 continue
         parts = _SENTENCES.split(line)
         alone = len(parts) == 1 and (n == 0 or not lines[n - 1]) and (last or not lines[n + 1])
         for part in parts if not last or finished else parts[:-1]:
-            yield _key("prose", part), alone and not _SENTENCE_END.search(part)
-            for clause in _CLAUSES.split(part)[1:]:
-                yield _key("clause", clause), False
+            yield _key_of("prose", _plain(part)), alone and not _SENTENCE_END.search(part)
+            if _CLAUSE_SIGN.search(part):
+                for clause in _CLAUSES.split(part)[1:]:
+                    yield _key_of("clause", _plain(clause)), False
 
 
 def _classify(batches: Iterator[pa.RecordBatch], flush_at: int = 200_000) -> Iterator[pa.RecordBatch]:
