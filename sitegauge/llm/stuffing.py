@@ -28,6 +28,7 @@ from sitegauge.session import cut_lineage
 _WORD = re.compile(r"[^\W_]+")
 _END = re.compile(r"[.!?]+[\"”’»)\]]*(?:\s+|$)|[。！？]+[」』”]?")
 _COMMA = re.compile(r"[,;]+(?:\s|$)|\s(?:[|/•·»>]+|[-–—])\s")
+_SEPARATORS = ",;|/•·»>-–—"
 _TAG = re.compile(r"(?<!\S)#\w+|(?<!\S)\w+(?:-\w+){2,}(?!\S)")
 _NO_SPACES = re.compile(r"[぀-ヿ㐀-鿿฀-๿]")
 _SKIPPED = frozenset(("title", "button", "label", "option", "noscript", "legend"))
@@ -44,6 +45,9 @@ def _length(part: str, spaced: bool = True) -> int:
 
 
 def _run_on(part: str) -> bool:
+    # twenty words and the blanks between them
+    if len(part) < 39:
+        return False
     found = part.lower().split()
     if len(found) < 20:
         return False
@@ -70,8 +74,13 @@ def is_prose(block: Block) -> bool:
     lengths = [_length(p, spaced) for p in ended]
     if median(lengths) < 6:
         return False
+    size = sum(lengths)
+    # every separator holds one of these signs, so more phrases than that there are not
+    signs = len(ended) + sum(map(block.text.count, _SEPARATORS))
+    if signs < 6 or size >= 3.5 * signs:
+        return True
     phrases = sum(map(len, map(_COMMA.findall, ended))) + len(ended)
-    return not (phrases >= 6 and sum(lengths) < 3.5 * phrases)
+    return not (phrases >= 6 and size < 3.5 * phrases)
 
 
 def own_content(html: str) -> list[Block]:
