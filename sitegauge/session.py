@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -51,7 +53,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         if named:
             sc.setCheckpointDir(named)
         elif sc.master.startswith("local[") or sc.master == "local":
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix=f"sitegauge-{os.getpid()}-"))
+            folder = tempfile.mkdtemp(prefix=f"sitegauge-{os.getpid()}-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+            sc.setCheckpointDir(folder)
         else:
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     return df.checkpoint(eager=True)
