@@ -96,6 +96,15 @@ def expanded_candidates(candidates: DataFrame, issues: DataFrame, edges: DataFra
 
 # --- places within a file --------------------------------------------------------------
 
+# Points of a class list for a name it has and for a part of one, at most; the
+# shortest name of which a part counts; characters on either side of an anchor, an
+# identifier, a class name and a data attribute; places of an identifier and of a class
+# name that are shown, a class name in more places than the last is not; the gap that joins.
+WHOLE_POINTS, PART_POINTS, PART_LEAST = 24, 12, 4
+AROUND_ANCHOR, AROUND_ID, AROUND_CLASS, AROUND_DATA = 450, 260, 240, 280
+ID_PLACES, CLASS_PLACES, CLASS_COMMON = 4, 5, 28
+GAP = 8
+
 _ID = re.compile(r"(?<![A-Za-z0-9_])id\s*=\s*[\"']([^\"']+)[\"']", re.I)
 _CLASS = re.compile(r"(?<![A-Za-z0-9_])class\s*=\s*[\"']([^\"']+)[\"']", re.I)
 _DATA = re.compile(r"(?<![A-Za-z0-9_])(data-[a-zA-Z0-9-]+)\s*=\s*[\"']([^\"']+)[\"']", re.I)
@@ -109,14 +118,16 @@ def _names(snippet: str) -> list[str]:
 
 def _likeness(value: str, wanted: list[str]) -> int:
     """Points of a class list for the names wanted: more for a name it has than for a part of one."""
-    has = list(dict.fromkeys(value.lower().split()))
-    points = 0
-    for w in wanted:
-        if w in has:
-            points += min(len(w) + 2, 24)
-        elif len(w) >= 4 and (part := next((h for h in has if len(h) >= 4 and (h in w or w in h)), None)):
-            points += min(len(part), len(w), 12)
-    return points
+    names = dict.fromkeys(value.lower().split())
+    long = [n for n in names if len(n) >= PART_LEAST]
+
+    def points(w: str) -> int:
+        if w in names:
+            return min(len(w) + 2, WHOLE_POINTS)
+        shared = [min(len(n), len(w)) for n in long if len(w) >= PART_LEAST and (n in w or w in n)]
+        return min(shared[0], PART_POINTS) if shared else 0
+
+    return sum(map(points, wanted))
 
 
 def class_anchor(content: str, snippet: str) -> int:
@@ -158,17 +169,17 @@ def grounding(content: str, snippet: str, anchor: int, budget: int = 12_000) ->
     eight characters apart joined, each under a line that tells where it stands; stretches
     that would exceed the budget end the text."""
     low = content.lower()
-    around = [(anchor, 450)]
+    around = [(anchor, AROUND_ANCHOR)]
     for i in _ids(snippet):
         for form in _ID_FORMS[:4]:
-            around += [(p, 260) for _, p in zip(range(4), _occurrences(low, form.format(i).lower()))]
+            around += [(p, AROUND_ID) for _, p in zip(range(ID_PLACES), _occurrences(low, form.format(i).lower()))]
     for name in _names(snippet):
         places = list(_occurrences(low, name.lower())) if len(name) >= 5 else []
-        around += [(p, 240) for p in places[:5]] if len(places) <= 28 else []
-    around += [(p, 280) for m in _DATA.finditer(snippet) if (p := low.find(f'{m[1]}="{m[2]}"'.lower())) >= 0]
+        around += [(p, AROUND_CLASS) for p in places[:CLASS_PLACES]] if len(places) <= CLASS_COMMON else []
+    around += [(p, AROUND_DATA) for m in _DATA.finditer(snippet) if (p := low.find(f'{m[1]}="{m[2]}"'.lower())) >= 0]
     spans: list[list[int]] = []
     for begin, end in sorted((max(0, p - half), min(len(content), p + half)) for p, half in around):
-        if spans and begin <= spans[-1][1] + 8:
+        if spans and begin <= spans[-1][1] + GAP:
             spans[-1][1] = max(spans[-1][1], end)
         else:
             spans.append([begin, end])
