@@ -24,7 +24,9 @@ _WORD = re.compile(r"[^\W_]+")
 _TAG = re.compile(r"<[a-zA-Z/!][^<>]*>")
 _ENTITY = re.compile(r"&(?:#\d+|#[xX][0-9a-fA-F]+|[a-zA-Z]{2,8});")
 _BROKEN = re.compile(r"(?<=\w)(?:=|-|­)\r?\n[ \t>|#*]*(?=[^\W\d_])")
-_SENTENCE = re.compile(r"[^.!?]+[.!?]+")
+_STOP = re.compile(r"[.!?。！？؟।]+")
+_LABEL = re.compile(r"(?:^[^\w\n]*|(?<=[.!?])\s+|(?<=[。！？؟।])\s*)(question|answer|q|a)\s*\d*\s*[:：]", re.I | re.M)
+_GOES_ON = regex.compile(r"[\p{Ll}\p{N}_&=%/]")
 _CLUSTER = regex.compile(r"\X")
 
 HITS = "array<struct<item_id: bigint, coverage: double, spans: array<struct<begin: int, end: int>>>>"
@@ -86,40 +88,60 @@ def _instructions(texts: list[tuple[tuple[str, ...], ...]], stock: int) -> list[
 
     An opening is where the texts that begin alike part into ``stock`` different ones or
     more, over no more than half of the text. Texts of one passage do not part."""
-    following: dict[tuple, set] = defaultdict(set)
-    for parts in set(texts):
-        for n in range(1, len(parts) + 1):
-            following[parts[:n]].add(parts[n] if n < len(parts) else END)
-    found = []
+    step: dict[tuple[int, tuple[str, ...]], int] = {}
+    ways: Counter = Counter()
+    paths = []
     for parts in texts:
-        depths = [n for n in range(1, len(parts) // 2 + 1) if len(following[parts[:n]]) >= stock]
-        found.append(max(depths, default=0))
-    return found
-
-
-def passages(items: Iterable[tuple[int, str]], sentences: int = 4, stock: int = 3) -> dict[tuple[str, ...], list[int]]:
+        path = [0]
+        for part in (*parts, END):
+            at = path[-1], part
+            if at not in step:
+                step[at] = len(step) + 1
+                ways[path[-1]] += 1
+            path.append(step[at])
+        paths.append(path)
+    return [max((n for n in range(1, len(parts) // 2 + 1) if ways[path[n]] >= stock), default=0) for parts, path in zip(texts, paths)]
+
+
+def _asked(text: str) -> int:
+    """Where an item's question begins, or the length of a text without one.
+
+    Labels decide (of the last kind of question and answer the first), or else the last
+    sentence or line that asks, as a passage may ask too. Nothing before which no word
+    stands is a question."""
+    labels = [(m[1].lower(), m.start()) for m in _LABEL.finditer(text)]
+    labels = [one for one, other in zip(labels, labels[1:]) if (one[0], other[0]) in (("question", "answer"), ("q", "a"))]
+    if labels:
+        return next((n for kind, n in labels if kind == labels[-1][0] and words(text[:n])), len(text))
+    begin = asked = 0
+    for m in _STOP.finditer(text):
+        if set(m[0]) & set("?？؟") and not _GOES_ON.match(text, m.end()):
+            asked = max(begin, text.rfind("\n", begin, m.start()) + 1)
+        begin = m.end()
+    return asked if words(text[:asked]) else len(text)
+
+
+def passages(items: Iterable[tuple[int, str]], stock: int = 3) -> dict[tuple[str, ...], list[int]]:
     """The words of every different passage, with the items that use it.
 
-    A passage is an item's first sentences before its question, without the instruction it
-    opens or closes with: that is what ``stock`` or more different passages have in common
-    there and nothing else. Items of one passage all get it, however many they are. A null,
-    empty or sentence-less text has no passage and is left out.
+    A passage is all of an item before its question, however many sentences these are, without
+    the instruction it opens or closes with: that is what ``stock`` or more different passages
+    have in common there and nothing else. Items of one passage all get it, however many they
+    are. A null text or one without words has no passage and is left out.
     """
     ids, texts = [], []
     for i, text in items:
-        parts = [tuple(words(x)) for x in _SENTENCE.findall(text or "") if words(x)]
-        marks = [x.strip() for x in _SENTENCE.findall(text or "") if words(x)]
-        asked = next((k for k, m in enumerate(marks) if k and m.endswith("?")), len(parts))
-        if parts[:asked]:
+        text = text or ""
+        parts = tuple(tuple(found) for x in _STOP.split(text[: _asked(text)]) if (found := words(x)))
+        if parts:
             ids.append(i)
-            texts.append(tuple(parts[:asked]))
+            texts.append(parts)
     openings = _instructions(texts, stock)
     rest = [t[n:] for t, n in zip(texts, openings)]
     closings = _instructions([t[::-1] for t in rest], stock)
     found: dict[tuple[str, ...], list[int]] = {}
     for i, t, n in zip(ids, rest, closings):
-        own = t[: len(t) - n][:sentences]
-        found.setdefault(tuple(w for part in own for w in part), []).append(i)
+        found.setdefault(tuple(w for part in t[: len(t) - n] for w in part), []).append(i)
     return {t: sorted(set(of)) for t, of in found.items()}
 
 
@@ -327,42 +349,42 @@ class Finder:
         keep(state, size, len(ids))
         return found
 
-    def stretches(self, item: int, ids: list[int], seeds: list[tuple[int, int]]) -> list[tuple[int, int, int, int]]:
+    def stretches(self, item: int, ids: list[int], runs: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
         """Disjoint aligned stretches ``(item_from, item_to, text_from, text_to)``.
 
-        Words are aligned along diagonals: a seed fixes the shift between text and
+        Words are aligned along diagonals: a run fixes the shift between text and
         passage, and is prolonged both ways while the words agree often enough; a
         change of shift (a word lost or added) starts another diagonal, and
         diagonals that continue each other are joined.
         """
         passage = self.texts[item]
-        places = defaultdict(list)
-        for k, c in enumerate(passage):
-            places[c].append(k)
         blocks = set()
-        for begin, end in seeds:
-            for k in places.get(ids[begin], ()):
-                if passage[k : k + end - begin] == ids[begin:end]:
-                    i, j = begin, k
-                    while i and j and ids[i - 1] == passage[j - 1]:
-                        i, j = i - 1, j - 1
-                    e, f = end, k + end - begin
-                    while e < len(ids) and f < len(passage) and ids[e] == passage[f]:
-                        e, f = e + 1, f + 1
-                    blocks.add((i, j, e - i))
+        for begin, end, k in runs:
+            i, j = begin, k
+            while i and j and ids[i - 1] == passage[j - 1]:
+                i, j = i - 1, j - 1
+            blocks.add((i, j, end - i))
         chains: list[list[tuple[int, int, int]]] = []
+        # the chains by the shift of their last block; blocks come in the order of the text, so a chain left behind is done
+        at_shift: dict[int, list[int]] = defaultdict(list)
         for i, j, n in sorted(blocks):
-            best = None
-            for chain in chains:
-                pi, pj, pn = chain[-1]
-                gap_text, gap_item = i - (pi + pn), j - (pj + pn)
-                if -3 <= gap_text <= 12 and -3 <= gap_item <= 12 and abs(gap_text - gap_item) <= 5 and i > pi and j > pj:
-                    if best is None or pi + pn > best[-1][0] + best[-1][2]:
-                        best = chain
-            if best is None:
-                chains.append([(i, j, n)])
+            best, until = -1, -1
+            for shift in range(i - j - 5, i - j + 6):
+                near = at_shift.get(shift)
+                if not near:
+                    continue
+                near[:] = [c for c in near if i - sum(chains[c][-1][::2]) <= 12]
+                for c in near:
+                    pi, pj, pn = chains[c][-1]
+                    if -3 <= i - (pi + pn) and -3 <= j - (pj + pn) <= 12 and i > pi and j > pj and (pi + pn, -c) > (until, -best):
+                        best, until = c, pi + pn
+            if best < 0:
+                best = len(chains)
+                chains.append([])
             else:
-                best.append((i, j, n))
+                at_shift[chains[best][-1][0] - chains[best][-1][1]].remove(best)
+            chains[best].append((i, j, n))
+            at_shift[i - j].append(best)
         out = []
         for chain in chains:
             i0, j0, _ = chain[0]
@@ -370,11 +392,11 @@ class Finder:
             out.append((j0, j1 + n1, i0, i1 + n1))
         return out
 
-    def measure(self, item: int, ids: list[int], seeds: list[tuple[int, int]]) -> tuple[float, list[tuple[int, int, int, int]]]:
+    def measure(self, item: int, ids: list[int], runs: list[tuple[int, int, int]]) -> tuple[float, list[tuple[int, int, int, int]]]:
         """The share of the passage in the best one or two stretches, and the stretches."""
         passage, own = self.texts[item], self.own[item]
         good = []
-        for j0, j1, i0, i1 in self.stretches(item, ids, seeds):
+        for j0, j1, i0, i1 in self.stretches(item, ids, runs):
             got = Counter(ids[max(0, i0) : i1])
             hit = own_hit = own_all = 0
             for k in range(j0, j1):
@@ -410,7 +432,7 @@ class Finder:
                 seeds = [(a, b) for a, b, k in runs if b - a >= self.seed_words and any(self.own[passage][k : k + b - a])]
                 if len({ids[k] for s in seeds for k in range(*s)}) < 4:
                     continue
-                coverage, best = self.measure(passage, ids, [(a, b) for a, b, _ in runs])
+                coverage, best = self.measure(passage, ids, runs)
                 if coverage >= self.share:
                     places = places or word_places(text)
                     last = len(places) - 1

@@ -250,6 +250,47 @@ def test_passages_that_many_items_share(spark, users):
     assert leakage.cleaned_documents(docs, table).filter("doc_id = 1").first()["text"] == "Before that. . After it."
 
 
+LINES = [" ".join(f"s{k}w{j}" for j in range(12)) for k in range(10)]
+ASKED = "\n\nQuestion: What is it?\nAnswer: Nothing at all."
+
+
+@pytest.mark.parametrize(
+    "begin, joined, end",
+    [
+        ("", ". ", "." + ASKED),
+        ("It measures 3.5 by 2.5 by 1.5 m. ", ". ", "." + ASKED),
+        ("Why so? See http://x.example/a.php?id=3 first. ", ". ", "." + ASKED),
+        ("Why so? ", ". ", ". What is it? Nothing at all."),
+        ("Q1: five.\nQ2: six.\n", ". ", ". What is it? Nothing at all."),
+        ("", ". ", ASKED),
+        ("", "\n", ASKED + ASKED),
+        ("", "。", "。" + ASKED),
+        ("", ". ", ".\n\nQuestion: Name it.\nAnswer: Nothing, is it? No."),
+        ("", ". ", ""),
+    ],
+)
+def test_passages_are_whole(begin, joined, end):
+    text = begin + joined.join(LINES) + end
+    assert leakage.passages([(1, text)]) == {tuple(leakage.words(begin + " ".join(LINES))): [1]}
+
+
+def test_leaks_of_the_end_of_a_long_passage(spark):
+    items = [(1, ". ".join(LINES) + "." + ASKED), (2, item(2)[1])]
+    docs = [(1, "Before that. " + ". ".join(LINES[5:]) + ". After it."), (2, ". ".join(LINES[:3]) + "."), (3, ". ".join(LINES) + ".")]
+    found = leakage.leaked_passages(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    assert sorted((r["doc_id"], r["item_id"], r["coverage"]) for r in found) == [(1, 1, 0.5), (3, 1, 1.0)]
+
+
+def test_instructions_and_alignment_of_long_texts():
+    random.seed(8)
+    text = [random.choice(WORDS[:200]) for _ in range(4000)]
+    assert leakage.passages([(1, ". ".join(text))]) == {tuple(text): [1]}
+    finder = leakage.Finder(leakage.Automaton({0: text}).arrays({0: [True] * len(text)}, 3), {0: [1]}, 3, 0.36, 0.75)
+    document = " ".join(["before"] * 5 + text[2000:])
+    [(found, coverage, spans)] = finder.find(document)
+    assert found == 1 and 0.5 <= coverage < 0.51 and (35, len(document)) in spans
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="abßİ́é\u00adﬁ =-&;<p>\n 한Ⅳ", max_size=40))
 def test_places_of_words(text):
